@@ -14,10 +14,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, field, utf8
+from .common import checkpoint, discard, field, utf8, written
 
 WINDOW = 50
 GRAM = 12
@@ -111,13 +111,13 @@ def _seeds(docs: DataFrame, window: int, gram: int) -> DataFrame:
             names=["anchor", "context", "id", "tag", "first", "n"],
         )
 
-    return docs.filter("id is not null").select("id", "tag", utf8("text")).mapInArrow(
+    return docs.filter("id is not null").select("id", "tag", "bytes").mapInArrow(
         scan, f"anchor bigint, context bigint, {field(docs, 'id')}, tag bigint, first int, n int"
     )
 
 
 def _window_hashes(texts: DataFrame, window: int) -> DataFrame:
-    """(id, tag, anchor, at, run): every window of the listed anchor extents with a hash of its words."""
+    """(id, key, tag, anchor, at, run): every window of the listed anchor extents with a hash of its words."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
@@ -125,7 +125,7 @@ def _window_hashes(texts: DataFrame, window: int) -> DataFrame:
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
                 out = []
-                for i, (text, extents) in enumerate(zip(part.column(2), part.column(3))):
+                for i, (text, extents) in enumerate(zip(part.column(3), part.column(4))):
                     words = text.as_py().split()
                     runs = RunHashes(words, cache)
                     for e in extents.as_py():
@@ -134,17 +134,17 @@ def _window_hashes(texts: DataFrame, window: int) -> DataFrame:
                 row, anchor, at, run = (np.concatenate(x) for x in zip(*out))
                 row = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(row), part.column(1).take(row), pa.array(anchor), pa.array(at.astype(np.int32)), pa.array(run)],
-                    names=["id", "tag", "anchor", "at", "run"],
+                    [*(part.column(c).take(row) for c in range(3)), pa.array(anchor), pa.array(at.astype(np.int32)), pa.array(run)],
+                    names=["id", "key", "tag", "anchor", "at", "run"],
                 )
 
-    return texts.select("id", "tag", utf8("text"), "extents").mapInArrow(
-        scan, f"{field(texts, 'id')}, tag bigint, anchor bigint, at int, run bigint"
+    return texts.select("id", "key", "tag", "bytes", "extents").mapInArrow(
+        scan, f"{field(texts, 'id')}, key string, tag bigint, anchor bigint, at int, run bigint"
     )
 
 
-def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(id, tag, first, n) of `docs` (id, tag, text): runs of window starts whose words an earlier id holds too.
+def repeats(texts: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """(key, tag, first, n) of `texts` (id, key, tag, bytes): runs of window starts whose words an earlier id holds too.
 
     1. Seeds whose anchor occurs under one id alone are dropped.
     2. An extent equals another one if all words that its windows touch are equal. Every extent but those of
@@ -153,21 +153,27 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFram
     Both comparisons take the smallest id by aggregation, so a passage that thousands of documents share
     costs its length, not its pairs.
     """
-    seeds = checkpoint(_seeds(docs, window, gram))
+    seeds, path = written(_seeds(texts, window, gram))
     shared = seeds.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("anchor")
     seeds = checkpoint(seeds.join(shared, "anchor", "left_semi"))
+    discard(texts.sparkSession, path)
     classes = seeds.groupBy("anchor", "context").agg(F.min("id").alias("low"))
     several = classes.groupBy("anchor").agg((F.count("*") > 1).alias("several"))
-    judged = checkpoint(seeds.join(classes, ["anchor", "context"]))
-    whole = judged.filter("low < id").select("id", "tag", "first", "n")
+    judged = checkpoint(seeds.join(classes, ["anchor", "context"]).withColumn("key", _key("id")))
+    whole = judged.filter("low < id").select("key", "tag", "first", "n")
     edge = judged.filter("low = id").join(several.filter("several"), "anchor", "left_semi")
-    listed = edge.groupBy("id", "tag").agg(F.collect_list(F.struct("anchor", "first", "n")).alias("extents"))
-    runs = checkpoint(_window_hashes(docs.join(listed, ["id", "tag"]), window))
+    listed = edge.groupBy("key", "tag").agg(F.collect_list(F.struct("anchor", "first", "n")).alias("extents"))
+    runs = _window_hashes(texts.join(listed, ["key", "tag"]), window)
     earliest = runs.groupBy("anchor", "run").agg(F.min("id").alias("low"))
-    partly = runs.join(earliest, ["anchor", "run"]).filter("low < id").select("id", "tag", F.col("at").alias("first"), F.lit(1).alias("n"))
+    partly = runs.join(earliest, ["anchor", "run"]).filter("low < id").select("key", "tag", F.col("at").alias("first"), F.lit(1).alias("n"))
     return whole.unionByName(partly)
 
 
+def _key(id_col: str) -> Column:
+    """The id as text, never null: joins on it need no filter, so the texts' exchange is the same in each."""
+    return F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+
+
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, with_text: bool = False) -> DataFrame:
     """(id, n_words, n_removed, kept_sha256, spans[, kept_text]): one row per document.
 
@@ -179,9 +185,14 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     nothing repeated. Rows that repeat id and text get the same result each; windows within one id never
     count. A document shorter than the window is kept whole. Other columns are ignored.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("tag"), F.col(text_col).alias("text"))
-    found = repeats(rows, window, gram).groupBy("id", "tag").agg(F.collect_list(F.struct("first", "n")).alias("runs"))
-    joined = rows.join(found, ["id", "tag"], "left").select("id", utf8("text"), "runs")
+    rows = docs.select(
+        F.col(id_col).alias("id"),
+        _key(id_col).alias("key"),
+        F.xxhash64(F.col(text_col).cast("string")).alias("tag"),
+        utf8(text_col).alias("bytes"),
+    )
+    found = repeats(rows, window, gram).groupBy("key", "tag").agg(F.collect_list(F.struct("first", "n")).alias("runs"))
+    joined = rows.join(found, ["key", "tag"], "left").select("id", "bytes", "runs")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -189,7 +200,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             for text, runs in zip(batch.column(1), batch.column(2)):
                 words, spans = (text.as_py() or b"").split(), []
                 n = len(words)
-                if runs.is_valid:
+                if runs.is_valid and batch.column(0)[len(out)].is_valid:
                     steps = np.zeros(n + 1, np.int64)
                     for r in runs.as_py():
                         steps[r["first"]] += 1
