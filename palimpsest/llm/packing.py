@@ -4,11 +4,9 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,20 +21,11 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
-class Pieces(dict):
-    """Ids of pre-tokens, remembered up to a bound; merges never cross a pre-token."""
-
-    def __init__(self, ranks: bytes):
-        table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
-        self.encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=table, special_tokens={})
-        self.end = len(table)
-
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        ids = tuple(self.encoding.encode_ordinary(piece))
-        if len(self) > 300_000:
-            self.clear()
-        self[piece] = ids
-        return ids
+def load_encoding(ranks: bytes) -> tuple[tiktoken.Encoding, int, str]:
+    """The encoding of a vocabulary file, its end token, and the smallest type that holds all ids."""
+    table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
+    end = max(table.values()) + 1
+    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=table, special_tokens={}), end, "<u2" if end < 1 << 16 else "<u4"
 
 
 class CapacityTree:
@@ -90,8 +79,8 @@ def best_fit_decreasing(lengths: list[int], limit: int) -> list[list[int]]:
     return rows
 
 
-def tokenize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
-    """(id, tag, ids binary): the text's token ids and one end token, four little-endian bytes each.
+def tokenize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER) -> tuple[DataFrame, str]:
+    """(id, tag, ids binary): the text's token ids and one end token, two or four little-endian bytes each; the numbers' type.
 
     The vocabulary file is read by Spark and broadcast: some 50,000 entries. Null text has no tokens.
     """
@@ -101,23 +90,24 @@ def tokenize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", to
     broadcast = spark.sparkContext.broadcast(ranks)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, find = Pieces(broadcast.value), regex.compile(PATTERN).findall
+        encoding, end, kind = load_encoding(broadcast.value)
         for whole in batches:
             for batch in slices(whole, 2, 2 << 20):
                 ids = []
                 for text in batch.column(2).to_pylist():
-                    flat = [*chain.from_iterable(map(pieces.__getitem__, find(text))), pieces.end] if text is not None else []
-                    ids.append(np.array(flat, "<i4").tobytes())
+                    found = [] if text is None else np.append(encoding.encode_to_numpy(text, disallowed_special=()), end)
+                    ids.append(np.asarray(found, kind).tobytes())
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary())], names=["id", "tag", "ids"])
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("tag"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(scan, "id bigint, tag bigint, ids binary")
+    kind = load_encoding(ranks)[2]
+    return rows.mapInArrow(scan, "id bigint, tag bigint, ids binary"), kind
 
 
-def pack_group(table: pa.Table, length: int, pad: int) -> pa.Table:
+def pack_group(table: pa.Table, length: int, pad: int, kind: str) -> pa.Table:
     """Pack a group's documents; see pack_documents for the columns."""
     order = sorted(range(table.num_rows), key=lambda i: (table["id"][i].as_py() is None, table["id"][i].as_py() or 0, table["tag"][i].as_py()))
-    docs = [(table["id"][i].as_py(), np.frombuffer(table["ids"][i].as_py(), "<i4")) for i in order]
+    docs = [(table["id"][i].as_py(), np.frombuffer(table["ids"][i].as_py(), kind)) for i in order]
     pieces = [(d, at, ids[at : at + length]) for d, ids in docs for at in range(0, len(ids), length)]
     rows = best_fit_decreasing([len(x[2]) for x in pieces], length)
     matrix, places = np.full((len(rows), length), pad, np.int32), np.zeros((len(rows), length), np.int32)
@@ -164,7 +154,8 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
     n_groups = max(1, -(-int(size) // group_bytes))
-    ids = tokenize(docs, id_col, text_col, tokenizer).filter(F.length("ids") > 0)
+    ids, kind = tokenize(docs, id_col, text_col, tokenizer)
+    ids = ids.filter(F.length("ids") > 0)
     dealt = ids.withColumn("pack_group", F.pmod(F.xxhash64("id", "tag"), F.lit(n_groups)))
     schema = "pack_group bigint, row_no bigint, n_tokens int, input_ids array<int>, cu_seqlens array<int>, position_ids array<int>, doc_ids array<bigint>, doc_starts array<int>"
-    return dealt.groupBy("pack_group").applyInArrow(lambda t: pack_group(t, length, pad), schema)
+    return dealt.groupBy("pack_group").applyInArrow(lambda t: pack_group(t, length, pad, kind), schema)
