@@ -20,7 +20,7 @@ from .common import checkpoint, field, id_remainder, slices
 DIM = 1024
 NGRAM = 3
 #: N-gram vectors held at a time.
-GRAMS = 16_384
+GRAMS = 4096
 #: Prototypes in one pass; more languages take more passes.
 BLOCK = 4096
 UNKNOWN = "und"
@@ -96,7 +96,7 @@ def learn_prototypes(docs: DataFrame, lang_col: str = "lang", text_col: str = "t
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}
         for batch in batches:
-            for part in slices(batch, 1, 1 << 20):
+            for part in slices(batch, 1, 1 << 19):
                 langs, group = np.unique(np.array(part.column(0).to_pylist(), object).astype(str), return_inverse=True)
                 row, gram, count, codes = profile_counts(part.column(1).to_pylist())
                 if not len(codes):
@@ -130,7 +130,7 @@ def _score(docs: DataFrame, prototypes: list[tuple[str, list[float]]], text_col:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, matrix = broadcast.value
         for whole in batches:
-            for batch in slices(whole, 0, 1 << 20):
+            for batch in slices(whole, 0, 1 << 19):
                 langs, scores = batch.column(1).to_pylist(), batch.column(2).to_pylist()
                 texts = [x or "" for x in batch.column(0).to_pylist()]
                 row, gram, count, codes = profile_counts(texts)
