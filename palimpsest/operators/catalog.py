@@ -117,7 +117,7 @@ def with_first_error(rows: DataFrame, rules: list[tuple[Column, str]]) -> DataFr
 def rename_document(title: Column, path: Column) -> tuple[Column, Column]:
     """filename and path of a document with a new title: title.pdf, in the old folder."""
     name = F.concat(title, F.lit(".pdf"))
-    return name, F.regexp_replace(path, r"[^/]*\z", F.regexp_replace(name, r"([\\$])", r"\\$1"))
+    return name, F.concat(F.regexp_extract(path, "^(.*/)?", 0), name)
 
 
 def flatten_metadata(struct: Column, fields: dict[str, str]) -> Column:

@@ -79,5 +79,5 @@ def drop_page_range(rows: DataFrame, ranges: DataFrame) -> DataFrame:
     """Paragraphs outside each document's excluded pages; a range that would drop them all is ignored."""
     joined = rows.join(ranges.select(KEY, "low", "high"), KEY, "left")
     inside = F.coalesce((F.col("low") <= F.col("high")) & F.col("page_number").between(F.col("low"), F.col("high")), F.lit(False))
-    left = F.sum((~inside).cast("int")).over(Window.partitionBy(KEY))
-    return joined.filter(~inside | (left == 0)).drop("low", "high")
+    marked = joined.withColumn("__inside", inside).withColumn("__left", F.sum((~F.col("__inside")).cast("int")).over(Window.partitionBy(KEY)))
+    return marked.filter("not __inside or __left = 0").drop("low", "high", "__inside", "__left")
