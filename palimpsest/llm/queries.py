@@ -13,7 +13,7 @@ from .langid import identify_languages
 from .lm import score_documents
 from .mixing import TEMPERATURE, mix
 from .packing import pack_documents
-from .quality import quality_rules, trusted_rows
+from .quality import quality_rules, trusted_ids
 from .sharding import assign_shards
 from .simhash import simhash_components
 from .substring import dedup_substrings
@@ -27,8 +27,7 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return quality_rules(trusted_rows(docs, table(spark, sf_dir, "labels")), "trusted")
+    return quality_rules(table(spark, sf_dir, "documents"), trusted_ids(table(spark, sf_dir, "labels")))
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

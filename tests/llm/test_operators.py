@@ -268,10 +268,11 @@ def plain_quality(text):
 
 def test_quality(spark, docs, rows):
     labels = spark.createDataFrame([(i, int(i % 3 > 0), int(i % 17 == 0)) for i in range(0, 120, 2)] + [(None, 1, None), (4, None, None)], "doc_id long, quality int, toxic int")
-    marked = quality.trusted_rows(docs.select("doc_id", "text"), labels)
+    listed = quality.trusted_ids(labels)
     trusted = {i for i in range(0, 120, 2) if i % 3 and i % 17 and i != 4}
-    assert {r.doc_id for r in marked.filter("trusted").collect()} == trusted
-    found = quality.quality_rules(marked, "trusted").collect()
+    assert {r.doc_id for r in listed.collect()} == trusted
+    assert 0 < quality.trusted_ids(labels, most=10).count() < len(trusted)
+    found = quality.quality_rules(docs, listed).collect()
     assert bag((r[0], *r[1:7]) for r in found) == bag((r[0], *plain_quality(r[1])) for r in rows)
     mix = lambda x: ((x ^ x >> 32) * 0xD6E8FEB86659FD93) % (1 << 64)
     end = lambda x: (x ^ x >> 32) % quality.BUCKETS
@@ -464,7 +465,7 @@ def test_empty_tables(spark, empty):
     assert substring.dedup_substrings(empty).count() == 0
     assert decontamination.find_contamination(empty, bench).count() == 0
     assert langid.identify_languages(empty).count() == 0
-    assert quality.quality_rules(quality.trusted_rows(empty, spark.createDataFrame([], "doc_id long, quality int, toxic int")), "trusted").count() == 0
+    assert quality.quality_rules(empty, quality.trusted_ids(spark.createDataFrame([], "doc_id long, quality int, toxic int"))).count() == 0
     assert lm.score_documents(empty).count() == 0
     assert mixing.mix(empty).count() == 0
     assert sharding.assign_shards(empty, [1.0] * 8).count() == 0
