@@ -1,15 +1,43 @@
-"""Chunk build: paragraph rules as Column expressions, packing as an ordered fold over a document's paragraphs."""
+"""Chunk build: paragraph rules as Column expressions, merging and packing as ordered folds over a document's lengths."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
-from ..functions.text import is_form_option, is_noise, nonspace_length, sentences, strip_prefixes
+from ..functions.text import is_form_option, is_incomplete, is_noise, nonspace_length, sentences, strip_prefixes, trimmed
 
 KEY = "document_id"
 
 
+def folded(lengths: Column, group_of: Callable[[list[int]], list[int]]) -> Column:
+    """group_of over each array of lengths: a fold in linear time, which sees numbers and no texts."""
+
+    def fold(arrays: pd.Series) -> pd.Series:
+        return pd.Series([group_of([int(n) for n in x]) for x in arrays], dtype=object)
+
+    return F.pandas_udf(fold, "array<int>")(lengths)
+
+
+def _grouped(rows: DataFrame, group_of: Callable[[list[int]], list[int]]) -> DataFrame:
+    """rows with the non-space length `chars` and the number `group` that group_of gives in idx order."""
+    sized = rows.withColumn("chars", F.coalesce(nonspace_length(F.col("text")), F.lit(0)))
+    lists = sized.groupBy(KEY).agg(F.array_sort(F.collect_list(F.struct("idx", "chars"))).alias("items"))
+    numbered = lists.select(KEY, F.col("items.idx").alias("idx"), folded(F.col("items.chars"), group_of).alias("group"))
+    numbers = numbered.select(KEY, F.explode(F.arrays_zip("idx", "group")).alias("n")).select(KEY, "n.idx", "n.group")
+    return sized.join(numbers, [KEY, "idx"])
+
+
+def _ranged(rows: DataFrame) -> DataFrame:
+    """rows with start_page and end_page, null where a paragraph has its page number alone."""
+    return rows.withColumns({c: F.lit(None).cast("int") for c in ("start_page", "end_page") if c not in rows.columns})
+
+
 def paragraphs_of(docs: DataFrame, id_col: str, text_col: str, per_page: int = 5) -> DataFrame:
     """(document_id, idx, page_number, text): lines of a text, a page for every `per_page` of them."""
     rows = docs.select(F.col(id_col).alias(KEY), F.posexplode(F.split(text_col, "\n")).alias("idx", "text"))
@@ -38,41 +66,167 @@ def clean_paragraphs(rows: DataFrame) -> DataFrame:
     return kept.filter(F.length("text") > 0)
 
 
+def merge_incomplete(rows: DataFrame, limit: int = 2000) -> DataFrame:
+    """Paragraphs that end mid-sentence with the next one appended, in pairs, the pair's pages as its range.
+
+    A paragraph can take the next if both together stay under `limit`. In a run of such paragraphs every
+    second one is taken, so its place in the run decides, and no fold is needed.
+    """
+    order = Window.partitionBy(KEY).orderBy("idx")
+    after = lambda c: F.lead(c).over(order)
+    marked = _ranged(rows).withColumns({"chars": nonspace_length(F.col("text")), "next": after("text"), "row": F.row_number().over(order)})
+    can = F.col("next").isNotNull() & is_incomplete(F.col("text"), F.col("next")) & (F.col("chars") + after("chars") < limit)
+    marked = marked.withColumns({"can": F.coalesce(can, F.lit(False)), "last_page": after(F.coalesce("end_page", "page_number"))})
+    before = F.coalesce(F.max(F.when(~F.col("can"), F.col("row"))).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    marked = marked.withColumn("odd", (F.col("row") - before) % 2 == 1)
+    takes = F.col("can") & F.col("odd")
+    return marked.filter("odd").select(
+        KEY,
+        "idx",
+        "page_number",
+        F.when(takes, F.coalesce("start_page", "page_number")).otherwise(F.col("start_page")).alias("start_page"),
+        F.when(takes, F.col("last_page")).otherwise(F.col("end_page")).alias("end_page"),
+        F.when(takes, F.concat_ws(" ", "text", "next")).otherwise(F.col("text")).alias("text"),
+    )
+
+
+def tiny_groups(lengths: list[int], least: int, limit: int) -> list[int]:
+    """Group numbers: a short paragraph joins its predecessor's group, the first ones the paragraph after them.
+
+    A group that short paragraphs began at the start of the document stays open for the first long one.
+    """
+    out, group, held, is_open = [], -1, 0, False
+    for n in lengths:
+        short = n < least
+        if group >= 0 and (short or is_open) and held + n < limit:
+            held += n
+        else:
+            is_open = short and (group < 0 or is_open)
+            group, held = group + 1, n
+        is_open = is_open and short
+        out.append(group)
+    return out
+
+
+def merge_tiny(rows: DataFrame, least: int = 120, limit: int = 2000) -> DataFrame:
+    """Paragraphs under `least` characters joined with their neighbours, under `limit` together.
+
+    A group has the pages of its long paragraph, or else of its first.
+    """
+    grouped = _grouped(_ranged(rows), lambda lengths: tiny_groups(lengths, least, limit))
+    item = F.struct("idx", "chars", "page_number", "start_page", "end_page", "text")
+    lists = grouped.groupBy(KEY, "group").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    owner = F.coalesce(F.get(F.filter("items", lambda x: x.chars >= least), F.lit(0)), F.get("items", F.lit(0)))
+    text = F.array_join(F.transform("items", lambda x: x.text), " ")
+    return lists.select(KEY, F.col("items")[0].idx.alias("idx"), owner.alias("o"), text.alias("text")).select(KEY, "idx", "o.page_number", "o.start_page", "o.end_page", "text")
+
+
+def piece_starts(lengths: list[int], limit: int) -> list[int]:
+    """Where pieces of consecutive sentences start, each under `limit` unless one sentence is longer."""
+    starts, held = [], 0
+    for i, n in enumerate(lengths):
+        if i == 0 or (held > 0 and held + n >= limit):
+            starts.append(i)
+            held = 0
+        held += n
+    return starts
+
+
+def split_oversized(rows: DataFrame, limit: int = 2000) -> DataFrame:
+    """Paragraphs over `limit` characters cut at sentence ends; pieces keep the page number, not the range."""
+    rows = _ranged(rows).select(KEY, "idx", "page_number", "start_page", "end_page", "text")
+    over = F.coalesce(nonspace_length(F.col("text")), F.lit(0)) > limit
+    whole = rows.filter(~over).withColumn("piece", F.lit(0))
+    cut = rows.filter(over).withColumn("s", sentences(F.col("text")))
+    cut = cut.withColumn("starts", folded(F.transform("s", nonspace_length), lambda lengths: piece_starts(lengths, limit)))
+    stop = lambda i: F.coalesce(F.get("starts", i + 1), F.size("s"))
+    pieces = F.transform("starts", lambda at, i: trimmed(F.array_join(F.slice("s", at + 1, stop(i) - at), " ")))
+    none = F.lit(None).cast("int")
+    split = cut.select(KEY, "idx", "page_number", none.alias("start_page"), none.alias("end_page"), F.posexplode(pieces).alias("piece", "text")).filter(F.length("text") > 0)
+    order = Window.partitionBy(KEY).orderBy("idx", "piece")
+    return whole.unionByName(split).withColumn("idx", F.row_number().over(order) - 1).drop("piece")
+
+
+def pack_groups(lengths: list[int], limit: int) -> list[int]:
+    """Chunk numbers: the next paragraph joins while the chunk stays within `limit`."""
+    out, group, held = [], -1, 0
+    for n in lengths:
+        if group >= 0 and held + n <= limit:
+            held += n
+        else:
+            group, held = group + 1, n
+        out.append(group)
+    return out
+
+
 def pack(rows: DataFrame, limit: int = 1000) -> DataFrame:
     """Chunks of consecutive paragraphs up to `limit` non-space characters, one paragraph at least, no overlap.
 
     The capacity fold numbers a document's paragraphs from their lengths alone; texts join only afterwards.
     """
-    sized = rows.withColumn("chars", nonspace_length(F.col("text")))
-    lists = sized.groupBy(KEY).agg(F.array_sort(F.collect_list(F.struct("idx", "chars"))).alias("items"))
-    start = F.struct(F.lit(-1).alias("chunk"), F.lit(0).alias("held"), F.array().cast("array<struct<idx:int,chunk:int>>").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        same = (s.chunk >= 0) & (s.held + x.chars <= limit)
-        chunk = F.when(same, s.chunk).otherwise(s.chunk + 1)
-        return F.struct(chunk.alias("chunk"), F.when(same, s.held + x.chars).otherwise(x.chars).alias("held"), F.array_append(s.out, F.struct(x.idx.cast("int").alias("idx"), chunk.alias("chunk"))).alias("out"))
-
-    numbers = lists.select(KEY, F.explode(F.aggregate("items", start, step, lambda s: s.out)).alias("n")).select(KEY, F.col("n.idx").alias("idx"), F.col("n.chunk").alias("chunk_index"))
-    joined = sized.join(numbers, [KEY, "idx"]).groupBy(KEY, "chunk_index").agg(
+    ranged = F.col("start_page").isNotNull() & F.col("end_page").isNotNull()
+    page = lambda c: F.when(ranged, F.col(c)).otherwise(F.col("page_number"))
+    joined = _grouped(_ranged(rows), lambda lengths: pack_groups(lengths, limit)).groupBy(KEY, F.col("group").alias("chunk_index")).agg(
         F.array_sort(F.collect_list(F.struct("idx", "text"))).alias("items"),
-        F.min("page_number").alias("start_page"),
-        F.max("page_number").alias("end_page"),
+        F.min(F.least(page("start_page"), page("end_page"))).alias("start_page"),
+        F.max(F.greatest(page("start_page"), page("end_page"))).alias("end_page"),
         F.sum("chars").alias("character_count"),
     )
     return joined.select(KEY, "chunk_index", F.array_join(F.transform("items", lambda x: x.text), " ").alias("chunk_text"), "start_page", "end_page", "character_count")
 
 
-def build_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = 1000) -> DataFrame:
-    return pack(clean_paragraphs(merge_form_options(paragraphs_of(docs, id_col, text_col), limit)), limit)
+def build_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = 1000, least: int = 80) -> DataFrame:
+    """The whole build: options merged, noise and prefixes dropped, cut and tiny paragraphs merged, long ones split, packed."""
+    rows = clean_paragraphs(merge_form_options(paragraphs_of(docs, id_col, text_col), limit))
+    return pack(split_oversized(merge_tiny(merge_incomplete(rows, limit), least, limit), limit), limit)
+
+
+def sentence_groups(s: str, size: int, overlap: int) -> Column:
+    """From a column of sentence arrays, texts of `size` sentences each, the last `overlap` of them repeated."""
+    step = max(1, size - overlap)
+    starts = F.when(F.size(s) > 0, F.sequence(F.lit(0), F.greatest(F.size(s) - 1, F.lit(0)), F.lit(step))).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda at: F.array_join(F.slice(s, at + 1, size), " "))
 
 
 def sentence_chunks(docs: DataFrame, id_col: str, text_col: str, size: int = 4, overlap: int = 1) -> DataFrame:
     """(document_id, chunk_index, chunk_text): `size` sentences each, the last `overlap` of them repeated."""
-    step = max(1, size - overlap)
-    parts = sentences(F.col(text_col))
-    starts = F.when(F.size("s") > 0, F.sequence(F.lit(0), F.greatest(F.size("s") - 1, F.lit(0)), F.lit(step))).otherwise(F.array().cast("array<int>"))
-    rows = docs.select(F.col(id_col).alias(KEY), parts.alias("s")).select(KEY, "s", F.posexplode(starts).alias("chunk_index", "at"))
-    return rows.select(KEY, "chunk_index", F.array_join(F.slice("s", F.col("at") + 1, size), " ").alias("chunk_text"))
+    rows = docs.select(F.col(id_col).alias(KEY), sentences(F.col(text_col)).alias("s"))
+    return rows.select(KEY, F.posexplode(sentence_groups("s", size, overlap)).alias("chunk_index", "chunk_text"))
+
+
+@F.pandas_udf(ArrayType(ArrayType(IntegerType())))
+def _page_places(texts: pd.Series, chunks: pd.Series, lengths: pd.Series) -> pd.Series:
+    """Where the pages of each chunk's first and last character stand; a chunk is looked for after the one before."""
+
+    def places(text: str, parts: np.ndarray, sizes: np.ndarray) -> list[list[int]]:
+        stops, cursor, out = np.cumsum(sizes), 0, []
+        for part in parts:
+            at = text.find(part, cursor)
+            if at < 0:
+                out.append([0, 0])
+                continue
+            cursor = at + len(part)
+            out.append(np.searchsorted(stops, [at, max(at, cursor - 1)], "right").tolist())
+        return out
+
+    return pd.Series([places(*row) for row in zip(texts, chunks, lengths)], dtype=object)
+
+
+def paged_chunks(pages: DataFrame, size: int = 4, overlap: int = 0) -> DataFrame:
+    """(document_id, chunk_index, chunk_text, start_page, end_page, character_count) from (document_id, page_number, text).
+
+    A document's pages are joined, each ended by a line break, and cut into sentence chunks. A chunk has the
+    pages of its first and last character; one whose text isn't found as it stands has the first page.
+    """
+    text = F.coalesce("text", F.lit(""))
+    rows = pages.select(KEY, "page_number", F.when(text.endswith("\n"), text).otherwise(F.concat(text, F.lit("\n"))).alias("body"))
+    docs = rows.groupBy(KEY).agg(F.array_sort(F.collect_list(F.struct("page_number", "body"))).alias("p"))
+    docs = docs.select(KEY, F.col("p.page_number").alias("page"), F.array_join("p.body", "").alias("text"), F.transform("p", lambda x: F.length(x.body)).alias("sizes"))
+    docs = docs.withColumn("s", sentences(F.col("text"))).withColumn("chunk", sentence_groups("s", size, overlap))
+    found = docs.select(KEY, "page", F.arrays_zip("chunk", _page_places("text", "chunk", "sizes").alias("place")).alias("z"))
+    each = found.select(KEY, "page", F.posexplode("z").alias("chunk_index", "c"))
+    page = lambda i: F.get("page", F.col("c.place")[i])
+    return each.select(KEY, "chunk_index", F.col("c.chunk").alias("chunk_text"), page(0).alias("start_page"), page(1).alias("end_page"), nonspace_length(F.col("c.chunk")).alias("character_count"))
 
 
 def drop_page_range(rows: DataFrame, ranges: DataFrame) -> DataFrame:

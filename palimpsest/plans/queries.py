@@ -186,6 +186,35 @@ def sentence_chunks(spark, sf_dir):
     return chunking.sentence_chunks(B.table(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("id"), "text"), "id", "text")
 
 
+INCOMPLETE = rf"(^|\s)({T.JOINING_WORDS}|{T.NUMBER_WORDS})$|({'|'.join(T.JOINING_PHRASES)})$"
+
+
+@query("merge_incomplete", rf"""WITH {PARAGRAPHS}, kept AS (SELECT *, length(regexp_replace(text, '\s+', '', 'g')) AS chars, lead(text) OVER w AS next, row_number() OVER w AS r FROM paras WHERE trim(text) <> '' WINDOW w AS (PARTITION BY document_id ORDER BY idx)), marks AS (
+  SELECT *, coalesce(next IS NOT NULL AND NOT regexp_matches(trim(text), '[.!?;:)]$') AND (regexp_matches(lower(trim(text)), '{INCOMPLETE}') OR regexp_matches(trim(next), '^[a-z]'))
+    AND chars + lead(chars) OVER (PARTITION BY document_id ORDER BY idx) < 1000, false) AS can FROM kept), runs AS (
+  SELECT *, coalesce(max(CASE WHEN NOT can THEN r END) OVER (PARTITION BY document_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM marks)
+SELECT document_id, idx, md5(CASE WHEN can THEN text || ' ' || next ELSE text END) AS text_md5 FROM runs WHERE (r - before) % 2 = 1""")
+def merge_incomplete(spark, sf_dir):
+    rows = chunking.paragraphs_of(B.documents(spark, sf_dir), "doc_id", "text").filter("trim(text) <> ''")
+    return chunking.merge_incomplete(rows, 1000).select("document_id", F.col("idx").cast("bigint").alias("idx"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+@query("merge_tiny")
+def merge_tiny(spark, sf_dir):
+    return chunking.merge_tiny(chunking.paragraphs_of(B.documents(spark, sf_dir), "doc_id", "text"), 80, 1000)
+
+
+@query("split_oversized")
+def split_oversized(spark, sf_dir):
+    return chunking.split_oversized(chunking.paragraphs_of(B.documents(spark, sf_dir), "doc_id", "text"), 400)
+
+
+@query("paged_chunks")
+def paged_chunks(spark, sf_dir):
+    """Each document's lines as its pages."""
+    return chunking.paged_chunks(chunking.paragraphs_of(B.documents(spark, sf_dir), "doc_id", "text", per_page=1))
+
+
 @query("ivf_neighbours")
 def ivf_neighbours(spark, sf_dir):
     vectors = B.table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))

@@ -137,6 +137,81 @@ def test_chunk_packing(spark):
         assert [found[(d, i)] for i in range(len(want))] == want
 
 
+def paragraph_rows(spark, texts):
+    rows = [(1, i, i + 1, t) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, "document_id int, idx int, page_number int, text string")
+
+
+def test_merge_incomplete(spark):
+    """Pairs only: the paragraph that was taken takes none itself."""
+    frame = paragraph_rows(spark, ["one of the", "two of the", "three of the", "End here.", "as provided in", "x" * 95])
+    found = chunking.merge_incomplete(frame, 100).sort("idx").collect()
+    assert [r.text for r in found] == ["one of the two of the", "three of the End here.", "as provided in", "x" * 95]
+    assert [(r.start_page, r.end_page) for r in found] == [(1, 2), (3, 4), (None, None), (None, None)]
+    assert chunking.merge_incomplete(frame.limit(0)).count() == 0
+
+
+def plain_tiny(texts, least, limit):
+    """[text, page] by the rules as told: a leading collector, then a look back."""
+    done, lead = [], None
+    for page, t in enumerate(texts, 1):
+        room = lambda held: len(held.replace(" ", "")) + len(t) < limit
+        if len(t) >= least:
+            if lead and room(lead[0]):
+                done.append([f"{lead[0]} {t}", page])
+            else:
+                done += ([lead] if lead else []) + [[t, page]]
+            lead = None
+        elif lead:
+            if room(lead[0]):
+                lead[0] += f" {t}"
+            else:
+                done.append(lead)
+                lead = [t, page]
+        elif not done:
+            lead = [t, page]
+        elif room(done[-1][0]):
+            done[-1][0] += f" {t}"
+        else:
+            done.append([t, page])
+    return done + ([lead] if lead else [])
+
+
+def test_merge_tiny(spark):
+    rng = random.Random(3)
+    texts = {d: ["abcdef"[i % 6] * rng.choice([1, 5, 9, 30, 60]) for i in range(rng.randrange(0, 25))] for d in range(60)}
+    texts[99] = ["a" * 9] * 30
+    rows = [(d, i, i + 1, t) for d, own in texts.items() for i, t in enumerate(own)]
+    frame = spark.createDataFrame(rows, "document_id int, idx int, page_number int, text string")
+    found = {}
+    for r in chunking.merge_tiny(frame, 10, 64).sort("document_id", "idx").collect():
+        found.setdefault(r.document_id, []).append([r.text, r.page_number])
+    assert found == {d: plain_tiny(own, 10, 64) for d, own in texts.items() if own}
+
+
+def test_split_oversized(spark):
+    long = "Aaaa bbbb. Cccc dddd! Eeee? Ffff gggg hhhh iiii jjjj. K."
+    found = chunking.split_oversized(paragraph_rows(spark, ["Short.", long, "Last."]), 18).sort("idx").collect()
+    assert [(r.idx, r.page_number, r.text) for r in found] == [
+        (0, 1, "Short."), (1, 2, "Aaaa bbbb."), (2, 2, "Cccc dddd! Eeee?"), (3, 2, "Ffff gggg hhhh iiii jjjj."), (4, 2, "K."), (5, 3, "Last."),
+    ]
+
+
+def test_build_keeps_text(spark):
+    """Nothing but noise and prefixes is lost, and no chunk of several paragraphs is over the limit."""
+    docs = spark.createDataFrame([(1, "\n".join(f"Paragraph number {'x' * (i % 90)} of many." for i in range(80))), (2, None), (3, "")], "doc_id int, text string")
+    found = chunking.build_chunks(docs, limit=300).sort("chunk_index").collect()
+    assert {r.document_id for r in found} == {1} and all(r.character_count <= 300 for r in found)
+    assert "".join(r.chunk_text.replace(" ", "") for r in found) == docs.first().text.replace("\n", "").replace(" ", "")
+
+
+def test_paged_chunks(spark):
+    pages = spark.createDataFrame([(1, 4, "One a. Two"), (1, 5, "b. Three c."), (1, 6, "Three c."), (2, 7, None)], "document_id int, page_number int, text string")
+    found = chunking.paged_chunks(pages, size=1).sort("chunk_index").collect()
+    assert [(r.chunk_text, r.start_page, r.end_page) for r in found] == [("One a.", 4, 4), ("Two\nb.", 4, 5), ("Three c.", 5, 5), ("Three c.", 6, 6)]
+    assert [r.chunk_text for r in chunking.paged_chunks(pages, size=2).sort("chunk_index").collect()] == ["One a. Two\nb.", "Three c. Three c."]
+
+
 def test_form_options_and_page_exclusion(spark):
     rows = [(1, 0, 1, "Is X the investor?"), (1, 1, 1, "2.1"), (1, 2, 2, "Yes No")]
     frame = spark.createDataFrame(rows, "document_id int, idx int, page_number int, text string")
