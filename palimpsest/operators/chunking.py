@@ -27,10 +27,10 @@ def folded(lengths: Column, group_of: Callable[[list[int]], list[int]]) -> Colum
 def _grouped(rows: DataFrame, group_of: Callable[[list[int]], list[int]]) -> DataFrame:
     """rows with the non-space length `chars` and the number `group` that group_of gives in idx order."""
     sized = rows.withColumn("chars", F.coalesce(nonspace_length(F.col("text")), F.lit(0)))
-    lists = sized.groupBy(KEY).agg(F.array_sort(F.collect_list(F.struct("idx", "chars"))).alias("items"))
-    numbered = lists.select(KEY, F.col("items.idx").alias("idx"), folded(F.col("items.chars"), group_of).alias("group"))
-    numbers = numbered.select(KEY, F.explode(F.arrays_zip("idx", "group")).alias("n")).select(KEY, "n.idx", "n.group")
-    return sized.join(numbers, [KEY, "idx"])
+    rest = [c for c in rows.columns if c not in (KEY, "idx", "chars")]
+    lists = sized.groupBy(KEY).agg(F.array_sort(F.collect_list(F.struct("idx", "chars", *rest))).alias("items"))
+    numbered = lists.withColumn("group", folded(F.col("items.chars"), group_of))
+    return numbered.select(KEY, F.explode(F.arrays_zip("items", "group")).alias("n")).select(KEY, "n.items.*", "n.group")
 
 
 def _ranged(rows: DataFrame) -> DataFrame:
@@ -136,15 +136,15 @@ def split_oversized(rows: DataFrame, limit: int = 2000) -> DataFrame:
     """Paragraphs over `limit` characters cut at sentence ends; pieces keep the page number, not the range."""
     rows = _ranged(rows).select(KEY, "idx", "page_number", "start_page", "end_page", "text")
     over = F.coalesce(nonspace_length(F.col("text")), F.lit(0)) > limit
-    whole = rows.filter(~over).withColumn("piece", F.lit(0))
-    cut = rows.filter(over).withColumn("s", sentences(F.col("text")))
+    cut = rows.withColumn("over", over).withColumn("s", F.when(F.col("over"), sentences(F.col("text"))).otherwise(F.array().cast("array<string>")))
     cut = cut.withColumn("starts", folded(F.transform("s", nonspace_length), lambda lengths: piece_starts(lengths, limit)))
     stop = lambda i: F.coalesce(F.get("starts", i + 1), F.size("s"))
     pieces = F.transform("starts", lambda at, i: trimmed(F.array_join(F.slice("s", at + 1, stop(i) - at), " ")))
-    none = F.lit(None).cast("int")
-    split = cut.select(KEY, "idx", "page_number", none.alias("start_page"), none.alias("end_page"), F.posexplode(pieces).alias("piece", "text")).filter(F.length("text") > 0)
+    pages = [F.when(~F.col("over"), F.col(c)).alias(c) for c in ("start_page", "end_page")]
+    split = cut.select(KEY, "idx", "page_number", *pages, "over", F.posexplode(F.when(F.col("over"), pieces).otherwise(F.array("text"))).alias("piece", "text"))
     order = Window.partitionBy(KEY).orderBy("idx", "piece")
-    return whole.unionByName(split).withColumn("idx", F.row_number().over(order) - 1).drop("piece")
+    kept = split.filter(~F.col("over") | (F.length("text") > 0))
+    return kept.withColumn("idx", F.row_number().over(order) - 1).drop("piece", "over")
 
 
 def pack_groups(lengths: list[int], limit: int) -> list[int]:
