@@ -77,11 +77,11 @@ def is_form_option(text: Column) -> Column:
 def is_incomplete(text: Column, following: Column) -> Column:
     """Without closing punctuation, and ending in a joining word or phrase or followed by a lower-case start."""
     t = trimmed(text)
-    tail = F.lower(F.array_join(F.slice(F.reverse(F.split(t, r"\s+")), 1, 10), " "))
-    last = F.regexp_extract(F.lower(t), r"(\S+\s+){0,9}\S*\z", 0)
+    words = F.split(F.lower(t), r"\s+")
+    last = F.array_join(F.slice(words, F.greatest(F.size(words) - 9, F.lit(1)), 10), " ")
     phrase = last.rlike(f"(^|\\s)({JOINING_WORDS}|{NUMBER_WORDS})\\z") | last.rlike(f"({'|'.join(JOINING_PHRASES)})\\z")
     goes_on = F.coalesce(trimmed(following).rlike("^[a-z]"), F.lit(False))
-    return tail.isNotNull() & ~t.rlike(r"[.!?;:)]\z") & (F.length(t) > 0) & (phrase | goes_on)
+    return ~t.rlike(r"[.!?;:)]\z") & (F.length(t) > 0) & (phrase | goes_on)
 
 
 def sentences(text: Column) -> Column:

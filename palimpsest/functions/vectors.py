@@ -43,6 +43,6 @@ def centroids(chunks: DataFrame, key: str = "document_id", vector: str = "embedd
     sizes = chunks.groupBy(key).agg(F.count(v).alias("effective_chunk_count"), F.min(F.size(v)).alias("lo"), F.max(F.size(v)).alias("hi"), F.min(finite(v).cast("int")).alias("ok"))
     good = sizes.filter("lo = hi and ok = 1").select(key, "effective_chunk_count")
     means = chunks.filter(v.isNotNull()).select(key, F.posexplode(v).alias("place", "x")).groupBy(key, "place").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    whole = means.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "x"))), lambda e: e.x).alias("centroid"))
+    whole = means.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "x"))), lambda e: e.x).alias("centroid"))
     out = whole.join(good, key)
     return out.withColumn("centroid", normalize(F.col("centroid"))) if unit else out

@@ -24,13 +24,23 @@ def folded(lengths: Column, group_of: Callable[[list[int]], list[int]]) -> Colum
     return F.pandas_udf(fold, "array<int>")(lengths)
 
 
+def _exploded(rows: DataFrame, array: Column | str, *names: str) -> DataFrame:
+    """rows with a row for each (position, element) of an array under the two names; none for an empty array.
+
+    The outer form, filtered: for a plain explode Spark infers a filter on the array's size and pushes it
+    down, which computes a costly array once more, and once for each element where it stands in a lambda.
+    """
+    return rows.select("*", F.posexplode_outer(array).alias(*names)).filter(F.col(names[0]).isNotNull())
+
+
 def _grouped(rows: DataFrame, group_of: Callable[[list[int]], list[int]]) -> DataFrame:
     """rows with the non-space length `chars` and the number `group` that group_of gives in idx order."""
     sized = rows.withColumn("chars", F.coalesce(nonspace_length(F.col("text")), F.lit(0)))
     rest = [c for c in rows.columns if c not in (KEY, "idx", "chars")]
-    lists = sized.groupBy(KEY).agg(F.array_sort(F.collect_list(F.struct("idx", "chars", *rest))).alias("items"))
+    lists = sized.groupBy(KEY).agg(F.sort_array(F.collect_list(F.struct("idx", "chars", *rest))).alias("items"))
     numbered = lists.withColumn("group", folded(F.col("items.chars"), group_of))
-    return numbered.select(KEY, F.explode(F.arrays_zip("items", "group")).alias("n")).select(KEY, "n.items.*", "n.group")
+    each = _exploded(numbered.select(KEY, F.arrays_zip("items", "group").alias("z")), "z", "at", "n")
+    return each.select(KEY, "n.items.*", "n.group")
 
 
 def _ranged(rows: DataFrame) -> DataFrame:
@@ -56,7 +66,7 @@ def merge_form_options(rows: DataFrame, limit: int = 2000) -> DataFrame:
     run = Window.partitionBy(KEY, "owner").orderBy("idx")
     marked = marked.withColumn("run", F.sum("chars").over(run))
     group = F.when(F.col("run") < limit, F.col("owner")).otherwise(F.col("idx"))
-    listed = marked.groupBy(KEY, group.alias("at")).agg(F.array_sort(F.collect_list(F.struct("idx", "text", "page_number"))).alias("items"))
+    listed = marked.groupBy(KEY, group.alias("at")).agg(F.sort_array(F.collect_list(F.struct("idx", "text", "page_number"))).alias("items"))
     return listed.select(KEY, F.col("at").alias("idx"), F.col("items")[0].page_number.alias("page_number"), F.array_join(F.transform("items", lambda x: x.text), " ").alias("text"))
 
 
@@ -115,7 +125,7 @@ def merge_tiny(rows: DataFrame, least: int = 120, limit: int = 2000) -> DataFram
     """
     grouped = _grouped(_ranged(rows), lambda lengths: tiny_groups(lengths, least, limit))
     item = F.struct("idx", "chars", "page_number", "start_page", "end_page", "text")
-    lists = grouped.groupBy(KEY, "group").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    lists = grouped.groupBy(KEY, "group").agg(F.sort_array(F.collect_list(item)).alias("items"))
     owner = F.coalesce(F.get(F.filter("items", lambda x: x.chars >= least), F.lit(0)), F.get("items", F.lit(0)))
     text = F.array_join(F.transform("items", lambda x: x.text), " ")
     return lists.select(KEY, F.col("items")[0].idx.alias("idx"), owner.alias("o"), text.alias("text")).select(KEY, "idx", "o.page_number", "o.start_page", "o.end_page", "text")
@@ -141,7 +151,8 @@ def split_oversized(rows: DataFrame, limit: int = 2000) -> DataFrame:
     stop = lambda i: F.coalesce(F.get("starts", i + 1), F.size("s"))
     pieces = F.transform("starts", lambda at, i: trimmed(F.array_join(F.slice("s", at + 1, stop(i) - at), " ")))
     pages = [F.when(~F.col("over"), F.col(c)).alias(c) for c in ("start_page", "end_page")]
-    split = cut.select(KEY, "idx", "page_number", *pages, "over", F.posexplode(F.when(F.col("over"), pieces).otherwise(F.array("text"))).alias("piece", "text"))
+    listed = cut.select(KEY, "idx", "page_number", *pages, "over", F.when(F.col("over"), pieces).otherwise(F.array("text")).alias("pieces"))
+    split = _exploded(listed, "pieces", "piece", "text").drop("pieces")
     order = Window.partitionBy(KEY).orderBy("idx", "piece")
     kept = split.filter(~F.col("over") | (F.length("text") > 0))
     return kept.withColumn("idx", F.row_number().over(order) - 1).drop("piece", "over")
@@ -167,7 +178,7 @@ def pack(rows: DataFrame, limit: int = 1000) -> DataFrame:
     ranged = F.col("start_page").isNotNull() & F.col("end_page").isNotNull()
     page = lambda c: F.when(ranged, F.col(c)).otherwise(F.col("page_number"))
     joined = _grouped(_ranged(rows), lambda lengths: pack_groups(lengths, limit)).groupBy(KEY, F.col("group").alias("chunk_index")).agg(
-        F.array_sort(F.collect_list(F.struct("idx", "text"))).alias("items"),
+        F.sort_array(F.collect_list(F.struct("idx", "text"))).alias("items"),
         F.min(F.least(page("start_page"), page("end_page"))).alias("start_page"),
         F.max(F.greatest(page("start_page"), page("end_page"))).alias("end_page"),
         F.sum("chars").alias("character_count"),
@@ -191,7 +202,8 @@ def sentence_groups(s: str, size: int, overlap: int) -> Column:
 def sentence_chunks(docs: DataFrame, id_col: str, text_col: str, size: int = 4, overlap: int = 1) -> DataFrame:
     """(document_id, chunk_index, chunk_text): `size` sentences each, the last `overlap` of them repeated."""
     rows = docs.select(F.col(id_col).alias(KEY), sentences(F.col(text_col)).alias("s"))
-    return rows.select(KEY, F.posexplode(sentence_groups("s", size, overlap)).alias("chunk_index", "chunk_text"))
+    each = _exploded(rows.select(KEY, sentence_groups("s", size, overlap).alias("c")), "c", "chunk_index", "chunk_text")
+    return each.drop("c")
 
 
 @F.pandas_udf(ArrayType(ArrayType(IntegerType())))
@@ -220,11 +232,11 @@ def paged_chunks(pages: DataFrame, size: int = 4, overlap: int = 0) -> DataFrame
     """
     text = F.coalesce("text", F.lit(""))
     rows = pages.select(KEY, "page_number", F.when(text.endswith("\n"), text).otherwise(F.concat(text, F.lit("\n"))).alias("body"))
-    docs = rows.groupBy(KEY).agg(F.array_sort(F.collect_list(F.struct("page_number", "body"))).alias("p"))
+    docs = rows.groupBy(KEY).agg(F.sort_array(F.collect_list(F.struct("page_number", "body"))).alias("p"))
     docs = docs.select(KEY, F.col("p.page_number").alias("page"), F.array_join("p.body", "").alias("text"), F.transform("p", lambda x: F.length(x.body)).alias("sizes"))
     docs = docs.withColumn("s", sentences(F.col("text"))).withColumn("chunk", sentence_groups("s", size, overlap))
     found = docs.select(KEY, "page", F.arrays_zip("chunk", _page_places("text", "chunk", "sizes").alias("place")).alias("z"))
-    each = found.select(KEY, "page", F.posexplode("z").alias("chunk_index", "c"))
+    each = _exploded(found, "z", "chunk_index", "c")
     page = lambda i: F.get("page", F.col("c.place")[i])
     return each.select(KEY, "chunk_index", F.col("c.chunk").alias("chunk_text"), page(0).alias("start_page"), page(1).alias("end_page"), nonspace_length(F.col("c.chunk")).alias("character_count"))
 

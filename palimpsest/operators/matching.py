@@ -30,7 +30,7 @@ def _best(matches: DataFrame, own: str, other: str, tolerance: float, early: int
     """Each own chunk's best other chunk: a fold in other-chunk order in which the nearer page wins within tolerance."""
     cols = ["index", "page", "start", "end", "chars"]
     item = F.struct(F.col(f"{other}_index").alias("index"), "score", F.abs(F.col(f"{own}_page") - F.col(f"{other}_page")).alias("far"), *(F.col(f"{other}_{c}").alias(c) for c in cols[1:]))
-    listed = matches.groupBy(*PAIR, *(f"{own}_{c}" for c in cols)).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    listed = matches.groupBy(*PAIR, *(f"{own}_{c}" for c in cols)).agg(F.sort_array(F.collect_list(item)).alias("items"))
     wins = lambda best, x: F.when(F.abs(x.score - best.score) < tolerance, x.far < best.far).otherwise(x.score > best.score)
     if tolerance == 0:
         wins = lambda best, x: (x.score > best.score) | ((x.score == best.score) & (x.far < best.far))
@@ -70,7 +70,7 @@ def fallback_matches(weak: DataFrame, primary: DataFrame, k: int = 5, max_length
         free = free.join(primary.select(*PAIR, f"{side}_index").distinct(), [*PAIR, f"{side}_index"], "left_anti")
     cols = [c for c in primary.columns if c not in PAIR]
     item = F.struct("a_index", "ra", *(c for c in cols if c != "a_index"))
-    listed = free.groupBy(*PAIR).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    listed = free.groupBy(*PAIR).agg(F.sort_array(F.collect_list(item)).alias("items"))
     empty = F.struct(F.array().cast("array<int>").alias("a"), F.array().cast("array<int>").alias("b"), F.slice("items", 1, 0).alias("kept"))
     taken = F.aggregate(
         "items",

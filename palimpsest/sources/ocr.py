@@ -48,7 +48,7 @@ def ocr_paragraphs(ocr: DataFrame) -> DataFrame:
 
 def merge_parts(ocr: DataFrame) -> DataFrame:
     """(document_id, text, page_count): the parts of a document in page order."""
-    parts = F.array_sort(F.collect_list(F.struct("page_offset", "text")))
+    parts = F.sort_array(F.collect_list(F.struct("page_offset", "text")))
     return ocr.groupBy("document_id").agg(F.array_join(F.transform(parts, lambda x: x.text), "\n").alias("text"), F.sum(F.greatest(F.size("pages"), F.lit(0))).alias("page_count"))
 
 
