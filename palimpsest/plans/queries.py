@@ -18,6 +18,9 @@ from . import bindings as B
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
+#: The searches' stated query set; it is compared with all documents.
+SOURCES = "document_id % 50 = 0"
+
 CHUNKS = """chunks AS (
   SELECT vec_id, vec_id // 10 AS document_id, CAST(vec_id % 10 AS INT) AS chunk_index, CAST(1 + (vec_id % 10) // 2 AS INT) AS page_number,
     CAST(1 + (vec_id % 10) // 2 AS INT) AS start_page, CAST(1 + (vec_id % 10) // 2 + CASE WHEN vec_id % 3 = 0 THEN 1 ELSE 0 END AS INT) AS end_page,
@@ -39,7 +42,7 @@ PARAGRAPHS = """paras AS (
 MATCHES = f"""{CHUNKS}, cand AS (
   SELECT a.document_id AS source_id, b.document_id AS target_id, a.chunk_index AS a_index, b.chunk_index AS b_index, a.page_number AS a_page, b.page_number AS b_page,
     a.start_page AS a_start, a.end_page AS a_end, b.start_page AS b_start, b.end_page AS b_end, a.character_count AS a_chars, b.character_count AS b_chars, list_dot_product(a.e, b.e) AS score
-  FROM chunks a JOIN chunks b ON a.document_id < 5 AND b.document_id <> a.document_id AND list_dot_product(a.e, b.e) >= 0.25), best AS (
+  FROM chunks a JOIN chunks b ON a.document_id % 50 = 0 AND b.document_id <> a.document_id AND list_dot_product(a.e, b.e) >= 0.25), best AS (
   SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY source_id, target_id, a_index ORDER BY score DESC, abs(a_page - b_page), b_index) AS rn FROM cand) WHERE rn = 1
   UNION
   SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY source_id, target_id, b_index ORDER BY score DESC, abs(a_page - b_page), a_index) AS rn FROM cand) WHERE rn = 1)"""
@@ -56,9 +59,9 @@ def query(name: str, sql: str | None = None):
 
 
 def _pairs(chunks: DataFrame) -> DataFrame:
-    """The first five documents against all others."""
+    """The stated query set, documents whose id is divisible by 50, against all others."""
     ids = chunks.select("document_id").distinct()
-    sources = ids.filter("document_id < 5").select(F.col("document_id").alias("source_id"))
+    sources = ids.filter(SOURCES).select(F.col("document_id").alias("source_id"))
     return sources.join(ids.select(F.col("document_id").alias("target_id")), F.col("source_id") != F.col("target_id"))
 
 
@@ -75,14 +78,14 @@ def centroid(spark, sf_dir):
 
 STAGE0 = f"""{CENTROIDS}, hits AS (
   SELECT s.document_id AS source_id, k.document_id, list_dot_product(s.c, k.e) AS score, row_number() OVER (PARTITION BY s.document_id ORDER BY list_dot_product(s.c, k.e) DESC, vec_id) AS rn
-  FROM centroids s JOIN chunks k ON s.document_id < 5 AND k.document_id <> s.document_id), top AS (
+  FROM centroids s JOIN chunks k ON s.document_id % 50 = 0 AND k.document_id <> s.document_id), top AS (
   SELECT source_id, document_id, max(score) AS score FROM hits WHERE rn <= 40 GROUP BY ALL), stage0 AS (
   SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY score DESC, document_id) AS rank FROM top)"""
 
 
 def _stage0(spark, sf_dir):
     chunks = B.chunks(spark, sf_dir)
-    sources = B.document_figures(spark, sf_dir).filter("document_id < 5").select("document_id", "centroid")
+    sources = B.document_figures(spark, sf_dir).filter(SOURCES).select("document_id", "centroid")
     return search.stage0_candidates(sources, chunks, 20)
 
 
@@ -93,12 +96,12 @@ def stage0(spark, sf_dir):
 
 @query("stage1_prefilter", f"""WITH {STAGE0}, near AS (
   SELECT a.document_id AS source_id, a.vec_id AS q, b.document_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_dot_product(a.e, b.e) DESC, b.vec_id) AS rn
-  FROM chunks a JOIN chunks b ON a.document_id < 5), cnt AS (
+  FROM chunks a JOIN chunks b ON a.document_id % 50 = 0), cnt AS (
   SELECT source_id, document_id, count(DISTINCT q) AS matched_chunks FROM near JOIN (SELECT source_id, document_id FROM stage0 WHERE rank <= 20) USING (source_id, document_id) WHERE rn <= 36 GROUP BY ALL)
 SELECT source_id, document_id, matched_chunks, row_number() OVER (PARTITION BY source_id ORDER BY matched_chunks DESC, document_id) AS rank FROM cnt""")
 def stage1(spark, sf_dir):
     chunks = B.chunks(spark, sf_dir)
-    return search.stage1_prefilter(chunks.filter("document_id < 5"), chunks, _stage0(spark, sf_dir)).withColumn("rank", F.col("rank").cast("bigint"))
+    return search.stage1_prefilter(chunks.filter(SOURCES), chunks, _stage0(spark, sf_dir)).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 @query("best_match", f"WITH {MATCHES} SELECT source_id, target_id, a_index, b_index, round(score, 6) AS score FROM best")
@@ -151,13 +154,13 @@ def section_coverage(spark, sf_dir):
 @query("similarity_search")
 def similarity_search(spark, sf_dir):
     chunks, figures = B.chunks(spark, sf_dir), B.document_figures(spark, sf_dir)
-    return matching.similarity_search(figures.filter("document_id < 5"), chunks, figures, _stage0(spark, sf_dir), min_source=0.0, min_target=0.0, primary=0.25, fallback=0.15, floor=1600)
+    return matching.similarity_search(figures.filter(SOURCES), chunks, figures, _stage0(spark, sf_dir), min_source=0.0, min_target=0.0, primary=0.25, fallback=0.15, floor=1600)
 
 
 @query("selected_search")
 def selected_search(spark, sf_dir):
     chunks, figures = B.chunks(spark, sf_dir), B.document_figures(spark, sf_dir)
-    return matching.selected_search(figures.filter("document_id = 0"), figures.filter("document_id % 4 = 1"), chunks, figures, primary=0.25, fallback=0.15)
+    return matching.selected_search(figures.filter(SOURCES), figures.filter("total_characters >= 6000"), chunks, figures, primary=0.25, fallback=0.15)
 
 
 def _text_chunks(spark, sf_dir):
@@ -314,10 +317,9 @@ def page_order_anomalies(spark, sf_dir):
     return B.chunks(spark, sf_dir).withColumn("prev_end", F.lag("end_page").over(order)).filter("start_page < prev_end").select("document_id", "chunk_index", "start_page", "prev_end")
 
 
-@query("chunk_scan", f"WITH {CHUNKS} SELECT document_id, chunk_index, page_number, character_count, len(e) AS dimension FROM chunks WHERE document_id % 7 = 3")
+@query("chunk_scan", f"WITH {CHUNKS} SELECT document_id, chunk_index, page_number, character_count, len(e) AS dimension FROM chunks")
 def chunk_scan(spark, sf_dir):
-    kept = B.chunks(spark, sf_dir).filter("document_id % 7 = 3")
-    first = kept.withColumn("rn", F.row_number().over(Window.partitionBy("document_id", "chunk_index").orderBy("vec_id"))).filter("rn = 1")
+    first = B.chunks(spark, sf_dir).withColumn("rn", F.row_number().over(Window.partitionBy("document_id", "chunk_index").orderBy("vec_id"))).filter("rn = 1")
     return first.select("document_id", "chunk_index", F.coalesce("page_number", F.lit(1)).alias("page_number"), F.coalesce(F.nullif("character_count", F.lit(0)), F.lit(1)).alias("character_count"), F.size("embedding").cast("bigint").alias("dimension"))
 
 
@@ -326,11 +328,11 @@ def readiness(spark, sf_dir):
     return B.chunks(spark, sf_dir).groupBy("document_id").agg(F.count("*").alias("n_chunks"), (F.count("embedding") == F.count("*")).alias("ready"))
 
 
-@query("stale_vectors", "SELECT vec_id, vec_id // 10 AS document_id FROM embeddings WHERE (vec_id // 10) % 5 = 0")
+@query("stale_vectors", "SELECT vec_id, vec_id // 10 AS document_id FROM embeddings WHERE vec_id // 10 NOT IN (SELECT doc_id FROM documents WHERE n_chars >= 500)")
 def stale_vectors(spark, sf_dir):
     chunks = B.chunks(spark, sf_dir)
     named = chunks.select("vec_id", T.vector_id(F.col("document_id"), F.col("chunk_index")).alias("name")).withColumn("document_id", T.document_of_vector(F.col("name")).cast("bigint"))
-    valid = chunks.filter("document_id % 5 <> 0").select("document_id").distinct()
+    valid = B.documents(spark, sf_dir).filter("n_chars >= 500").select(F.col("doc_id").alias("document_id"))
     return named.join(valid, "document_id", "left_anti").select("vec_id", "document_id")
 
 
@@ -430,10 +432,10 @@ def health_dashboard(spark, sf_dir):
     return A.health({"jobs": jobs, "urgent": jobs.filter("priority = 1")}).withColumn("health_percentage", F.col("health_percentage").cast("double"))
 
 
-@query("retry_eligible", f"WITH {JOBS} SELECT document_id FROM jobs j WHERE status = 'completed' AND user_id % 3 = 0 AND NOT EXISTS (SELECT 1 FROM jobs a WHERE a.document_id = j.document_id AND a.status IN ('queued', 'processing'))")
+@query("retry_eligible", f"WITH {JOBS} SELECT document_id FROM jobs j WHERE status = 'completed' AND NOT EXISTS (SELECT 1 FROM jobs a WHERE a.document_id = j.document_id AND a.status IN ('queued', 'processing'))")
 def retry_eligible(spark, sf_dir):
     jobs = B.jobs(spark, sf_dir)
-    docs = jobs.select("document_id", F.when(F.col("status") == "completed", "error").otherwise("x").alias("status"), F.lit(False).alias("embeddings_skipped"), "user_id").filter("user_id % 3 = 0")
+    docs = jobs.select("document_id", F.when(F.col("status") == "completed", "error").otherwise("x").alias("status"), F.lit(False).alias("embeddings_skipped"), "user_id")
     return A.retry_eligible(docs, jobs).select("document_id")
 
 
