@@ -46,6 +46,18 @@ JOINING_PHRASES = (
     r"provided\s+that",
     r"except\s+(that|as|for)",
 )
+FOOTNOTE = r"^([⁰¹²³⁴⁵⁶⁷⁸⁹]+|[0-9]+)\s+(For purposes|The SEC currently|This)"
+#: A field's type by what its name contains; the first that fits counts, else text.
+FIELD_TYPES = (
+    ("date", ("date", "time")),
+    ("number", ("number", "amount", "price")),
+    ("currency", ("currency", "money", "dollar")),
+    ("address", ("address",)),
+    ("phone", ("phone", "tel")),
+    ("email", ("email", "mail")),
+    ("url", ("url", "link", "website")),
+    ("boolean", ("checkbox", "bool")),
+)
 ABBREVIATIONS = "Mr|Mrs|Ms|Dr|Prof|Inc|Ltd|Corp|Co|No|Sec|Art|vs|etc|e\\.g|i\\.e|U\\.S"
 
 
@@ -91,6 +103,29 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(cut, lambda s: trimmed(F.translate(s, "\u0001", "."))), lambda s: F.length(s) > 0)
 
 
+def without_footnotes(text: Column) -> Column:
+    """The text less the blank-line separated paragraphs that start like a numbered footnote."""
+    return F.array_join(F.filter(F.split(text, "\n\n+"), lambda p: ~trimmed(p).rlike(FOOTNOTE)), "\n\n")
+
+
+def with_options_joined(items: Column) -> Column:
+    """An array of sentences in which form options are appended to the sentence before them."""
+    places = F.filter(F.sequence(F.lit(0), F.size(items) - 1), lambda i: (i == 0) | ~is_form_option(F.get(items, i)))
+    return F.when(F.size(items) > 0, F.transform(F.arrays_zip(places.alias("at"), F.concat(F.slice(places, 2, F.size(places)), F.array(F.size(items))).alias("stop")), lambda x: F.array_join(F.slice(items, x["at"] + 1, x["stop"] - x["at"]), " "))).otherwise(F.array().cast("array<string>"))
+
+
+def field_type(name: Column) -> Column:
+    low, out = F.lower(name), F.lit("text")
+    for kind, marks in reversed(FIELD_TYPES):
+        out = F.when(reduce(lambda a, b: a | b, (low.contains(m) for m in marks)), kind).otherwise(out)
+    return out
+
+
+def shown_date(stamp: Column) -> Column:
+    """A date text as 05 Jan 2024 - 3:07 PM in UTC, or Invalid date."""
+    return F.coalesce(F.date_format(F.try_to_timestamp(stamp), "dd MMM yyyy - h:mm a"), F.lit("Invalid date"))
+
+
 def vector_id(document: Column, index: Column) -> Column:
     return F.concat(document.cast("string"), F.lit("_chunk_"), index.cast("string"))
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from ..functions.text import is_form_option, is_incomplete, is_noise, nonspace_length, sentences, strip_prefixes, trimmed
+from ..functions.text import is_form_option, is_incomplete, is_noise, nonspace_length, sentences, strip_prefixes, trimmed, with_options_joined, without_footnotes
 
 KEY = "document_id"
 
@@ -192,18 +192,47 @@ def build_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return pack(split_oversized(merge_tiny(merge_incomplete(rows, limit), least, limit), limit), limit)
 
 
-def sentence_groups(s: str, size: int, overlap: int) -> Column:
-    """From a column of sentence arrays, texts of `size` sentences each, the last `overlap` of them repeated."""
-    step = max(1, size - overlap)
-    starts = F.when(F.size(s) > 0, F.sequence(F.lit(0), F.greatest(F.size(s) - 1, F.lit(0)), F.lit(step))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda at: F.array_join(F.slice(s, at + 1, size), " "))
+def window_bounds(lengths: list[int], size: int, overlap: int, least: int, limit: int) -> list[list[int]]:
+    """(start, count) of sentence windows: up to `size` sentences, more while under `least` characters.
+
+    A sentence that would pass `limit` ends the window, but for its first two. The next window starts
+    `overlap` sentences before the end of this one, so the last one can hold repeated sentences alone.
+    """
+    out, start = [], 0
+    while start < len(lengths):
+        n = held = 0
+        for length in lengths[start:]:
+            fits = held + length <= limit
+            if not (fits or n < 2 if n < size else fits and held < least):
+                break
+            n, held = n + 1, held + length
+        out.append([start, n])
+        start += max(1, n - overlap)
+    return out
+
+
+def sentence_list(text: Column) -> Column:
+    """A text's sentences without footnotes and prefixes."""
+    return F.filter(F.transform(sentences(without_footnotes(text)), strip_prefixes), lambda s: F.length(trimmed(s)) > 0)
+
+
+def with_sentence_chunks(docs: DataFrame, text: Column, size: int, overlap: int, least: int, limit: int) -> DataFrame:
+    """docs with `chunk`, the array of its text's sentence chunks."""
+
+    @F.pandas_udf(ArrayType(ArrayType(IntegerType())))
+    def bounds(arrays: pd.Series) -> pd.Series:
+        return pd.Series([window_bounds([int(n) for n in x], size, overlap, least, limit) for x in arrays], dtype=object)
+
+    listed = docs.withColumn("__s", sentence_list(F.coalesce(text, F.lit("")))).withColumn("__s", with_options_joined(F.col("__s")))
+    placed = listed.withColumn("__at", bounds(F.transform("__s", nonspace_length)))
+    return placed.withColumn("chunk", F.transform("__at", lambda w: F.array_join(F.slice("__s", w[0] + 1, w[1]), " "))).drop("__s", "__at")
 
 
-def sentence_chunks(docs: DataFrame, id_col: str, text_col: str, size: int = 4, overlap: int = 1) -> DataFrame:
-    """(document_id, chunk_index, chunk_text): `size` sentences each, the last `overlap` of them repeated."""
-    rows = docs.select(F.col(id_col).alias(KEY), sentences(F.col(text_col)).alias("s"))
-    each = _exploded(rows.select(KEY, sentence_groups("s", size, overlap).alias("c")), "c", "chunk_index", "chunk_text")
-    return each.drop("c")
+def sentence_chunks(docs: DataFrame, id_col: str, text_col: str, size: int = 4, overlap: int = 1, least: int = 400, limit: int = 2000) -> DataFrame:
+    """(document_id, chunk_index, chunk_text): windows of sentences, the last `overlap` of them repeated."""
+    rows = docs.select(F.col(id_col).alias(KEY), F.col(text_col).alias("text"))
+    found = with_sentence_chunks(rows, F.col("text"), size, overlap, least, limit).select(KEY, "chunk")
+    return _exploded(found, "chunk", "chunk_index", "chunk_text").drop("chunk")
 
 
 @F.pandas_udf(ArrayType(ArrayType(IntegerType())))
@@ -224,7 +253,7 @@ def _page_places(texts: pd.Series, chunks: pd.Series, lengths: pd.Series) -> pd.
     return pd.Series([places(*row) for row in zip(texts, chunks, lengths)], dtype=object)
 
 
-def paged_chunks(pages: DataFrame, size: int = 4, overlap: int = 0) -> DataFrame:
+def paged_chunks(pages: DataFrame, size: int = 4, overlap: int = 0, least: int = 320, limit: int = 1000) -> DataFrame:
     """(document_id, chunk_index, chunk_text, start_page, end_page, character_count) from (document_id, page_number, text).
 
     A document's pages are joined, each ended by a line break, and cut into sentence chunks. A chunk has the
@@ -234,7 +263,7 @@ def paged_chunks(pages: DataFrame, size: int = 4, overlap: int = 0) -> DataFrame
     rows = pages.select(KEY, "page_number", F.when(text.endswith("\n"), text).otherwise(F.concat(text, F.lit("\n"))).alias("body"))
     docs = rows.groupBy(KEY).agg(F.sort_array(F.collect_list(F.struct("page_number", "body"))).alias("p"))
     docs = docs.select(KEY, F.col("p.page_number").alias("page"), F.array_join("p.body", "").alias("text"), F.transform("p", lambda x: F.length(x.body)).alias("sizes"))
-    docs = docs.withColumn("s", sentences(F.col("text"))).withColumn("chunk", sentence_groups("s", size, overlap))
+    docs = with_sentence_chunks(docs, F.col("text"), size, overlap, least, limit)
     found = docs.select(KEY, "page", F.arrays_zip("chunk", _page_places("text", "chunk", "sizes").alias("place")).alias("z"))
     each = _exploded(found, "z", "chunk_index", "c")
     page = lambda i: F.get("page", F.col("c.place")[i])

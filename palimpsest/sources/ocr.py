@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 _ANCHOR = "struct<textAnchor:struct<textSegments:array<struct<startIndex:string,endIndex:string>>>,confidence:double>"
 _BLOCK = f"array<struct<layout:{_ANCHOR}>>"
+_ROWS = f"array<struct<cells:{_BLOCK}>>"
 SCHEMA = (
     "document_id string, page_offset int, text string, "
-    f"pages array<struct<pageNumber:int,paragraphs:{_BLOCK},lines:{_BLOCK},formFields:array<struct<fieldName:{_ANCHOR},fieldValue:{_ANCHOR}>>>>, "
+    f"pages array<struct<pageNumber:int,paragraphs:{_BLOCK},lines:{_BLOCK},formFields:array<struct<fieldName:{_ANCHOR},fieldValue:{_ANCHOR}>>,"
+    f"tables:array<struct<headerRows:{_ROWS},bodyRows:{_ROWS}>>,detectedLanguages:array<struct<languageCode:string>>>>, "
     "entities array<struct<type:string,mentionText:string,confidence:double>>"
 )
 
@@ -58,3 +60,31 @@ def fields(ocr: DataFrame) -> DataFrame:
     forms = ocr.select("document_id", "text", F.explode("pages").alias("p")).select("document_id", "text", F.explode("p.formFields").alias("f"))
     named = forms.select("document_id", F.lit("form").alias("kind"), F.trim(anchor_text(F.col("f.fieldName.textAnchor"), F.col("text"))).alias("name"), F.trim(anchor_text(F.col("f.fieldValue.textAnchor"), F.col("text"))).alias("value"), F.col("f.fieldName.confidence").alias("confidence"))
     return entities.unionByName(named)
+
+
+def tables(ocr: DataFrame) -> DataFrame:
+    """(document_id, page_number, table, header_rows, body_rows): trimmed cells, blank cells and rows left out.
+
+    A table without a body row is left out; header_rows is null where none is left.
+    """
+    pages = ocr.select("document_id", F.coalesce("page_offset", F.lit(0)).alias("page_offset"), "text", F.posexplode("pages").alias("i", "p"))
+    each = pages.select("document_id", "text", (F.coalesce(F.col("p.pageNumber"), F.col("i") + 1) + F.col("page_offset")).alias("page_number"), F.posexplode("p.tables").alias("table", "t"))
+    filled = lambda cells: F.filter(F.transform(cells, lambda c: F.trim(anchor_text(c.layout.textAnchor, F.col("text")))), lambda x: F.length(x) > 0)
+    rows = lambda part: F.filter(F.transform(part, lambda r: filled(r.cells)), lambda r: F.size(r) > 0)
+    found = each.select("document_id", "page_number", "table", rows(F.col("t.headerRows")).alias("header_rows"), rows(F.col("t.bodyRows")).alias("body_rows"))
+    return found.filter(F.size("body_rows") > 0).withColumn("header_rows", F.when(F.size("header_rows") > 0, F.col("header_rows")))
+
+
+def profile(ocr: DataFrame) -> DataFrame:
+    """(document_id, text_length, pages, paragraphs, lines, tables, form_fields, languages, entities) over all parts."""
+    n = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)).cast("bigint")
+    of_pages = lambda name: F.aggregate(F.coalesce(F.col("pages"), F.array().cast(ocr.schema["pages"].dataType)), F.lit(0).cast("bigint"), lambda s, p: s + n(p[name]))
+    codes = F.transform(F.flatten(F.filter(F.col("pages.detectedLanguages"), lambda x: x.isNotNull())), lambda x: x.languageCode)
+    sized = ocr.select("document_id", F.coalesce(F.length("text"), F.lit(0)).alias("text_length"), n("pages").alias("n_pages"), *(of_pages(c).alias(a) for c, a in (("paragraphs", "paragraphs"), ("lines", "lines"), ("tables", "tables"), ("formFields", "form_fields"))), codes.alias("codes"), n("entities").alias("entities"))
+    sums = [F.sum(c).alias(a) for c, a in (("text_length", "text_length"), ("n_pages", "pages"), *((c, c) for c in ("paragraphs", "lines", "tables", "form_fields", "entities")))]
+    return sized.groupBy("document_id").agg(*sums, F.size(F.array_distinct(F.flatten(F.collect_list("codes")))).cast("bigint").alias("languages"))
+
+
+def entity_counts(ocr: DataFrame) -> DataFrame:
+    """(document_id, type, n) of the entities."""
+    return ocr.select("document_id", F.explode("entities").alias("e")).groupBy("document_id", F.col("e.type").alias("type")).agg(F.count("*").alias("n"))

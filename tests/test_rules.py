@@ -207,9 +207,9 @@ def test_build_keeps_text(spark):
 
 def test_paged_chunks(spark):
     pages = spark.createDataFrame([(1, 4, "One a. Two"), (1, 5, "b. Three c."), (1, 6, "Three c."), (2, 7, None)], "document_id int, page_number int, text string")
-    found = chunking.paged_chunks(pages, size=1).sort("chunk_index").collect()
+    found = chunking.paged_chunks(pages, size=1, least=0).sort("chunk_index").collect()
     assert [(r.chunk_text, r.start_page, r.end_page) for r in found] == [("One a.", 4, 4), ("Two\nb.", 4, 5), ("Three c.", 5, 5), ("Three c.", 6, 6)]
-    assert [r.chunk_text for r in chunking.paged_chunks(pages, size=2).sort("chunk_index").collect()] == ["One a. Two\nb.", "Three c. Three c."]
+    assert [r.chunk_text for r in chunking.paged_chunks(pages, size=2, least=0).sort("chunk_index").collect()] == ["One a. Two\nb.", "Three c. Three c."]
 
 
 def test_form_options_and_page_exclusion(spark):
@@ -262,3 +262,41 @@ def test_maps_and_rules(spark):
     assert json.loads(merged) == {"x": "1", "y": "3"}
     name, path = catalog.rename_document(F.col("t"), F.col("p"))
     assert one(spark, F.concat_ws(" ", name, path), t="New", p="a/b/old.pdf") == "New.pdf a/b/New.pdf"
+
+
+def test_ocr_tables_and_profile(spark, tmp_path):
+    at = lambda a, b: {"layout": {"textAnchor": {"textSegments": [{"startIndex": a, "endIndex": b}]}}}
+    table = {"headerRows": [{"cells": [at(0, 2)]}], "bodyRows": [{"cells": [at(2, 3), at(3, 5)]}, {"cells": [at(2, 3)]}]}
+    page = {"tables": [table, {"headerRows": [{"cells": [at(0, 2)]}]}], "lines": [at(0, 2)], "detectedLanguages": [{"languageCode": "en"}]}
+    rows = [{"document_id": "d", "page_offset": 2, "text": "ab cd", "pages": [page], "entities": [{"type": "date"}, {"type": "date"}]}, {"document_id": "e", "text": None}]
+    (tmp_path / "o.json").write_text("\n".join(map(json.dumps, rows)))
+    frame = ocr.read_ocr(spark, str(tmp_path / "o.json"))
+    assert [tuple(r) for r in ocr.tables(frame).collect()] == [("d", 3, 0, [["ab"]], [["cd"]])]
+    found = {r.document_id: r.asDict() for r in ocr.profile(frame).collect()}
+    assert found["d"] == {"document_id": "d", "text_length": 5, "pages": 1, "paragraphs": 0, "lines": 1, "tables": 2, "form_fields": 0, "entities": 2, "languages": 1}
+    assert found["e"]["pages"] == 0 and found["e"]["text_length"] == 0
+    assert [tuple(r) for r in ocr.entity_counts(frame).collect()] == [("d", "date", 2)]
+
+
+def test_window_bounds():
+    """Four sentences a window; more while it is short, fewer where it would grow too long."""
+    assert chunking.window_bounds([100] * 6, 4, 1, 0, 2000) == [[0, 4], [3, 3], [5, 1]]
+    assert chunking.window_bounds([100] * 6, 2, 0, 450, 2000) == [[0, 5], [5, 1]]
+    assert chunking.window_bounds([900, 900, 900], 4, 0, 400, 1000) == [[0, 2], [2, 1]]  # two are taken even over the limit
+    assert chunking.window_bounds([10, 10, 995, 10], 4, 0, 400, 1000) == [[0, 2], [2, 2]]
+    assert chunking.window_bounds([], 4, 1, 400, 2000) == []
+
+
+def test_sentence_chunks(spark):
+    docs = spark.createDataFrame([(1, "1. Is it so? Yes No ends here. Go.\n\n3 This is a note."), (2, None), (3, "")], "id int, text string")
+    found = chunking.sentence_chunks(docs, "id", "text", least=0).collect()
+    assert sorted(map(tuple, found)) == [(1, 0, "Is it so? Yes No ends here. Go."), (1, 1, "Go.")]  # the tail repeats the overlap
+
+
+def test_sentence_rules(spark):
+    assert one(spark, F.to_json(T.with_options_joined(F.split("t", ";"))), t="Q one?;Yes;No;Next.;N/A") == json.dumps(["Q one? Yes No", "Next. N/A"], separators=(",", ":"))
+    assert one(spark, F.to_json(T.with_options_joined(F.split("t", ";"))), t="Yes") == '["Yes"]'
+    assert one(spark, T.without_footnotes(F.col("t")), t="A\n\n12 For purposes of\n\n\nB") == "A\n\nB"
+    assert [one(spark, T.field_type(F.col("t")), t=x) for x in ("Start_Time", "phone number", "email", "telex", "other")] == ["date", "number", "email", "phone", "text"]
+    assert one(spark, T.shown_date(F.col("t")), t="2024-03-05 15:07:09") == "05 Mar 2024 - 3:07 PM"
+    assert one(spark, T.shown_date(F.col("t")), t="no date") == "Invalid date"
