@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.lineage import shared_folder
 from ..operators import activity as A
 from ..operators import catalog as C
 from ..operators import chunking, matching, upkeep
 from ..sources import ocr
+from ..streaming import feeds
 from . import bindings as B
 from .queries import ACTIVITY, CHUNKS, JOBS, MATCHES, PARAGRAPHS, SOURCES, STAGE0, _matches, _stage0, query
 
@@ -216,3 +218,29 @@ def unmatched_chunks(spark, sf_dir):
     own = B.chunks(spark, sf_dir).select(F.col("document_id").alias("source_id"), F.col("chunk_index").alias("a_index"))
     rest = found.select("source_id", "target_id").distinct().join(own, "source_id").join(found, ["source_id", "target_id", "a_index"], "left_anti")
     return rest.select("source_id", "target_id", F.col("a_index").alias("chunk_index"))
+
+
+EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+
+
+@query("stream_latest_status", """SELECT user_id AS document_id, ts AS created_at, event_type AS status, event_id AS seq FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1 AND event_type <> 'error'""")
+def stream_latest_status(spark, sf_dir):
+    """The latest status of each document from a stream, errors taken as completed ones, which are not live."""
+    status = F.when(F.col("event_type") == "error", "completed").otherwise(F.col("event_type"))
+    rows = feeds.table_stream(spark, f"{sf_dir}/events.parquet", EVENTS).select(F.col("user_id").alias("document_id"), F.struct("ts", "event_id").alias("at"), status.alias("status"))
+    last = feeds.drain_updates(feeds.latest_status(rows, "document_id", "at", ["status"]), ["document_id"], shared_folder(spark))
+    return feeds.live_statuses(last).select("document_id", F.col("at.ts").alias("created_at"), "status", F.col("at.event_id").alias("seq"))
+
+
+@query("stream_retention", "SELECT user_id AS document_id, event_id AS seq FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn <= 10")
+def stream_retention(spark, sf_dir):
+    rows = feeds.table_stream(spark, f"{sf_dir}/events.parquet", EVENTS).select(F.col("user_id").alias("document_id"), F.col("event_id").alias("seq"), F.col("ts").alias("created_at"))
+    return feeds.drain_retention(rows, "document_id", "created_at", "seq", 10, shared_folder(spark)).select("document_id", "seq")
+
+
+@query("stream_daily_activity", "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
+def stream_daily_activity(spark, sf_dir):
+    rows = feeds.table_stream(spark, f"{sf_dir}/events.parquet", EVENTS).select(F.col("ts").cast("timestamp").alias("logged_at"), "event_type")
+    counts = feeds.drain_updates(feeds.daily_activity(rows, "logged_at", "event_type"), ["day", "event_type"], shared_folder(spark))
+    return counts.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "event_type", "n")

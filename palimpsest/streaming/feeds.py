@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.activity import TERMINAL, newest
+
 
 def latest_changes(feed: DataFrame, key: str = "id", sequence: str = "seq") -> DataFrame:
     """The last change of each key in a batch."""
@@ -37,3 +41,37 @@ def centroid_sums(chunks: DataFrame, key: str = "document_id", vector: str = "em
 
 def merge_sums(stored: DataFrame, fresh: DataFrame, key: str = "document_id") -> DataFrame:
     return stored.unionByName(fresh).groupBy(key, "place").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+
+
+def table_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A Parquet table as a stream, whether it is one file or a folder of files."""
+    return spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]")
+
+
+def drain(stream: DataFrame, mode: str, each: Callable[[DataFrame, int], None], folder: str) -> None:
+    """All that the stream has now, batch by batch; progress is kept in the folder, so a restart goes on from there."""
+    writer = stream.writeStream.outputMode(mode).foreachBatch(each).option("checkpointLocation", f"{folder}/log")
+    writer.trigger(availableNow=True).start().awaitTermination()
+
+
+def drain_updates(stream: DataFrame, keys: list[str], folder: str) -> DataFrame:
+    """The last state of each key of an aggregation in update mode; a batch writes only the keys that it changed.
+
+    A batch that runs again overwrites its own part.
+    """
+    drain(stream, "update", lambda rows, n: rows.write.mode("overwrite").parquet(f"{folder}/table/batch={n}"), folder)
+    rest = [c for c in stream.columns if c not in keys]
+    found = stream.sparkSession.read.option("basePath", f"{folder}/table").parquet(f"{folder}/table")
+    return found.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("m")).select(*keys, "m.*")
+
+
+def drain_retention(stream: DataFrame, key: str, time: str, tie: str, keep: int, folder: str) -> DataFrame:
+    """The newest `keep` rows of each key: a batch writes the newest of its own rows, and the read ranks those of all batches."""
+    drain(stream, "append", lambda rows, n: newest(rows, key, time, tie, keep).write.mode("overwrite").parquet(f"{folder}/table/batch={n}"), folder)
+    found = stream.sparkSession.read.option("basePath", f"{folder}/table").parquet(f"{folder}/table")
+    return newest(found.drop("batch"), key, time, tie, keep)
+
+
+def live_statuses(latest: DataFrame, status: str = "status") -> DataFrame:
+    """The latest statuses less the terminal ones, which clear what is shown as live."""
+    return latest.filter(~F.col(status).isin(*TERMINAL))

@@ -300,3 +300,19 @@ def test_sentence_rules(spark):
     assert [one(spark, T.field_type(F.col("t")), t=x) for x in ("Start_Time", "phone number", "email", "telex", "other")] == ["date", "number", "email", "phone", "text"]
     assert one(spark, T.shown_date(F.col("t")), t="2024-03-05 15:07:09") == "05 Mar 2024 - 3:07 PM"
     assert one(spark, T.shown_date(F.col("t")), t="no date") == "Invalid date"
+
+
+def test_drained_streams(spark, tmp_path):
+    """Several batches: later ones change and retain as one batch would; what ran once isn't read again."""
+    schema = "id long, at long, seq long, status string"
+    batches = [[(1, 1, 1, "queued"), (2, 1, 2, "queued")], [(1, 3, 3, "completed"), (1, 2, 4, "late")], [(2, 2, 5, "processing")]]
+    for n, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in.parquet"))
+    stream = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in.parque[t]"))
+    statuses = lambda: feeds.drain_updates(feeds.latest_status(stream(), "id", "at", ["status"]), ["id"], str(tmp_path / "a"))
+    for _ in range(2):
+        assert sorted((r.id, r.at, r.status) for r in statuses().collect()) == [(1, 3, "completed"), (2, 2, "processing")]
+    assert [r.id for r in feeds.live_statuses(statuses()).collect()] == [2]
+    kept = feeds.drain_retention(stream(), "id", "at", "seq", 2, str(tmp_path / "b"))
+    assert sorted(r.seq for r in kept.collect()) == [2, 3, 4, 5]
+    assert kept.columns == ["id", "at", "seq", "status"]
