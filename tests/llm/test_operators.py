@@ -295,6 +295,24 @@ def test_quality(spark, docs, rows):
         assert abs(r.llr - llr) < 1e-9 and r.kept == (not r.base_failed and r.llr >= quality.THRESHOLD)
 
 
+def test_quality_drops_a_few_toxic_words(spark):
+    """Five insults in 250 words of common prose are dropped, labelled or not; clean rows stay."""
+    rng = random.Random(5)
+    vocab, insults = [f"w{i}" for i in range(400)], ["scum", "moron", "idiot", "clown"]
+    rows, labels = [], []
+    for i in range(400):
+        words = [rng.choice(vocab) for _ in range(250)]
+        if toxic := i % 8 == 0:
+            for _ in range(5):
+                words[rng.randrange(250)] = rng.choice(insults)
+        rows.append((i, " ".join(words)))
+        if i % 3 == 0:
+            labels.append((i, 1, int(toxic)))
+    listed = quality.trusted_ids(spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    found = {r.doc_id: r.kept for r in quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string"), listed).collect()}
+    assert {i for i, kept in found.items() if not kept} == {i for i in range(400) if i % 8 == 0}
+
+
 # LM
 
 
