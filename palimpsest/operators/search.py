@@ -105,28 +105,33 @@ def inverted_file(vectors: DataFrame, cells: int = 64, sample: int = 20_000, see
     return vectors.sparkSession.createDataFrame(centres, "vec_id long, vector array<double>")
 
 
-def assign_cells(vectors: DataFrame, centres: DataFrame) -> DataFrame:
-    """(vec_id, cell): each vector's nearest centre; the centres are a fixed, small number."""
+def assign_cells(vectors: DataFrame, centres: DataFrame, copies: int = 1) -> DataFrame:
+    """(vec_id, cell): each vector's `copies` nearest centres by Euclidean distance, as they were fitted; the centres are a fixed, small number."""
     rows = centres.collect()
-    shared = vectors.sparkSession.sparkContext.broadcast((np.array([r.vec_id for r in rows], np.int64), np.array([r.vector for r in rows], np.float64).T))
+    matrix = np.array([r.vector for r in rows], np.float64).T
+    shared = vectors.sparkSession.sparkContext.broadcast((np.array([r.vec_id for r in rows], np.int64), matrix, (matrix**2).sum(axis=0) / 2))
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, matrix = shared.value
+        ids, matrix, half = shared.value
         for batch in batches:
             if len(batch):
-                best = (np.stack(batch.vector.to_list()).astype(np.float64) @ matrix).argmax(axis=1)
-                yield pd.DataFrame({"vec_id": batch.vec_id, "cell": ids[best]})
+                best = np.argsort(half - np.stack(batch.vector.to_list()).astype(np.float64) @ matrix, axis=1, kind="stable")[:, :copies]
+                yield pd.DataFrame({"vec_id": np.repeat(batch.vec_id.to_numpy(), best.shape[1]), "cell": ids[best].ravel()})
 
     return vectors.select("vec_id", "vector").mapInPandas(scan, "vec_id bigint, cell bigint")
 
 
-def approximate_nearest(queries: DataFrame, vectors: DataFrame, k: int, cells: int = 64, probes: int = 16) -> DataFrame:
-    """(query_id, vec_id, score, rank): nearest among the vectors in the `probes` cells nearest to a query."""
+def approximate_nearest(queries: DataFrame, vectors: DataFrame, k: int, cells: int = 64, probes: int = 16, copies: int = 4) -> DataFrame:
+    """(query_id, vec_id, score, rank): nearest among the vectors in the `probes` cells nearest to a query.
+
+    A vector is indexed in its `copies` nearest cells, so that a neighbour beyond a cell's edge is found too.
+    """
     from ..functions.vectors import dot
 
     centres = inverted_file(vectors, cells)
-    probed = nearest(queries, centres, probes).select("query_id", F.col("vec_id").alias("cell"))
-    pairs = probed.join(assign_cells(vectors, centres), "cell").join(queries, "query_id").join(vectors.select("vec_id", F.col("vector").alias("other")), "vec_id")
+    probed = assign_cells(queries.select(F.col("query_id").alias("vec_id"), "vector"), centres, probes).withColumnRenamed("vec_id", "query_id")
+    seen = probed.join(assign_cells(vectors, centres, copies), "cell").select("query_id", "vec_id").distinct()
+    pairs = seen.join(queries, "query_id").join(vectors.select("vec_id", F.col("vector").alias("other")), "vec_id")
     scored = pairs.select("query_id", "vec_id", dot(F.col("vector"), F.col("other")).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions import text as T
 from palimpsest.functions.vectors import centroids
 from palimpsest.operators import catalog, chunking, matching, search
+from palimpsest.plans.queries import QUERIES
 from palimpsest.sources import ocr
 from palimpsest.streaming import feeds
 
@@ -112,6 +113,18 @@ def test_nearest_in_blocks_and_recall(spark, sf_dir):
     assert len(near & exact) >= 0.9 * len(exact)
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_recall_of_the_registered_index(spark, sf):
+    """ivf_neighbours as registered, against brute force."""
+    vectors = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet").select("vec_id", F.col("embedding").alias("vector"))
+    queries = vectors.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "vector")
+    exact = {(r.query_id, r.vec_id) for r in search.nearest(queries, vectors, 10).collect()}
+    found = [(r.query_id, r.vec_id) for r in QUERIES["ivf_neighbours"](spark, f"/root/testdata/{sf}").collect()]
+    recall = len(set(found) & exact) / len(exact)
+    print(f"recall {sf} {recall:.3f}")
+    assert len(found) == len(set(found)) == len(exact) and recall >= 0.9
+
+
 def test_ragged_and_zero_vectors(spark):
     rows = [(1, [3.0, 4.0]), (2, [1.0]), (2, [1.0, 2.0]), (3, [float("nan"), 1.0]), (4, [0.0, 0.0])]
     found = {r.document_id: r.centroid for r in centroids(spark.createDataFrame(rows, "document_id int, embedding array<double>")).collect()}
