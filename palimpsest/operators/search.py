@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
+
 #: Query vectors in one broadcast block.
 BLOCK = 2048
 
@@ -85,6 +87,25 @@ def stage1_prefilter(source_chunks: DataFrame, chunks: DataFrame, candidates: Da
     return counted.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top_k)
 
 
+def search_candidates(sources: DataFrame, chunks: DataFrame, top_k: int = 600, keep: int = 250) -> DataFrame:
+    """(source_id, document_id): stage 0, and stage 1 for the sources that it leaves more than `keep` candidates.
+
+    Stage 1's neighbours for each chunk follow a source's number of candidates, so its sources are taken in
+    groups of like number, four at most.
+    """
+    found = cut(stage0_candidates(sources, chunks, top_k).select("source_id", "document_id"))
+    sizes = found.groupBy("source_id").count()
+    out = found.join(sizes.filter(F.col("count") <= keep), "source_id", "left_semi")
+    groups: dict[int, list[int]] = {}
+    for n in [r["count"] for r in sizes.filter(F.col("count") > keep).select("count").distinct().collect()]:
+        groups.setdefault(neighbours_per_chunk(n), []).append(n)
+    for k, counts in sorted(groups.items()):
+        many = sizes.filter(F.col("count").isin(counts)).select("source_id")
+        own = chunks.join(many.withColumnRenamed("source_id", "document_id"), "document_id", "left_semi")
+        out = out.unionByName(stage1_prefilter(own, chunks, found.join(many, "source_id", "left_semi"), k, keep).select("source_id", "document_id"))
+    return out
+
+
 def rank_fusion(lists: list[DataFrame], k: int = 60) -> DataFrame:
     """(id, score) from ranked lists (id, rank): the sum of 1 / (k + rank)."""
     rows = lists[0].select("id", "rank")

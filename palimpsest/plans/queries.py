@@ -104,6 +104,36 @@ def stage1(spark, sf_dir):
     return search.stage1_prefilter(chunks.filter(SOURCES), chunks, _stage0(spark, sf_dir)).withColumn("rank", F.col("rank").cast("bigint"))
 
 
+def _candidates(spark, sf_dir):
+    """Stages 0 and 1 with the operator's own bounds: 600 candidates, and 250 by chunks where there are more."""
+    sources = B.document_figures(spark, sf_dir).filter(SOURCES).select("document_id", "centroid")
+    return search.search_candidates(sources, B.chunks(spark, sf_dir))
+
+
+STAGE0_WHOLE = STAGE0.replace("rn <= 40", "rn <= 1200")
+
+
+@query("stage0_whole", f"WITH {STAGE0_WHOLE} SELECT source_id, document_id, round(score, 6) AS score, rank FROM stage0 WHERE rank <= 600")
+def stage0_whole(spark, sf_dir):
+    sources = B.document_figures(spark, sf_dir).filter(SOURCES).select("document_id", "centroid")
+    found = search.stage0_candidates(sources, B.chunks(spark, sf_dir))
+    return found.select("source_id", "document_id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
+CANDIDATES = f"""{STAGE0_WHOLE}, pool AS (SELECT source_id, document_id, count(*) OVER (PARTITION BY source_id) AS n FROM stage0 WHERE rank <= 600), near AS (
+  SELECT a.document_id AS source_id, a.vec_id AS q, b.document_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_dot_product(a.e, b.e) DESC, b.vec_id) AS rn
+  FROM chunks a JOIN chunks b ON a.document_id % 50 = 0), cnt AS (
+  SELECT source_id, document_id, count(DISTINCT q) AS matched_chunks FROM near JOIN pool USING (source_id, document_id) WHERE n > 250 AND rn <= CASE WHEN n <= 400 THEN 36 ELSE 45 END GROUP BY ALL), filtered AS (
+  SELECT source_id, document_id, row_number() OVER (PARTITION BY source_id ORDER BY matched_chunks DESC, document_id) AS rank FROM cnt), candidates AS (
+  SELECT source_id, document_id FROM filtered WHERE rank <= 250 UNION ALL SELECT source_id, document_id FROM pool WHERE n <= 250)"""
+
+
+@query("stage1_whole", f"WITH {CANDIDATES} SELECT source_id, document_id FROM candidates")
+def stage1_whole(spark, sf_dir):
+    """The candidates that the search goes on from."""
+    return _candidates(spark, sf_dir)
+
+
 @query("best_match", f"WITH {MATCHES} SELECT source_id, target_id, a_index, b_index, round(score, 6) AS score FROM best")
 def best_match(spark, sf_dir):
     return _matches(spark, sf_dir).select("source_id", "target_id", "a_index", "b_index", F.round("score", 6).alias("score"))
@@ -154,7 +184,7 @@ def section_coverage(spark, sf_dir):
 @query("similarity_search")
 def similarity_search(spark, sf_dir):
     chunks, figures = B.chunks(spark, sf_dir), B.document_figures(spark, sf_dir)
-    return matching.similarity_search(figures.filter(SOURCES), chunks, figures, _stage0(spark, sf_dir), min_source=0.0, min_target=0.0, primary=0.25, fallback=0.15, floor=1600)
+    return matching.similarity_search(figures.filter(SOURCES), chunks, figures, _candidates(spark, sf_dir), min_source=0.0, min_target=0.0, primary=0.25, fallback=0.15, floor=1600)
 
 
 @query("selected_search")

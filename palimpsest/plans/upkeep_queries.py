@@ -13,7 +13,7 @@ from ..operators import chunking, matching, upkeep
 from ..sources import ocr
 from ..streaming import feeds
 from . import bindings as B
-from .queries import ACTIVITY, CHUNKS, JOBS, MATCHES, PARAGRAPHS, SOURCES, STAGE0, _matches, _stage0, query
+from .queries import ACTIVITY, CANDIDATES, CHUNKS, JOBS, MATCHES, PARAGRAPHS, SOURCES, SQL, STAGE0, _candidates, _matches, _stage0, query
 
 
 def _ocr(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -211,6 +211,17 @@ def primary_search(spark, sf_dir):
     return found.withColumns({c: F.round(c, 6) for c in ("source_score", "target_score", "length_ratio")}).withColumn("rank", F.col("rank").cast("bigint"))
 
 
+SCORED_WHOLE = SCORED.replace(STAGE0, CANDIDATES).replace("SELECT source_id, document_id AS target_id FROM stage0 WHERE rank <= 20", "SELECT source_id, document_id AS target_id FROM candidates")
+
+
+@query("primary_search_whole", SQL["primary_search"].replace(SCORED, SCORED_WHOLE))
+def primary_search_whole(spark, sf_dir):
+    """`primary_search` over all candidates of stages 0 and 1."""
+    chunks, figures = B.chunks(spark, sf_dir), B.document_figures(spark, sf_dir)
+    found = matching.similarity_search(figures.filter(SOURCES), chunks, figures, _candidates(spark, sf_dir), min_source=0.0, min_target=0.0, primary=0.25, fallback=None, tolerance=0)
+    return found.withColumns({c: F.round(c, 6) for c in ("source_score", "target_score", "length_ratio")}).withColumn("rank", F.col("rank").cast("bigint"))
+
+
 @query("unmatched_chunks", f"""WITH {MATCHES} SELECT b.source_id, b.target_id, c.chunk_index FROM (SELECT DISTINCT source_id, target_id FROM best) b JOIN chunks c ON c.document_id = b.source_id
 WHERE NOT EXISTS (SELECT 1 FROM best m WHERE m.source_id = b.source_id AND m.target_id = b.target_id AND m.a_index = c.chunk_index)""")
 def unmatched_chunks(spark, sf_dir):

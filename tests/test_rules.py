@@ -3,13 +3,15 @@
 import json
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text as T
 from palimpsest.functions.vectors import centroids
 from palimpsest.operators import catalog, chunking, matching, search
-from palimpsest.plans.queries import QUERIES
+from palimpsest.plans import bindings as B
+from palimpsest.plans.queries import QUERIES, SOURCES
 from palimpsest.sources import ocr
 from palimpsest.streaming import feeds
 
@@ -125,6 +127,40 @@ def test_recall_of_the_registered_index(spark, sf):
     assert len(found) == len(set(found)) == len(exact) and recall >= 0.9
 
 
+def test_search_candidates_of_both_stages(spark):
+    """Against plain loops: stage 1 runs only for a source with more than `keep` candidates, with its own k."""
+    rng = np.random.default_rng(11)
+    vectors = rng.normal(size=(900, 8))
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    rows = [(i, i // 2, [float(x) for x in v]) for i, v in enumerate(vectors)]
+    chunks = spark.createDataFrame(rows, "vec_id long, document_id long, embedding array<double>")
+    means = {d: vectors[2 * d : 2 * d + 2].mean(axis=0) for d in (0, 7)}
+    sources = spark.createDataFrame([(d, [float(x) for x in m]) for d, m in means.items()], "document_id long, centroid array<double>")
+    for top_k, keep in ((600, 250), (30, 250)):
+        want = set()
+        for d, m in means.items():
+            hits = [i for i in np.argsort(-(vectors @ m), kind="stable") if i // 2 != d][: 2 * top_k]
+            pool = list(dict.fromkeys(int(i) // 2 for i in hits))[:top_k]
+            if len(pool) > keep:
+                k = 36 if len(pool) <= 400 else 45
+                near = [{int(i) // 2 for i in np.argsort(-(vectors @ vectors[q]), kind="stable")[:k]} for q in (2 * d, 2 * d + 1)]
+                pool = sorted((x for x in pool if any(x in n for n in near)), key=lambda x: (-sum(x in n for n in near), x))[:keep]
+            want |= {(d, x) for x in pool}
+        assert {tuple(r) for r in search.search_candidates(sources, chunks, top_k, keep).collect()} == want
+
+
+def test_search_is_matched_beyond_the_twentieth_candidate(spark):
+    """similarity_search as registered: its best 30 of all documents, where there are fewer than 250."""
+    sf_dir = "/root/testdata/sf0.1"
+    chunks, figures = B.chunks(spark, sf_dir), B.document_figures(spark, sf_dir)
+    everything = figures.filter(SOURCES).select(F.col("document_id").alias("source_id")).crossJoin(figures.select("document_id")).filter("source_id <> document_id")
+    want = matching.similarity_search(figures.filter(SOURCES), chunks, figures, everything, min_source=0.0, min_target=0.0, primary=0.25, fallback=0.15, floor=1600)
+    found = QUERIES["similarity_search"](spark, sf_dir)
+    got = {(r.source_id, r.target_id, r["rank"]) for r in found.collect()}
+    print("similarity_search rows", len(got))
+    assert got == {(r.source_id, r.target_id, r["rank"]) for r in want.collect()} and len(got) > 80
+
+
 def test_ragged_and_zero_vectors(spark):
     rows = [(1, [3.0, 4.0]), (2, [1.0]), (2, [1.0, 2.0]), (3, [float("nan"), 1.0]), (4, [0.0, 0.0])]
     found = {r.document_id: r.centroid for r in centroids(spark.createDataFrame(rows, "document_id int, embedding array<double>")).collect()}
