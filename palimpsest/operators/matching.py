@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -161,3 +165,40 @@ def selected_search(source: DataFrame, targets: DataFrame, chunks: DataFrame, do
     scores = adaptive_scores(match_pairs(pairs, chunks, **options), documents)
     zero = {c: F.coalesce(F.col(c), F.lit(0)) for c in ("matched_source_chars", "matched_target_chars", "matched_chunks", "source_score", "target_score")}
     return pairs.join(scores, PAIR, "left").withColumns(zero).drop("length_ratio")
+
+
+def text_reuse(chunks: DataFrame, size: int = 8) -> DataFrame:
+    """(document_id, reused_characters, reused_chunks, first_document): what a document's text shares with others.
+
+    A word is reused when a run of `size` words around it stands in another document too, at any offset; a text of
+    fewer words counts as one run. Runs are classed by 96 bits of hash and a class counts by its documents, so a run
+    repeated within one document is no reuse and no table of pairs is made. reused_characters are those of
+    reused words without blanks, reused_chunks the chunks that hold one, first_document the least id among the sharers.
+    """
+    listed = chunks.groupBy("document_id").agg(F.sort_array(F.collect_list(F.struct("chunk_index", "chunk_text"))).alias("items"))
+    texts = cut(listed.select("document_id", F.transform("items", lambda x: F.filter(F.split(x.chunk_text, r"\s+"), lambda w: w != "")).alias("words")))
+    words = F.flatten("words")
+    starts = F.sequence(F.lit(1), F.greatest(F.size("all") - (size - 1), F.lit(1)))
+    runs = F.transform(starts, lambda i: F.array_join(F.slice("all", i, size), " "))
+    rows = texts.select("document_id", words.alias("all")).filter(F.size("all") > 0).select("document_id", F.posexplode_outer(runs).alias("at", "run"))
+    rows = cut(rows.select("document_id", "at", F.xxhash64("run").alias("h"), F.hash("run").alias("g")))
+    classes = rows.groupBy("h", "g").agg(F.min("document_id").alias("first_document"), F.max("document_id").alias("last")).filter("first_document <> last")
+    shared = rows.join(classes, ["h", "g"]).groupBy("document_id").agg(F.collect_list("at").alias("starts"), F.min("first_document").alias("first_document"))
+
+    def cover(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            figures = []
+            for lists, starts in zip(batch.words, batch.starts):
+                lengths = np.array([len(w) for words in lists for w in words])
+                chunk = np.repeat(np.arange(len(lists)), [len(words) for words in lists])
+                steps = np.zeros(len(lengths) + size + 1, np.int64)
+                at = np.asarray(starts)
+                np.add.at(steps, at, 1)
+                np.add.at(steps, at + size, -1)
+                held = np.cumsum(steps)[: len(lengths)] > 0
+                figures.append((int(lengths[held].sum()), len(np.unique(chunk[held]))))
+            out = pd.DataFrame(figures, columns=["reused_characters", "reused_chunks"])
+            yield out.assign(document_id=batch.document_id.to_numpy(), first_document=batch.first_document.to_numpy())
+
+    kind = chunks.schema["document_id"].dataType.simpleString()
+    return texts.join(shared, "document_id").mapInPandas(cover, f"document_id {kind}, reused_characters bigint, reused_chunks bigint, first_document {kind}")

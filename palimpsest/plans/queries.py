@@ -193,20 +193,10 @@ def selected_search(spark, sf_dir):
     return matching.selected_search(figures.filter(SOURCES), figures.filter("total_characters >= 6000"), chunks, figures, primary=0.25, fallback=0.15)
 
 
-def _text_chunks(spark, sf_dir):
-    """Chunks of the documents' own texts with hashed vectors."""
-    built = chunking.build_chunks(B.documents(spark, sf_dir))
-    return built.withColumn("embedding", T.hashed_bag(F.col("chunk_text")))
-
-
 @query("corpus_reuse")
 def corpus_reuse(spark, sf_dir):
-    """All pairs of documents that share a chunk, by an equi-join on the chunk's text."""
-    chunks = chunking.build_chunks(B.documents(spark, sf_dir)).withColumn("h", F.xxhash64("chunk_text"))
-    classes = chunks.groupBy("h", "chunk_text").agg(F.min("document_id").alias("first_document"), F.count("*").alias("n_chunks"))
-    return chunks.join(classes.filter("n_chunks > 1"), ["h", "chunk_text"]).groupBy("document_id").agg(
-        F.sum("character_count").alias("reused_characters"), F.count("*").alias("reused_chunks"), F.min("first_document").alias("first_document")
-    )
+    """Each document's text that stands in any other document, by runs of eight words."""
+    return matching.text_reuse(chunking.build_chunks(B.documents(spark, sf_dir)))
 
 
 @query("chunk_build")

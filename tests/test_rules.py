@@ -161,6 +161,21 @@ def test_search_is_matched_beyond_the_twentieth_candidate(spark):
     assert got == {(r.source_id, r.target_id, r["rank"]) for r in want.collect()} and len(got) > 80
 
 
+def test_text_reuse(spark):
+    """Passages at another offset, near copies and copies are reuse; a passage repeated in one document isn't."""
+    rng = random.Random(12)
+    made = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    passage, copied = made(30), made(60)
+    near = [*copied[:20], "changed", *copied[21:]]
+    texts = {0: made(40) + passage + made(50), 1: made(7) + passage + made(5), 2: copied, 3: near, 4: (own := made(20)) + own, 5: ["few", "words"], 6: ["few", "words"], 7: made(90)}
+    rows = [(d, i // 25, " ".join(words[i : i + 25])) for d, words in texts.items() for i in range(0, len(words), 25)]
+    found = {r.document_id: (r.reused_characters, r.reused_chunks, r.first_document) for r in matching.text_reuse(spark.createDataFrame(rows, "document_id long, chunk_index int, chunk_text string")).collect()}
+    size = lambda words: sum(map(len, words))
+    assert found == {
+        0: (size(passage), 2, 0), 1: (size(passage), 2, 0), 2: (size(copied) - len(copied[20]), 3, 2), 3: (size(copied) - len(copied[20]), 3, 2), 5: (8, 1, 5), 6: (8, 1, 5),
+    }
+
+
 def test_ragged_and_zero_vectors(spark):
     rows = [(1, [3.0, 4.0]), (2, [1.0]), (2, [1.0, 2.0]), (3, [float("nan"), 1.0]), (4, [0.0, 0.0])]
     found = {r.document_id: r.centroid for r in centroids(spark.createDataFrame(rows, "document_id int, embedding array<double>")).collect()}
