@@ -106,12 +106,12 @@ def search_candidates(sources: DataFrame, chunks: DataFrame, top_k: int = 600, k
     return out
 
 
-def rank_fusion(lists: list[DataFrame], k: int = 60) -> DataFrame:
-    """(id, score) from ranked lists (id, rank): the sum of 1 / (k + rank)."""
-    rows = lists[0].select("id", "rank")
+def rank_fusion(lists: list[DataFrame], k: int = 60, by: tuple[str, ...] = ()) -> DataFrame:
+    """(*by, id, score) from ranked lists (*by, id, rank): the sum of 1 / (k + rank)."""
+    rows = lists[0].select(*by, "id", "rank")
     for more in lists[1:]:
-        rows = rows.unionByName(more.select("id", "rank"))
-    return rows.groupBy("id").agg(F.sum(1.0 / (F.col("rank") + k)).alias("score"))
+        rows = rows.unionByName(more.select(*by, "id", "rank"))
+    return rows.groupBy(*by, "id").agg(F.sum(1.0 / (F.col("rank") + k)).alias("score"))
 
 
 def inverted_file(vectors: DataFrame, cells: int = 64, sample: int = 20_000, seed: int = 42) -> DataFrame:

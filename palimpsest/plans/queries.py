@@ -308,6 +308,57 @@ def feature_similarity(spark, sf_dir):
     return both.select("document_id", F.round(0.5 * near + 0.35 * ratio(F.col("n_sections") + 1.0, F.col("n0")) + 0.15 * ratio(F.col("complexity"), F.col("x0")), 6).alias("similarity"))
 
 
+@query("rrf_by_query", f"""WITH {CHUNKS}, q AS (SELECT vec_id AS query_id, e FROM chunks WHERE vec_id % 50 = 0),
+a AS (SELECT query_id, vec_id AS id, row_number() OVER (PARTITION BY query_id ORDER BY list_dot_product(chunks.e, q.e) DESC, vec_id) AS rank FROM chunks, q), b AS (SELECT vec_id AS id, row_number() OVER (ORDER BY character_count DESC, vec_id) AS rank FROM chunks)
+SELECT query_id, id, round(sum(1.0 / (60 + rank)), 9) AS score FROM (SELECT * FROM a WHERE rank <= 50 UNION ALL SELECT query_id, id, rank FROM b, q WHERE rank <= 50) GROUP BY query_id, id""")
+def rrf_by_query(spark, sf_dir):
+    """`rrf` for the stated query set."""
+    chunks = B.chunks(spark, sf_dir)
+    vectors = chunks.select("vec_id", F.col("embedding").alias("vector"))
+    queries = vectors.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "vector")
+    near = search.nearest(queries, vectors, 50).select("query_id", F.col("vec_id").alias("id"), "rank")
+    top = chunks.sort(F.desc("character_count"), "vec_id").limit(50)
+    long = top.select(F.col("vec_id").alias("id"), F.row_number().over(Window.orderBy(F.desc("character_count"), "vec_id")).alias("rank"))
+    each = queries.select("query_id").crossJoin(F.broadcast(long))  # 50 rows
+    return search.rank_fusion([near, each], by=("query_id",)).select("query_id", "id", F.round("score", 9).alias("score"))
+
+
+def _with_sources(prints, columns):
+    """Each print beside each other document of the query set, which is broadcast in blocks of search.BLOCK rows."""
+    sources = prints.filter(SOURCES).select(F.col("document_id").alias("query_id"), *columns)
+    n = max(1, -(-sources.count() // search.BLOCK))
+    both = None
+    for i in range(n):
+        block = sources.filter(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i)
+        part = prints.crossJoin(F.broadcast(block))
+        both = part if both is None else both.unionByName(part)
+    return both.filter("document_id <> query_id")
+
+
+def _by_query(sql):
+    """The twin of a comparison with document 0, for the stated query set."""
+    return sql.replace("a.document_id = 0 AND b.document_id <> 0", "a.document_id % 50 = 0 AND b.document_id <> a.document_id").replace("SELECT b.document_id", "SELECT a.document_id AS query_id, b.document_id")
+
+
+@query("fingerprint_similarity_by_query", _by_query(SQL["fingerprint_similarity"]))
+def fingerprint_similarity_by_query(spark, sf_dir):
+    """`fingerprint_similarity` for the stated query set."""
+    both = _with_sources(_prints(spark, sf_dir), [F.col("v").alias("v0"), F.col("n_sections").alias("n0")])
+    n, n0 = F.col("n_sections"), F.col("n0")
+    structure = F.when((n == 0) & (n0 == 0), 1.0).when((n == 0) | (n0 == 0), 0.0).otherwise(F.least(n, n0).cast("double") / F.greatest(n, n0))
+    return both.select("query_id", "document_id", F.round(0.7 * cosine(F.col("v"), F.col("v0")) + 0.3 * structure, 6).alias("similarity"))
+
+
+@query("feature_similarity_by_query", _by_query(SQL["feature_similarity"]))
+def feature_similarity_by_query(spark, sf_dir):
+    """`feature_similarity` for the stated query set."""
+    both = _with_sources(_prints(spark, sf_dir), [F.col("v").alias("v0"), (F.col("n_sections") + 1.0).alias("n0"), F.col("complexity").alias("x0")])
+    near = cosine(F.col("v"), F.col("v0"))
+    ratio = lambda a, b: F.least(a / b, b / a)
+    score = 0.5 * near + 0.35 * ratio(F.col("n_sections") + 1.0, F.col("n0")) + 0.15 * ratio(F.col("complexity"), F.col("x0"))
+    return both.filter(near > 0).select("query_id", "document_id", F.round(score, 6).alias("similarity"))
+
+
 @query("page_overlap", f"""WITH {CHUNKS} SELECT CASE WHEN start_page >= 2 AND end_page <= 3 THEN 'inside' WHEN start_page < 2 THEN 'starts earlier' ELSE 'ends later' END AS category, count(*) AS n
 FROM chunks WHERE start_page <= 3 AND end_page >= 2 GROUP BY 1""")
 def page_overlap(spark, sf_dir):

@@ -176,6 +176,13 @@ def test_text_reuse(spark):
     }
 
 
+@pytest.mark.parametrize("name, key", [("rrf_by_query", "vec_id"), ("fingerprint_similarity_by_query", "document_id"), ("feature_similarity_by_query", "document_id")])
+def test_every_stated_query_has_results(spark, name, key):
+    chunks = B.chunks(spark, "/root/testdata/sf0.1")
+    want = {r[0] for r in chunks.filter(f"{key} % 50 = 0").select(key).distinct().collect()}
+    assert {r[0] for r in QUERIES[name](spark, "/root/testdata/sf0.1").select("query_id").distinct().collect()} == want and len(want) > 3
+
+
 def test_ragged_and_zero_vectors(spark):
     rows = [(1, [3.0, 4.0]), (2, [1.0]), (2, [1.0, 2.0]), (3, [float("nan"), 1.0]), (4, [0.0, 0.0])]
     found = {r.document_id: r.centroid for r in centroids(spark.createDataFrame(rows, "document_id int, embedding array<double>")).collect()}
