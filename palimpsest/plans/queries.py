@@ -578,6 +578,13 @@ def strip_prefixes(spark, sf_dir):
     return rows.select("document_id", F.col("idx").cast("bigint").alias("idx"), T.strip_prefixes(F.concat(mark, F.col("text"))).alias("text"))
 
 
+@query("strip_prefixes_whole")
+def strip_prefixes_whole(spark, sf_dir):
+    """All paragraphs as they stand."""
+    rows = chunking.paragraphs_of(B.documents(spark, sf_dir), "doc_id", "text")
+    return rows.select("document_id", F.col("idx").cast("bigint").alias("idx"), T.strip_prefixes(F.col("text")).alias("text"))
+
+
 @query("nonspace_length", "SELECT doc_id, length(regexp_replace(text, '\\s+', '', 'g')) AS n FROM documents")
 def nonspace_length(spark, sf_dir):
     return B.documents(spark, sf_dir).select("doc_id", T.nonspace_length(F.col("text")).cast("bigint").alias("n"))

@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 
 import numpy as np
 import pytest
@@ -26,6 +27,22 @@ def test_strip_prefixes(spark, text, want):
     assert one(spark, T.strip_prefixes(F.col("t")), t=text) == want
 
 
+def test_prefixes_of_all_paragraphs(spark):
+    """strip_prefixes_whole, paragraph by paragraph, against plain Python: each line of each text as it stands."""
+    sf_dir = "/root/testdata/sf0.01"
+
+    def plain(text):
+        start = cut = text.strip()
+        for p in T.PREFIXES:
+            cut = re.sub(f"^{p}", "", cut)
+        return "" if re.search(r"^([A-Z]\.|[0-9]+\.?)\s*$", start) else cut.strip()
+
+    want = {(r.doc_id, i): plain(line) for r in B.documents(spark, sf_dir).filter("text is not null").collect() for i, line in enumerate(r.text.split("\n"))}
+    found = {(r.document_id, r.idx): r.text for r in QUERIES["strip_prefixes_whole"](spark, sf_dir).collect()}
+    print("paragraphs", len(found), "not led by letters", sum(not re.match("[A-Za-z]{3}[a-z ]*[.,]", line) for r in B.documents(spark, sf_dir).filter("text is not null").collect() for line in r.text.split("\n")))
+    assert found == want
+
+
 @pytest.mark.parametrize("text, want", [("Page 3", True), ("2.1", True), ("N/A", True), ("____%", True), ("a long enough line", False), ("page 123456", True)])
 def test_noise(spark, text, want):
     assert one(spark, T.is_noise(F.col("t")).cast("string"), t=text) == str(want).lower()
