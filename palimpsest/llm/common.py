@@ -17,13 +17,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a session without it (a local test) gets a temporary one."""
+    """The folder that spark.checkpoint.dir names; a local session without it (a test) gets a temporary one."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
     return sc.getCheckpointDir()
 
 
+def renamed(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with its columns named __in_0, __in_1 ..., and the new name of each: no name clashes, no dots in names."""
+    names = {c: f"__in_{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*(f"__in_{i}" for i in range(len(docs.columns)))), names
+
+
+def row_hash(docs: DataFrame) -> Column:
+    """A hash of all columns; those with maps, which have no hash, go by their JSON text."""
+    plain = lambda f: F.to_json(F.struct(F.col(f"`{f.name}`"))) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`")
+    return F.xxhash64(*map(plain, docs.schema.fields))
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder."""
     shared_folder(df.sparkSession)
@@ -53,10 +68,15 @@ def id_remainder(id_col: str, modulus: int = 5) -> Column:
 
 
 def utf8(text_col: str) -> Column:
-    """The UTF-8 bytes of a text; null stays null."""
+    """The UTF-8 bytes of a text, as they are; null stays null."""
     return F.col(text_col).cast("string").cast("binary")
 
 
+def valid_text(text_col: str) -> Column:
+    """A text with U+FFFD in place of bytes that are no UTF-8; null stays null."""
+    return F.make_valid_utf8(F.col(text_col).cast("string"))
+
+
 def field(df: DataFrame, name: str, alias: str | None = None) -> pa.Field:
     """The Arrow-free Spark DDL type of a column, for output schemas of mapInArrow."""
     return f"`{alias or name}` {df.schema[name].dataType.simpleString()}"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import ahocorasick
@@ -10,11 +11,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, field, utf8
+from .common import field, renamed, utf8
 
 WINDOW = 10
-#: Bytes of normalised benchmark text in one automaton; a larger benchmark takes several passes.
-BLOCK_BYTES = 2 << 20
+#: Most bytes of benchmark text: the driver and each worker hold the items, and a worker some 100 bytes for each byte of them.
+MOST_BYTES = 16 << 20
 #: Lower-cases A-Z and turns every ASCII byte that is no letter or digit into a space.
 _NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
@@ -26,8 +27,8 @@ def normal_words(text: bytes | None) -> list[bytes]:
 def build(items: list[tuple[str, bytes]], window: int) -> tuple[ahocorasick.Automaton, dict[bytes, int]]:
     """The automaton over the items' windows as sequences of word numbers, and the numbers of their words.
 
-    A window's value is (words, ids of the items that hold it). A node stands for a word, not a letter, so
-    the automaton takes about ten nodes for each benchmark word.
+    A window's value is (words, ids of the items that hold it); equal sets of ids are one object. A node stands
+    for a word, not a letter, so the automaton takes about ten nodes for each benchmark word.
     """
     numbers: dict[bytes, int] = {}
     holders: dict[tuple[int, ...], set[str]] = {}
@@ -37,8 +38,10 @@ def build(items: list[tuple[str, bytes]], window: int) -> tuple[ahocorasick.Auto
         for i in range(len(words) - size + 1 if words else 0):
             holders.setdefault(tuple(words[i : i + size]), set()).add(item)
     automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+    values: dict[tuple[int, frozenset[str]], tuple[int, frozenset[str]]] = {}
     for key, ids in holders.items():
-        automaton.add_word(key, (len(key), frozenset(ids)))
+        value = (len(key), frozenset(ids))
+        automaton.add_word(key, values.setdefault(value, value))
     automaton.make_automaton()
     return automaton, numbers
 
@@ -67,31 +70,11 @@ def hits(automaton: ahocorasick.Automaton, numbers: dict[bytes, int], text: byte
     return len(words), list(zip(starts[hit].tolist(), stops[hit].tolist())), frozenset(items)
 
 
-def _pass(docs: DataFrame, items: list[tuple[str, bytes]], text_col: str, window: int, keep: list[str]) -> DataFrame:
-    """Add what one block of the benchmark hits to the columns __words, __spans and __items."""
-    broadcast = docs.sparkSession.sparkContext.broadcast(items)
-    found = "__words bigint, __spans array<struct<start:int,stop:int>>, __items array<string>"
-    span = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton, numbers = build(broadcast.value, window)
-        for batch in batches:
-            words, spans, ids = [], [], []
-            old_spans, old_ids = batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)
-            for text, more, other in zip(batch.column(batch.num_columns - 3), old_spans, old_ids):
-                n, at, held = hits(automaton, numbers, text.as_py())
-                at = set(at) | {(s["start"], s["stop"]) for s in more.as_py()}
-                words.append(n)
-                spans.append([{"start": a, "stop": b} for a, b in sorted(at)])
-                ids.append(sorted(held.union(other.as_py())))
-            columns = [pa.array(words, pa.int64()), pa.array(spans, span), pa.array(ids, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-3], *columns], names=[*batch.schema.names[:-3], "__words", "__spans", "__items"])
+#: The automaton that this worker built last, by the key of its call; the tasks of a scan share it.
+_built: dict[str, tuple[ahocorasick.Automaton, dict[bytes, int]]] = {}
 
-    schema = ", ".join([*(field(docs, c) for c in keep), found])
-    return docs.select(*keep, utf8(text_col).alias("__bytes"), "__spans", "__items").mapInArrow(scan, schema)
 
-
-def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_cols: tuple[str, ...] = ("text",), window: int = WINDOW, keep_cols: tuple[str, ...] = (), block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_cols: tuple[str, ...] = ("text",), window: int = WINDOW, keep_cols: tuple[str, ...] = (), most_bytes: int = MOST_BYTES) -> DataFrame:
     """(id, [keep_cols], n_words, n_hit, spans, items): one row per document.
 
     Texts and the items' columns (questions, answers) are normalised alike: A-Z lower-cased, words of
@@ -100,43 +83,50 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     `spans` are the hit words' (start, stop) in UTF-8 bytes of the original text, `items` the sorted ids of
     the items with a window in the document.
 
-    One automaton holds a benchmark of up to half of block_bytes. A larger one is dealt by a hash into blocks
-    of half that size on average; each makes one automaton and one pass, so neither the driver nor a task
-    holds more than a block.
+    One automaton holds the whole benchmark, and the documents are scanned once, of whatever length. A benchmark
+    of more than most_bytes is refused with an error.
 
     Null text has no words, and a null or wordless item no windows; items without an id are ignored. Repeated
-    documents each keep a row, repeated items count once. Clashing names: internal columns start with two
-    underscores; an output column takes the place of an input column of its name.
+    documents each keep a row, repeated items count once. Clashing names: an output column takes the place of an input column of its name.
     """
     parts = [benchmark.select(F.col(item_col).cast("string").alias("item"), utf8(c).alias("text")) for c in item_text_cols]
     items = parts[0]
     for part in parts[1:]:
         items = items.unionByName(part)
     items = items.filter("item is not null and text is not null").distinct()
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    n_blocks = -(-int(total) * 2 // block_bytes) or 1
-    carried = [c for c in dict.fromkeys((id_col, *keep_cols)) if c not in ("__words", "__spans", "__items")]
-    rows = docs.select(*dict.fromkeys((*carried, text_col))).withColumns(
-        {"__spans": F.array().cast("array<struct<start:int,stop:int>>"), "__items": F.array().cast("array<string>")}
-    )
-    dealt = items.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(n_blocks)))
-    if n_blocks > 1:
-        dealt = checkpoint(dealt)
-    for block in range(n_blocks):
-        held = [(x.item, bytes(x.text)) for x in dealt.filter(F.col("block") == block).sort("item", "text").collect()]
-        more = [] if block + 1 == n_blocks else [text_col]
-        rows = _pass(rows, held, text_col, window, list(dict.fromkeys([*carried, *more])))
-        if block + 1 < n_blocks:
-            rows = checkpoint(rows)
-    extra = [F.col(c) for c in carried if c not in ("n_words", "n_hit", "spans", "items")]
-    return rows.select(
-        *extra, F.col("__words").alias("n_words"), F.size("__spans").cast("bigint").alias("n_hit"), F.col("__spans").alias("spans"), F.col("__items").alias("items")
-    )
+    total = items.agg(F.sum(F.length("text") + F.octet_length("item"))).first()[0] or 0
+    if total > most_bytes:
+        raise ValueError(f"the benchmark has {total} bytes, more than most_bytes = {most_bytes}")
+    held = [(x.item, bytes(x.text)) for x in items.sort("item", "text").collect()]  # most_bytes bounds it
+    broadcast, key = docs.sparkSession.sparkContext.broadcast(held), uuid.uuid4().hex
+    keep = [c for c in dict.fromkeys((id_col, *keep_cols)) if c not in ("n_words", "n_hit", "spans", "items")]
+    span = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if key not in _built:
+            _built.clear()
+            _built[key] = build(broadcast.value, window)
+        automaton, numbers = _built[key]
+        for batch in batches:
+            words, spans, ids = [], [], []
+            for text in batch.column(batch.num_columns - 1):
+                n, at, found = hits(automaton, numbers, text.as_py())
+                words.append(n)
+                spans.append([{"start": a, "stop": b} for a, b in at])
+                ids.append(sorted(found))
+            columns = [pa.array(words, pa.int64()), pa.array([len(x) for x in spans], pa.int64()), pa.array(spans, span), pa.array(ids, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], names=[*keep, "n_words", "n_hit", "spans", "items"])
+
+    schema = ", ".join([*(field(docs, c) for c in keep), "n_words bigint, n_hit bigint, spans array<struct<start:int,stop:int>>, items array<string>"])
+    return docs.select(*(F.col(f"`{c}`") for c in keep), utf8(f"`{text_col}`").alias("__bytes")).mapInArrow(scan, schema)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents in which no benchmark window occurs, with their columns."""
-    renamed = docs.select(*(F.col(c).alias(f"__in_{i}") for i, c in enumerate(docs.columns)))
-    names = {c: f"__in_{i}" for i, c in enumerate(docs.columns)}
-    found = find_contamination(renamed, benchmark, names[id_col], names[text_col], keep_cols=tuple(names.values()), **options)
-    return found.filter("n_hit = 0").select(*(F.col(new).alias(old) for old, new in names.items()))
+    """The documents in which no benchmark window occurs, with their columns, whatever these are named.
+
+    Rows with null, empty or wordless text stay, as do null ids; of repeated rows all stay or none. An empty
+    benchmark keeps all, an empty table gives an empty result. Texts are searched whole.
+    """
+    inner, names = renamed(docs)
+    found = find_contamination(inner, benchmark, names[id_col], names[text_col], keep_cols=tuple(names.values()), **options)
+    return found.filter("n_hit = 0").select(*names.values()).toDF(*docs.columns)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, field, id_remainder, slices
+from .common import checkpoint, field, id_remainder, renamed, slices, valid_text
 
 DIM = 1024
 NGRAM = 3
@@ -91,7 +91,7 @@ def learn_prototypes(docs: DataFrame, lang_col: str = "lang", text_col: str = "t
 
     A batch sends one partial sum for each of its languages; they are added up by place in the vector.
     """
-    rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).filter("lang is not null and text is not null")
+    rows = docs.select(F.make_valid_utf8(F.col(lang_col).cast("string")).alias("lang"), valid_text(text_col).alias("text")).filter("lang is not null and text is not null")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}
@@ -145,7 +145,7 @@ def _score(docs: DataFrame, prototypes: list[tuple[str, list[float]]], text_col:
                 yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64()), *batch.columns[3:]], names=["__lang", "__cosine", *keep])
 
     schema = ", ".join(["__lang string, __cosine double", *(field(docs, c) for c in keep)])
-    return docs.select(F.col(text_col).cast("string").alias("__text"), "__lang", "__cosine", *(F.col(c) for c in keep)).mapInArrow(scan, schema)
+    return docs.select(valid_text(text_col).alias("__text"), "__lang", "__cosine", *(F.col(c) for c in keep)).mapInArrow(scan, schema)
 
 
 def predict_language(docs: DataFrame, prototypes: DataFrame, text_col: str = "text", keep_cols: tuple[str, ...] = ("doc_id",), dim: int = DIM, block: int = BLOCK) -> DataFrame:
@@ -153,9 +153,12 @@ def predict_language(docs: DataFrame, prototypes: DataFrame, text_col: str = "te
 
     score is the cosine with the nearest prototype, cut to 0..1; ties go to the smaller name. Null text and
     text without a letter get 'und' and 0, as does every text when there are no prototypes. Prototypes are
-    taken `block` languages at a time, so a pass holds block * dim numbers at most.
+    taken `block` languages at a time, so a pass holds block * dim numbers at most. Bytes that are no UTF-8 count
+    as U+FFFD, which is no letter. Kept columns may have any name but the result's two, whose place these take.
     """
-    keep = [c for c in dict.fromkeys(keep_cols) if c not in ("__lang", "__cosine")]
+    kept = [c for c in dict.fromkeys(keep_cols) if c not in ("lang_pred", "score")]
+    docs, names = renamed(docs)
+    keep, text_col = [names[c] for c in kept], names[text_col]
     rows = docs.withColumns({"__lang": F.lit(UNKNOWN), "__cosine": F.lit(0.0)})
     n_langs = prototypes.count()
     n_blocks = max(1, -(-2 * n_langs // block) if n_langs > block else 1)
@@ -163,28 +166,30 @@ def predict_language(docs: DataFrame, prototypes: DataFrame, text_col: str = "te
         held = prototypes if n_blocks == 1 else prototypes.filter(F.pmod(F.xxhash64("lang"), F.lit(n_blocks)) == i)
         more = [] if i + 1 == n_blocks else [text_col]
         rows = _score(rows, [(x.lang, list(x.vector)) for x in held.collect()], text_col, list(dict.fromkeys([*keep, *more])), dim)
-    out = [F.col(c) for c in keep if c not in ("lang_pred", "score")]
-    return rows.select(*out, F.col("__lang").alias("lang_pred"), F.col("__cosine").alias("score"))
+    return rows.select(*keep, "__lang", "__cosine").toDF(*kept, "lang_pred", "score")
 
 
 def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep_cols: tuple[str, ...] | None = None, dim: int = DIM) -> DataFrame:
     """[keep_cols], held_out, lang_pred, score: learn from four fifths of the labelled rows, predict all.
 
-    A row is held out when crc32(id as text) mod 5 is 0 (a null id counts as the empty string). An empty
-    table gives an empty result; repeated rows each keep a row.
+    A row is held out when crc32(id as text) mod 5 is 0 (a null id counts as the empty string). A null text or
+    language teaches nothing. An empty table gives an empty result; repeated rows each keep a row. Kept columns
+    may have any name but the result's three, whose place these take.
     """
-    keep = tuple(docs.columns) if keep_cols is None else keep_cols
-    rows = docs.withColumn("__held_out", id_remainder(id_col) == 0)
-    prototypes = checkpoint(learn_prototypes(rows.filter(~F.col("__held_out")), lang_col, text_col, dim))
-    found = predict_language(rows, prototypes, text_col, (*keep, "__held_out"), dim)
-    kept = [F.col(c) for c in keep if c not in ("held_out", "lang_pred", "score")]
-    return found.select(*kept, F.col("__held_out").alias("held_out"), "lang_pred", "score")
+    kept = [c for c in (docs.columns if keep_cols is None else keep_cols) if c not in ("held_out", "lang_pred", "score")]
+    inner, names = renamed(docs)
+    rows = inner.withColumn("held", id_remainder(names[id_col]) == 0)
+    prototypes = checkpoint(learn_prototypes(rows.filter(~F.col("held")), names[lang_col], names[text_col], dim))
+    return predict_language(rows, prototypes, names[text_col], (*(names[c] for c in kept), "held"), dim).toDF(*kept, "held_out", "lang_pred", "score")
 
 
 def drop_unidentified(docs: DataFrame, min_score: float = MIN_SCORE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The documents whose language is found with a cosine of min_score or more, with their columns."""
-    names = {c: f"__in_{i}" for i, c in enumerate(docs.columns)}
-    renamed = docs.select(*(F.col(old).alias(new) for old, new in names.items()))
-    found = identify_languages(renamed, names[id_col], names[text_col], names[lang_col])
+    """The documents whose language is found with a cosine of min_score or more, with their columns, whatever these are named.
+
+    Null text and text without a letter go. Of repeated rows all stay or none; a null id stays by its text. An
+    empty table gives an empty result, as does one without any labelled text to learn from. Texts are read whole.
+    """
+    inner, names = renamed(docs)
+    found = identify_languages(inner, names[id_col], names[text_col], names[lang_col])
     kept = found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score))
-    return kept.select(*(F.col(new).alias(old) for old, new in names.items()))
+    return kept.select(*names.values()).toDF(*docs.columns)

@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import checkpoint, renamed
+
 SEED = 42
 #: Weights without a target: each source gets its size to this power.
 TEMPERATURE = 0.7
+#: Numbers of all sources' distributions together up to which they are broadcast (8 bytes each); beyond, the join shuffles.
+MOST_BROADCAST = 1 << 22
 
 
 def unit_hash(seed: int, *columns: Column) -> Column:
@@ -24,7 +28,7 @@ def repetition_rates(docs: DataFrame, target: DataFrame | None = None, source_co
     weighs its size to the power TEMPERATURE. Sizes are summed before the shuffle, one row for each source.
     """
     size = F.lit(1) if size is None else size
-    sums = docs.groupBy(F.col(source_col).alias("source")).agg(F.sum(size.cast("bigint")).alias("size"))
+    sums = docs.groupBy(F.col(f"`{source_col}`").alias("source")).agg(F.sum(size.cast("bigint")).alias("size"))
     if target is None:
         sums = sums.withColumn("weight", F.pow(F.col("size").cast("double"), F.lit(TEMPERATURE)))
     else:
@@ -64,15 +68,18 @@ def mix(docs: DataFrame, target: DataFrame | None = None, source_col: str = "sou
     are dealt to partitions by a hash of id and copy and sorted by it there: a global shuffle in one
     exchange, the same at any number of partitions up to the order of partitions.
 
-    The rates have one row for each source; the join with them is left to the optimiser, which broadcasts
-    them by measured size and splits a hot source's partition otherwise. Null sources are a source of their
-    own; a null id or text counts as empty in the hash. Rows that repeat id and text get the same count.
-    Columns of `docs` named copy, n_copies or mix_key are replaced when copy_cols is set. An empty table
-    gives an empty result.
+    The rates have one row for each source. They are written once and measured: up to MOST_BROADCAST numbers
+    they are broadcast, so that the texts move in the global shuffle alone; beyond, the join shuffles and splits
+    a hot source. Null sources are a source of their own; a null id or text counts as empty in the hash. Rows
+    that repeat id and text get the same count. Texts of any length are hashed whole. Columns of `docs` may have
+    any name; those named copy, n_copies or mix_key are replaced when copy_cols is set. An empty table gives an
+    empty result.
     """
-    names = {c: f"__in_{i}" for i, c in enumerate(docs.columns)}
-    tables = poisson_table(repetition_rates(docs, target, source_col, size, epochs)).withColumn("__known", F.coalesce("source", F.lit(""))).withColumn("__null", F.col("source").isNull())
-    inner = docs.select(*(F.col(c).alias(n) for c, n in names.items()))
+    inner, names = renamed(docs)
+    rates = checkpoint(repetition_rates(docs, target, source_col, size, epochs))
+    numbers = rates.agg(F.sum(F.col("rate") + 10 * F.sqrt("rate") + 32)).first()[0] or 0
+    tables = poisson_table(rates).withColumn("__known", F.coalesce("source", F.lit(""))).withColumn("__null", F.col("source").isNull())
+    tables = F.broadcast(tables) if numbers <= MOST_BROADCAST else tables
     source, doc, text = (F.col(names[c]) for c in (source_col, id_col, text_col))
     inner = inner.withColumns({"__known": F.coalesce(source, F.lit("")), "__null": source.isNull(), "__u": unit_hash(seed, doc, F.md5(F.coalesce(text, F.lit("")).cast("binary")))})
     counted = inner.join(tables.drop("source"), ["__known", "__null"]).withColumn("__n", F.size(F.filter("cdf", lambda c: c <= F.col("__u"))))
@@ -80,4 +87,5 @@ def mix(docs: DataFrame, target: DataFrame | None = None, source_col: str = "sou
     keyed = copies.withColumn("__key", F.xxhash64(F.lit(seed), doc, F.xxhash64(text), F.col("__copy")))
     dealt = keyed.repartition("__key").sortWithinPartitions("__key")
     extra = {"copy": "__copy", "n_copies": "__n", "mix_key": "__key"} if copy_cols else {}
-    return dealt.select(*(F.col(n).alias(c) for c, n in names.items() if c not in extra), *(F.col(n).cast("bigint").alias(c) for c, n in extra.items()))
+    kept = [c for c in docs.columns if c not in extra]
+    return dealt.select(*(names[c] for c in kept), *(F.col(n).cast("bigint") for n in extra.values())).toDF(*kept, *extra)

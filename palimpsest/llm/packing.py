@@ -11,7 +11,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import field, slices, valid_text
 
 LENGTH = 2048
 #: Mean UTF-8 bytes of text that one packing group holds.
@@ -99,9 +99,9 @@ def tokenize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", to
                     ids.append(np.asarray(found, kind).tobytes())
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary())], names=["id", "tag", "ids"])
 
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("tag"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("tag"), valid_text(text_col).alias("text"))
     kind = load_encoding(ranks)[2]
-    return rows.mapInArrow(scan, "id bigint, tag bigint, ids binary"), kind
+    return rows.mapInArrow(scan, f"{field(rows, 'id')}, tag bigint, ids binary"), kind
 
 
 def pack_group(table: pa.Table, length: int, pad: int, kind: str) -> pa.Table:
@@ -134,7 +134,7 @@ def pack_group(table: pa.Table, length: int, pad: int, kind: str) -> pa.Table:
             "input_ids": lists(matrix),
             "cu_seqlens": pa.array(ends, pa.list_(pa.int32())),
             "position_ids": lists(places),
-            "doc_ids": pa.array(ids, pa.list_(pa.int64())),
+            "doc_ids": pa.array(ids, pa.list_(table.schema.field("id").type)),
             "doc_starts": pa.array(starts, pa.list_(pa.int32())),
         }
     )
@@ -149,7 +149,8 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     cu_seqlens has the running piece ends from 0, position_ids start anew in each piece, and the rest of a
     row is `pad` at position 0.
 
-    Null text gives no piece, empty text its end token alone. A null id stays null in doc_ids. Rows that
+    Null text gives no piece, empty text its end token alone; bytes that are no UTF-8 count as U+FFFD. Ids keep
+    their type, text or number; a null id stays null in doc_ids. Rows that
     repeat id and text are packed each. Other columns are ignored. An empty table gives an empty result.
     """
     size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
@@ -157,5 +158,6 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ids, kind = tokenize(docs, id_col, text_col, tokenizer)
     ids = ids.filter(F.length("ids") > 0)
     dealt = ids.withColumn("pack_group", F.pmod(F.xxhash64("id", "tag"), F.lit(n_groups)))
-    schema = "pack_group bigint, row_no bigint, n_tokens int, input_ids array<int>, cu_seqlens array<int>, position_ids array<int>, doc_ids array<bigint>, doc_starts array<int>"
+    kind_of_id = docs.schema[id_col].dataType.simpleString()
+    schema = f"pack_group bigint, row_no bigint, n_tokens int, input_ids array<int>, cu_seqlens array<int>, position_ids array<int>, doc_ids array<{kind_of_id}>, doc_starts array<int>"
     return dealt.groupBy("pack_group").applyInArrow(lambda t: pack_group(t, length, pad, kind), schema)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import renamed
+
 SEED = 42
 #: Rows that one task numbers at a time, on average.
 ROWS_A_GROUP = 20_000
@@ -39,11 +41,13 @@ def assign_shards(docs: DataFrame, weights: list[float], id_col: str = "doc_id",
     there, and moved by the groups' running counts, which come from the ids alone.
 
     A null id is the key '' (the same shard for all such rows, apart in slots). Rows that repeat an id are
-    numbered by crc32 and size, then as they come. Columns of docs named like the result's are replaced. An
-    empty table gives an empty result.
+    numbered by crc32 and size, then as they come. Columns of docs may have any name; those named like the
+    result's are replaced. Texts of any length are measured whole. An empty table gives an empty result.
     """
     own = ("size", "text_crc32", "shard", "slot", "grown_shard")
-    keep = [c for c in (docs.columns if keep_cols is None else keep_cols) if c not in own]
+    kept = [c for c in (docs.columns if keep_cols is None else keep_cols) if c not in own]
+    docs, names = renamed(docs)
+    keep, id_col, text_col = [names[c] for c in kept], names[id_col], names[text_col]
     n_groups = max(64, -(-docs.count() // (ROWS_A_GROUP * len(weights))))
     key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     place = {"__shard": shard_of(key, weights, seed), "__group": F.pmod(F.xxhash64(F.lit(seed + 1), key), F.lit(n_groups))}
@@ -53,14 +57,8 @@ def assign_shards(docs: DataFrame, weights: list[float], id_col: str = "doc_id",
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
     rows = docs.withColumns({**place, "__size": F.length(text).cast("bigint") + 1, "__crc": F.crc32(text)})
     grown = shard_of(key, [*weights, 1.0 if grown_weight is None else grown_weight], seed)
-    rows = rows.withColumn("__grown", grown).select(*(F.col(c).alias(f"__in_{i}") for i, c in enumerate(keep)), key.alias("__key"), "__shard", "__group", "__size", "__crc", "__grown")
+    rows = rows.withColumn("__grown", grown).select(*keep, key.alias("__key"), "__shard", "__group", "__size", "__crc", "__grown")
     order = Window.partitionBy("__shard", "__group").orderBy("__key", "__crc", "__size")
     rows = rows.withColumn("__row", F.row_number().over(order)).join(counts, ["__shard", "__group"])
-    return rows.select(
-        *(F.col(f"__in_{i}").alias(c) for i, c in enumerate(keep)),
-        F.col("__size").alias("size"),
-        F.col("__crc").alias("text_crc32"),
-        F.col("__shard").alias("shard"),
-        (F.col("__before") + F.col("__row") - 1).cast("bigint").alias("slot"),
-        F.col("__grown").alias("grown_shard"),
-    )
+    slot = (F.col("__before") + F.col("__row") - 1).cast("bigint")
+    return rows.select(*keep, "__size", "__crc", "__shard", slot, "__grown").toDF(*kept, *own)

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, field, utf8
+from .common import checkpoint, field, renamed, row_hash, utf8
 from .components import connected_components
 
 MAX_DIFF = 3
@@ -214,27 +214,44 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Null or wordless text: fingerprint zero, linked like any other. A null id links nothing by itself: the
     row takes the component of its fingerprint's class, null when the class has no id. Repeated rows each
-    keep a row. Other columns are ignored, whatever their names. An empty table gives an empty result.
+    keep a row; different texts under one id are not linked by it. Texts are read whole. Other columns are ignored, whatever their names. An empty table gives an empty result.
     """
-    if not 0 <= max_diff <= 3:
-        raise ValueError("max_diff must be from 0 to 3: four blocks leave one equal for three differences")
-    marks = checkpoint(fingerprints(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id"))
-    classes = checkpoint(marks.groupBy("fp").agg(F.min("id").alias("rep")))
-    edges = _links(_under_patterns(classes.filter("rep is not null"), max_group), max_diff)
-    labels = connected_components(edges).withColumnRenamed("node", "rep")
-    named = classes.join(labels, "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return marks.join(named, "fp").select(
+    marks, classes = _classes(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")), max_diff, max_group)
+    return marks.join(classes, "fp").select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_diff: int = MAX_DIFF) -> DataFrame:
-    """The documents that have the smallest id of their component; of rows that repeat the id one stays.
+def _classes(docs: DataFrame, max_diff: int, max_group: int) -> tuple[DataFrame, DataFrame]:
+    """(id, fp) of each row of docs (id, text), and (fp, component, component_id) of each fingerprint.
+
+    Fingerprints are the nodes, so that texts that share an id are not linked by it. `component` is the smallest
+    fingerprint reachable, component_id the smallest id of all of them.
+    """
+    if not 0 <= max_diff <= 3:
+        raise ValueError("max_diff must be from 0 to 3: four blocks leave one equal for three differences")
+    marks = checkpoint(fingerprints(docs, "id"))
+    classes = checkpoint(marks.groupBy("fp").agg(F.min("id").alias("low")))
+    nodes = classes.filter("low is not null").select("fp", F.col("fp").alias("rep"))
+    labels = connected_components(_links(_under_patterns(nodes, max_group), max_diff)).withColumnRenamed("node", "fp")
+    named = checkpoint(classes.join(labels, "fp", "left").select("fp", "low", F.coalesce("component", "fp").alias("component")))
+    lowest = named.groupBy("component").agg(F.min("low").alias("component_id"))
+    return marks, named.join(lowest, "component").select("fp", "component", "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_diff: int = MAX_DIFF, max_group: int = MAX_GROUP) -> DataFrame:
+    """One document of each component of fingerprints, with its columns, whatever these are named: the one with the smallest id.
 
-    Documents without an id stay: nothing tells which of them a group should keep.
+    Of rows of a component that share that id one stays, whatever their texts; rows that share an id but no
+    component are told apart. Documents without an id stay: nothing tells which of them a group should keep.
+    Null and wordless texts are one group. An empty table gives an empty result. Texts are read whole.
     """
-    found = simhash_components(docs, id_col, text_col, max_diff)
-    kept = found.filter(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    first = Window.partitionBy(id_col).orderBy(F.xxhash64(*docs.columns))
-    one = docs.join(kept, id_col, "left_semi").withColumn("__copy", F.row_number().over(first))
-    return one.filter("__copy = 1").select(*docs.columns).unionByName(docs.filter(F.col(id_col).isNull()))
+    inner, names = renamed(docs)
+    doc = F.col(names[id_col])
+    rows = inner.filter(doc.isNotNull()).withColumns({"id": doc, "tag": F.xxhash64(F.col(names[text_col]).cast("string"))})
+    texts = rows.select(F.struct("id", "tag").alias("id"), F.col(names[text_col]).alias("text"))
+    marks, classes = _classes(texts, max_diff, max_group)
+    kept = marks.join(classes, "fp").groupBy("component").agg(F.min("id").alias("first")).select(F.col("first.id").alias("id"), F.col("first.tag").alias("tag"))
+    of_text = Window.partitionBy("id", "tag").orderBy("hash")
+    one = rows.join(kept, ["id", "tag"], "left_semi").withColumn("hash", row_hash(inner)).withColumn("copy", F.row_number().over(of_text))
+    return one.filter("copy = 1").select(*names.values()).unionByName(inner.filter(doc.isNull())).toDF(*docs.columns)

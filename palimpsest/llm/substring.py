@@ -183,7 +183,8 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Null text has no words. A null id is no earlier than any other: such a row loses nothing and makes
     nothing repeated. Rows that repeat id and text get the same result each; windows within one id never
-    count. A document shorter than the window is kept whole. Other columns are ignored.
+    count. A document shorter than the window is kept whole. Bytes that are no UTF-8 are compared as they are
+    and come back as U+FFFD in kept_text. Other columns are ignored. An empty table gives an empty result.
     """
     rows = docs.select(
         F.col(id_col).alias("id"),
@@ -210,7 +211,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                     spans = [{"first": int(a), "words": int(b - a)} for a, b in zip(edges[::2], edges[1::2])]
                     words = [w for w, g in zip(words, gone) if not g]
                 kept = b" ".join(words)
-                out.append((n, n - len(words), hashlib.sha256(kept).hexdigest(), spans, kept.decode() if with_text else None))
+                out.append((n, n - len(words), hashlib.sha256(kept).hexdigest(), spans, kept.decode(errors="replace") if with_text else None))
             columns = [pa.array(x, kind) for x, kind in zip(zip(*out), KINDS)] if out else [pa.array([], kind) for kind in KINDS]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns][: 6 if with_text else 5], names=NAMES[: 6 if with_text else 5])
 

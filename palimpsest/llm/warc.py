@@ -55,7 +55,8 @@ def merkle_levels(leaves: DataFrame, height: int, leaf_bits: int = LEAF_BITS, fa
 
     A leaf range covers 2**leaf_bits bytes of a file and digests the records that start in it, in offset
     order; a node covers 2**fanout_bits ranges of the level below. A node's digest covers the offsets too, so
-    a moved record changes it.
+    a moved record changes it. Each level is written once, some hundred bytes for each range, so that a step of
+    the descent reads its level and nothing below.
     """
     row = F.concat_ws(":", F.col("offset").cast("string"), F.col("length").cast("string"), F.col("digest"))
     parts = leaves.select("file", F.shiftright("offset", leaf_bits).alias("range"), F.col("offset").alias("at"), row.alias("part"))
@@ -63,7 +64,7 @@ def merkle_levels(leaves: DataFrame, height: int, leaf_bits: int = LEAF_BITS, fa
     for _ in range(height):
         joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "part"))), lambda x: x.part), "\n")
         level = parts.groupBy("file", "range").agg(F.sha2(joined.cast("binary"), 256).alias("digest"))
-        levels.append(level)
+        levels.append(level := checkpoint(level))
         parts = level.select("file", F.shiftright("range", fanout_bits).alias("range"), F.col("range").alias("at"), F.concat_ws(":", F.col("range").cast("string"), "digest").alias("part"))
     return levels
 

@@ -194,18 +194,32 @@ def plain_contamination(rows, items, window=10):
         yield i, len(words), len(hit), tuple(sorted(ids))
 
 
-@pytest.mark.parametrize("block_bytes", [2 << 20, 300])
-def test_contamination(spark, docs, rows, block_bytes):
+def test_contamination(spark, docs, rows):
     texts = [r[1] for r in rows if r[1] and 100 < len(r[1]) < 3000]
     items = [(i, f"Q: {t[20:120]}") for i, t in enumerate(texts[:8])] + [(50, "12"), (51, None), (52, "?!"), (None, "12"), (53, "Beta"), (54, "Beta"), (54, "Beta")]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    found = decontamination.find_contamination(docs, bench, block_bytes=block_bytes)
+    found = decontamination.find_contamination(docs, bench)
     assert bag((r.doc_id, r.n_words, r.n_hit, tuple(r["items"])) for r in found.collect()) == bag(plain_contamination(rows, items))
     clean = bag((r[0],) for r in plain_contamination(rows, items) if not r[2])
-    kept = decontamination.drop_contaminated(docs, bench, block_bytes=block_bytes)
+    kept = decontamination.drop_contaminated(docs, bench)
     assert kept.columns == docs.columns and bag((r.doc_id,) for r in kept.collect()) == clean
 
 
+def test_contamination_by_a_large_benchmark(spark):
+    """Over 2 MB of items: still one automaton and one scan of the documents, and the same result."""
+    rng = random.Random(9)
+    items = [(i, " ".join(f"w{rng.randrange(50_000)}" for _ in range(120))) for i in range(2800)]
+    assert sum(len(t) for _, t in items) > 2 << 20
+    rows = [(i, f"some text {' '.join(items[i * 31][1].split()[5 : 5 + i])} and more") for i in range(40)]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = decontamination.find_contamination(docs, bench)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and plan.count("LogicalRDD") + plan.count("LocalRelation") == 1
+    assert bag((r.doc_id, r.n_words, r.n_hit, tuple(r["items"])) for r in found.collect()) == bag(plain_contamination(rows, items))
+    with pytest.raises(ValueError, match="most_bytes"):
+        decontamination.find_contamination(docs, bench, most_bytes=1000)
+
+
 def test_contamination_offsets(spark):
     docs = spark.createDataFrame([(1, "Où est -- The ANSWER, là: été?")], "doc_id long, text string")
     bench = spark.createDataFrame([("a", "the answer là", "x")], "item_id string, q string, a string")
@@ -334,24 +348,120 @@ def test_lm_base_scores(docs, rows, head_size):
         assert math.isfinite(r.score) and r.score < 0
 
 
+def plain_lm(rows, head_size, n_bits, shares=lm.STEPS):
+    """P(token | history) of every text by plain loops and dictionaries; only hashes and tree paths come from the library."""
+    import numpy as np
+
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 1
+    toks = lambda t: [w.encode() for w in WORD.findall(lower(t or ""))] + [lm.END]
+    hashes = {}
+    for r in rows:
+        t, found = toks(r[1]), lm.Words([(r[1] or "").encode()])
+        assert found.bytes_of(np.arange(len(t))).to_pylist() == t
+        hashes.update(zip(t, found.hash.tolist()))
+    counts = Counter(w for r in rows if not held(r[0]) for w in toks(r[1]))
+    return held, toks, hashes, counts
+
+
+@pytest.mark.parametrize("head_size", [1000, 25])
+def test_lm_scores_against_plain_loops(spark, rows, head_size, monkeypatch):
+    """The model of two rounds, trained and applied token by token, and its score of each text; partitions don't matter."""
+    import numpy as np
+
+    few = [r for r in rows if r[0] != 503 and len(r[1] or "") < 900]
+    frame = spark.createDataFrame(few, SCHEMA)
+    held, toks, hashes, counts = plain_lm(few, head_size, 10)
+    found = {}
+    kept = {}
+    start = lm.start_model
+    monkeypatch.setattr(lm, "start_model", lambda *a: kept.setdefault("model", start(*a)))
+    for parts in (2, 7):
+        found[parts] = {(r.doc_id, r.n_tokens, round(r.base_score, 6)): r.score for r in lm.score_documents(frame.repartition(parts), head_size=head_size).collect()}
+    for key, score in found[2].items():
+        assert abs(score - found[7][key]) < 1e-3 * max(1, -score)
+    tree, n_rows = kept["model"].classes, len(kept["model"].weights)
+    place = {int(h): i for i, h in enumerate(tree.hashes)}
+    code = lambda w: place.get(hashes[w], len(place) + (hashes[w] >> 32))
+    if head_size == 1000:
+        assert set(place) == {hashes[w] for w in counts}
+    by_hash = Counter()
+    for w, c in counts.items():
+        by_hash[hashes[w]] = c
+    weights = defaultdict(float)
+    bits = n_rows.bit_length() - 1
+    scalar = lambda *parts: int(lm._hash(*parts)[0])
+
+    def steps(c, one, two):
+        leaf = int(tree.leaves(np.array([c]))[0])
+        for depth, p in enumerate(range(tree.starts[leaf], tree.starts[leaf + 1])):
+            node, slot = int(tree.nodes[p]), int(tree.slots[p])
+            cells = []
+            for i, (deep, parts) in enumerate(zip(lm.DEPTHS, ((one,), (two,), (one, two)))):
+                if depth < deep and all(x < n_rows // 4 for x in parts):
+                    mixed = (scalar(i + 1, *(x + 2 for x in parts)) ^ scalar(9, node)) * int(lm._MIX) % (1 << 64)
+                    cells.append(mixed >> (64 - bits))
+            logits = [float(tree.bias[node, j]) + sum(weights[r, j] for r in cells) for j in range(lm.ARITY)]
+            top = max(logits)
+            total = sum(math.exp(x - top) for x in logits)
+            yield [math.exp(x - top) / total for x in logits], slot, cells
+
+    part = {i: r.x for i, r in enumerate(frame.select(F.pmod(F.xxhash64("doc_id", F.lit("round")), F.lit(len(lm.STEPS))).alias("x")).collect())}
+    order = [(r.doc_id, r.text) for r in frame.collect()]
+    for turn, step in enumerate(lm.STEPS):
+        expected, observed = Counter(), Counter()
+        for i, (d, text) in enumerate(order):
+            if held(d) or part[i] != turn:
+                continue
+            codes = [code(w) for w in toks(text)]
+            for at, c in enumerate(codes):
+                for p, slot, cells in steps(c, codes[at - 1] if at else -1, codes[at - 2] if at > 1 else -1):
+                    for r in cells:
+                        observed[r, slot] += 1
+                        for j, x in enumerate(p):
+                            expected[r, j] += x
+        for cell in set(expected) | set(observed):
+            weights[cell] += step * math.log((observed[cell] + lm.CALM) / (expected[cell] + lm.CALM))
+    n = counts.total()
+    for d, text in order:
+        codes, score, base = [code(w) for w in toks(text)], 0.0, 0.0
+        for at, (c, w) in enumerate(zip(codes, toks(text))):
+            base += math.log10((counts[w] + 0.5) / (n + 0.5 * (len(counts) + 1)))
+            for p, slot, _ in steps(c, codes[at - 1] if at else -1, codes[at - 2] if at > 1 else -1):
+                score += math.log10(p[slot])
+            if c >= len(place):
+                score += math.log10((counts[w] + 0.5) / tree.leaf_mass[(c - len(place)) % len(tree.leaf_mass)])
+        got = found[2][d, len(codes), round(base, 6)]
+        assert abs(got - score) < 2e-3 * max(1, -score)
+
+
 def test_lm_model_sums_to_one():
-    """Class and word probabilities of a trained model add up to one after any history."""
+    """The probabilities of all leaves add up to one after any history, before and after training."""
     import numpy as np
 
-    rng = random.Random(3)
-    words = [f"w{i}".encode() for i in range(200)]
-    text = [rng.choice(words[: 1 + i % 200]) for i in range(6000)]
-    head = sorted(Counter(text).items(), key=lambda x: (-x[1], x[0]))[:150]
-    model = lm.start_model(head, len(text))
-    codes = np.array([*map(lm.Codes(model.shortlist).__getitem__, text)])
+    rng = np.random.default_rng(3)
+    hashes = np.sort(rng.integers(0, 1 << 63, 700).astype(np.uint64))
+    counts = np.sort(rng.zipf(1.4, 700).clip(1, 5000))[::-1]
+    tree = lm.class_tree(hashes, counts, rng.integers(1, 90, 256) + 0.5, 2)
+    model = lm.Model(tree, np.zeros((1 << 10, lm.ARITY), np.float32))
+    every = np.arange(700 + 256)
+    assert (tree.leaves(every) == every).all()
+    codes = rng.integers(0, 60, 5000)
     one, two = lm.histories(codes, np.array([0, 500]))
     before = lm.log_probabilities(model, codes, one, two).sum()
-    lm.train_on(model, model.weights, np.full_like(model.weights, lm.CALM), np.zeros(lm.ROWS, np.float32), codes, one, two)
-    assert lm.log_probabilities(model, codes, one, two).sum() > before
-    every = np.array([*range(len(model.shortlist)), lm.SHORTLIST])
-    for a, b in ((-1, -1), (3, -1), (140, 2), (lm.SHORTLIST + 9, 5)):
-        p = np.exp(lm.log_probabilities(model, every, np.full(len(every), a), np.full(len(every), b)))
-        assert abs(p.sum() - 1) < 1e-4
+    expected, observed = np.zeros(model.weights.size, np.float32), np.zeros(model.weights.size, np.int32)
+    lm.add_gradient(model, expected, observed, codes, one, two)
+    moved = lm.Model(tree, (0.5 * np.log((observed + lm.CALM) / (expected + lm.CALM))).astype(np.float32).reshape(model.weights.shape))
+    assert lm.log_probabilities(moved, codes, one, two).sum() > before
+    for m in (model, moved):
+        for a, b in ((-1, -1), (3, -1), (140, 2), (10**6, 5)):
+            p = np.exp(lm.log_probabilities(m, every, np.full(len(every), a), np.full(len(every), b)))
+            assert abs(p.sum() - 1) < 1e-4
+
+
+def test_lm_head_of_equal_counts(spark):
+    words = spark.range(5000).select(F.col("id").cast("string").cast("binary").alias("word"), F.xxhash64("id").alias("hash"), F.lit(3).cast("long").alias("n"))
+    hashes, counts = lm.most_frequent(words, 1000)
+    assert 800 < len(hashes) < 1200 and set(counts) == {3}
 
 
 def test_lm_beats_its_base_on_held_out_texts(spark, sf_dir):
@@ -473,6 +583,94 @@ def test_packing_round_trip(spark, docs, rows):
     assert isinstance(encoding, tiktoken.Encoding)
 
 
+# Names, types and bytes
+
+
+def test_odd_columns_and_bytes(spark):
+    """Dotted, clashing and map columns, text ids, and bytes that are no UTF-8: no crash, and columns come back as they were."""
+    base = spark.createDataFrame([(i, f"un texte français numéro {i} avec des mots" if i % 2 else f"an english text number {i} with words", "en fr".split()[i % 2]) for i in range(30)], "doc_id long, text string, lang string")
+    odd = {c: F.lit("x") for c in ("__text", "__size", "__copy", "__shard", "__in_0", "__lang", "source", "held", "row", "hash")}
+    docs = base.withColumns(odd).withColumn("a.b", F.lit(1)).withColumn("m", F.create_map(F.lit("k"), F.col("doc_id")))
+    broken = base.select(F.lit(99).cast("long").alias("doc_id"), F.expr("cast(X'61ff6220FF' as string)").alias("text"), "lang").limit(1).withColumns(odd).withColumn("a.b", F.lit(1)).withColumn("m", F.create_map(F.lit("k"), F.col("doc_id")))
+    docs = docs.unionByName(broken)
+    bench = spark.createDataFrame([(1, "nothing here")], "item_id long, text string")
+    for kept in (simhash.drop_near_duplicates(docs), decontamination.drop_contaminated(docs, bench), langid.drop_unidentified(docs), mixing.mix(docs, copy_cols=False), sharding.assign_shards(docs, [1.0] * 4)):
+        assert kept.columns[: len(docs.columns)] == docs.columns and kept.count() > 0
+        assert {r["__size"] for r in kept.collect()} == {"x"} and {r["__copy"] for r in kept.collect()} == {"x"}
+    assert {r.lang_pred for r in langid.identify_languages(docs.filter("doc_id = 99").unionByName(docs)).filter("doc_id = 99").collect()} <= {"en", "fr"}
+    assert substring.dedup_substrings(docs, with_text=True).count() == 31
+    assert lm.score_documents(docs).count() == 31
+    named = docs.withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")))
+    packed = packing.pack_documents(named, length=64).collect()
+    assert {d for r in packed for d in r.doc_ids} == {f"d{i}" for i in [*range(30), 99]}
+
+
+def test_near_duplicates_under_one_id(spark):
+    """Different texts that share an id both stay; of near copies under one id one stays."""
+    a, b = "the quick brown fox jumps over the lazy dog again and again " * 5, "completely other words stand in this second text of the same number here " * 5
+    docs = spark.createDataFrame([(1, a), (1, b), (1, a), (2, a), (None, a)], "doc_id long, text string")
+    assert bag(simhash.drop_near_duplicates(docs).collect()) == bag([(1, a), (1, b), (None, a)])
+
+
+def test_language_by_plain_cosine(spark, rows, docs):
+    """Prototypes, cosine and arg-max by plain loops over letters."""
+    import numpy as np
+
+    vector = lambda c: langid._random(np.array([ord(c)]), langid.DIM)[0].astype(np.int64)
+    letters = {}
+
+    def bundle(text):
+        flat = re.sub(r" +", " ", "".join(c if c.isalpha() else " " for c in f" {(text or '').lower()} "))
+        out = np.zeros(langid.DIM, np.int64)
+        grams = Counter(flat[i : i + 3] for i in range(len(flat) - 2))
+        for g, n in grams.items():
+            v = 1
+            for place, c in enumerate(g):
+                v = v * np.roll(letters.setdefault(c, vector(c)), 2 - place)
+            out += n * v
+        return out
+
+    sums = defaultdict(lambda: np.zeros(langid.DIM, np.int64))
+    for r in rows:
+        if zlib.crc32(("" if r[0] is None else str(r[0])).encode()) % 5 and r[2] is not None and r[1] is not None:
+            sums[r[2]] += bundle(r[1])
+    for r in langid.identify_languages(docs, keep_cols=("doc_id", "text")).collect():
+        v = bundle(r.text)
+        if not any(map(str.isalpha, r.text or "")):
+            assert (r.lang_pred, r.score) == ("und", 0)
+            continue
+        cosines = {lang: float(v @ s / np.linalg.norm(v) / np.linalg.norm(s)) for lang, s in sums.items()}
+        best = max(cosines.values())
+        assert abs(cosines[r.lang_pred] - best) < 1e-5 and abs(r.score - max(0, best)) < 1e-5
+
+
+def test_shards_by_plain_rendezvous(spark, rows, docs):
+    """shard and grown_shard by the highest -1 / ln(u) of plain hashes."""
+
+    def best(key, n):
+        scores = []
+        for i in range(n):
+            h = xxhash.xxh64_intdigest(key.encode(), chain(i)) >> 12
+            scores.append((-1.0 / math.log((h + 0.5) / (1 << 52)), i))
+        return max(scores)[1]
+
+    def chain(i):
+        # Spark hashes its columns one after the other, each seeded by the one before; an int as four bytes
+        return xxhash.xxh64_intdigest(i.to_bytes(4, "little"), xxhash.xxh64_intdigest((sharding.SEED).to_bytes(4, "little"), 42))
+
+    for r in sharding.assign_shards(docs, [1.0] * 8, keep_cols=("doc_id",)).collect():
+        key = "" if r.doc_id is None else str(r.doc_id)
+        assert (r.shard, r.grown_shard) == (best(key, 8), best(key, 9))
+
+
+def test_trusted_beyond_the_broadcast(spark, docs, monkeypatch):
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 120, 2)], "doc_id long, quality int, toxic int")
+    listed = quality.trusted_ids(labels)
+    small = bag(quality.quality_rules(docs, listed).select("doc_id", F.round("llr", 9)).collect())
+    monkeypatch.setattr(quality, "MOST_TRUSTED", 5)
+    assert bag(quality.quality_rules(docs, listed).select("doc_id", F.round("llr", 9)).collect()) == small
+
+
 # Empty tables
 
 
@@ -480,6 +678,7 @@ def test_empty_tables(spark, empty):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert simhash.simhash_components(empty).count() == 0
     assert simhash.drop_near_duplicates(empty).count() == 0
+    assert langid.drop_unidentified(empty).count() == 0 and decontamination.drop_contaminated(empty, bench).count() == 0
     assert substring.dedup_substrings(empty).count() == 0
     assert decontamination.find_contamination(empty, bench).count() == 0
     assert langid.identify_languages(empty).count() == 0
