@@ -33,21 +33,31 @@ NOISE = (
     r"(?i:N/A\s*)",
     r"_{2,}\s*%?\s*",
 )
-OPTION = r"(?i)^(([☐□]|\[\s*\])?\s*(Yes|No|N/A|Not Applicable)(\s+([☐□]|\[\s*\])?\s*(Yes|No|N/A|Not Applicable))*\s*|_{3,}\s*%?\s*|\[\s*\])$"
+# The form options, one entry a rule, in order.
+OPTIONS = (
+    r"(☐|□|\[\s*\])?\s*(Yes|No|N\/A|Not Applicable)(\s+(☐|□|\[\s*\])?\s*(Yes|No|N\/A|Not Applicable))*\s*",
+    r"_{3,}\s*%?\s*",
+    r"N\/A\s*",
+    r"\s*\[\s*\]\s*",
+)
+# Words and phrases that ask for more text after them, in order.
 JOINING_WORDS = "the|a|an|of|in|on|at|to|for|with|from|by|and|or|but|as|within|under|over|about|into|through|during|before|after|between|among"
 NUMBER_WORDS = "one|two|three|four|five|six|seven|eight|nine|ten|first|second|third|each|every|any|some|all|both|either|neither|such"
 JOINING_PHRASES = (
     r"in\s+each\s+of\s+(the|these|those)?\s*(one|two|three|four|five|six|seven|eight|nine|ten)?",
     r"in\s+excess\s+of",
-    r"not\s+(less|more)\s+than",
-    r"(subject|pursuant)\s+to",
+    r"not\s+less\s+than",
+    r"not\s+more\s+than",
+    r"subject\s+to",
+    r"pursuant\s+to",
     r"in\s+accordance\s+with",
     r"as\s+set\s+forth\s+in",
     r"provided\s+that",
     r"except\s+(that|as|for)",
 )
+# Fixed value: how a footnote paragraph starts.
 FOOTNOTE = r"^([⁰¹²³⁴⁵⁶⁷⁸⁹]+|[0-9]+)\s+(For purposes|The SEC currently|This)"
-#: A field's type by what its name contains; the first that fits counts, else text.
+# A field's type by what its name contains; the first that fits counts, else text.
 FIELD_TYPES = (
     ("date", ("date", "time")),
     ("number", ("number", "amount", "price")),
@@ -58,7 +68,13 @@ FIELD_TYPES = (
     ("url", ("url", "link", "website")),
     ("boolean", ("checkbox", "bool")),
 )
-ABBREVIATIONS = "Mr|Mrs|Ms|Dr|Prof|Inc|Ltd|Corp|Co|No|Sec|Art|vs|etc|e\\.g|i\\.e|U\\.S"
+# Texts whose full stops end no sentence, then references of which the same holds, as (pattern, replacement) with \x01 for the stop.
+ABBREVIATIONS = ("U.S.", "U.K.", "vs.", "e.g.", "i.e.", "etc.")
+REFERENCES = (
+    (r"(\d+)(?U:\s+)U\x01S\x01C\.(?U:\s+)§(?U:\s+)(\d+)", "$1 U\x01S\x01C\x01 § $2"),
+    (r"Section(?U:\s+)(\d+)\.(\d+)-(\d+)", "Section $1\x01$2-$3"),
+    (r"Section(?U:\s+)(\d+)\.(\d+)\(([a-z])\)", "Section $1\x01$2($3)"),
+)
 
 
 def trimmed(text: Column) -> Column:
@@ -83,7 +99,7 @@ def is_noise(text: Column) -> Column:
 
 
 def is_form_option(text: Column) -> Column:
-    return trimmed(text).rlike(OPTION)
+    return trimmed(text).rlike(f"(?i)^({'|'.join(OPTIONS)})$")
 
 
 def is_incomplete(text: Column, following: Column) -> Column:
@@ -97,9 +113,11 @@ def is_incomplete(text: Column, following: Column) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    """Sentences, cut after .!? before a capital, digit or bracket; abbreviations and decimals stay whole."""
-    held = F.regexp_replace(text, rf"\b({ABBREVIATIONS})\.", "$1\u0001")
-    cut = F.split(F.regexp_replace(held, r"([.!?])\s+(?=[\p{Lu}\d(\"'])", "$1\u0002"), "\u0002")
+    """Sentences, cut after .!? before a space with a capital or bracket, a line's end or the text's, and after a semicolon
+    before a line's end, a bracket or 'or'. Some abbreviations and references stay whole."""
+    held = reduce(lambda t, a: F.replace(t, F.lit(a), F.lit(a.replace(".", "\u0001"))), ABBREVIATIONS, text)
+    held = reduce(lambda t, r: F.regexp_replace(t, *r), REFERENCES, held)
+    cut = F.split(F.regexp_replace(held, r"([.!?](?= [A-Z(]|\n|\z)|;(?=\n| \s{0,2}\(| or ))", "$1\u0002"), "\u0002")
     return F.filter(F.transform(cut, lambda s: trimmed(F.translate(s, "\u0001", "."))), lambda s: F.length(s) > 0)
 
 

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 #: The descriptions of the activity view.
 DESCRIPTIONS = {"upload": "Uploaded document", "delete": "Deleted document", "search": "Searched documents", "similarity": "Found similar documents"}
 TERMINAL = ("completed", "error", "cancelled", "cancelling")
-SIZE_TIERS = ((15, "SMALL", 1), (50, "MEDIUM", 2), (150, "LARGE", 3))
 
 
 def count_if(condition: Column) -> Column:
@@ -72,13 +71,6 @@ def health(components: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def size_tier(pages: Column) -> tuple[Column, Column]:
-    tier, priority = F.lit("XLARGE"), F.lit(4)
-    for most, name, rank in reversed(SIZE_TIERS):
-        tier, priority = F.when(pages <= most, name).otherwise(tier), F.when(pages <= most, rank).otherwise(priority)
-    return tier, priority
-
-
 def after_attempt(attempts: Column, most: Column) -> Column:
     return F.when(attempts < most, "queued").otherwise("failed")
 

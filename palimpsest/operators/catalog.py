@@ -30,6 +30,15 @@ def exclude_source(source: object, allowed: object = None, id_col: str = "docume
     return F.col(id_col).isin(rest) if rest else F.lit(False)
 
 
+def page_order_anomalies(rows: DataFrame, key: str, order: str, first_pages: int = 11) -> DataFrame:
+    """Chunks that start more than a page before the end of the chunk before them, or are stuck on page 1 beyond the first `first_pages`."""
+    by = Window.partitionBy(key).orderBy(order)
+    marked = rows.withColumns({"prev_end": F.lag("end_page").over(by), "place": F.row_number().over(by)})
+    back = F.coalesce(F.col("start_page") < F.col("prev_end") - 1, F.lit(False))
+    stuck = (F.col("start_page") == 1) & (F.col("end_page") == 1) & (F.col("place") > first_pages)
+    return marked.withColumns({"out_of_order": back, "stuck": F.coalesce(stuck, F.lit(False))}).filter("out_of_order or stuck").drop("place")
+
+
 def page_overlap(low: int, high: int) -> Column:
     """start <= high and end >= low, or without a range the page in between."""
     ranged = (F.col("start_page") <= high) & (F.col("end_page") >= low)

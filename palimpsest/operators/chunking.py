@@ -54,20 +54,39 @@ def paragraphs_of(docs: DataFrame, id_col: str, text_col: str, per_page: int = 5
     return rows.withColumn("page_number", (F.col("idx") / per_page).cast("int") + 1)
 
 
+_NOISE, _OPTION, _TEXT = range(3)
+
+
+def _option_owners(codes: list[int], limit: int) -> list[int]:
+    """For each paragraph (4 * length + kind) the position of the one that it is appended to, or its own."""
+    totals, owners, question, last = {}, [], None, None
+    for i, code in enumerate(codes):
+        chars, kind = divmod(code, 4)
+        home = last if question is None else question
+        if kind == _OPTION and home is not None and totals[home] > 0 and totals[home] + chars < limit:
+            totals[home] += chars
+            owners.append(home)
+            continue
+        totals[i], last = chars, i
+        owners.append(i)
+        question = i if kind == _TEXT else question
+    return owners
+
+
 def merge_form_options(rows: DataFrame, limit: int = 2000) -> DataFrame:
-    """Form options appended to the last paragraph before them that is neither noise nor an option.
+    """Form options appended to the question: the last paragraph before them that is neither noise nor an option.
 
-    The running non-space length of a question with its options decides; what would reach `limit` stays apart.
+    Without a question an option goes to the paragraph before it, noise included. An option that would bring the
+    non-space length to `limit` stays apart, and a later one that fits is still appended.
     """
-    order = Window.partitionBy(KEY).orderBy("idx")
-    marked = rows.withColumns({"option": is_form_option(F.col("text")), "chars": nonspace_length(F.col("text"))})
-    question = F.last(F.when(~F.col("option") & ~is_noise(F.col("text")), F.col("idx")), ignorenulls=True).over(order)
-    marked = marked.withColumn("owner", F.when(F.col("option"), F.coalesce(question, F.col("idx"))).otherwise(F.col("idx")))
-    run = Window.partitionBy(KEY, "owner").orderBy("idx")
-    marked = marked.withColumn("run", F.sum("chars").over(run))
-    group = F.when(F.col("run") < limit, F.col("owner")).otherwise(F.col("idx"))
-    listed = marked.groupBy(KEY, group.alias("at")).agg(F.sort_array(F.collect_list(F.struct("idx", "text", "page_number"))).alias("items"))
-    return listed.select(KEY, F.col("at").alias("idx"), F.col("items")[0].page_number.alias("page_number"), F.array_join(F.transform("items", lambda x: x.text), " ").alias("text"))
+    kind = F.when(is_form_option(F.col("text")), _OPTION).when(is_noise(F.col("text")), _NOISE).otherwise(_TEXT)
+    coded = rows.withColumn("code", F.coalesce(nonspace_length(F.col("text")), F.lit(0)) * 4 + kind)
+    lists = coded.groupBy(KEY).agg(F.sort_array(F.collect_list(F.struct("idx", "code", "text", "page_number"))).alias("items"))
+    owned = lists.withColumn("owner", folded(F.col("items.code"), lambda codes: _option_owners(codes, limit)))
+    each = _exploded(owned.select(KEY, F.arrays_zip("items", "owner").alias("z")), "z", "at", "n").select(KEY, "n.items.*", "n.owner")
+    listed = each.groupBy(KEY, "owner").agg(F.sort_array(F.collect_list(F.struct("idx", "text", "page_number"))).alias("items"))
+    first = F.col("items")[0]
+    return listed.select(KEY, first.idx.alias("idx"), first.page_number.alias("page_number"), F.array_join(F.transform("items", lambda x: x.text), " ").alias("text"))
 
 
 def clean_paragraphs(rows: DataFrame) -> DataFrame:

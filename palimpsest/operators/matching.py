@@ -68,8 +68,9 @@ def fallback_matches(weak: DataFrame, primary: DataFrame, k: int = 5, max_length
     """
     rank = lambda own, other: F.row_number().over(Window.partitionBy(*PAIR, f"{own}_index").orderBy(F.desc("score"), f"{other}_index"))
     near = weak.withColumn("ra", rank("a", "b")).withColumn("rb", rank("b", "a")).filter((F.col("ra") <= k) & (F.col("rb") <= k))
-    gap = F.abs(F.col("a_chars") - F.col("b_chars")) / F.greatest("a_chars", "b_chars")
-    free = near.filter(gap <= max_length_gap)
+    sized = (F.col("a_chars") > 0) & (F.col("b_chars") > 0)  # lengths that are unknown or zero tell nothing
+    gap = F.try_divide(F.abs(F.col("a_chars") - F.col("b_chars")), F.greatest("a_chars", "b_chars"))
+    free = near.filter(~F.coalesce(sized & (gap > max_length_gap), F.lit(False)))
     for side in ("a", "b"):
         free = free.join(primary.select(*PAIR, f"{side}_index").distinct(), [*PAIR, f"{side}_index"], "left_anti")
     cols = [c for c in primary.columns if c not in PAIR]

@@ -66,27 +66,48 @@ def insert_absent(table: DataFrame, fresh: DataFrame, key: str) -> DataFrame:
     return table.unionByName(fresh.join(table.select(key), key, "left_anti").select(*table.columns))
 
 
-def page_estimate(size: Column, bytes_per_page: int) -> Column:
-    return F.greatest(F.ceil(size / F.lit(bytes_per_page)), F.lit(1))
-
-
-#: Fixed values by size tier: most pages, name, strategy, least minutes, minutes a page.
+#: Megabytes a page by what a MIME type contains, in order; an image has one page.
+PAGE_MEGABYTES = ((("pdf",), 0.3), (("image",), None), (("word", "doc"), 0.1), ((), 0.2))
+#: Fixed values by size tier: most megabytes, most pages, name, strategy, least minutes, minutes a page, priority.
 TIERS = (
-    (5, "Micro", "fast-track", 0.5, 0.1),
-    (15, "Small", "standard", 1.0, 0.2),
-    (50, "Medium", "optimized", 2.0, 0.3),
-    (100, "Large", "batch-optimized", 5.0, 0.5),
-    (200, "Enterprise", "enterprise-batch", 10.0, 0.7),
-    (None, "Massive", "streaming-batch", 15.0, 1.0),
+    (2, 5, "MICRO", "fast-track", 0.5, 0.1, 1),
+    (10, 15, "SMALL", "standard", 1.0, 0.2, 2),
+    (25, 50, "MEDIUM", "optimized", 2.0, 0.3, 3),
+    (50, 100, "LARGE", "batch-optimized", 5.0, 0.5, 3),
+    (100, 200, "ENTERPRISE", "enterprise-batch", 10.0, 0.7, 4),
+    (None, None, "MASSIVE", "streaming-batch", 15.0, 1.0, 4),
 )
+#: A job's priority by most megabytes.
+JOB_PRIORITIES = ((2, 7), (10, 5), (25, 4), (None, 3))
+_MEGABYTE = 1024 * 1024
+
+
+def page_estimate(size: Column, mime: Column) -> Column:
+    """Pages of a file of so many bytes by its MIME type."""
+    out, low = None, F.coalesce(mime, F.lit(""))
+    for marks, each in reversed(PAGE_MEGABYTES):
+        pages = F.lit(1).cast("bigint") if each is None else F.ceil(size / F.lit(float(_MEGABYTE)) / F.lit(each))
+        hit = F.lit(False)
+        for m in marks:
+            hit = hit | low.contains(m)
+        out = pages if out is None else F.when(hit, pages).otherwise(out)
+    return out
+
+
+def sizing(size: Column, pages: Column) -> dict[str, Column]:
+    """Tier, strategy, minutes (rounded up) and priority of a document of so many bytes and pages: the first tier that holds both."""
+    out: dict[str, Column] = {}
+    for most, most_pages, name, strategy, least, each, priority in reversed(TIERS):
+        own = {"tier": F.lit(name), "strategy": F.lit(strategy), "minutes": F.ceil(F.greatest(F.lit(least), pages * F.lit(each))), "priority": F.lit(priority)}
+        out = own if most is None else {k: F.when((size <= most * _MEGABYTE) & (pages <= most_pages), own[k]).otherwise(out[k]) for k in own}
+    return out
 
 
-def sizing(pages: Column) -> tuple[Column, Column, Column]:
-    """Tier, strategy and estimated minutes of a document with so many pages."""
+def job_priority(size: Column) -> Column:
+    """Small files first, to keep the queue moving."""
     out = None
-    for most, name, strategy, least, each in reversed(TIERS):
-        own = (F.lit(name), F.lit(strategy), F.greatest(F.lit(least), pages * each))
-        out = own if most is None else tuple(F.when(pages <= most, a).otherwise(b) for a, b in zip(own, out))
+    for most, priority in reversed(JOB_PRIORITIES):
+        out = F.lit(priority) if most is None else F.when(size <= most * _MEGABYTE, priority).otherwise(out)
     return out
 
 

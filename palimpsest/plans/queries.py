@@ -11,7 +11,7 @@ from ..functions import text as T
 from ..functions.vectors import cosine, is_normalized, norm
 from ..operators import activity as A
 from ..operators import catalog as C
-from ..operators import chunking, matching, search
+from ..operators import chunking, matching, search, upkeep
 from ..streaming import feeds
 from . import bindings as B
 
@@ -381,11 +381,12 @@ def chunks_per_page(spark, sf_dir):
     return B.chunks(spark, sf_dir).select("document_id", F.explode(F.sequence(F.col("start_page").cast("bigint"), F.col("end_page").cast("bigint"))).alias("page")).groupBy("document_id", "page").agg(F.count("*").alias("n"))
 
 
-@query("page_order_anomalies", f"""WITH {CHUNKS} SELECT document_id, chunk_index, start_page, prev_end FROM (
-  SELECT *, lag(end_page) OVER (PARTITION BY document_id ORDER BY chunk_index) AS prev_end FROM chunks) WHERE start_page < prev_end""")
+@query("page_order_anomalies", f"""WITH {CHUNKS}, r AS (SELECT *, vec_id // 40 AS volume, lag(end_page) OVER w AS prev_end, row_number() OVER w AS place FROM chunks WINDOW w AS (PARTITION BY vec_id // 40 ORDER BY vec_id)), m AS (
+  SELECT volume, vec_id, start_page, prev_end, coalesce(prev_end - start_page > 1, false) AS out_of_order, start_page = 1 AND end_page = 1 AND place >= 12 AS stuck FROM r) SELECT * FROM m WHERE out_of_order OR stuck""")
 def page_order_anomalies(spark, sf_dir):
-    order = Window.partitionBy("document_id").orderBy("chunk_index")
-    return B.chunks(spark, sf_dir).withColumn("prev_end", F.lag("end_page").over(order)).filter("start_page < prev_end").select("document_id", "chunk_index", "start_page", "prev_end")
+    """Volumes of four documents, so that pages start anew within them."""
+    rows = B.chunks(spark, sf_dir).withColumn("volume", F.expr("vec_id div 40"))
+    return C.page_order_anomalies(rows, "volume", "vec_id").select("volume", "vec_id", "start_page", "prev_end", "out_of_order", "stuck")
 
 
 @query("chunk_scan", f"WITH {CHUNKS} SELECT document_id, chunk_index, page_number, character_count, len(e) AS dimension FROM chunks")
@@ -556,9 +557,11 @@ def delete_cascade(spark, sf_dir):
     return kept.groupBy("l_orderkey").agg(F.count("*").alias("n"))
 
 
-@query("size_tiers", "SELECT CASE WHEN n_chars // 500 <= 15 THEN 'SMALL' WHEN n_chars // 500 <= 50 THEN 'MEDIUM' WHEN n_chars // 500 <= 150 THEN 'LARGE' ELSE 'XLARGE' END AS tier, count(*) AS n FROM documents GROUP BY 1")
+@query("size_tiers", """WITH d AS (SELECT CAST(floor(o_totalprice) AS BIGINT) * 100 AS size FROM orders)
+SELECT CASE WHEN size > 26214400 THEN 3 WHEN size > 10485760 THEN 4 WHEN size > 2097152 THEN 5 ELSE 7 END AS priority, count(*) AS n FROM d GROUP BY 1""")
 def size_tiers(spark, sf_dir):
-    return B.documents(spark, sf_dir).groupBy(A.size_tier(F.expr("n_chars div 500"))[0].alias("tier")).agg(F.count("*").alias("n"))
+    """Jobs by the priority that their size gives; a unit of price is taken for 100 bytes."""
+    return B.jobs(spark, sf_dir).groupBy(upkeep.job_priority(F.col("file_size") * 100).alias("priority")).agg(F.count("*").alias("n"))
 
 
 NOISE_SQL = "|".join(T.NOISE)

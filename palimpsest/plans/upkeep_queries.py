@@ -148,13 +148,16 @@ def first_insert(spark, sf_dir):
     return upkeep.insert_absent(users, B.table(spark, sf_dir, "events").select(F.col("user_id").alias("id"), F.lit("new").alias("role")).distinct(), "id")
 
 
-@query("document_sizing", """WITH p AS (SELECT doc_id, greatest(CAST(ceil(n_chars / 100.0) AS BIGINT), 1) AS pages FROM documents)
-SELECT doc_id, pages, CASE WHEN pages <= 5 THEN 'Micro' WHEN pages <= 15 THEN 'Small' WHEN pages <= 50 THEN 'Medium' WHEN pages <= 100 THEN 'Large' WHEN pages <= 200 THEN 'Enterprise' ELSE 'Massive' END AS tier,
-  round(CASE WHEN pages <= 5 THEN greatest(0.5, pages * 0.1) WHEN pages <= 15 THEN greatest(1, pages * 0.2) WHEN pages <= 50 THEN greatest(2, pages * 0.3) WHEN pages <= 100 THEN greatest(5, pages * 0.5) WHEN pages <= 200 THEN greatest(10, pages * 0.7) ELSE greatest(15, pages) END, 4) AS minutes FROM p""")
+@query("document_sizing", """WITH d AS (SELECT o_orderkey AS id, CAST(floor(o_totalprice) AS BIGINT) * 250 AS size, CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'application/pdf' WHEN '2' THEN 'image/png' WHEN '3' THEN 'application/msword' ELSE 'text/plain' END AS mime FROM orders), p AS (
+  SELECT id, size, CAST(CASE WHEN mime LIKE '%pdf%' THEN ceil(size / 1048576.0::DOUBLE / 0.3::DOUBLE) WHEN mime LIKE '%image%' THEN 1 WHEN mime LIKE '%word%' OR mime LIKE '%doc%' THEN ceil(size / 1048576.0::DOUBLE / 0.1::DOUBLE) ELSE ceil(size / 1048576.0::DOUBLE / 0.2::DOUBLE) END AS BIGINT) AS pages FROM d), tiers(rank, mb, most, tier, strategy, least, each, priority) AS (
+  VALUES (1, 2, 5, 'MICRO', 'fast-track', 0.5::DOUBLE, 0.1::DOUBLE, 1), (2, 10, 15, 'SMALL', 'standard', 1, 0.2, 2), (3, 25, 50, 'MEDIUM', 'optimized', 2, 0.3, 3), (4, 50, 100, 'LARGE', 'batch-optimized', 5, 0.5, 3), (5, 100, 200, 'ENTERPRISE', 'enterprise-batch', 10, 0.7, 4), (6, 1000000::BIGINT, 1000000000, 'MASSIVE', 'streaming-batch', 15, 1.0, 4)), fit AS (
+  SELECT p.*, tiers.*, row_number() OVER (PARTITION BY id ORDER BY rank) AS rn FROM p JOIN tiers ON size <= mb * 1048576 AND pages <= most)
+SELECT id, pages, tier, strategy, CAST(ceil(greatest(least, pages * each)) AS BIGINT) AS minutes, priority FROM fit WHERE rn = 1""")
 def document_sizing(spark, sf_dir):
-    tier, _, minutes = upkeep.sizing(F.col("pages"))
-    rows = B.documents(spark, sf_dir).select("doc_id", upkeep.page_estimate(F.col("n_chars"), 100).alias("pages"))
-    return rows.select("doc_id", "pages", tier.alias("tier"), F.round(minutes, 4).alias("minutes"))
+    """Orders as files: a unit of price is taken for 250 bytes, the order's priority for its type."""
+    mime = F.when(F.col("priority") == 1, "application/pdf").when(F.col("priority") == 2, "image/png").when(F.col("priority") == 3, "application/msword").otherwise("text/plain")
+    rows = B.jobs(spark, sf_dir).select("id", (F.col("file_size") * 250).alias("size"), upkeep.page_estimate(F.col("file_size") * 250, mime).alias("pages"))
+    return rows.select("id", "pages", *(c.alias(n) for n, c in upkeep.sizing(F.col("size"), F.col("pages")).items()))
 
 
 @query("chunk_edges", f"""WITH {CHUNKS}, r AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY chunk_index) AS f, row_number() OVER (PARTITION BY document_id ORDER BY chunk_index DESC) AS l FROM chunks)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import text as T
 from palimpsest.functions.vectors import centroids
-from palimpsest.operators import catalog, chunking, matching, search
+from palimpsest.operators import catalog, chunking, matching, search, upkeep
 from palimpsest.plans import bindings as B
 from palimpsest.plans.queries import QUERIES, SOURCES
 from palimpsest.sources import ocr
@@ -57,11 +57,61 @@ def test_text_helpers(spark):
     assert one(spark, T.nonspace_length(F.col("t")).cast("string"), t="a b\n c") == "3"
     assert one(spark, T.document_of_vector(F.col("t")), t="a_chunk_b_chunk_7") == "a_chunk_b"
     assert one(spark, T.is_form_option(F.col("t")).cast("string"), t="Yes No") == "true"
-    assert one(spark, F.to_json(T.sentences(F.col("t"))), t="Mr. Smith paid. He left! ok") == json.dumps(["Mr. Smith paid.", "He left! ok"], separators=(",", ":"))
+    assert one(spark, F.to_json(T.sentences(F.col("t"))), t="He paid. He left! ok") == json.dumps(["He paid.", "He left! ok"], separators=(",", ":"))
     low, high = T.page_range(F.col("t"))
     assert one(spark, F.concat_ws(",", low, high), t="12-20") == "12,20" and one(spark, F.concat_ws(",", low, high), t="x") == "0,0"
 
 
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("Mr. Smith paid.", ["Mr.", "Smith paid."]),
+        ("In the U.K. Act and the U.S. Code, e.g. This, it holds. (a) Next", ["In the U.K. Act and the U.S. Code, e.g. This, it holds.", "(a) Next"]),
+        ("See 12 U.S.C. § 1813 and Section 2510.3-101 or Section 4.5(a). Then", ["See 12 U.S.C. § 1813 and Section 2510.3-101 or Section 4.5(a).", "Then"]),
+        ("It ends.\nhere lower. 5 digits. \"Quoted\"", ["It ends.", "here lower. 5 digits. \"Quoted\""]),
+        ("(i) one; (ii) two; or three; and four;\nfive", ["(i) one;", "(ii) two;", "or three; and four;", "five"]),
+    ],
+)
+def test_sentences(spark, text, want):
+    assert json.loads(one(spark, F.to_json(T.sentences(F.col("t"))), t=text)) == want
+
+
+@pytest.mark.parametrize(
+    "size, mime, want",
+    [
+        (1_000_000, "application/pdf", (4, "MICRO", 1, 1)),
+        (1_000_000, "application/msword", (10, "SMALL", 2, 2)),
+        (30 << 20, "image/png", (1, "LARGE", 5, 3)),
+        (10 << 20, "application/pdf", (34, "MEDIUM", 11, 3)),
+        (200 << 20, None, (1000, "MASSIVE", 1000, 4)),
+    ],
+)
+def test_sizing(spark, size, mime, want):
+    frame = spark.createDataFrame([(size, mime)], "size long, mime string").withColumn("pages", upkeep.page_estimate(F.col("size"), F.col("mime")))
+    row = frame.select("pages", *(c.alias(n) for n, c in upkeep.sizing(F.col("size"), F.col("pages")).items())).first()
+    assert (row.pages, row.tier, row.minutes, row.priority) == want
+
+
+def test_job_priority(spark):
+    sizes = [2 << 20, (2 << 20) + 1, 10 << 20, 25 << 20, (25 << 20) + 1]
+    frame = spark.createDataFrame([(s,) for s in sizes], "size long")
+    assert [r[0] for r in frame.sort("size").select(upkeep.job_priority(F.col("size"))).collect()] == [7, 5, 5, 4, 3]
+
+
+def test_page_order_anomalies(spark):
+    rows = [(1, i, p, q) for i, (p, q) in enumerate([(1, 2), (2, 4), (3, 3), (1, 1), *[(1, 1)] * 8])]
+    found = catalog.page_order_anomalies(spark.createDataFrame(rows, "document_id int, at int, start_page int, end_page int"), "document_id", "at").sort("at").collect()
+    assert [(r["at"], r.out_of_order, r.stuck) for r in found] == [(3, True, False), (11, False, True)]
+
+
+def test_fallback_without_lengths(spark):
+    """Lengths of zero or null don't keep two chunks apart."""
+    names = "source_id string, target_id string, a_index int, b_index int, a_page int, b_page int, a_start int, a_end int, b_start int, b_end int, a_chars int, b_chars int, score double"
+    frame = spark.createDataFrame([("s", "t", i, i, 1, 1, 1, 1, 1, 1, a, b, 0.9) for i, (a, b) in enumerate([(0, 0), (None, 5), (10, 100), (90, 100)])], names)
+    found = matching.fallback_matches(frame, frame.filter("false"))
+    assert sorted(r.a_index for r in found.collect()) == [0, 1, 3]
+
+
 def test_page_overlap(spark):
     rows = [(14, 15, 14), (15, 16, 15), (16, 18, 16), (17, 18, 17), (None, None, 15), (None, None, 17)]
     frame = spark.createDataFrame(rows, "start_page int, end_page int, page_number int").withColumn("x", catalog.page_overlap(15, 16))
@@ -304,6 +354,10 @@ def test_form_options_and_page_exclusion(spark):
     rows = [(1, 0, 1, "Is X the investor?"), (1, 1, 1, "2.1"), (1, 2, 2, "Yes No")]
     frame = spark.createDataFrame(rows, "document_id int, idx int, page_number int, text string")
     assert [r.text for r in chunking.merge_form_options(frame).sort("idx").collect()] == ["Is X the investor? Yes No", "2.1"]
+    option = lambda *texts, limit=2000: [r.text for r in chunking.merge_form_options(spark.createDataFrame([(1, i, 1, t) for i, t in enumerate(texts)], frame.schema), limit).sort("idx").collect()]
+    assert option("2.1", "Yes No") == ["2.1 Yes No"]
+    assert option("Yes", "No") == ["Yes No"]
+    assert option("Is it so, please say?", "Not Applicable Not Applicable", "No", limit=22) == ["Is it so, please say? No", "Not Applicable Not Applicable"]
     cut = lambda low, high: chunking.drop_page_range(frame, spark.createDataFrame([(1, low, high)], "document_id int, low int, high int")).count()
     assert (cut(2, 2), cut(1, 2), cut(2, 1)) == (2, 3, 3)
 
