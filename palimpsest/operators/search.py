@@ -23,6 +23,7 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, min_score: float | N
     each query, so the ranking shuffles k rows for a query and batch and never a pair table. Ties: smaller id.
     """
     spark = queries.sparkSession
+    queries = cut(queries.select("query_id", "vector"))  # read once for each block
     n_blocks = max(1, -(-queries.count() // block))
     dealt = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)))
     found = None
@@ -56,7 +57,8 @@ def stage0_candidates(sources: DataFrame, chunks: DataFrame, top_k: int = 600) -
     (document_id, centroid), `chunks` (vec_id, document_id, embedding).
     """
     queries = sources.select(F.col("document_id").alias("query_id"), F.col("centroid").alias("vector"))
-    own = chunks.groupBy("document_id").count().agg(F.max("count")).first()[0] or 0
+    sizes = chunks.join(sources.select("document_id").distinct(), "document_id", "left_semi").groupBy("document_id").count()
+    own = sizes.agg(F.max("count")).first()[0] or 0  # a source's own chunks take places
     hits = nearest(queries, chunks.select("vec_id", F.col("embedding").alias("vector")), 2 * top_k + own)
     named = hits.join(chunks.select("vec_id", "document_id"), "vec_id").filter("document_id <> query_id")
     ranked = named.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))).filter(F.col("rank") <= 2 * top_k)
@@ -126,33 +128,62 @@ def inverted_file(vectors: DataFrame, cells: int = 64, sample: int = 20_000, see
     return vectors.sparkSession.createDataFrame(centres, "vec_id long, vector array<double>")
 
 
-def assign_cells(vectors: DataFrame, centres: DataFrame, copies: int = 1) -> DataFrame:
-    """(vec_id, cell): each vector's `copies` nearest centres by Euclidean distance, as they were fitted; the centres are a fixed, small number."""
-    rows = centres.collect()
-    matrix = np.array([r.vector for r in rows], np.float64).T
-    shared = vectors.sparkSession.sparkContext.broadcast((np.array([r.vec_id for r in rows], np.int64), matrix, (matrix**2).sum(axis=0) / 2))
+def _nearest_cells(vectors: np.ndarray, matrix: np.ndarray, n: int) -> np.ndarray:
+    """The places of each vector's n nearest centres by Euclidean distance, as they were fitted."""
+    return np.argsort((matrix**2).sum(axis=0) / 2 - vectors @ matrix, axis=1, kind="stable")[:, :n]
+
+
+def indexed(vectors: DataFrame, centres: DataFrame, copies: int = 4) -> DataFrame:
+    """(vec_id, vector, cells): the index, each vector with its `copies` nearest cells; the centres are a fixed, small number."""
+    shared = vectors.sparkSession.sparkContext.broadcast(np.array([r.vector for r in centres.sort("vec_id").collect()], np.float64).T)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, matrix, half = shared.value
         for batch in batches:
             if len(batch):
-                best = np.argsort(half - np.stack(batch.vector.to_list()).astype(np.float64) @ matrix, axis=1, kind="stable")[:, :copies]
-                yield pd.DataFrame({"vec_id": np.repeat(batch.vec_id.to_numpy(), best.shape[1]), "cell": ids[best].ravel()})
+                cells = _nearest_cells(np.stack(batch.vector.to_list()).astype(np.float64), shared.value, copies)
+                yield batch.assign(cells=list(cells.astype(np.int32)))
 
-    return vectors.select("vec_id", "vector").mapInPandas(scan, "vec_id bigint, cell bigint")
+    return vectors.select("vec_id", "vector").mapInPandas(scan, f"vec_id bigint, vector {vectors.schema['vector'].dataType.simpleString()}, cells array<int>")
 
 
-def approximate_nearest(queries: DataFrame, vectors: DataFrame, k: int, cells: int = 64, probes: int = 16, copies: int = 4) -> DataFrame:
+def approximate_nearest(queries: DataFrame, vectors: DataFrame, k: int, cells: int = 64, probes: int = 16, copies: int = 4, block: int = BLOCK) -> DataFrame:
     """(query_id, vec_id, score, rank): nearest among the vectors in the `probes` cells nearest to a query.
 
     A vector is indexed in its `copies` nearest cells, so that a neighbour beyond a cell's edge is found too.
+    Queries are taken in blocks of `block`, each broadcast with its cells; the index's Arrow batches are
+    multiplied cell by cell with the queries that probe the cell. A batch gives no more than k rows for each
+    query: vectors stay where they are, and no pair table is made.
     """
-    from ..functions.vectors import dot
-
+    spark = queries.sparkSession
     centres = inverted_file(vectors, cells)
-    probed = assign_cells(queries.select(F.col("query_id").alias("vec_id"), "vector"), centres, probes).withColumnRenamed("vec_id", "query_id")
-    seen = probed.join(assign_cells(vectors, centres, copies), "cell").select("query_id", "vec_id").distinct()
-    pairs = seen.join(queries, "query_id").join(vectors.select("vec_id", F.col("vector").alias("other")), "vec_id")
-    scored = pairs.select("query_id", "vec_id", dot(F.col("vector"), F.col("other")).alias("score"))
+    matrix = np.array([r.vector for r in centres.sort("vec_id").collect()], np.float64).T
+    index, queries = indexed(vectors, centres, copies), cut(queries.select("query_id", "vector"))
+    n_blocks = max(1, -(-queries.count() // block))
+    found = None
+    for i in range(n_blocks):
+        rows = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == i).collect()
+        asked = np.array([r.vector for r in rows], np.float64).reshape(len(rows), matrix.shape[0])
+        near = _nearest_cells(asked, matrix, probes)
+        shared = spark.sparkContext.broadcast((np.array([r.query_id for r in rows], np.int64), asked, [np.flatnonzero((near == c).any(axis=1)) for c in range(matrix.shape[1])]))
+
+        def scan(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            ids, asked, probing = shared.value
+            for batch in batches:
+                for lo in range(0, len(batch), 4096):
+                    part = batch.iloc[lo : lo + 4096]
+                    own, held = part.vec_id.to_numpy(np.int64), np.stack(part.vector.to_list()).astype(np.float64)
+                    homes, out = np.stack(part.cells.to_list()), []
+                    for c in np.unique(homes):
+                        at, q = np.flatnonzero((homes == c).any(axis=1)), probing[c]
+                        if len(q):
+                            scores = held[at] @ asked[q].T
+                            order = np.lexsort((np.broadcast_to(own[at][:, None], scores.shape), -scores), axis=0)[:k]
+                            out.append(pd.DataFrame({"query_id": np.tile(ids[q], len(order)), "vec_id": own[at][order].ravel(), "score": np.take_along_axis(scores, order, axis=0).ravel()}))
+                    if out:
+                        all_ = pd.concat(out).drop_duplicates(["query_id", "vec_id"]).sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
+                        yield all_[all_.groupby("query_id").cumcount() < k]
+
+        part = index.mapInPandas(scan, "query_id bigint, vec_id bigint, score double")
+        found = part if found is None else found.unionByName(part)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import centroids
 
-AS_OF = "2024-01-31 00:00:00"
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -6,9 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import status as S
+from ..functions.lineage import shared_folder
 from ..functions.vectors import centroids
 from ..operators import catalog as C
 from ..operators import listing, matching, search
+from ..streaming import feeds
 from . import bindings as B
 from .queries import ACTIVITY, CENTROIDS, CHUNKS, JOBS, SECTIONS, SOURCES, _matches, query
 
@@ -188,3 +190,23 @@ def field_search(spark, sf_dir):
 def cache_after_changes(spark, sf_dir):
     changed = B.table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
     return listing.without_changed(B.table(spark, sf_dir, "orders").select("o_orderkey"), changed, "o_orderkey")
+
+
+@query("change_stream", """SELECT user_id AS id, event_id AS seq, round(value, 6) AS value FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM events) WHERE rn = 1 AND event_type <> 'error'""")
+def change_stream(spark, sf_dir):
+    """`change_feed` as a stream."""
+    path = f"{sf_dir}/events.parquet"
+    stream = feeds.table_stream(spark, path, spark.read.parquet(path).schema)
+    kind = F.when(F.col("event_type") == "signup", "INSERT").when(F.col("event_type") == "error", "DELETE").otherwise("UPDATE")
+    changes = stream.select(F.col("user_id").alias("id"), F.col("event_id").alias("seq"), kind.alias("event_type"), "value")
+    return feeds.drain_changes(changes, ["id", "seq", "value"], shared_folder(spark)).withColumn("value", F.round("value", 6))
+
+
+@query("centroid_stream", f"WITH {CHUNKS}, places AS (SELECT document_id, unnest(range(1, len(e) + 1)) - 1 AS place, unnest(e) AS x FROM chunks) SELECT document_id, place, round(avg(x), 6) AS x FROM places GROUP BY ALL")
+def centroid_stream(spark, sf_dir):
+    """Means of the documents' vectors, place by place, from a stream of new chunks."""
+    path = f"{sf_dir}/embeddings.parquet"
+    stream = feeds.table_stream(spark, path, spark.read.parquet(path).schema).select(F.expr("vec_id div 10").alias("document_id"), "embedding")
+    sums = feeds.drain_centroids(stream, shared_folder(spark))
+    return sums.select("document_id", F.col("place").cast("bigint").alias("place"), F.round(F.col("total") / F.col("n"), 6).alias("x"))

@@ -72,6 +72,23 @@ def drain_retention(stream: DataFrame, key: str, time: str, tie: str, keep: int,
     return newest(found.drop("batch"), key, time, tie, keep)
 
 
+def drain_changes(stream: DataFrame, columns: list[str], folder: str, key: str = "id", sequence: str = "seq", kind: str = "event_type") -> DataFrame:
+    """A change feed applied as a stream: a batch writes the last change of each of its keys, and the read takes the last of all.
+
+    A batch that runs again overwrites its own part; a deleted key stays in the parts as its deletion.
+    """
+    drain(stream, "append", lambda rows, n: latest_changes(rows, key, sequence).write.mode("overwrite").parquet(f"{folder}/table/batch={n}"), folder)
+    found = stream.sparkSession.read.option("basePath", f"{folder}/table").parquet(f"{folder}/table").drop("batch")
+    return latest_changes(found, key, sequence).filter(F.col(kind) != "DELETE").select(*columns)
+
+
+def drain_centroids(stream: DataFrame, folder: str, key: str = "document_id", vector: str = "embedding") -> DataFrame:
+    """(key, place, total, n) of a stream of new chunks: each batch writes its partial sums, and the read adds them up."""
+    drain(stream, "append", lambda rows, n: centroid_sums(rows, key, vector).write.mode("overwrite").parquet(f"{folder}/table/batch={n}"), folder)
+    found = stream.sparkSession.read.option("basePath", f"{folder}/table").parquet(f"{folder}/table").drop("batch")
+    return merge_sums(found.filter("false"), found, key)
+
+
 def live_statuses(latest: DataFrame, status: str = "status") -> DataFrame:
     """The latest statuses less the terminal ones, which clear what is shown as live."""
     return latest.filter(~F.col(status).isin(*TERMINAL))
