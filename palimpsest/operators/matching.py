@@ -6,28 +6,48 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut
-from ..functions.vectors import dot
 
 PAIR = ["source_id", "target_id"]
 
 
+#: Chunks of a document that are multiplied at a time.
+BLOCK = 512
+_SIDE = (("chunk_index", "index"), ("page_number", "page"), ("start_page", "start"), ("end_page", "end"), ("character_count", "chars"))
+
+
 def chunk_pairs(pairs: DataFrame, chunks: DataFrame, threshold: float) -> DataFrame:
     """All chunk pairs of the listed document pairs with a dot product of `threshold` or more.
 
-    Two equi-joins on document ids; a pair of long documents is split by the source chunk, since the second
-    join is dealt by target document and AQE splits what is skewed.
+    A document's chunks go as blocks of BLOCK, which are joined by document id and multiplied as matrices in
+    Arrow batches; only pairs over the threshold become rows. Vectors of different length raise an error.
     """
-    side = lambda p: chunks.select(
-        F.col("document_id").alias("source_id" if p == "a" else "target_id"),
-        *(F.col(c).alias(f"{p}_{n}") for c, n in (("chunk_index", "index"), ("page_number", "page"), ("start_page", "start"), ("end_page", "end"), ("character_count", "chars"), ("embedding", "vector"))),
-    )
-    joined = pairs.select(*PAIR).join(side("a"), "source_id").join(side("b"), "target_id")
-    scored = joined.withColumn("score", dot(F.col("a_vector"), F.col("b_vector"))).drop("a_vector", "b_vector")
-    return scored.filter(F.col("score") >= threshold)
+    order = Window.partitionBy("document_id").orderBy("chunk_index")
+    numbered = chunks.filter(F.col("embedding").isNotNull()).withColumn("block", F.floor((F.row_number().over(order) - 1) / BLOCK))
+    item = F.struct(*(F.col(c).alias(n) for c, n in _SIDE), F.col("embedding").alias("vector"))
+    blocks = numbered.groupBy("document_id", "block").agg(F.collect_list(item).alias("items"))
+    side = lambda key, name: blocks.select(F.col("document_id").alias(key), F.col("items").alias(name))
+    joined = pairs.select(*PAIR).join(side("source_id", "a"), "source_id").join(side("target_id", "b"), "target_id").select(*PAIR, "a", "b")
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                held = [batch.column(c)[i].values.flatten() for c in (2, 3)]
+                matrices = [x[-1].flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(x[-1]), -1) for x in held]
+                scores = matrices[0] @ matrices[1].T
+                at = np.nonzero(scores >= threshold)
+                if len(at[0]):
+                    keys = [pa.repeat(batch.column(c)[i], len(at[0])) for c in (0, 1)]
+                    yield pa.RecordBatch.from_arrays([*keys, *(x.take(pa.array(rows)) for own, rows in zip(held, at) for x in own[:-1]), pa.array(scores[at])], names=names)
+
+    names = [*PAIR, *(f"{p}_{n}" for p in "ab" for _, n in _SIDE), "score"]
+    kinds = [chunks.schema[c].dataType.simpleString() for c, _ in _SIDE]
+    types = [*(pairs.schema[c].dataType.simpleString() for c in PAIR), *kinds, *kinds, "double"]
+    return joined.mapInArrow(multiply, ", ".join(f"{n} {t}" for n, t in zip(names, types)))
 
 
 def _best(matches: DataFrame, own: str, other: str, tolerance: float, early: int | None, total: DataFrame | None) -> DataFrame:
