@@ -21,6 +21,9 @@ from .common import checkpoint, discard, field, utf8, written
 
 WINDOW = 50
 GRAM = 12
+#: A key of a join is hot, and its rows are dealt to several tasks, with over a part in HOT_KEYS of all seeds and over HOT_ROWS of them.
+HOT_KEYS = 20_000
+HOT_ROWS = 5_000
 _BASE = 0x9E3779B97F4A7C15 | 5
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -143,6 +146,20 @@ def _window_hashes(texts: DataFrame, window: int) -> DataFrame:
     )
 
 
+def _dealt(rows: DataFrame, sums: DataFrame, keys: list[str], total: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a join on `keys` and `salt`, which deals the rows of a hot key to several tasks.
+
+    `sums` has one row a key, with its number of `rows`. Hot is a key of over one part in HOT_KEYS of `total`
+    rows, so fewer than HOT_KEYS keys are hot at any size of the input, and these alone are broadcast. A hot
+    key's row is repeated once a salt, which makes at most twice as many rows of it as there are hot keys.
+    """
+    bound = max(HOT_ROWS, total // HOT_KEYS)
+    salts = F.when(F.col("rows") > bound, F.ceil(F.col("rows") / bound)).otherwise(1).cast("long")
+    hot = F.broadcast(sums.filter(F.col("rows") > bound).select(*keys, salts.alias("salts")))
+    dealt = rows.join(hot, keys, "left").withColumn("salt", F.pmod(F.xxhash64("id", "tag", "first"), F.coalesce("salts", F.lit(1)))).drop("salts")
+    return dealt, sums.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))).drop("rows")
+
+
 def repeats(texts: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(key, tag, first, n) of `texts` (id, key, tag, bytes): runs of window starts whose words an earlier id holds too.
 
@@ -151,17 +168,22 @@ def repeats(texts: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFra
        the smallest id of its class is repeated as a whole.
     3. Where an anchor has several classes, the windows of each class's smallest id are compared one by one.
     Both comparisons take the smallest id by aggregation, so a passage that thousands of documents share
-    costs its length, not its pairs.
+    costs its length, not its pairs. Rows of an anchor or class that holds a large part of all seeds are
+    dealt to several tasks by a salt; the result is the same.
     """
     seeds, path = written(_seeds(texts, window, gram))
-    shared = seeds.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("anchor")
-    seeds = checkpoint(seeds.join(shared, "anchor", "left_semi"))
+    total = seeds.count()
+    shared = checkpoint(seeds.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("rows")).filter("low < high").select("anchor", "rows"))
+    dealt, sums = _dealt(seeds, shared, ["anchor"], total)
+    seeds = checkpoint(dealt.join(sums, ["anchor", "salt"], "left_semi").drop("salt"))
     discard(texts.sparkSession, path)
-    classes = seeds.groupBy("anchor", "context").agg(F.min("id").alias("low"))
-    several = classes.groupBy("anchor").agg((F.count("*") > 1).alias("several"))
-    judged = checkpoint(seeds.join(classes, ["anchor", "context"]).withColumn("key", _key("id")))
+    classes = checkpoint(seeds.groupBy("anchor", "context").agg(F.min("id").alias("low"), F.count("*").alias("rows")))
+    several = classes.groupBy("anchor").agg(F.count("*").alias("rows")).filter("rows > 1")
+    dealt, sums = _dealt(seeds, classes, ["anchor", "context"], total)
+    judged = checkpoint(dealt.join(sums, ["anchor", "context", "salt"]).drop("salt").withColumn("key", _key("id")))
     whole = judged.filter("low < id").select("key", "tag", "first", "n")
-    edge = judged.filter("low = id").join(several.filter("several"), "anchor", "left_semi")
+    dealt, sums = _dealt(judged.filter("low = id"), several, ["anchor"], total)
+    edge = dealt.join(sums, ["anchor", "salt"], "left_semi").drop("salt")
     listed = edge.groupBy("key", "tag").agg(F.collect_list(F.struct("anchor", "first", "n")).alias("extents"))
     runs = _window_hashes(texts.join(listed, ["key", "tag"]), window)
     earliest = runs.groupBy("anchor", "run").agg(F.min("id").alias("low"))

@@ -163,6 +163,16 @@ def test_substrings(spark, rows, docs, window, gram):
     assert bag(r[:4] for r in found.collect()) == bag(plain_substrings(small, window))
 
 
+def test_substrings_with_hot_anchors(spark, docs, monkeypatch):
+    """Dealing every anchor to several tasks doesn't change the result."""
+    monkeypatch.setattr(substring, "HOT_ROWS", 1)
+    monkeypatch.setattr(substring, "HOT_KEYS", 10**9)
+    passage = " ".join(f"p{i}" for i in range(70))
+    small = [(i, passage if i % 3 == 0 else f"start{i} {passage} end{i % 5}") for i in range(40)] + [(7, passage), (None, passage), (99, None)]
+    frame = spark.createDataFrame(small, "doc_id long, text string")
+    assert bag(r[:4] for r in substring.dedup_substrings(frame).collect()) == bag(plain_substrings(small, 50))
+
+
 def test_substring_spans_rebuild_the_text(docs):
     for r in substring.dedup_substrings(docs.select("doc_id", "text"), with_text=True).join(docs.select("doc_id", "text"), "doc_id").collect():
         words = WORD.findall(r.text or "")
