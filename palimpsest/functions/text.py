@@ -165,7 +165,7 @@ def embedding_input(text: Column, limit: int = 3072) -> Column:
 
 
 def hashed_bag(text: Column, dim: int = 64) -> Column:
-    """The default embedder: signed hashed word counts, of unit length."""
+    """The default embedder: hashed word counts, of unit length."""
     from .vectors import normalize
 
     words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")

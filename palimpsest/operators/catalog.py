@@ -137,3 +137,24 @@ def flatten_metadata(struct: Column, fields: dict[str, str]) -> Column:
 
     pairs = [x for n, k in fields.items() for x in (F.lit(n), text(n, k))]
     return F.map_filter(F.create_map(*pairs), lambda _, v: v.isNotNull())
+
+
+def record_exclusion(sections: Column, section: Column, kind: str) -> Column:
+    """The list of excluded sections with `section` (null: none) in place of those of its kind, at the end; a null list is empty."""
+    kept = F.filter(F.coalesce(sections, F.array().cast("array<struct<type:string,start_page:int,end_page:int,page_count:int>>")), lambda s: ~(s.type.eqNullSafe(F.lit(kind))))
+    return F.when(section.isNull(), sections).otherwise(F.concat(kept, F.array(section)))
+
+
+def embedding_skipped(metadata: Column) -> Column:
+    """Whether JSON metadata says that the embedding was skipped (the boolean true) or holds an error text."""
+    parsed = F.try_parse_json(metadata)
+    skipped = F.try_variant_get(parsed, "$.embeddings_skipped", "variant")
+    error = F.try_variant_get(parsed, "$.embeddings_error", "variant")
+    is_true = (F.schema_of_variant(skipped) == "BOOLEAN") & F.try_variant_get(skipped, "$", "boolean")
+    return F.coalesce(is_true, F.lit(False)) | F.coalesce(F.schema_of_variant(error) == "STRING", F.lit(False))
+
+
+def without_expired(rows: DataFrame, created: str, days: int = 7) -> DataFrame:
+    """rows with `expired`: older than `days` before the newest row."""
+    newest = rows.agg(F.max(created).alias("__newest"))  # one row
+    return rows.crossJoin(F.broadcast(newest)).withColumn("expired", F.coalesce(F.col(created) < F.col("__newest") - F.make_dt_interval(F.lit(days)), F.lit(False))).drop("__newest")

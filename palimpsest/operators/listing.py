@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .search import nearest
+from .matching import similarity_search
+from .search import nearest, search_candidates
 
 
 def lookup(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
@@ -120,3 +121,39 @@ def upload_manifest(files: DataFrame, user: object) -> DataFrame:
     """(title, filename, file_path, file_size, user_id, status) of files as `binaryFile` lists them; contents are not read."""
     name = F.element_at(F.split("path", "/"), -1)
     return files.select(F.regexp_replace(name, r"\.[^/.]+$", "").alias("title"), name.alias("filename"), F.col("path").alias("file_path"), F.col("length").alias("file_size"), F.lit(user).alias("user_id"), F.lit("uploading").alias("status"))
+
+
+def feature_neighbours(features: DataFrame, queries: DataFrame, threshold: float = 0.3, most: int = 10) -> DataFrame:
+    """(query_id, document_id, similarity_score, legal_clause_similarity, semantic_similarity, rank).
+
+    Feature rows (document_id, v of unit length, n_sections, complexity) nearest to each query's: those over 0.8 of the threshold,
+    2 * most of them by cosine, scored by cosine, section counts and complexity. The threshold isn't applied to the score.
+    """
+    asked = queries.select(F.col("document_id").alias("query_id"), F.col("v").alias("vector"))
+    near = nearest(asked, features.select(F.col("document_id").alias("vec_id"), F.col("v").alias("vector")), 2 * most + 1, threshold * 0.8)
+    others = near.filter((F.col("vec_id") != F.col("query_id")) & (F.col("score") > threshold * 0.8))
+    ranked = others.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))).filter(F.col("rank") <= 2 * most)
+    side = lambda rows, key, tag: rows.select(F.col("document_id").alias(key), F.col("n_sections").alias(f"n_{tag}"), F.col("complexity").alias(f"x_{tag}"))
+    both = ranked.withColumnRenamed("vec_id", "document_id").join(side(features, "document_id", "b"), "document_id").join(side(queries, "query_id", "a"), "query_id")
+    ratio = lambda a, b, floor: F.least(F.col(a) / F.greatest(F.col(b), F.lit(floor)), F.col(b) / F.greatest(F.col(a), F.lit(floor)))
+    clauses = ratio("n_b", "n_a", 1)
+    score = F.greatest(F.col("score") * 0.5 + clauses * 0.35 + ratio("x_b", "x_a", 0.1) * 0.15, F.lit(0.0))
+    return both.select("query_id", "document_id", score.alias("similarity_score"), clauses.alias("legal_clause_similarity"), F.col("score").alias("semantic_similarity"), "rank")
+
+
+def search_summary(found: DataFrame, candidates: DataFrame, results: DataFrame) -> DataFrame:
+    """(source_id, stage0_candidates, average_score, stage1_candidates, final_results) of each search."""
+    count = lambda rows, name: rows.groupBy("source_id").agg(F.count("*").alias(name))
+    out = found.groupBy("source_id").agg(F.count("*").alias("stage0_candidates"), F.round(F.avg("score"), 3).alias("average_score"))
+    out = out.join(count(candidates, "stage1_candidates"), "source_id", "left").join(count(results, "final_results"), "source_id", "left")
+    return out.fillna(0, ["stage1_candidates", "final_results"])
+
+
+def search_request(sources: DataFrame, chunks: DataFrame, documents: DataFrame, titles: DataFrame, asked: float | None = None, allowed: Column | None = None, **options) -> DataFrame:
+    """The whole search for a table of sources: filtered candidates, matches and scores, floors, order, the number asked for.
+
+    `titles` has (document_id, created_at, title); `allowed` is a filter of chunks, such as an owner's; the options are similarity_search's.
+    """
+    candidates = search_candidates(sources.select("document_id", "centroid"), chunks, allowed=allowed)
+    results = similarity_search(sources, chunks, documents, candidates, **options)
+    return ranked_results(results.join(titles.withColumnRenamed("document_id", "target_id"), "target_id"), most=result_limit(asked))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut
+from .search import indexed, inverted_file
 
 PAIR = ["source_id", "target_id"]
 
@@ -223,3 +224,65 @@ def text_reuse(chunks: DataFrame, size: int = 8) -> DataFrame:
 
     kind = chunks.schema["document_id"].dataType.simpleString()
     return texts.join(shared, "document_id").mapInPandas(cover, f"document_id {kind}, reused_characters bigint, reused_chunks bigint, first_document {kind}")
+
+
+def with_explanation(scores: DataFrame, matches: DataFrame, totals: DataFrame) -> DataFrame:
+    """adaptive_scores with `explanation`, a sentence of the shares, characters and matched pairs."""
+    counted = matches.groupBy(*PAIR).agg(F.count("*").alias("n_pairs"))
+    out = scores.join(counted, PAIR)
+    for side, key in (("source", "source_id"), ("target", "target_id")):
+        out = out.join(totals.select(F.col("document_id").alias(key), F.col("total_characters").cast("bigint").alias(f"{side}_total")), key)
+    text = "Source reuse %.1f%% (%,d/%,d characters), target reuse %.1f%% (%,d/%,d characters) across %d chunk pairs."
+    share = lambda side: (F.col(f"{side}_score") * 100, F.col(f"matched_{side}_chars"), F.col(f"{side}_total"))
+    return out.withColumn("explanation", F.format_string(text, *share("source"), *share("target"), F.col("n_pairs")))
+
+
+def section_summary(found: DataFrame) -> DataFrame:
+    """(source_id, target_id, summary): a pair's sections counted by tier, in words; tiers without a section are left out."""
+    tiers = (("high", "%d highly reusable sections (>85%% similarity)"), ("review", "%d sections need review (65-85%% similarity)"), ("low", "%d low similarity sections (<65%%)"))
+    counts = found.groupBy(*PAIR).agg(*(F.count_if(F.col("tier") == t).alias(t) for t, _ in tiers))
+    return counts.select(*PAIR, F.concat_ws(", ", *(F.when(F.col(t) > 0, F.format_string(text, F.col(t))) for t, text in tiers)).alias("summary"))
+
+
+def block_by_cells(chunks: DataFrame, threshold: float, cells: int | None = None, copies: int = 10) -> DataFrame:
+    """(source_id, target_id), source below target: documents with chunks of a dot product of `threshold` or more that share a cell.
+
+    A vector is indexed in its `copies` nearest cells of an inverted file, so that some pairs of far-off cells are missed; by default there are as many cells as the root
+    of the number of vectors, 16 to 4,096. A cell's vectors are dealt to blocks of BLOCK at the most by a hash; each block
+    meets each other one of its cell as matrices, so no task holds a cell and only pairs of documents over the threshold become rows.
+    """
+    vectors = cut(chunks.filter(F.col("embedding").isNotNull()).select("vec_id", "document_id", F.col("embedding").alias("vector")))
+    n = vectors.count()
+    if n == 0:
+        return vectors.select(F.col("document_id").alias("source_id"), F.col("document_id").alias("target_id"))
+    cells = cells or min(4096, max(16, int(n**0.5)))
+    index = indexed(vectors, inverted_file(vectors, min(cells, max(1, n))), min(copies, cells)).join(vectors.select("vec_id", "document_id"), "vec_id")
+    placed = cut(index.select("document_id", "vec_id", "vector", F.explode("cells").alias("cell")))
+    sizes = placed.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).alias("n_blocks"))  # a row a cell, 4,096 at the most
+    dealt = placed.join(F.broadcast(sizes), "cell").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("n_blocks")))
+    blocks = cut(dealt.groupBy("cell", "n_blocks", "block").agg(F.collect_list(F.struct("document_id", "vector")).alias("items")))
+    left = blocks.select("cell", F.col("items").alias("a"), F.explode(F.sequence("block", F.col("n_blocks") - 1)).alias("block"))
+    joined = left.join(blocks.select("cell", "block", F.col("items").alias("b")), ["cell", "block"]).select("a", "b")
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                a, b = (batch.column(c)[i].values for c in (0, 1))
+                x, y = (np.array(s.field("vector").to_pylist(), np.float64) for s in (a, b))
+                own, other = (s.field("document_id").to_numpy(zero_copy_only=False) for s in (a, b))
+                at, to = np.nonzero(x @ y.T >= threshold)
+                low, high = np.minimum(own[at], other[to]), np.maximum(own[at], other[to])
+                found = np.unique(np.stack([low, high])[:, low < high], axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64())], names=PAIR)
+
+    return joined.mapInArrow(multiply, "source_id bigint, target_id bigint").distinct()
+
+
+def corpus_pairs(chunks: DataFrame, documents: DataFrame, primary: float = 0.85, fallback: float | None = 0.8, copies: int = 10, cells: int | None = None, **options) -> DataFrame:
+    """adaptive_scores of all pairs of documents, source below target, that share a cell of the index and pass the evidence gate.
+
+    Pairs meet by their vectors (block_by_cells at the lower threshold); the pairs found are matched in whole, chunk by chunk.
+    """
+    least = primary if fallback is None else min(primary, fallback)
+    pairs = cut(block_by_cells(chunks, least, cells, copies))
+    return adaptive_scores(match_pairs(pairs, chunks, primary=primary, fallback=fallback, **options), documents)

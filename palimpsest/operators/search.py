@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut
@@ -89,13 +89,14 @@ def stage1_prefilter(source_chunks: DataFrame, chunks: DataFrame, candidates: Da
     return counted.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top_k)
 
 
-def search_candidates(sources: DataFrame, chunks: DataFrame, top_k: int = 600, keep: int = 250) -> DataFrame:
+def search_candidates(sources: DataFrame, chunks: DataFrame, top_k: int = 600, keep: int = 250, allowed: Column | None = None) -> DataFrame:
     """(source_id, document_id): stage 0, and stage 1 for the sources that it leaves more than `keep` candidates.
 
     Stage 1's neighbours for each chunk follow a source's number of candidates, so its sources are taken in
-    groups of like number, four at most.
+    groups of like number, four at most. `allowed`, a filter of chunks, bounds stage 0 alone: stage 1 looks its
+    candidates up among the neighbours in the whole index.
     """
-    found = cut(stage0_candidates(sources, chunks, top_k).select("source_id", "document_id"))
+    found = cut(stage0_candidates(sources, chunks if allowed is None else chunks.filter(allowed), top_k).select("source_id", "document_id"))
     sizes = found.groupBy("source_id").count()
     out = found.join(sizes.filter(F.col("count") <= keep), "source_id", "left_semi")
     groups: dict[int, list[int]] = {}

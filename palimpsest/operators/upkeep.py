@@ -79,6 +79,15 @@ TIERS = (
 )
 #: A job's priority by most megabytes.
 JOB_PRIORITIES = ((2, 7), (10, 5), (25, 4), (None, 3))
+#: Fixed values by strategy: most megabytes of memory, buffer in %, most minutes, seconds a chunk, seconds to a retry, attempts.
+LIMITS = {
+    "fast-track": (500, 20, 5, 30, 10, 3),
+    "standard": (500, 20, 10, 60, 15, 3),
+    "optimized": (1000, 30, 20, 90, 20, 5),
+    "batch-optimized": (1500, 40, 30, 120, 30, 25),
+    "enterprise-batch": (1500, 40, 45, 180, 45, 35),
+    "streaming-batch": (2000, 50, 60, 300, 60, 10),
+}
 _MEGABYTE = 1024 * 1024
 
 
@@ -103,6 +112,16 @@ def sizing(size: Column, pages: Column) -> dict[str, Column]:
     return out
 
 
+def limits(strategy: Column, pages: Column) -> dict[str, Column]:
+    """Memory and time that a document of so many pages is given: 12 MB and 30 s a page, 120 s at least, within the strategy's bounds."""
+    names = ("memory_mb", "memory_buffer", "timeout_minutes", "chunk_seconds", "retry_seconds", "attempts")
+    each = F.create_map(*(x for s, values in LIMITS.items() for x in (F.lit(s), F.struct(*(F.lit(v).alias(n) for n, v in zip(names, values))))))
+    out = {n: each[strategy].getField(n) for n in names}
+    out["memory_mb"] = F.least(pages * 12, out["memory_mb"].cast("bigint"))
+    out["timeout_minutes"] = F.least(F.ceil(F.greatest(F.lit(120), pages * 30) / 60), out["timeout_minutes"].cast("bigint"))
+    return out
+
+
 def job_priority(size: Column) -> Column:
     """Small files first, to keep the queue moving."""
     out = None
