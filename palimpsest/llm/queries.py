@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .covertree import top_k
 from .decontamination import find_contamination
 from .langid import identify_languages
 from .lm import score_documents
@@ -18,6 +19,7 @@ from .sharding import assign_shards
 from .simhash import simhash_components
 from .substring import dedup_substrings
 from .warc import fixity_audit, warc_records
+from .whitening import whiten
 
 SHARDS = [1.0] * 8
 
@@ -76,6 +78,14 @@ def op10_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("law", F.lit("key"))
 
 
+def op11_cover_tree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -153,11 +163,21 @@ WITH RECURSIVE size AS (SELECT source, count(*) AS n, pow(count(*)::DOUBLE, {TEM
 SELECT doc_id, text, lang, source, n_chars, unnest(range(1, n_copies + 1)) AS copy, n_copies FROM counted
 """
 
+OP11_SQL = """
+WITH vec AS (
+  SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+), pair AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score FROM vec q JOIN vec c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+), ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM pair)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_lm_scoring, op2_quality_rules, op3_decontamination, op4_warc_fixity, op5_poisson_mixing, op6_language_id, op7_simhash_dedup, op8_substring_dedup, op9_sequence_packing, op10_rendezvous_sharding, pipeline)
+    named = (op1_lm_scoring, op2_quality_rules, op3_decontamination, op4_warc_fixity, op5_poisson_mixing, op6_language_id, op7_simhash_dedup, op8_substring_dedup, op9_sequence_packing, op10_rendezvous_sharding, op11_cover_tree_topk, op13_embedding_whitening, pipeline)
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": OP3_SQL, "op4_warc_fixity": OP4_SQL, "op5_poisson_mixing": OP5_SQL, "op8_substring_dedup": OP8_SQL}
+    return {"op3_decontamination": OP3_SQL, "op4_warc_fixity": OP4_SQL, "op5_poisson_mixing": OP5_SQL, "op8_substring_dedup": OP8_SQL, "op11_cover_tree_topk": OP11_SQL}
