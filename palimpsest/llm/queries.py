@@ -18,6 +18,7 @@ from .quality import quality_rules, trusted_ids
 from .sharding import assign_shards
 from .simhash import simhash_components
 from .substring import dedup_substrings
+from .trie import prefix_trie
 from .warc import fixity_audit, warc_records
 from .whitening import whiten
 
@@ -82,6 +83,10 @@ def op11_cover_tree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(table(spark, sf_dir, "embeddings"))
 
@@ -173,11 +178,37 @@ WITH vec AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
+_CRC32 = "xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split({}, ''), x -> ascii(x)::BIGINT)), (c, b) -> list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), (v, z) -> xor(v >> 1, 3988292384 * (v & 1)))))"
+OP12_SQL = f"""
+WITH turn AS (
+  SELECT conv_id AS c, conv_id - conv_id % 100 AS g, md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS k, length(coalesce(text, '')) AS chars,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+), conv AS (SELECT c, g, {_CRC32.format('c::VARCHAR')} % 6 AS h FROM (SELECT DISTINCT c, g FROM turn)
+), rebuilt AS (
+  SELECT conv.c, turn.pos, 0 AS own, k, chars FROM conv JOIN turn ON turn.c = conv.g AND turn.pos <= h
+  UNION ALL SELECT conv.c, turn.pos, 1, k, chars FROM conv JOIN turn ON turn.c = conv.c AND turn.pos > h
+), listed AS (SELECT c, list(k ORDER BY own, pos) AS ks, list(chars ORDER BY own, pos) AS ns FROM rebuilt GROUP BY c
+), whole AS (SELECT conv.c, coalesce(ks, []) AS ks, coalesce(ns, []) AS ns FROM conv LEFT JOIN listed USING (c)
+), path AS (
+  SELECT c, d, md5(array_to_string(list_slice(ks, 1, d), ',')) AS k, md5(array_to_string(list_slice(ks, 1, d - 1), ',')) AS up, CASE WHEN d = 0 THEN 0 ELSE ns[d] END AS chars, d = len(ks) AS ends
+  FROM whole, LATERAL (SELECT unnest(range(0, len(ks) + 1)) AS d)
+), node AS (
+  SELECT d, k, any_value(up) AS up, any_value(chars) AS chars, min(c) AS rep, count(*) AS n, count(*) FILTER (WHERE ends) AS n_ends, coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE ends), '') AS ids
+  FROM path GROUP BY d, k
+), under AS (
+  SELECT path.d, path.k, sum((n - 1) * node.chars) AS saved, count(*) FILTER (WHERE n_ends = n) AS leaves, count(*) FILTER (WHERE node.d = path.d + 1) AS children
+  FROM node JOIN path ON path.c = node.rep AND path.d <= node.d GROUP BY path.d, path.k)
+SELECT node.rep AS conv_id, CAST(node.d AS BIGINT) AS depth, above.rep AS parent_conv_id, CAST(node.n AS BIGINT) AS n_convs, CAST(children AS BIGINT) AS n_children,
+  CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(node.ids) AS ends_sha256
+FROM node JOIN under USING (d, k) LEFT JOIN node above ON above.d = node.d - 1 AND above.k = node.up
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_lm_scoring, op2_quality_rules, op3_decontamination, op4_warc_fixity, op5_poisson_mixing, op6_language_id, op7_simhash_dedup, op8_substring_dedup, op9_sequence_packing, op10_rendezvous_sharding, op11_cover_tree_topk, op13_embedding_whitening, pipeline)
+    named = (op1_lm_scoring, op2_quality_rules, op3_decontamination, op4_warc_fixity, op5_poisson_mixing, op6_language_id, op7_simhash_dedup, op8_substring_dedup, op9_sequence_packing, op10_rendezvous_sharding, op11_cover_tree_topk, op12_prefix_trie, op13_embedding_whitening, pipeline)
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": OP3_SQL, "op4_warc_fixity": OP4_SQL, "op5_poisson_mixing": OP5_SQL, "op8_substring_dedup": OP8_SQL, "op11_cover_tree_topk": OP11_SQL}
+    return {"op3_decontamination": OP3_SQL, "op4_warc_fixity": OP4_SQL, "op5_poisson_mixing": OP5_SQL, "op8_substring_dedup": OP8_SQL, "op11_cover_tree_topk": OP11_SQL, "op12_prefix_trie": OP12_SQL}
