@@ -170,15 +170,15 @@ SELECT doc_id, text, lang, source, n_chars, unnest(range(1, n_copies + 1)) AS co
 
 OP11_SQL = """
 WITH vec AS (
-  SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS v FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), pair AS (
   SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score FROM vec q JOIN vec c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
 ), ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM pair)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
-_CRC32 = "xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split({}, ''), x -> ascii(x)::BIGINT)), (c, b) -> list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), (v, z) -> xor(v >> 1, 3988292384 * (v & 1)))))"
+_CRC32 = "xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split({}, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda v, z: xor(v >> 1, 3988292384 * (v & 1)))))"
 OP12_SQL = f"""
 WITH turn AS (
   SELECT conv_id AS c, conv_id - conv_id % 100 AS g, md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS k, length(coalesce(text, '')) AS chars,
