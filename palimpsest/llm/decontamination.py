@@ -89,7 +89,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     Null text has no words, and a null or wordless item no windows; items without an id are ignored. Repeated
     documents each keep a row, repeated items count once. Clashing names: an output column takes the place of an input column of its name.
     """
-    parts = [benchmark.select(F.col(item_col).cast("string").alias("item"), utf8(c).alias("text")) for c in item_text_cols]
+    parts = [benchmark.select(F.col(f"`{item_col}`").cast("string").alias("item"), utf8(f"`{c}`").alias("text")) for c in item_text_cols]
     items = parts[0]
     for part in parts[1:]:
         items = items.unionByName(part)
@@ -118,7 +118,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], names=[*keep, "n_words", "n_hit", "spans", "items"])
 
     schema = ", ".join([*(field(docs, c) for c in keep), "n_words bigint, n_hit bigint, spans array<struct<start:int,stop:int>>, items array<string>"])
-    return docs.select(*(F.col(f"`{c}`") for c in keep), utf8(f"`{text_col}`").alias("__bytes")).mapInArrow(scan, schema)
+    rows = docs.select(*(F.col(f"`{c}`").alias(f"__keep_{i}") for i, c in enumerate(keep)), utf8(f"`{text_col}`").alias("__bytes"))
+    return rows.mapInArrow(scan, schema)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -31,6 +31,8 @@ TOKENS_A_LEAF = 4096
 #: Training tokens for each row of the weight matrix, and the logarithms of the fewest and the most rows: each task ships its matrix.
 TOKENS_A_ROW = 128
 MIN_BITS, MAX_BITS = 10, 16
+#: A history word beyond a quarter of the rows goes by its class, its path's node at this level or its lowest one.
+CLASS_LEVEL = 3
 #: In how many levels of the tree each feature is used: previous word, skipped word, word pair. Below them words go by their shares.
 DEPTHS = (3, 2, 1)
 #: Step of each round; a round trains on its share of the texts.
@@ -55,7 +57,8 @@ class Classes:
 
     Leaf i has the path nodes[starts[i]:starts[i + 1]], taking the member `slots` of each; leaves beyond
     len(hashes) are the hashed ones, `leaf_mass` their count and 0.5 for each of their words and one unseen.
-    `deep` is the log share of a leaf in its class of the lowest level with features.
+    `deep` is the log share of a leaf in its class of the lowest level with features, `group` the class that stands
+    for a leaf in histories when its word is rare.
     """
 
     hashes: np.ndarray
@@ -64,12 +67,17 @@ class Classes:
     slots: np.ndarray
     bias: np.ndarray
     deep: np.ndarray
+    group: np.ndarray
     leaf_mass: np.ndarray
 
     def leaves(self, codes: np.ndarray) -> np.ndarray:
         n = len(self.hashes)
         return np.where(codes < n, codes, n + (codes - n) % len(self.leaf_mass))
 
+    def symbols(self, codes: np.ndarray, limit: int) -> np.ndarray:
+        """What histories are hashed by: the word itself among the `limit` most frequent, else its class; -1 before a text."""
+        return np.where(codes < limit, codes, (1 << 40) + self.group[self.leaves(codes)])
+
 
 @dataclass(frozen=True)
 class Model:
@@ -222,7 +230,8 @@ def class_tree(hashes: np.ndarray, counts: np.ndarray, leaf_mass: np.ndarray, le
     leaf = np.repeat(np.arange(len(lengths)), lengths)
     low = np.flatnonzero(np.arange(len(leaf)) - starts[leaf] >= max(DEPTHS))
     deep = np.bincount(leaf[low], bias[nodes[low], slots[low]], len(lengths)).astype(np.float64)
-    return Classes(hashes, starts, nodes, slots, bias.astype(np.float32), deep, leaf_mass)
+    group = nodes[starts[:-1] + np.minimum(CLASS_LEVEL, lengths - 1)] if len(nodes) else np.zeros(len(lengths), np.int64)
+    return Classes(hashes, starts, nodes, slots, bias.astype(np.float32), deep, group, leaf_mass)
 
 
 def histories(codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -238,31 +247,27 @@ def histories(codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nda
 _ONES = np.ones(ARITY, np.float32)
 
 
-def factors(model: Model, codes: np.ndarray, one: np.ndarray, two: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]]:
-    """For each level with features: (places of the tokens with a class there, logits, member taken, [(of them those with the feature, rows)]).
+def factors(model: Model, codes: np.ndarray, one: np.ndarray, two: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]]:
+    """For each level with features: (places of the tokens with a class there, logits, member taken, each feature's rows).
 
-    A feature is left out when its history holds a word beyond the len(weights) / 4 most frequent, which is too rare to learn.
+    Every token has all features; a history word beyond the len(weights) / 4 most frequent is taken by its class.
     """
     tree, n_rows = model.classes, len(model.weights)
     shift = np.uint64(64 - n_rows.bit_length() + 1)
     leaf = tree.leaves(codes)
     start, length = tree.starts[leaf], tree.starts[leaf + 1] - tree.starts[leaf]
-    known, known_two, salts = one < n_rows // 4, two < n_rows // 4, _hash(9, np.arange(len(tree.bias)))
-    features = [(d, _hash(i + 1, *parts), ok) for i, (d, parts, ok) in enumerate(zip(DEPTHS, ((one + 2,), (two + 2,), (one + 2, two + 2)), (known, known_two, known & known_two)))]
+    one, two, salts = tree.symbols(one, n_rows // 4), tree.symbols(two, n_rows // 4), _hash(9, np.arange(len(tree.bias)))
+    features = [(d, _hash(i + 1, *parts)) for i, (d, parts) in enumerate(zip(DEPTHS, ((one + 2,), (two + 2,), (one + 2, two + 2))))]
     for depth in range(min(int(length.max(initial=0)), max(DEPTHS))):
         at = np.flatnonzero(length > depth)
         place = start[at] + depth
         node = tree.nodes[place]
         salt, logits, rows = salts[node], tree.bias.take(node, axis=0), []
-        for deep, hashes, ok in features:
+        for deep, hashes in features:
             if depth < deep:
-                own = np.flatnonzero(ok[at])
-                row = (((hashes[at[own]] ^ salt[own]) * _MIX) >> shift).astype(np.int64)
-                if len(own) == len(at):
-                    logits += model.weights.take(row, axis=0)
-                else:
-                    logits[own] += model.weights.take(row, axis=0)
-                rows.append((own, row))
+                row = (((hashes[at] ^ salt) * _MIX) >> shift).astype(np.int64)
+                logits += model.weights.take(row, axis=0)
+                rows.append(row)
         yield at, np.minimum(logits, np.float32(80), out=logits), tree.slots[place], rows
 
 
@@ -285,9 +290,9 @@ def add_gradient(model: Model, expected: np.ndarray, observed: np.ndarray, codes
         for at, logits, slot, rows in factors(model, codes[part], one[part], two[part]):
             np.exp(logits, out=logits)
             logits /= (logits @ _ONES)[:, None]
-            for own, row in rows:
-                np.add.at(expected, (row[:, None] * ARITY + members).ravel(), (logits if len(own) == len(at) else logits[own]).ravel())
-                np.add.at(observed, row * ARITY + slot[own], ones[: len(row)])
+            for row in rows:
+                np.add.at(expected, (row[:, None] * ARITY + members).ravel(), logits.ravel())
+                np.add.at(observed, row * ARITY + slot, ones[: len(row)])
 
 
 def _words(batches: Iterator[pa.RecordBatch], limit: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, Words]]:

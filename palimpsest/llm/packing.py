@@ -6,6 +6,7 @@ import base64
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
@@ -80,7 +81,7 @@ def best_fit_decreasing(lengths: list[int], limit: int) -> list[list[int]]:
 
 
 def tokenize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER) -> tuple[DataFrame, str]:
-    """(id, tag, ids binary): the text's token ids and one end token, two or four little-endian bytes each; the numbers' type.
+    """(id, tag, copy, ids binary): the text's token ids and one end token, two or four little-endian bytes each; the numbers' type.
 
     The vocabulary file is read by Spark and broadcast: some 50,000 entries. Null text has no tokens.
     """
@@ -92,21 +93,26 @@ def tokenize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", to
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding, end, kind = load_encoding(broadcast.value)
         for whole in batches:
+            # equal rows are told apart by their number in the batch, so that they go to groups of their own
+            pairs = pd.DataFrame({"id": whole.column(0).to_pandas(), "tag": whole.column(1).to_pandas()})
+            number = pa.array(pairs.groupby(["id", "tag"], dropna=False).cumcount().to_numpy(np.int64))
+            whole = pa.RecordBatch.from_arrays([*whole.columns, number], names=["id", "tag", "text", "copy"])
             for batch in slices(whole, 2, 2 << 20):
                 ids = []
                 for text in batch.column(2).to_pylist():
                     found = [] if text is None else np.append(encoding.encode_to_numpy(text, disallowed_special=()), end)
                     ids.append(np.asarray(found, kind).tobytes())
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary())], names=["id", "tag", "ids"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(ids, pa.binary())], names=["id", "tag", "copy", "ids"])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("tag"), valid_text(text_col).alias("text"))
+    docs = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    rows = docs.select("id", F.xxhash64(F.col("text").cast("string")).alias("tag"), valid_text("text").alias("text"))
     kind = load_encoding(ranks)[2]
-    return rows.mapInArrow(scan, f"{field(rows, 'id')}, tag bigint, ids binary"), kind
+    return rows.mapInArrow(scan, f"{field(rows, 'id')}, tag bigint, copy bigint, ids binary"), kind
 
 
 def pack_group(table: pa.Table, length: int, pad: int, kind: str) -> pa.Table:
     """Pack a group's documents; see pack_documents for the columns."""
-    order = sorted(range(table.num_rows), key=lambda i: (table["id"][i].as_py() is None, table["id"][i].as_py() or 0, table["tag"][i].as_py()))
+    order = sorted(range(table.num_rows), key=lambda i: ((x := table["id"][i].as_py()) is None, 0 if x is None else x, table["tag"][i].as_py()))
     docs = [(table["id"][i].as_py(), np.frombuffer(table["ids"][i].as_py(), kind)) for i in order]
     pieces = [(d, at, ids[at : at + length]) for d, ids in docs for at in range(0, len(ids), length)]
     rows = best_fit_decreasing([len(x[2]) for x in pieces], length)
@@ -151,13 +157,13 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Null text gives no piece, empty text its end token alone; bytes that are no UTF-8 count as U+FFFD. Ids keep
     their type, text or number; a null id stays null in doc_ids. Rows that
-    repeat id and text are packed each. Other columns are ignored. An empty table gives an empty result.
+    repeat id and text are packed each, dealt by their number in a batch too. Texts of any length are encoded whole. Other columns are ignored. An empty table gives an empty result.
     """
-    size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
+    size = docs.agg(F.sum(F.octet_length(F.col(f"`{text_col}`").cast("string")))).first()[0] or 0
     n_groups = max(1, -(-int(size) // group_bytes))
     ids, kind = tokenize(docs, id_col, text_col, tokenizer)
     ids = ids.filter(F.length("ids") > 0)
-    dealt = ids.withColumn("pack_group", F.pmod(F.xxhash64("id", "tag"), F.lit(n_groups)))
-    kind_of_id = docs.schema[id_col].dataType.simpleString()
+    dealt = ids.withColumn("pack_group", F.pmod(F.xxhash64("id", "tag", "copy"), F.lit(n_groups)))
+    kind_of_id = docs.select(F.col(f"`{id_col}`")).schema[0].dataType.simpleString()
     schema = f"pack_group bigint, row_no bigint, n_tokens int, input_ids array<int>, cu_seqlens array<int>, position_ids array<int>, doc_ids array<{kind_of_id}>, doc_starts array<int>"
     return dealt.groupBy("pack_group").applyInArrow(lambda t: pack_group(t, length, pad, kind), schema)

@@ -152,9 +152,9 @@ def quality_rules(
     and fails the base rules. Null ids and repeated rows each keep a row; a null id is never trusted.
     Other columns are ignored. An empty table gives an empty result.
     """
-    listed = trusted.select(F.col(id_col).alias("__trusted")).distinct()
+    listed = trusted.select(F.col(f"`{id_col}`").alias("__trusted")).distinct()
     listed = F.broadcast(listed) if trusted.count() <= 2 * MOST_TRUSTED else listed
-    marked = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(listed, F.col("__id") == F.col("__trusted"), "left")
+    marked = docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("__text")).join(listed, F.col("__id") == F.col("__trusted"), "left")
     counts = checkpoint(learn_ratios(marked.withColumn("__good", F.col("__trusted").isNotNull()), "__good", "__text", buckets))
     broadcast = docs.sparkSession.sparkContext.broadcast(log_ratios([tuple(x) for x in counts.collect()], buckets))
 
@@ -173,11 +173,15 @@ def quality_rules(
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "tail", "kept"]
     kinds = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.float64(), pa.bool_()]
     schema = f"{field(docs, id_col, 'id')}, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, llr double, tail double, kept boolean"
-    return docs.select(F.col(id_col).alias("id"), utf8(text_col)).mapInArrow(scan, schema).withColumnRenamed("id", id_col)
+    return docs.select(F.col(f"`{id_col}`").alias("id"), utf8(f"`{text_col}`").alias("text")).mapInArrow(scan, schema).withColumnRenamed("id", id_col)
 
 
 def trusted_ids(labels: DataFrame, id_col: str = "doc_id", most: int = MOST_TRUSTED) -> DataFrame:
-    """(id): ids that a label calls good and none calls bad or toxic; a hashed sample of about `most` if there are more."""
+    """(id): ids that a label calls good and none calls bad or toxic; a hashed sample of about `most` if there are more.
+
+    Labels without an id are left out, a null quality is not good, a null toxic is not toxic; rows that repeat or
+    contradict count together. Other columns are ignored. An empty table gives an empty result.
+    """
     good = labels.filter(F.col(id_col).isNotNull()).groupBy(id_col).agg(
         F.min(F.coalesce((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0), F.lit(False))).alias("__trusted")
     )

@@ -125,7 +125,7 @@ _CRLF = "chr(13) || chr(10)"
 OP4_SQL = f"""
 WITH page AS (
   SELECT page_id, page_id // 1000 AS file,
-    'WARC/1.0' || {_CRLF} || 'WARC-Type: resource' || {_CRLF} || 'WARC-Record-ID: <urn:page:' || page_id || '>' || {_CRLF}
+    'WARC/1.0' || {_CRLF} || 'WARC-Type: resource' || {_CRLF} || 'WARC-Record-ID: <urn:page:' || page_id || '>' || {_CRLF} || 'WARC-Date: 1970-01-01T00:00:00Z' || {_CRLF}
     || 'WARC-Target-URI: ' || coalesce(url, '') || {_CRLF} || 'Content-Type: text/html' || {_CRLF}
     || 'Content-Length: ' || strlen(coalesce(html, '')) || {_CRLF} || {_CRLF} || coalesce(html, '') || {_CRLF} || {_CRLF} AS record
   FROM pages

@@ -40,7 +40,7 @@ def assign_shards(docs: DataFrame, weights: list[float], id_col: str = "doc_id",
     Slots need no pass over a whole shard: rows are dealt into hash groups of about ROWS_A_GROUP, numbered
     there, and moved by the groups' running counts, which come from the ids alone.
 
-    A null id is the key '' (the same shard for all such rows, apart in slots). Rows that repeat an id are
+    A null id is the key '' (the same shard for all such rows, apart in slots, in groups by their texts). Rows that repeat an id are
     numbered by crc32 and size, then as they come. Columns of docs may have any name; those named like the
     result's are replaced. Texts of any length are measured whole. An empty table gives an empty result.
     """
@@ -50,8 +50,9 @@ def assign_shards(docs: DataFrame, weights: list[float], id_col: str = "doc_id",
     keep, id_col, text_col = [names[c] for c in kept], names[id_col], names[text_col]
     n_groups = max(64, -(-docs.count() // (ROWS_A_GROUP * len(weights))))
     key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    place = {"__shard": shard_of(key, weights, seed), "__group": F.pmod(F.xxhash64(F.lit(seed + 1), key), F.lit(n_groups))}
-    counts = docs.select(id_col).withColumns(place).groupBy("__shard", "__group").agg(F.count("*").alias("__n"))
+    own_text = F.when(F.col(id_col).isNull(), F.xxhash64(F.col(text_col).cast("string")))  # rows without an id are dealt by their texts
+    place = {"__shard": shard_of(key, weights, seed), "__group": F.pmod(F.xxhash64(F.lit(seed + 1), key, own_text), F.lit(n_groups))}
+    counts = docs.select(id_col, text_col).withColumns(place).groupBy("__shard", "__group").agg(F.count("*").alias("__n"))
     before = Window.partitionBy("__shard").orderBy("__group").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")

@@ -208,12 +208,8 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     count. A document shorter than the window is kept whole. Bytes that are no UTF-8 are compared as they are
     and come back as U+FFFD in kept_text. Other columns are ignored. An empty table gives an empty result.
     """
-    rows = docs.select(
-        F.col(id_col).alias("id"),
-        _key(id_col).alias("key"),
-        F.xxhash64(F.col(text_col).cast("string")).alias("tag"),
-        utf8(text_col).alias("bytes"),
-    )
+    docs = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    rows = docs.select("id", _key("id").alias("key"), F.xxhash64(F.col("text").cast("string")).alias("tag"), utf8("text").alias("bytes"))
     found = repeats(rows, window, gram).groupBy("key", "tag").agg(F.collect_list(F.struct("first", "n")).alias("runs"))
     joined = rows.join(found, ["key", "tag"], "left").select("id", "bytes", "runs")
 

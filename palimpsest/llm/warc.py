@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from .common import checkpoint
 
@@ -11,33 +12,42 @@ from .common import checkpoint
 LEAF_BITS = 16
 FANOUT_BITS = 4
 RECORDS_A_FILE = 1000
+#: The date of records whose pages tell none.
+DATE = "1970-01-01T00:00:00Z"
 
 
 def _lines(*parts: Column) -> Column:
     return F.concat(*(F.concat(p, F.lit("\r\n")) for p in parts))
 
 
-def warc_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", records_a_file: int = RECORDS_A_FILE) -> DataFrame:
+def warc_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", records_a_file: int = RECORDS_A_FILE, date: str = DATE) -> DataFrame:
     """(file, offset, record): one WARC/1.0 resource record for each page, in files of records_a_file ids.
 
-    offset is the record's first byte in its file, in id order; a file holds a bounded number of ids. Null
+    offset is the record's first byte in its file, in id order; a file holds a bounded number of ids. Numbers as ids
+    fill files in their order, text ids are dealt to files by a hash. `date` stands as each record's WARC-Date, for pages carry no time. Null
     url or body count as empty; pages without an id are left out; of pages that repeat an id each is a
-    record, ordered by url and body.
+    record, ordered by url and body. Pages of any length are one record; extra columns are ignored; an empty table gives an empty result.
     """
+    docs = pages.select(*(F.col(f"`{c}`").alias(n) for c, n in ((id_col, "__id"), (url_col, "__url"), (body_col, "__body"))))
+    if isinstance(docs.schema["__id"].dataType, NumericType):
+        file = F.floor(F.col("__id") / records_a_file).cast("bigint")
+    else:
+        file = F.pmod(F.xxhash64(F.col("__id").cast("string")), F.lit(max(1, -(-docs.count() // records_a_file))))
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    body = text(body_col)
+    body = text("__body")
     head = _lines(
         F.lit("WARC/1.0"),
         F.lit("WARC-Type: resource"),
-        F.concat(F.lit("WARC-Record-ID: <urn:page:"), F.col(id_col).cast("string"), F.lit(">")),
-        F.concat(F.lit("WARC-Target-URI: "), text(url_col)),
+        F.concat(F.lit("WARC-Record-ID: <urn:page:"), F.col("__id").cast("string"), F.lit(">")),
+        F.lit(f"WARC-Date: {date}"),
+        F.concat(F.lit("WARC-Target-URI: "), text("__url")),
         F.lit("Content-Type: text/html"),
         F.concat(F.lit("Content-Length: "), F.octet_length(body).cast("string")),
         F.lit(""),
     )
-    rows = pages.filter(F.col(id_col).isNotNull()).select(
-        F.floor(F.col(id_col) / records_a_file).cast("bigint").alias("file"),
-        F.col(id_col).alias("__id"),
+    rows = docs.filter(F.col("__id").isNotNull()).select(
+        file.alias("file"),
+        "__id",
         F.concat(head, body, F.lit("\r\n\r\n")).cast("binary").alias("record"),
     )
     before = Window.partitionBy("file").orderBy("__id", "record").rowsBetween(Window.unboundedPreceding, -1)

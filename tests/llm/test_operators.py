@@ -401,14 +401,21 @@ def test_lm_scores_against_plain_loops(spark, rows, head_size, monkeypatch):
     bits = n_rows.bit_length() - 1
     scalar = lambda *parts: int(lm._hash(*parts)[0])
 
+    def symbol(c):
+        if c < n_rows // 4:
+            return c
+        leaf = int(tree.leaves(np.array([c]))[0])
+        path = tree.nodes[tree.starts[leaf] : tree.starts[leaf + 1]]
+        return (1 << 40) + int(path[min(lm.CLASS_LEVEL, len(path) - 1)])
+
     def steps(c, one, two):
         leaf = int(tree.leaves(np.array([c]))[0])
         for depth, p in enumerate(range(tree.starts[leaf], tree.starts[leaf + 1])):
             node, slot = int(tree.nodes[p]), int(tree.slots[p])
             cells = []
             for i, (deep, parts) in enumerate(zip(lm.DEPTHS, ((one,), (two,), (one, two)))):
-                if depth < deep and all(x < n_rows // 4 for x in parts):
-                    mixed = (scalar(i + 1, *(x + 2 for x in parts)) ^ scalar(9, node)) * int(lm._MIX) % (1 << 64)
+                if depth < deep:
+                    mixed = (scalar(i + 1, *(symbol(x) + 2 for x in parts)) ^ scalar(9, node)) * int(lm._MIX) % (1 << 64)
                     cells.append(mixed >> (64 - bits))
             logits = [float(tree.bias[node, j]) + sum(weights[r, j] for r in cells) for j in range(lm.ARITY)]
             top = max(logits)

@@ -202,3 +202,25 @@ def test_twins(spark, sf_dir, name):
     got = queries.queries()[name](spark, sf_dir)
     want = con.sql(queries.oracle_sql()[name])
     assert sorted(map(str, map(tuple, got.select(*want.columns).collect()))) == sorted(map(str, want.fetchall()))
+
+
+def test_other_ids_and_names(spark):
+    """Text ids, empty ones among them, dotted names, and rows that repeat."""
+    from palimpsest.llm import decontamination, packing, quality, sharding, substring, warc
+
+    rows = [("", "some words of a text"), ("b", "other words"), (None, "words"), ("a", None), *[("a", "equal rows")] * 400]
+    docs = spark.createDataFrame(rows, "`doc.id` string, `the.text` string")
+    names = {"id_col": "doc.id", "text_col": "the.text"}
+    packed = packing.pack_documents(docs, **names, length=16, group_bytes=200).collect()
+    assert sum(len(r.doc_ids) for r in packed) == 403 and len({r.pack_group for r in packed if "a" in r.doc_ids}) > 10
+    assert quality.quality_rules(docs, docs.select("`doc.id`").limit(0), **names).count() == 404
+    assert substring.dedup_substrings(docs, **names).count() == 404
+    bench = spark.createDataFrame([("x", "equal rows")], "`item.id` string, `a.b` string")
+    assert decontamination.find_contamination(docs, bench, **names, item_col="item.id", item_text_cols=("a.b",)).filter("n_hit > 0").count() == 400
+    nulls = spark.createDataFrame([(None, f"text {i}") for i in range(300)], "doc_id long, text string")
+    found = sharding.assign_shards(nulls, [1.0] * 4).collect()
+    assert len({r.shard for r in found}) == 1 and sorted(r.slot for r in found) == list(range(300))
+    pages = spark.createDataFrame([("p/1", "u", "<p>"), ("p/2", None, None), (None, "u", "x"), ("p/1", "u", "<q>")], "page_id string, url string, html string")
+    records = warc.warc_records(pages, records_a_file=2).collect()
+    assert len(records) == 3 and all(b"WARC-Date: " in r.record for r in records) and {r.file for r in records} <= {0, 1}
+    assert warc.fixity_audit(warc.warc_records(pages), warc.warc_records(pages)).count() == 0
