@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import zlib
 from functools import reduce
 
 from pyspark.sql import Column
@@ -77,37 +79,46 @@ REFERENCES = (
 )
 
 
+#: White space as the rules mean it, no-break spaces and the byte order mark among them; \\s in Java's patterns is ASCII alone.
+SPACE = r"[\t-\r \x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
+
+
+def spaced(pattern: str) -> str:
+    """A pattern whose \\s stands for SPACE."""
+    return pattern.replace(r"\s", SPACE)
+
+
 def trimmed(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^\s+|\s+\z", "")
+    return F.regexp_replace(text, spaced(r"^\s+|\s+\z"), "")
 
 
 def nonspace_length(text: Column) -> Column:
-    return F.length(F.regexp_replace(text, r"(?U)\s+", ""))
+    return F.length(F.regexp_replace(text, spaced(r"\s+"), ""))
 
 
 def strip_prefixes(text: Column) -> Column:
     """Numbering and list letters at line starts removed, pass by pass; a lone number or letter gives ''."""
     start = trimmed(text)
-    lone = start.rlike(r"^([A-Z]\.|\d+\.?)\s*$")
-    cut = reduce(lambda t, p: F.regexp_replace(F.regexp_replace(t, f"(?m)^{p}", ""), rf"\n{p}", "\n"), PREFIXES, start)
-    return F.when(lone, "").otherwise(trimmed(F.regexp_replace(cut, r"\n\d+\s*\z", "")))
+    lone = start.rlike(spaced(r"^([A-Z]\.|\d+\.?)\s*$"))
+    cut = reduce(lambda t, p: F.regexp_replace(F.regexp_replace(t, f"(?m)^{p}", ""), rf"\n{p}", "\n"), map(spaced, PREFIXES), start)
+    return F.when(lone, "").otherwise(trimmed(F.regexp_replace(cut, spaced(r"\n\d+\s*\z"), "")))
 
 
 def is_noise(text: Column) -> Column:
     t = trimmed(text)
-    return (F.length(t) < 10) | t.rlike(f"^({'|'.join(NOISE)})$")
+    return (F.length(t) < 10) | t.rlike(spaced(f"^({'|'.join(NOISE)})$"))
 
 
 def is_form_option(text: Column) -> Column:
-    return trimmed(text).rlike(f"(?i)^({'|'.join(OPTIONS)})$")
+    return trimmed(text).rlike(spaced(f"(?i)^({'|'.join(OPTIONS)})$"))
 
 
 def is_incomplete(text: Column, following: Column) -> Column:
     """Without closing punctuation, and ending in a joining word or phrase or followed by a lower-case start."""
     t = trimmed(text)
-    words = F.split(F.lower(t), r"\s+")
+    words = F.split(F.lower(t), spaced(r"\s+"))
     last = F.array_join(F.slice(words, F.greatest(F.size(words) - 9, F.lit(1)), 10), " ")
-    phrase = last.rlike(f"(^|\\s)({JOINING_WORDS}|{NUMBER_WORDS})\\z") | last.rlike(f"({'|'.join(JOINING_PHRASES)})\\z")
+    phrase = last.rlike(f"(^|\\s)({JOINING_WORDS}|{NUMBER_WORDS})\\z") | last.rlike(spaced(f"({'|'.join(JOINING_PHRASES)})\\z"))
     goes_on = F.coalesce(trimmed(following).rlike("^[a-z]"), F.lit(False))
     return ~t.rlike(r"[.!?;:)]\z") & (F.length(t) > 0) & (phrase | goes_on)
 
@@ -123,7 +134,7 @@ def sentences(text: Column) -> Column:
 
 def without_footnotes(text: Column) -> Column:
     """The text less the blank-line separated paragraphs that start like a numbered footnote."""
-    return F.array_join(F.filter(F.split(text, "\n\n+"), lambda p: ~trimmed(p).rlike(FOOTNOTE)), "\n\n")
+    return F.array_join(F.filter(F.split(text, "\n\n+"), lambda p: ~trimmed(p).rlike(spaced(FOOTNOTE))), "\n\n")
 
 
 def with_options_joined(items: Column) -> Column:
@@ -164,14 +175,11 @@ def embedding_input(text: Column, limit: int = 3072) -> Column:
     return F.substring(F.trim(F.regexp_replace(text, "\n", " ")), 1, limit)
 
 
-def hashed_bag(text: Column, dim: int = 64) -> Column:
-    """The default embedder: hashed word counts, of unit length."""
-    from .vectors import normalize
+def hashed_words(text: str, dim: int = 64) -> list[float]:
+    """The default embedding: counts of a text's lower-case words by hash, of unit length; zeros without a word."""
+    counts = [0.0] * dim
+    for word in re.findall(r"[^\W_]+", text.lower()):
+        counts[zlib.crc32(word.encode("utf-8", "surrogatepass")) % dim] += 1
+    length = sum(x * x for x in counts) ** 0.5
+    return [x / length for x in counts] if length else counts
 
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    counts = F.aggregate(
-        words,
-        F.array_repeat(F.lit(0.0), dim),
-        lambda acc, w: F.transform(acc, lambda x, i: F.when(i == F.pmod(F.xxhash64(w), F.lit(dim)), x + 1).otherwise(x)),
-    )
-    return normalize(counts)

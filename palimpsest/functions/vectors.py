@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +35,16 @@ def finite(v: Column) -> Column:
     return F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
 
 
+def stacked(vectors: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """The places of a batch's usable vectors, and these as a matrix; null vectors and those with null or non-finite entries are none."""
+    at = np.flatnonzero([v is not None for v in vectors])
+    if not len(at):
+        return at, np.zeros((0, 0))
+    matrix = np.stack([np.asarray(vectors.iloc[i], np.float64) for i in at])
+    good = np.isfinite(matrix).all(axis=1)
+    return at[good], matrix[good]
+
+
 def centroids(chunks: DataFrame, key: str = "document_id", vector: str = "embedding", unit: bool = True) -> DataFrame:
     """(key, centroid, effective_chunk_count): the mean of each key's vectors, of unit length if asked.
 

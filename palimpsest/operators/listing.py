@@ -92,12 +92,9 @@ def document_neighbours(sources: DataFrame, chunks: DataFrame, most: int = 10, t
 
     The most + 10 nearest of other documents are taken, those under the threshold go, `most` stay.
     """
-    queries = sources.select(F.col("document_id").alias("query_id"), F.col("embedding").alias("vector"))
-    sizes = chunks.join(sources.select("document_id").distinct(), "document_id", "left_semi").groupBy("document_id").count()
-    own = sizes.agg(F.max("count")).first()[0] or 0  # of the sources alone
-    hits = nearest(queries, chunks.select("vec_id", F.col("embedding").alias("vector")), most + 10 + own, threshold)
-    named = hits.join(chunks.select("vec_id", "document_id"), "vec_id").filter("document_id <> query_id").drop("rank")
-    return named.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).filter(F.col("rank") <= most)
+    queries = sources.select(F.col("document_id").alias("query_id"), "document_id", F.col("embedding").alias("vector"))
+    hits = nearest(queries, chunks.select("vec_id", "document_id", F.col("embedding").alias("vector")), most + 10, threshold, owner="document_id")
+    return hits.filter(F.col("rank") <= most).join(chunks.select("vec_id", "document_id"), "vec_id")
 
 
 def field_search(fields: DataFrame, text: str, columns: tuple[str, ...], confidence: str, created: str, most: int) -> DataFrame:
@@ -117,10 +114,12 @@ def append_rows(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
 
 
-def upload_manifest(files: DataFrame, user: object) -> DataFrame:
-    """(title, filename, file_path, file_size, user_id, status) of files as `binaryFile` lists them; contents are not read."""
+def upload_manifest(files: DataFrame, user: object, metadata: dict[str, str] | None = None) -> DataFrame:
+    """(title, filename, file_path, file_size, content_type, user_id, status, metadata) of files as `binaryFile` lists them; contents are not read."""
+    pairs = [x for k, v in (metadata or {}).items() for x in (F.lit(k), F.lit(v))]
+    entries = (F.create_map(*pairs) if pairs else F.create_map()).cast("map<string,string>")
     name = F.element_at(F.split("path", "/"), -1)
-    return files.select(F.regexp_replace(name, r"\.[^/.]+$", "").alias("title"), name.alias("filename"), F.col("path").alias("file_path"), F.col("length").alias("file_size"), F.lit(user).alias("user_id"), F.lit("uploading").alias("status"))
+    return files.select(F.regexp_replace(name, r"\.[^/.]+$", "").alias("title"), name.alias("filename"), F.col("path").alias("file_path"), F.col("length").alias("file_size"), F.lit("application/pdf").alias("content_type"), F.lit(user).alias("user_id"), F.lit("uploading").alias("status"), entries.alias("metadata"))
 
 
 def feature_neighbours(features: DataFrame, queries: DataFrame, threshold: float = 0.3, most: int = 10) -> DataFrame:

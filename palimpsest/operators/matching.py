@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.lineage import cut
-from .search import indexed, inverted_file
+from ..functions.lineage import cut, shared_folder
+from .index import InvertedFile
 
 PAIR = ["source_id", "target_id"]
 
@@ -244,25 +244,26 @@ def section_summary(found: DataFrame) -> DataFrame:
     return counts.select(*PAIR, F.concat_ws(", ", *(F.when(F.col(t) > 0, F.format_string(text, F.col(t))) for t, text in tiers)).alias("summary"))
 
 
-def block_by_cells(chunks: DataFrame, threshold: float, cells: int | None = None, copies: int = 10) -> DataFrame:
+def block_by_cells(chunks: DataFrame, threshold: float, cells: int | None = None, copies: int = 10, block: int = 4096) -> DataFrame:
     """(source_id, target_id), source below target: documents with chunks of a dot product of `threshold` or more that share a cell.
 
-    A vector is indexed in its `copies` nearest cells of an inverted file, so that some pairs of far-off cells are missed; by default there are as many cells as the root
-    of the number of vectors, 16 to 4,096. A cell's vectors are dealt to blocks of BLOCK at the most by a hash; each block
-    meets each other one of its cell as matrices, so no task holds a cell and only pairs of documents over the threshold become rows.
+    A vector is in its `copies` nearest cells of a stored inverted file, so that some pairs of far-off cells are missed; there are as many cells as the root
+    of the number of vectors by default, 65,536 at the most. A cell's vectors are dealt by a hash to blocks of about `block`, kept as
+    packed matrices. Pairs of blocks go as their numbers, each of which fetches its two matrices; no task holds a cell
+    and only pairs of documents over the threshold become rows. Null and non-finite vectors are left out.
     """
-    vectors = cut(chunks.filter(F.col("embedding").isNotNull()).select("vec_id", "document_id", F.col("embedding").alias("vector")))
-    n = vectors.count()
-    if n == 0:
-        return vectors.select(F.col("document_id").alias("source_id"), F.col("document_id").alias("target_id"))
-    cells = cells or min(4096, max(16, int(n**0.5)))
-    index = indexed(vectors, inverted_file(vectors, min(cells, max(1, n))), min(copies, cells)).join(vectors.select("vec_id", "document_id"), "vec_id")
-    placed = cut(index.select("document_id", "vec_id", "vector", F.explode("cells").alias("cell")))
-    sizes = placed.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).alias("n_blocks"))  # a row a cell, 4,096 at the most
-    dealt = placed.join(F.broadcast(sizes), "cell").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("n_blocks")))
-    blocks = cut(dealt.groupBy("cell", "n_blocks", "block").agg(F.collect_list(F.struct("document_id", "vector")).alias("items")))
-    left = blocks.select("cell", F.col("items").alias("a"), F.explode(F.sequence("block", F.col("n_blocks") - 1)).alias("block"))
-    joined = left.join(blocks.select("cell", "block", F.col("items").alias("b")), ["cell", "block"]).select("a", "b")
+    spark = chunks.sparkSession
+    vectors = chunks.select("vec_id", "document_id", F.col("embedding").alias("vector"))
+    index = InvertedFile.build(vectors, shared_folder(spark), cells, copies, keep=("document_id",))
+    if not len(index.cells.centres):
+        return vectors.select(F.col("document_id").alias("source_id"), F.col("document_id").alias("target_id")).filter("false")
+    sizes = index.stored().groupBy("cell").agg(F.ceil(F.count("*") / block).alias("n_blocks"))  # a row a cell, 65,536 at the most
+    dealt = index.stored().join(F.broadcast(sizes), "cell").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("n_blocks")))
+    blocks = cut(dealt.groupBy("cell", "block").agg(F.collect_list(F.struct("document_id", "vector")).alias("items")))
+    numbers = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))
+    pairs = sizes.withColumn("one", numbers).withColumn("two", F.explode(F.sequence("one", F.col("n_blocks") - 1))).select("cell", "one", "two")
+    side = lambda number, name: blocks.select("cell", F.col("block").alias(number), F.col("items").alias(name))
+    joined = pairs.join(side("one", "a"), ["cell", "one"]).join(side("two", "b"), ["cell", "two"]).select("a", "b")
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

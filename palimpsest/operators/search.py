@@ -9,42 +9,50 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.lineage import cut
+from ..functions.lineage import cut, shared_folder
+from ..functions.vectors import stacked
+from .index import InvertedFile
 
 #: Query vectors in one broadcast block.
 BLOCK = 2048
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int, min_score: float | None = None, block: int = BLOCK) -> DataFrame:
+def nearest(queries: DataFrame, vectors: DataFrame, k: int, min_score: float | None = None, block: int = BLOCK, owner: str | None = None) -> DataFrame:
     """(query_id, vec_id, score, rank): each query's k nearest rows of `vectors` by dot product.
 
     `queries` (query_id, vector) is a stated set; it is taken in blocks of `block` rows, each broadcast once
     and multiplied with the Arrow batches of `vectors` (vec_id, vector). A batch gives no more than k rows for
     each query, so the ranking shuffles k rows for a query and batch and never a pair table. Ties: smaller id.
+    With `owner`, a column of both, rows of the query's own owner are left out. Null and non-finite vectors take no part.
     """
-    spark = queries.sparkSession
-    queries = cut(queries.select("query_id", "vector"))  # read once for each block
+    spark, more = queries.sparkSession, [owner] if owner else []
+    queries = cut(queries.select("query_id", "vector", *more))  # read once for each block
     n_blocks = max(1, -(-queries.count() // block))
     dealt = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)))
     found = None
     for i in range(n_blocks):
-        rows = dealt.filter(F.col("block") == i).select("query_id", "vector").collect()
-        ids = np.array([r.query_id for r in rows], np.int64)
-        shared = spark.sparkContext.broadcast((ids, np.array([r.vector for r in rows], np.float64).T))
+        rows = pd.DataFrame(dealt.filter(F.col("block") == i).collect(), columns=dealt.columns)
+        at, matrix = stacked(rows.vector)
+        ids = rows.query_id.to_numpy(np.int64)[at]
+        shared = spark.sparkContext.broadcast((ids, matrix.T, rows[owner].to_numpy()[at] if owner else None))
 
         def scan(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            ids, matrix = shared.value
+            ids, matrix, owners = shared.value
             for batch in batches:
                 for lo in range(0, len(batch) if len(ids) else 0, 4096):
                     part = batch.iloc[lo : lo + 4096]
-                    own = part.vec_id.to_numpy(np.int64)
-                    scores = np.stack(part.vector.to_list()).astype(np.float64) @ matrix
+                    at, held = stacked(part.vector)
+                    if not len(at):
+                        continue
+                    own, scores = part.vec_id.to_numpy(np.int64)[at], held @ matrix
+                    if owners is not None:
+                        scores[part[owner].to_numpy()[at][:, None] == owners] = -np.inf
                     order = np.lexsort((np.broadcast_to(own[:, None], scores.shape), -scores), axis=0)[:k]
                     top = np.take_along_axis(scores, order, axis=0)
                     out = pd.DataFrame({"query_id": np.tile(ids, len(order)), "vec_id": own[order].ravel(), "score": top.ravel()})
-                    yield out if min_score is None else out[out.score >= min_score]
+                    yield out[out.score > -np.inf] if min_score is None else out[out.score >= min_score]
 
-        part = vectors.select("vec_id", "vector").mapInPandas(scan, "query_id bigint, vec_id bigint, score double")
+        part = vectors.select("vec_id", "vector", *more).mapInPandas(scan, "query_id bigint, vec_id bigint, score double")
         found = part if found is None else found.unionByName(part)
     by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(by_score)).filter(F.col("rank") <= k)
@@ -56,13 +64,9 @@ def stage0_candidates(sources: DataFrame, chunks: DataFrame, top_k: int = 600) -
     Takes the 2 * top_k best chunks of other documents, then each document's maximum. `sources` has
     (document_id, centroid), `chunks` (vec_id, document_id, embedding).
     """
-    queries = sources.select(F.col("document_id").alias("query_id"), F.col("centroid").alias("vector"))
-    sizes = chunks.join(sources.select("document_id").distinct(), "document_id", "left_semi").groupBy("document_id").count()
-    own = sizes.agg(F.max("count")).first()[0] or 0  # a source's own chunks take places
-    hits = nearest(queries, chunks.select("vec_id", F.col("embedding").alias("vector")), 2 * top_k + own)
-    named = hits.join(chunks.select("vec_id", "document_id"), "vec_id").filter("document_id <> query_id")
-    ranked = named.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))).filter(F.col("rank") <= 2 * top_k)
-    best = ranked.groupBy(F.col("query_id").alias("source_id"), "document_id").agg(F.max("score").alias("score"))
+    queries = sources.select(F.col("document_id").alias("query_id"), "document_id", F.col("centroid").alias("vector"))
+    hits = nearest(queries, chunks.select("vec_id", "document_id", F.col("embedding").alias("vector")), 2 * top_k, owner="document_id")
+    best = hits.join(chunks.select("vec_id", "document_id"), "vec_id").groupBy(F.col("query_id").alias("source_id"), "document_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("source_id").orderBy(F.desc("score"), "document_id")
     return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top_k)
 
@@ -117,74 +121,9 @@ def rank_fusion(lists: list[DataFrame], k: int = 60, by: tuple[str, ...] = ()) -
     return rows.groupBy(*by, "id").agg(F.sum(1.0 / (F.col("rank") + k)).alias("score"))
 
 
-def inverted_file(vectors: DataFrame, cells: int = 64, sample: int = 20_000, seed: int = 42) -> DataFrame:
-    """(cell, centre): k-means centres fitted on a bounded sample; every vector is indexed by nearest_cells."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    n = max(1, vectors.count())
-    fitted = vectors.filter(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < F.lit(min(1_000_000, 1_000_000 * sample // n)))
-    model = KMeans(k=cells, seed=seed, maxIter=10).fit(fitted.select(array_to_vector(F.col("vector").cast("array<double>")).alias("features")))
-    centres = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
-    return vectors.sparkSession.createDataFrame(centres, "vec_id long, vector array<double>")
-
-
-def _nearest_cells(vectors: np.ndarray, matrix: np.ndarray, n: int) -> np.ndarray:
-    """The places of each vector's n nearest centres by Euclidean distance, as they were fitted."""
-    return np.argsort((matrix**2).sum(axis=0) / 2 - vectors @ matrix, axis=1, kind="stable")[:, :n]
-
-
-def indexed(vectors: DataFrame, centres: DataFrame, copies: int = 4) -> DataFrame:
-    """(vec_id, vector, cells): the index, each vector with its `copies` nearest cells; the centres are a fixed, small number."""
-    shared = vectors.sparkSession.sparkContext.broadcast(np.array([r.vector for r in centres.sort("vec_id").collect()], np.float64).T)
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                cells = _nearest_cells(np.stack(batch.vector.to_list()).astype(np.float64), shared.value, copies)
-                yield batch.assign(cells=list(cells.astype(np.int32)))
-
-    return vectors.select("vec_id", "vector").mapInPandas(scan, f"vec_id bigint, vector {vectors.schema['vector'].dataType.simpleString()}, cells array<int>")
-
-
-def approximate_nearest(queries: DataFrame, vectors: DataFrame, k: int, cells: int = 64, probes: int = 16, copies: int = 4, block: int = BLOCK) -> DataFrame:
+def approximate_nearest(queries: DataFrame, vectors: DataFrame, k: int, cells: int | None = None, probes: int = 16, copies: int = 4, path: str | None = None) -> DataFrame:
     """(query_id, vec_id, score, rank): nearest among the vectors in the `probes` cells nearest to a query.
 
-    A vector is indexed in its `copies` nearest cells, so that a neighbour beyond a cell's edge is found too.
-    Queries are taken in blocks of `block`, each broadcast with its cells; the index's Arrow batches are
-    multiplied cell by cell with the queries that probe the cell. A batch gives no more than k rows for each
-    query: vectors stay where they are, and no pair table is made.
+    The vectors go to an inverted file under `path`, or in the shared folder; see index.InvertedFile, which a second search opens.
     """
-    spark = queries.sparkSession
-    centres = inverted_file(vectors, cells)
-    matrix = np.array([r.vector for r in centres.sort("vec_id").collect()], np.float64).T
-    index, queries = indexed(vectors, centres, copies), cut(queries.select("query_id", "vector"))
-    n_blocks = max(1, -(-queries.count() // block))
-    found = None
-    for i in range(n_blocks):
-        rows = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == i).collect()
-        asked = np.array([r.vector for r in rows], np.float64).reshape(len(rows), matrix.shape[0])
-        near = _nearest_cells(asked, matrix, probes)
-        shared = spark.sparkContext.broadcast((np.array([r.query_id for r in rows], np.int64), asked, [np.flatnonzero((near == c).any(axis=1)) for c in range(matrix.shape[1])]))
-
-        def scan(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            ids, asked, probing = shared.value
-            for batch in batches:
-                for lo in range(0, len(batch), 4096):
-                    part = batch.iloc[lo : lo + 4096]
-                    own, held = part.vec_id.to_numpy(np.int64), np.stack(part.vector.to_list()).astype(np.float64)
-                    homes, out = np.stack(part.cells.to_list()), []
-                    for c in np.unique(homes):
-                        at, q = np.flatnonzero((homes == c).any(axis=1)), probing[c]
-                        if len(q):
-                            scores = held[at] @ asked[q].T
-                            order = np.lexsort((np.broadcast_to(own[at][:, None], scores.shape), -scores), axis=0)[:k]
-                            out.append(pd.DataFrame({"query_id": np.tile(ids[q], len(order)), "vec_id": own[at][order].ravel(), "score": np.take_along_axis(scores, order, axis=0).ravel()}))
-                    if out:
-                        all_ = pd.concat(out).drop_duplicates(["query_id", "vec_id"]).sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
-                        yield all_[all_.groupby("query_id").cumcount() < k]
-
-        part = index.mapInPandas(scan, "query_id bigint, vec_id bigint, score double")
-        found = part if found is None else found.unionByName(part)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return InvertedFile.build(vectors, path or shared_folder(queries.sparkSession), cells, copies).nearest(queries, k, probes)
