@@ -48,12 +48,23 @@ def page_metadata(rows: DataFrame, page: int, limit: int) -> DataFrame:
 
 def ranked_results(results: DataFrame, by: str = "source_score", ascending: bool = False, most: int | None = None, key: str = "source_id") -> DataFrame:
     """Results of each search in the wanted order, ties by both scores to six places, then creation, title and id."""
-    ties = [F.desc(F.round("source_score", 6)), F.desc(F.round("target_score", 6)), F.desc("created_at"), "title", "target_id"]
+    ties = [F.desc(F.round("source_score", 6)), F.desc(F.round("target_score", 6)), F.desc("created_at"), F.collate("title", "UNICODE"), "target_id"]
     first = [] if by == "source_score" and not ascending else [F.col(by).asc() if ascending else F.col(by).desc()]
     ranked = results.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(*first, *ties)))
     return ranked if most is None else ranked.filter(F.col("place") <= most)
 
 
+def listing_order(rows: DataFrame, by: str = "upload_time", ascending: bool = False, key: str | None = None) -> DataFrame:
+    """rows with `place`, of all or within each `key`: by upload time, name or size, ties by upload time, newest first, and id.
+
+    Names are compared as a reader expects, accents and letter case after the letters themselves.
+    """
+    column = {"upload_time": F.col("created_at"), "name": F.collate("title", "UNICODE") if "title" in rows.columns else None, "size": F.col("file_size") if "file_size" in rows.columns else None}[by]
+    order = [column.asc() if ascending else column.desc(), F.desc("created_at"), "id"]
+    window = Window.partitionBy(key) if key else Window.partitionBy(F.lit(0))
+    return rows.withColumn("place", F.row_number().over(window.orderBy(*order)))
+
+
 def top_sections(sections: DataFrame, most: int = 5) -> DataFrame:
     """The first `most` sections of each pair in document order."""
     order = Window.partitionBy("source_id", "target_id").orderBy("section")
@@ -87,13 +98,16 @@ def vector_matches(queries: DataFrame, vectors: DataFrame, attributes: DataFrame
     return hits.join(attributes, "vec_id")
 
 
-def document_neighbours(sources: DataFrame, chunks: DataFrame, most: int = 10, threshold: float = 0.7) -> DataFrame:
-    """(query_id, vec_id, document_id, score, rank): chunks of other documents near a document's first vector.
+def document_neighbours(sources: DataFrame, chunks: DataFrame, most: int = 10, threshold: float = 0.7, allowed: Column | None = None) -> DataFrame:
+    """(query_id, vec_id, document_id, score, rank): chunks of other documents near a document's vector, its first one or the mean of its pages.
 
-    The most + 10 nearest of other documents are taken, those under the threshold go, `most` stay.
+    The most + 10 nearest of other documents are taken, those under the threshold go, `most` stay. `sources` has
+    (document_id, embedding) and may name its rows by a query_id of their own; `allowed` is a filter of chunks.
     """
-    queries = sources.select(F.col("document_id").alias("query_id"), "document_id", F.col("embedding").alias("vector"))
-    hits = nearest(queries, chunks.select("vec_id", "document_id", F.col("embedding").alias("vector")), most + 10, threshold, owner="document_id")
+    name = "query_id" if "query_id" in sources.columns else "document_id"
+    queries = sources.select(F.col(name).alias("query_id"), "document_id", F.col("embedding").alias("vector"))
+    held = chunks if allowed is None else chunks.filter(allowed)
+    hits = nearest(queries, held.select("vec_id", "document_id", F.col("embedding").alias("vector")), most + 10, threshold, owner="document_id")
     return hits.filter(F.col("rank") <= most).join(chunks.select("vec_id", "document_id"), "vec_id")
 
 

@@ -48,8 +48,7 @@ def listing_metadata(spark, sf_dir):
 @query("listing_order", f"WITH {JOBS} SELECT id, row_number() OVER (PARTITION BY user_id ORDER BY file_size DESC, created_at DESC, id) AS place FROM jobs")
 def listing_order(spark, sf_dir):
     """Each user's documents by size, then upload time."""
-    order = Window.partitionBy("user_id").orderBy(F.desc("file_size"), F.desc("created_at"), "id")
-    return B.jobs(spark, sf_dir).select("id", F.row_number().over(order).cast("bigint").alias("place"))
+    return listing.listing_order(B.jobs(spark, sf_dir), "size", key="user_id").select("id", F.col("place").cast("bigint").alias("place"))
 
 
 @query("latest_completed", f"WITH {JOBS} SELECT id, user_id FROM jobs WHERE status = 'completed' ORDER BY created_at DESC, id DESC LIMIT 1")
