@@ -9,6 +9,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from ..functions.lineage import cut, shared_folder
 from .index import InvertedFile
@@ -96,16 +97,26 @@ def fallback_matches(weak: DataFrame, primary: DataFrame, k: int = 5, max_length
         free = free.join(primary.select(*PAIR, f"{side}_index").distinct(), [*PAIR, f"{side}_index"], "left_anti")
     cols = [c for c in primary.columns if c not in PAIR]
     item = F.struct("a_index", "ra", *(c for c in cols if c != "a_index"))
-    listed = free.groupBy(*PAIR).agg(F.sort_array(F.collect_list(item)).alias("items"))
-    empty = F.struct(F.array().cast("array<int>").alias("a"), F.array().cast("array<int>").alias("b"), F.slice("items", 1, 0).alias("kept"))
-    taken = F.aggregate(
-        "items",
-        empty,
-        lambda s, x: F.when(
-            F.array_contains(s.a, x.a_index) | F.array_contains(s.b, x.b_index), s
-        ).otherwise(F.struct(F.array_append(s.a, x.a_index).alias("a"), F.array_append(s.b, x.b_index).alias("b"), F.array_append(s.kept, x).alias("kept"))),
-    )
-    return listed.select(*PAIR, F.explode(taken.kept).alias("m")).select(*PAIR, *(F.col(f"m.{c}").alias(c) for c in cols)).select(*primary.columns)
+    listed = free.groupBy(*PAIR).agg(F.sort_array(F.collect_list(item)).alias("items"))  # k for each of a pair's chunks, at the most
+    taken = listed.withColumn("taken", _greedy(F.col("items.a_index"), F.col("items.b_index")))
+    each = taken.select(*PAIR, F.explode(F.transform("taken", lambda i: F.get("items", i))).alias("m"))
+    return each.select(*PAIR, *(F.col(f"m.{c}").alias(c) for c in cols)).select(*primary.columns)
+
+
+@F.pandas_udf(ArrayType(IntegerType()))
+def _greedy(own: pd.Series, other: pd.Series) -> pd.Series:
+    """The places of the pairs that a greedy pass takes: each index once on its side; linear in the pairs."""
+
+    def places(a: np.ndarray, b: np.ndarray) -> list[int]:
+        used_a, used_b, out = set(), set(), []
+        for i, (x, y) in enumerate(zip(a, b)):
+            if x not in used_a and y not in used_b:
+                used_a.add(x)
+                used_b.add(y)
+                out.append(i)
+        return out
+
+    return pd.Series([places(a, b) for a, b in zip(own, other)], dtype=object)
 
 
 def minimum_evidence(source_total: Column, target_total: Column, floor: int = 1600, share: float = 0.05) -> Column:

@@ -58,6 +58,35 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, min_score: float | N
     return found.withColumn("rank", F.row_number().over(by_score)).filter(F.col("rank") <= k)
 
 
+def near_documents(sources: DataFrame, chunks: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+    """(source_id, target_id): documents of which one has a chunk among `sources` and the other a chunk with a dot product of `threshold` or more.
+
+    The chunks of `sources`, a stated set, are broadcast in blocks and multiplied with the batches of `chunks`; a batch gives
+    each pair of documents once, and no other pair becomes a row. A document is not paired with itself.
+    """
+    spark = sources.sparkSession
+    held = cut(sources.select("vec_id", "document_id", "embedding"))
+    n_blocks, found = max(1, -(-held.count() // block)), None
+    kind = sources.schema["document_id"].dataType.simpleString()
+    for i in range(n_blocks):
+        rows = pd.DataFrame(held.filter(F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)) == i).collect(), columns=held.columns)
+        at, matrix = stacked(rows.embedding)
+        shared = spark.sparkContext.broadcast((rows.document_id.to_numpy()[at], matrix.T))
+
+        def scan(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            owners, matrix = shared.value
+            for batch in batches:
+                at, own = stacked(batch.embedding)
+                if len(at) and len(owners):
+                    row, col = np.nonzero(own @ matrix >= threshold)
+                    pairs = pd.DataFrame({"source_id": owners[col], "target_id": batch.document_id.to_numpy()[at][row]}).drop_duplicates()
+                    yield pairs[pairs.source_id != pairs.target_id]
+
+        part = chunks.select("document_id", "embedding").mapInPandas(scan, f"source_id {kind}, target_id {kind}")
+        found = part if found is None else found.unionByName(part)
+    return found.distinct()
+
+
 def stage0_candidates(sources: DataFrame, chunks: DataFrame, top_k: int = 600) -> DataFrame:
     """(source_id, document_id, score, rank): documents by their best chunk against a source's centroid.
 

@@ -59,10 +59,8 @@ def query(name: str, sql: str | None = None):
 
 
 def _pairs(chunks: DataFrame) -> DataFrame:
-    """The stated query set, documents whose id is divisible by 50, against all others."""
-    ids = chunks.select("document_id").distinct()
-    sources = ids.filter(SOURCES).select(F.col("document_id").alias("source_id"))
-    return sources.join(ids.select(F.col("document_id").alias("target_id")), F.col("source_id") != F.col("target_id"))
+    """Documents of the stated query set, those whose id is divisible by 50, and the others that have a chunk near one of theirs."""
+    return search.near_documents(chunks.filter(SOURCES), chunks, 0.25)
 
 
 def _matches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,27 +81,6 @@ STAGE0 = f"""{CENTROIDS}, hits AS (
   SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY score DESC, document_id) AS rank FROM top)"""
 
 
-def _stage0(spark, sf_dir):
-    chunks = B.chunks(spark, sf_dir)
-    sources = B.document_figures(spark, sf_dir).filter(SOURCES).select("document_id", "centroid")
-    return search.stage0_candidates(sources, chunks, 20)
-
-
-@query("stage0_candidates", f"WITH {STAGE0} SELECT source_id, document_id, round(score, 6) AS score, rank FROM stage0 WHERE rank <= 20")
-def stage0(spark, sf_dir):
-    return _stage0(spark, sf_dir).select("source_id", "document_id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
-
-
-@query("stage1_prefilter", f"""WITH {STAGE0}, near AS (
-  SELECT a.document_id AS source_id, a.vec_id AS q, b.document_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_dot_product(a.e, b.e) DESC, b.vec_id) AS rn
-  FROM chunks a JOIN chunks b ON a.document_id % 50 = 0), cnt AS (
-  SELECT source_id, document_id, count(DISTINCT q) AS matched_chunks FROM near JOIN (SELECT source_id, document_id FROM stage0 WHERE rank <= 20) USING (source_id, document_id) WHERE rn <= 36 GROUP BY ALL)
-SELECT source_id, document_id, matched_chunks, row_number() OVER (PARTITION BY source_id ORDER BY matched_chunks DESC, document_id) AS rank FROM cnt""")
-def stage1(spark, sf_dir):
-    chunks = B.chunks(spark, sf_dir)
-    return search.stage1_prefilter(chunks.filter(SOURCES), chunks, _stage0(spark, sf_dir)).withColumn("rank", F.col("rank").cast("bigint"))
-
-
 def _candidates(spark, sf_dir):
     """Stages 0 and 1 with the operator's own bounds: 600 candidates, and 250 by chunks where there are more."""
     sources = B.document_figures(spark, sf_dir).filter(SOURCES).select("document_id", "centroid")
@@ -113,6 +90,7 @@ def _candidates(spark, sf_dir):
 STAGE0_WHOLE = STAGE0.replace("rn <= 40", "rn <= 1200")
 
 
+@query("stage0_candidates", f"WITH {STAGE0_WHOLE} SELECT source_id, document_id, round(score, 6) AS score, rank FROM stage0 WHERE rank <= 600")
 @query("stage0_whole", f"WITH {STAGE0_WHOLE} SELECT source_id, document_id, round(score, 6) AS score, rank FROM stage0 WHERE rank <= 600")
 def stage0_whole(spark, sf_dir):
     sources = B.document_figures(spark, sf_dir).filter(SOURCES).select("document_id", "centroid")
@@ -128,6 +106,7 @@ CANDIDATES = f"""{STAGE0_WHOLE}, pool AS (SELECT source_id, document_id, count(*
   SELECT source_id, document_id FROM filtered WHERE rank <= 250 UNION ALL SELECT source_id, document_id FROM pool WHERE n <= 250)"""
 
 
+@query("stage1_prefilter", f"WITH {CANDIDATES} SELECT source_id, document_id FROM candidates")
 @query("stage1_whole", f"WITH {CANDIDATES} SELECT source_id, document_id FROM candidates")
 def stage1_whole(spark, sf_dir):
     """The candidates that the search goes on from."""
@@ -265,18 +244,6 @@ def vector_store_stats(spark, sf_dir):
     return B.table(spark, sf_dir, "embeddings").agg(F.count("*").alias("total_vectors"), F.max(F.size("embedding")).cast("bigint").alias("dimension"))
 
 
-@query("rrf", f"""WITH {CHUNKS}, q AS (SELECT e FROM chunks WHERE vec_id = 0),
-a AS (SELECT vec_id AS id, row_number() OVER (ORDER BY list_dot_product(chunks.e, q.e) DESC, vec_id) AS rank FROM chunks, q), b AS (SELECT vec_id AS id, row_number() OVER (ORDER BY character_count DESC, vec_id) AS rank FROM chunks)
-SELECT id, round(sum(1.0 / (60 + rank)), 9) AS score FROM (SELECT * FROM a WHERE rank <= 50 UNION ALL SELECT * FROM b WHERE rank <= 50) GROUP BY id""")
-def rrf(spark, sf_dir):
-    chunks = B.chunks(spark, sf_dir)
-    vectors = chunks.select("vec_id", F.col("embedding").alias("vector"))
-    near = search.nearest(vectors.filter("vec_id = 0").select(F.col("vec_id").alias("query_id"), "vector"), vectors, 50).select(F.col("vec_id").alias("id"), "rank")
-    top = chunks.sort(F.desc("character_count"), "vec_id").limit(50)
-    long = top.select(F.col("vec_id").alias("id"), F.row_number().over(Window.orderBy(F.desc("character_count"), "vec_id")).alias("rank"))
-    return search.rank_fusion([near, long]).select("id", F.round("score", 9).alias("score"))
-
-
 FINGERPRINTS = f"""{CENTROIDS}, prints AS (SELECT c.document_id, c.c AS v, count(*) FILTER (WHERE label % 2 = 0) AS n_sections, CAST(sum(character_count) AS DOUBLE) AS complexity
   FROM centroids c JOIN chunks USING (document_id) GROUP BY ALL)"""
 
@@ -287,30 +254,21 @@ def _prints(spark, sf_dir):
     return sums.join(B.document_figures(spark, sf_dir).select("document_id", F.col("centroid").alias("v")), "document_id")
 
 
-@query("fingerprint_similarity", f"""WITH {FINGERPRINTS} SELECT b.document_id, round(0.7 * list_dot_product(a.v, b.v) + 0.3 * CASE WHEN a.n_sections = 0 AND b.n_sections = 0 THEN 1.0 WHEN a.n_sections = 0 OR b.n_sections = 0 THEN 0.0
-  ELSE CAST(least(a.n_sections, b.n_sections) AS DOUBLE) / greatest(a.n_sections, b.n_sections) END, 6) AS similarity FROM prints a JOIN prints b ON a.document_id = 0 AND b.document_id <> 0""")
-def fingerprint_similarity(spark, sf_dir):
-    prints = _prints(spark, sf_dir)
-    one = prints.filter("document_id = 0").select(F.col("v").alias("v0"), F.col("n_sections").alias("n0"))
-    n, n0 = F.col("n_sections"), F.col("n0")
-    structure = F.when((n == 0) & (n0 == 0), 1.0).when((n == 0) | (n0 == 0), 0.0).otherwise(F.least(n, n0).cast("double") / F.greatest(n, n0))
-    return prints.filter("document_id <> 0").crossJoin(F.broadcast(one)).select("document_id", F.round(0.7 * cosine(F.col("v"), F.col("v0")) + 0.3 * structure, 6).alias("similarity"))  # `one` is one row
+FINGERPRINT = f"""WITH {FINGERPRINTS} SELECT b.document_id, round(0.7 * list_dot_product(a.v, b.v) + 0.3 * CASE WHEN a.n_sections = 0 AND b.n_sections = 0 THEN 1.0 WHEN a.n_sections = 0 OR b.n_sections = 0 THEN 0.0
+  ELSE CAST(least(a.n_sections, b.n_sections) AS DOUBLE) / greatest(a.n_sections, b.n_sections) END, 6) AS similarity FROM prints a JOIN prints b ON a.document_id = 0 AND b.document_id <> 0"""
 
 
-@query("feature_similarity", f"""WITH {FINGERPRINTS} SELECT b.document_id, round(0.5 * list_dot_product(a.v, b.v) + 0.35 * least((a.n_sections + 1.0) / (b.n_sections + 1.0), (b.n_sections + 1.0) / (a.n_sections + 1.0))
-  + 0.15 * least(a.complexity / b.complexity, b.complexity / a.complexity), 6) AS similarity FROM prints a JOIN prints b ON a.document_id = 0 AND b.document_id <> 0 AND list_dot_product(a.v, b.v) > 0""")
-def feature_similarity(spark, sf_dir):
-    prints = _prints(spark, sf_dir)
-    one = prints.filter("document_id = 0").select(F.col("v").alias("v0"), (F.col("n_sections") + 1.0).alias("n0"), F.col("complexity").alias("x0"))
-    near = cosine(F.col("v"), F.col("v0"))
-    ratio = lambda a, b: F.least(a / b, b / a)
-    both = prints.filter("document_id <> 0").crossJoin(F.broadcast(one)).filter(near > 0)
-    return both.select("document_id", F.round(0.5 * near + 0.35 * ratio(F.col("n_sections") + 1.0, F.col("n0")) + 0.15 * ratio(F.col("complexity"), F.col("x0")), 6).alias("similarity"))
+FEATURE = f"""WITH {FINGERPRINTS} SELECT b.document_id, round(0.5 * list_dot_product(a.v, b.v) + 0.35 * least((a.n_sections + 1.0) / (b.n_sections + 1.0), (b.n_sections + 1.0) / (a.n_sections + 1.0))
+  + 0.15 * least(a.complexity / b.complexity, b.complexity / a.complexity), 6) AS similarity FROM prints a JOIN prints b ON a.document_id = 0 AND b.document_id <> 0 AND list_dot_product(a.v, b.v) > 0"""
 
 
-@query("rrf_by_query", f"""WITH {CHUNKS}, q AS (SELECT vec_id AS query_id, e FROM chunks WHERE vec_id % 50 = 0),
+RRF = f"""WITH {CHUNKS}, q AS (SELECT vec_id AS query_id, e FROM chunks WHERE vec_id % 50 = 0),
 a AS (SELECT query_id, vec_id AS id, row_number() OVER (PARTITION BY query_id ORDER BY list_dot_product(chunks.e, q.e) DESC, vec_id) AS rank FROM chunks, q), b AS (SELECT vec_id AS id, row_number() OVER (ORDER BY character_count DESC, vec_id) AS rank FROM chunks)
-SELECT query_id, id, round(sum(1.0 / (60 + rank)), 9) AS score FROM (SELECT * FROM a WHERE rank <= 50 UNION ALL SELECT query_id, id, rank FROM b, q WHERE rank <= 50) GROUP BY query_id, id""")
+SELECT query_id, id, round(sum(1.0 / (60 + rank)), 9) AS score FROM (SELECT * FROM a WHERE rank <= 50 UNION ALL SELECT query_id, id, rank FROM b, q WHERE rank <= 50) GROUP BY query_id, id"""
+
+
+@query("rrf", RRF)
+@query("rrf_by_query", RRF)
 def rrf_by_query(spark, sf_dir):
     """`rrf` for the stated query set."""
     chunks = B.chunks(spark, sf_dir)
@@ -340,7 +298,8 @@ def _by_query(sql):
     return sql.replace("a.document_id = 0 AND b.document_id <> 0", "a.document_id % 50 = 0 AND b.document_id <> a.document_id").replace("SELECT b.document_id", "SELECT a.document_id AS query_id, b.document_id")
 
 
-@query("fingerprint_similarity_by_query", _by_query(SQL["fingerprint_similarity"]))
+@query("fingerprint_similarity", _by_query(FINGERPRINT))
+@query("fingerprint_similarity_by_query", _by_query(FINGERPRINT))
 def fingerprint_similarity_by_query(spark, sf_dir):
     """`fingerprint_similarity` for the stated query set."""
     both = _with_sources(_prints(spark, sf_dir), [F.col("v").alias("v0"), F.col("n_sections").alias("n0")])
@@ -349,7 +308,8 @@ def fingerprint_similarity_by_query(spark, sf_dir):
     return both.select("query_id", "document_id", F.round(0.7 * cosine(F.col("v"), F.col("v0")) + 0.3 * structure, 6).alias("similarity"))
 
 
-@query("feature_similarity_by_query", _by_query(SQL["feature_similarity"]))
+@query("feature_similarity", _by_query(FEATURE))
+@query("feature_similarity_by_query", _by_query(FEATURE))
 def feature_similarity_by_query(spark, sf_dir):
     """`feature_similarity` for the stated query set."""
     both = _with_sources(_prints(spark, sf_dir), [F.col("v").alias("v0"), (F.col("n_sections") + 1.0).alias("n0"), F.col("complexity").alias("x0")])
@@ -573,15 +533,16 @@ def noise_filter(spark, sf_dir):
     return rows.groupBy("document_id").agg(F.count("*").alias("n"), A.count_if(T.is_noise(F.col("text"))).alias("noise"))
 
 
-@query("strip_prefixes", f"WITH {PARAGRAPHS} SELECT document_id, idx, trim(text) AS text FROM paras WHERE regexp_matches(text, '^[A-Za-z]{{3}}[a-z ]*[.,]')")
-def strip_prefixes(spark, sf_dir):
-    """Paragraphs with a number of each kind put before them, and taken off again."""
-    rows = chunking.paragraphs_of(B.documents(spark, sf_dir), "doc_id", "text").filter(F.col("text").rlike("^[A-Za-z]{3}[a-z ]*[.,]"))
-    mark = F.element_at(F.array(*map(F.lit, ("2.1 ", "3.b ", "(iv) ", "7. ", "A. ", "12\n", "(c) "))), F.col("idx") % 7 + 1)
-    return rows.select("document_id", F.col("idx").cast("bigint").alias("idx"), T.strip_prefixes(F.concat(mark, F.col("text"))).alias("text"))
+def _stripped() -> str:
+    out = trimmed = "regexp_replace(text, '^\\s+|\\s+$', '', 'g')"
+    for p in T.PREFIXES:
+        out = f"regexp_replace({out}, '^{p}', '')"
+    lone = f"regexp_matches({trimmed}, '^([A-Z]\\.|[0-9]+\\.?)\\s*$')"
+    return f"WITH {PARAGRAPHS} SELECT document_id, idx, CASE WHEN {lone} THEN '' ELSE regexp_replace({out}, '^\\s+|\\s+$', '', 'g') END AS text FROM paras"
 
 
-@query("strip_prefixes_whole")
+@query("strip_prefixes", _stripped())
+@query("strip_prefixes_whole", _stripped())
 def strip_prefixes_whole(spark, sf_dir):
     """All paragraphs as they stand."""
     rows = chunking.paragraphs_of(B.documents(spark, sf_dir), "doc_id", "text")

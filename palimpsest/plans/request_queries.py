@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.lineage import shared_folder
-from ..functions.text import PREFIXES
 from ..operators import build, index, listing, requests, sketches, store
 from ..streaming import feeds
 from . import bindings as B
-from .queries import CHUNKS, PARAGRAPHS, QUERIES, SQL, query
+from .queries import CHUNKS, query
 
 REQUESTS = f"""{CHUNKS}, asked AS (SELECT o_orderkey AS request_id, o_custkey % 60 AS document_id, CASE WHEN o_orderkey % 350 = 0 THEN 9 ELSE o_custkey % 60 % 3 END AS user_id,
     CASE o_orderkey // 50 % 4 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 5 END AS low, CASE o_orderkey // 50 % 4 WHEN 1 THEN 2 WHEN 2 THEN 4 WHEN 3 THEN 6 END AS high FROM orders WHERE o_orderkey % 50 = 0), docs AS (
@@ -177,14 +176,3 @@ def usage_sketches(spark, sf_dir):
     daily = sketches.daily_sketches(B.activity(spark, sf_dir))
     found = sketches.period_figures(daily, F.date_format("day", "yyyy-MM"))
     return found.select("period", "n", F.round("mean_duration", 6).alias("mean_duration"), F.col("top_users")[0]["count"].alias("most"))
-
-
-def _stripped() -> str:
-    out = "regexp_replace(text, '^\\s+|\\s+$', '', 'g')"
-    for p in PREFIXES:
-        out = f"regexp_replace({out}, '^{p}', '')"
-    return f"regexp_replace({out}, '^\\s+|\\s+$', '', 'g')"
-
-
-SQL["strip_prefixes_whole"] = f"WITH {PARAGRAPHS} SELECT document_id, idx, CASE WHEN regexp_matches(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '^([A-Z]\\.|[0-9]+\\.?)\\s*$') THEN '' ELSE {_stripped()} END AS text FROM paras"
-assert "strip_prefixes_whole" in QUERIES

@@ -13,7 +13,7 @@ from ..operators import chunking, matching, upkeep
 from ..sources import ocr
 from ..streaming import feeds
 from . import bindings as B
-from .queries import ACTIVITY, CANDIDATES, CHUNKS, JOBS, MATCHES, PARAGRAPHS, SOURCES, SQL, STAGE0, _candidates, _matches, _stage0, query
+from .queries import ACTIVITY, CANDIDATES, CHUNKS, JOBS, MATCHES, PARAGRAPHS, SOURCES, SQL, STAGE0, _candidates, _matches, query
 
 
 def _ocr(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -205,21 +205,17 @@ SCORED = f"""{STAGE0}, {MATCHES.removeprefix(CHUNKS).lstrip(', ')}, tot AS (SELE
   SELECT source_id, target_id, sa.s AS ms, sb.s AS mt, n, sa.s / x.t AS ss, sb.s / y.t AS ts, x.t / y.t * 100 AS ratio FROM sa JOIN sb USING (source_id, target_id) JOIN tot x ON x.document_id = source_id JOIN tot y ON y.document_id = target_id)"""
 
 
-@query("primary_search", f"""WITH {SCORED}, r AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY ss DESC, ts DESC, mt DESC, n DESC, target_id) AS rank FROM scored)
-SELECT source_id, target_id, CAST(ms AS BIGINT) AS matched_source_chars, CAST(mt AS BIGINT) AS matched_target_chars, n AS matched_chunks, round(ss, 6) AS source_score, round(ts, 6) AS target_score, round(ratio, 6) AS length_ratio, rank FROM r WHERE rank <= 30""")
-def primary_search(spark, sf_dir):
-    """The whole search without the fallback pass, which SQL can't say: candidates, best matches, evidence, scores, rank."""
-    chunks, figures = B.chunks(spark, sf_dir), B.document_figures(spark, sf_dir)
-    found = matching.similarity_search(figures.filter(SOURCES), chunks, figures, _stage0(spark, sf_dir), min_source=0.0, min_target=0.0, primary=0.25, fallback=None, tolerance=0)
-    return found.withColumns({c: F.round(c, 6) for c in ("source_score", "target_score", "length_ratio")}).withColumn("rank", F.col("rank").cast("bigint"))
+SCORED_WHOLE = SCORED.replace(STAGE0, CANDIDATES).replace("SELECT source_id, document_id AS target_id FROM stage0 WHERE rank <= 20", "SELECT source_id, document_id AS target_id FROM candidates")
 
 
-SCORED_WHOLE = SCORED.replace(STAGE0, CANDIDATES).replace("SELECT source_id, document_id AS target_id FROM stage0 WHERE rank <= 20", "SELECT source_id, document_id AS target_id FROM candidates")
+PRIMARY = f"""WITH {SCORED_WHOLE}, r AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY ss DESC, ts DESC, mt DESC, n DESC, target_id) AS rank FROM scored)
+SELECT source_id, target_id, CAST(ms AS BIGINT) AS matched_source_chars, CAST(mt AS BIGINT) AS matched_target_chars, n AS matched_chunks, round(ss, 6) AS source_score, round(ts, 6) AS target_score, round(ratio, 6) AS length_ratio, rank FROM r WHERE rank <= 30"""
 
 
-@query("primary_search_whole", SQL["primary_search"].replace(SCORED, SCORED_WHOLE))
+@query("primary_search", PRIMARY)
+@query("primary_search_whole", PRIMARY)
 def primary_search_whole(spark, sf_dir):
-    """`primary_search` over all candidates of stages 0 and 1."""
+    """The whole search without the fallback pass, which SQL can't say: candidates of both stages, best matches, evidence, scores, rank."""
     chunks, figures = B.chunks(spark, sf_dir), B.document_figures(spark, sf_dir)
     found = matching.similarity_search(figures.filter(SOURCES), chunks, figures, _candidates(spark, sf_dir), min_source=0.0, min_target=0.0, primary=0.25, fallback=None, tolerance=0)
     return found.withColumns({c: F.round(c, 6) for c in ("source_score", "target_score", "length_ratio")}).withColumn("rank", F.col("rank").cast("bigint"))
