@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from palimpsest.plans import library_queries, report_queries, request_queries, upkeep_queries  # noqa: F401
+from palimpsest.plans import library_queries, report_queries, request_queries, summary_queries, upkeep_queries  # noqa: F401
 from palimpsest.plans.queries import QUERIES, SQL
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
