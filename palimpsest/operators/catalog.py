@@ -139,6 +139,12 @@ def flatten_metadata(struct: Column, fields: dict[str, str]) -> Column:
     return F.map_filter(F.create_map(*pairs), lambda _, v: v.isNotNull())
 
 
+def metadata_lists(struct: Column, names: list[str]) -> Column:
+    """A map from the name of each array field that is not null to its elements as strings, nulls among them left out; the counterpart of flatten_metadata."""
+    listed = lambda n: F.transform(F.filter(struct.getField(n), lambda x: x.isNotNull()), lambda x: x.cast("string"))
+    return F.map_filter(F.create_map(*(x for n in names for x in (F.lit(n), listed(n)))), lambda _, v: v.isNotNull())
+
+
 def record_exclusion(sections: Column, section: Column, kind: str) -> Column:
     """The list of excluded sections with `section` (null: none) in place of those of its kind, at the end; a null list is empty."""
     kept = F.filter(F.coalesce(sections, F.array().cast("array<struct<type:string,start_page:int,end_page:int,page_count:int>>")), lambda s: ~(s.type.eqNullSafe(F.lit(kind))))

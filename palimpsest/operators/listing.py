@@ -137,21 +137,21 @@ def upload_manifest(files: DataFrame, user: object, metadata: dict[str, str] | N
 
 
 def feature_neighbours(features: DataFrame, queries: DataFrame, threshold: float = 0.3, most: int = 10) -> DataFrame:
-    """(query_id, document_id, similarity_score, legal_clause_similarity, semantic_similarity, rank).
+    """(query_id, document_id, filename, similarity_score, form_field_similarity, legal_clause_similarity, semantic_similarity, rank).
 
-    Feature rows (document_id, v of unit length, n_sections, complexity) nearest to each query's: those over 0.8 of the threshold,
+    Feature rows (document_id, filename, v of unit length, n_sections, n_fields, complexity) nearest to each query's: those over 0.8 of the threshold,
     2 * most of them by cosine, scored by cosine, section counts and complexity. The threshold isn't applied to the score.
     """
     asked = queries.select(F.col("document_id").alias("query_id"), F.col("v").alias("vector"))
     near = nearest(asked, features.select(F.col("document_id").alias("vec_id"), F.col("v").alias("vector")), 2 * most + 1, threshold * 0.8)
     others = near.filter((F.col("vec_id") != F.col("query_id")) & (F.col("score") > threshold * 0.8))
     ranked = others.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))).filter(F.col("rank") <= 2 * most)
-    side = lambda rows, key, tag: rows.select(F.col("document_id").alias(key), F.col("n_sections").alias(f"n_{tag}"), F.col("complexity").alias(f"x_{tag}"))
+    side = lambda rows, key, tag: rows.select(F.col("document_id").alias(key), F.col("n_sections").alias(f"n_{tag}"), F.col("n_fields").alias(f"f_{tag}"), *([F.col("filename")] if tag == "b" else []), F.col("complexity").alias(f"x_{tag}"))
     both = ranked.withColumnRenamed("vec_id", "document_id").join(side(features, "document_id", "b"), "document_id").join(side(queries, "query_id", "a"), "query_id")
     ratio = lambda a, b, floor: F.least(F.col(a) / F.greatest(F.col(b), F.lit(floor)), F.col(b) / F.greatest(F.col(a), F.lit(floor)))
-    clauses = ratio("n_b", "n_a", 1)
+    clauses, forms = ratio("n_b", "n_a", 1), ratio("f_b", "f_a", 1)
     score = F.greatest(F.col("score") * 0.5 + clauses * 0.35 + ratio("x_b", "x_a", 0.1) * 0.15, F.lit(0.0))
-    return both.select("query_id", "document_id", score.alias("similarity_score"), clauses.alias("legal_clause_similarity"), F.col("score").alias("semantic_similarity"), "rank")
+    return both.select("query_id", "document_id", "filename", score.alias("similarity_score"), forms.alias("form_field_similarity"), clauses.alias("legal_clause_similarity"), F.col("score").alias("semantic_similarity"), "rank")
 
 
 def search_summary(found: DataFrame, candidates: DataFrame, results: DataFrame) -> DataFrame:

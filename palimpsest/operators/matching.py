@@ -82,17 +82,27 @@ def best_matches(matches: DataFrame, chunks: DataFrame, tolerance: float = 0.001
     return forth.unionByName(back.select(*forth.columns)).groupBy(*cols).agg(F.max("score").alias("score"))
 
 
-def fallback_matches(weak: DataFrame, primary: DataFrame, k: int = 5, max_length_gap: float = 0.4) -> DataFrame:
+def near_enough(score: Column, index_gap: Column, page_gap: Column, sure: float, most_index: int = -1, most_page: int = -1) -> Column:
+    """The distance test of a reciprocal match: one whose score is under `sure` fails if it is too far by each bound that is set (-1: none)."""
+    index_far, page_far = index_gap > most_index, page_gap > most_page
+    far = index_far & page_far if most_index >= 0 and most_page >= 0 else index_far if most_index >= 0 else page_far if most_page >= 0 else F.lit(False)
+    return F.coalesce(~((score < sure) & far), F.lit(True))
+
+
+def fallback_matches(weak: DataFrame, primary: DataFrame, k: int = 5, max_length_gap: float = 0.4, sure: float = 0.85, most_index: int = -1, most_page: int = -1) -> DataFrame:
     """Reciprocal matches of chunks that the primary pass left alone, each chunk used once.
 
     `weak` has the chunk pairs over the lower threshold. Each side's k nearest are taken among all chunks;
-    pairs nearest from both sides, both unmatched and of like length, are chosen greedily in source order.
+    pairs nearest from both sides, both unmatched and of like length, are chosen greedily in source order. Bounds of
+    index and page distance are off by default; see near_enough.
     """
     rank = lambda own, other: F.row_number().over(Window.partitionBy(*PAIR, f"{own}_index").orderBy(F.desc("score"), f"{other}_index"))
     near = weak.withColumn("ra", rank("a", "b")).withColumn("rb", rank("b", "a")).filter((F.col("ra") <= k) & (F.col("rb") <= k))
     sized = (F.col("a_chars") > 0) & (F.col("b_chars") > 0)  # lengths that are unknown or zero tell nothing
     gap = F.try_divide(F.abs(F.col("a_chars") - F.col("b_chars")), F.greatest("a_chars", "b_chars"))
-    free = near.filter(~F.coalesce(sized & (gap > max_length_gap), F.lit(False)))
+    apart = lambda c: F.abs(F.coalesce(f"a_{c}", F.lit(0)) - F.coalesce(f"b_{c}", F.lit(0)))
+    close = near_enough(F.col("score"), apart("index"), apart("page"), sure, most_index, most_page)
+    free = near.filter(~F.coalesce(sized & (gap > max_length_gap), F.lit(False)) & close)
     for side in ("a", "b"):
         free = free.join(primary.select(*PAIR, f"{side}_index").distinct(), [*PAIR, f"{side}_index"], "left_anti")
     cols = [c for c in primary.columns if c not in PAIR]

@@ -212,18 +212,6 @@ def form_field_search(fields: DataFrame, documents: DataFrame, text: str, owner:
     return found.withColumn("place", F.row_number().over(order))
 
 
-def near_enough(score: Column, index_gap: Column, page_gap: Column, sure: float, most_index: int = -1, most_page: int = -1) -> Column:
-    """The distance test of a reciprocal match: one whose score is under `sure` fails if it is too far by each bound that is set (-1: none)."""
-    index_far, page_far = index_gap > most_index, page_gap > most_page
-    far = index_far & page_far if most_index >= 0 and most_page >= 0 else index_far if most_index >= 0 else page_far if most_page >= 0 else F.lit(False)
-    return F.coalesce(~((score < sure) & far), F.lit(True))
-
-
-def enough_matches(counted: DataFrame, least: int = 5) -> DataFrame:
-    """Candidates with at least `least` matched chunks."""
-    return counted.filter(F.col("matched_chunks") >= least)
-
-
 #: Fixed values by strategy: most pages a batch, least pages a batch, pages divided by, batches at once, milliseconds between, chunking, prefetching, asynchronous, priority.
 PROCESSING = {
     "fast-track": (10, None, 1, 10, 0, "standard", True, False, "critical"),

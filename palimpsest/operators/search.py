@@ -104,11 +104,11 @@ def neighbours_per_chunk(candidates: int) -> int:
     return 36 if candidates <= 400 else 45 if candidates <= 600 else 54 if candidates <= 800 else 60
 
 
-def stage1_prefilter(source_chunks: DataFrame, chunks: DataFrame, candidates: DataFrame, k: int = 36, top_k: int = 250) -> DataFrame:
+def stage1_prefilter(source_chunks: DataFrame, chunks: DataFrame, candidates: DataFrame, k: int = 36, top_k: int = 250, least: int = 1) -> DataFrame:
     """(source_id, document_id, matched_chunks, rank): candidates by distinct source chunks that they are near.
 
     Neighbours are taken over the whole index, source chunks and foreign documents included, before the
-    candidates are looked up among them.
+    candidates are looked up among them. Those with fewer than `least` matched chunks go.
     """
     queries = source_chunks.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
     hits = nearest(queries, chunks.select("vec_id", F.col("embedding").alias("vector")), k)
@@ -117,19 +117,19 @@ def stage1_prefilter(source_chunks: DataFrame, chunks: DataFrame, candidates: Da
         .join(source_chunks.select(F.col("vec_id").alias("query_id"), F.col("document_id").alias("source_id")), "query_id")
         .join(candidates.select("source_id", "document_id"), ["source_id", "document_id"], "left_semi")
     )
-    counted = named.groupBy("source_id", "document_id").agg(F.countDistinct("query_id").alias("matched_chunks"))
+    counted = named.groupBy("source_id", "document_id").agg(F.countDistinct("query_id").alias("matched_chunks")).filter(F.col("matched_chunks") >= least)
     order = Window.partitionBy("source_id").orderBy(F.desc("matched_chunks"), "document_id")
     return counted.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top_k)
 
 
-def search_candidates(sources: DataFrame, chunks: DataFrame, top_k: int = 600, keep: int = 250, allowed: Column | None = None) -> DataFrame:
+def search_candidates(sources: DataFrame, chunks: DataFrame, top_k: int = 600, keep: int = 250, allowed: Column | None = None, found: DataFrame | None = None) -> DataFrame:
     """(source_id, document_id): stage 0, and stage 1 for the sources that it leaves more than `keep` candidates.
 
     Stage 1's neighbours for each chunk follow a source's number of candidates, so its sources are taken in
     groups of like number, four at most. `allowed`, a filter of chunks, bounds stage 0 alone: stage 1 looks its
-    candidates up among the neighbours in the whole index.
+    candidates up among the neighbours in the whole index. `found` is stage 0's result where it is there already.
     """
-    found = cut(stage0_candidates(sources, chunks if allowed is None else chunks.filter(allowed), top_k).select("source_id", "document_id"))
+    found = found.select("source_id", "document_id") if found is not None else cut(stage0_candidates(sources, chunks if allowed is None else chunks.filter(allowed), top_k).select("source_id", "document_id"))
     sizes = found.groupBy("source_id").count()
     out = found.join(sizes.filter(F.col("count") <= keep), "source_id", "left_semi")
     groups: dict[int, list[int]] = {}

@@ -64,15 +64,16 @@ def cached_features(spark, sf_dir):
     return own.join(wanted, "document_id", "left_semi").select("document_id", "n_sections", "complexity")
 
 
-@query("feature_neighbours", f"""WITH {FINGERPRINTS}, own AS (SELECT * FROM prints WHERE document_id % 3 = 0), r AS (
-  SELECT a.document_id AS query_id, b.document_id, list_dot_product(a.v, b.v) AS near, least(b.n_sections / greatest(a.n_sections, 1), a.n_sections / greatest(b.n_sections, 1)) AS clauses,
+@query("feature_neighbours", f"""WITH {FINGERPRINTS}, own AS (SELECT p.*, d.source AS filename, d.n_chars % 5 AS n_fields FROM prints p JOIN documents d ON d.doc_id = p.document_id WHERE document_id % 3 = 0), r AS (
+  SELECT a.document_id AS query_id, b.document_id, b.filename, least(b.n_fields / greatest(a.n_fields, 1), a.n_fields / greatest(b.n_fields, 1)) AS forms, list_dot_product(a.v, b.v) AS near, least(b.n_sections / greatest(a.n_sections, 1), a.n_sections / greatest(b.n_sections, 1)) AS clauses,
     least(b.complexity / greatest(a.complexity, 0.1), a.complexity / greatest(b.complexity, 0.1)) AS logic FROM own a JOIN own b ON a.document_id % 50 = 0 AND a.document_id <> b.document_id), n AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY near DESC, document_id) AS rank FROM r WHERE near > 0.08)
-SELECT query_id, document_id, round(greatest(near * 0.5 + clauses * 0.35 + logic * 0.15, 0), 6) AS similarity_score, round(clauses, 6) AS legal_clause_similarity, round(near, 6) AS semantic_similarity, rank FROM n WHERE rank <= 20""")
+SELECT query_id, document_id, filename, round(forms, 6) AS form_field_similarity, round(greatest(near * 0.5 + clauses * 0.35 + logic * 0.15, 0), 6) AS similarity_score, round(clauses, 6) AS legal_clause_similarity, round(near, 6) AS semantic_similarity, rank FROM n WHERE rank <= 20""")
 def feature_neighbours(spark, sf_dir):
-    own = _prints(spark, sf_dir).filter("document_id % 3 = 0")
+    names = B.documents(spark, sf_dir).select(F.col("doc_id").alias("document_id"), F.col("source").alias("filename"), (F.col("n_chars") % 5).alias("n_fields"))
+    own = _prints(spark, sf_dir).filter("document_id % 3 = 0").join(names, "document_id")
     found = listing.feature_neighbours(own, own.filter(SOURCES), threshold=0.1)
-    return found.withColumns({c: F.round(c, 6) for c in ("similarity_score", "legal_clause_similarity", "semantic_similarity")}).withColumn("rank", F.col("rank").cast("bigint"))
+    return found.withColumns({c: F.round(c, 6) for c in ("similarity_score", "form_field_similarity", "legal_clause_similarity", "semantic_similarity")}).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 @query("score_explanation", f"""WITH {MATCHES}, tot AS (SELECT document_id, CAST(sum(character_count) AS BIGINT) AS t FROM chunks GROUP BY 1), n AS (SELECT source_id, target_id, count(*) AS n FROM best GROUP BY ALL),
@@ -110,9 +111,10 @@ SELECT source_id, s0.n AS stage0_candidates, average_score, coalesce(s1.n, 0) AS
 def search_summary(spark, sf_dir):
     chunks, figures = B.chunks(spark, sf_dir), B.document_figures(spark, sf_dir)
     sources = figures.filter(SOURCES)
-    pool = matching.cut(_candidates(spark, sf_dir))
+    found = matching.cut(search.stage0_candidates(sources.select("document_id", "centroid"), chunks))  # once, for the candidates and the figures
+    pool = matching.cut(search.search_candidates(sources, chunks, found=found))
     results = matching.similarity_search(sources, chunks, figures, pool, min_source=0.0, min_target=0.0, primary=0.25, fallback=None, tolerance=0)
-    return listing.search_summary(search.stage0_candidates(sources.select("document_id", "centroid"), chunks), pool, results)
+    return listing.search_summary(found, pool, results)
 
 
 @query("search_request", f"""WITH {SCORED_WHOLE.replace("k.document_id <> s.document_id", "k.document_id <> s.document_id AND k.document_id % 3 < 2")},

@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import field_type
+
 _ANCHOR = "struct<textAnchor:struct<textSegments:array<struct<startIndex:string,endIndex:string>>>,confidence:double>"
 _BLOCK = f"array<struct<layout:{_ANCHOR}>>"
 _ROWS = f"array<struct<cells:{_BLOCK}>>"
 SCHEMA = (
     "document_id string, page_offset int, text string, "
     f"pages array<struct<pageNumber:int,paragraphs:{_BLOCK},lines:{_BLOCK},formFields:array<struct<fieldName:{_ANCHOR},fieldValue:{_ANCHOR}>>,"
+    f"keyValuePairs:array<struct<key:{_ANCHOR},value:{_ANCHOR}>>,blocks:{_BLOCK},tokens:{_BLOCK},"
     f"tables:array<struct<headerRows:{_ROWS},bodyRows:{_ROWS}>>,detectedLanguages:array<struct<languageCode:string>>>>, "
     "entities array<struct<type:string,mentionText:string,confidence:double>>"
 )
@@ -88,3 +91,30 @@ def profile(ocr: DataFrame) -> DataFrame:
 def entity_counts(ocr: DataFrame) -> DataFrame:
     """(document_id, type, n) of the entities."""
     return ocr.select("document_id", F.explode("entities").alias("e")).groupBy("document_id", F.col("e.type").alias("type")).agg(F.count("*").alias("n"))
+
+
+def structured_fields(ocr: DataFrame) -> DataFrame:
+    """(document_id, kind, name, value, type, confidence, page_number): entities, form fields and key-value pairs that have a name and a value.
+
+    An entity's type follows from its name and it has no page; the others are text and have their page with the part's offset. Confidence is 0 by default.
+    """
+    offset = F.coalesce("page_offset", F.lit(0))
+    entities = ocr.select("document_id", F.explode("entities").alias("e")).filter("e.type <> '' and e.mentionText <> ''")
+    out = entities.select("document_id", F.lit("entity").alias("kind"), F.col("e.type").alias("name"), F.col("e.mentionText").alias("value"), field_type(F.col("e.type")).alias("type"), F.col("e.confidence").alias("confidence"), F.lit(None).cast("int").alias("page_number"))
+    pages = ocr.select("document_id", "text", offset.alias("offset"), F.explode("pages").alias("p"))
+    for kind, column, key, value in (("form", "formFields", "fieldName", "fieldValue"), ("pair", "keyValuePairs", "key", "value")):
+        each = pages.select("document_id", "text", (F.coalesce(F.nullif(F.col("p.pageNumber"), F.lit(0)), F.lit(1)) + F.col("offset")).alias("page_number"), F.explode(f"p.{column}").alias("f"))
+        name, text = (anchor_text(F.col(f"f.{c}.textAnchor"), F.col("text")) for c in (key, value))
+        named = each.select("document_id", F.lit(kind).alias("kind"), name.alias("name"), text.alias("value"), F.lit("text").alias("type"), F.col(f"f.{key}.confidence").alias("confidence"), "page_number").filter("name <> '' and value <> ''")
+        out = out.unionByName(named.withColumns({"name": F.trim("name"), "value": F.trim("value")}))
+    return out.fillna(0.0, ["confidence"])
+
+
+def page_profile(ocr: DataFrame) -> DataFrame:
+    """(document_id, page_number, blocks, paragraphs, lines, tokens, tables, form_fields, pairs, languages) of every page."""
+    n = lambda c: F.greatest(F.coalesce(F.size(f"p.{c}"), F.lit(0)), F.lit(0)).cast("bigint")
+    pages = ocr.select("document_id", F.coalesce("page_offset", F.lit(0)).alias("offset"), F.posexplode("pages").alias("i", "p"))
+    number = F.coalesce(F.col("p.pageNumber"), F.col("i") + 1) + F.col("offset")
+    names = (("blocks", "blocks"), ("paragraphs", "paragraphs"), ("lines", "lines"), ("tokens", "tokens"), ("tables", "tables"), ("formFields", "form_fields"), ("keyValuePairs", "pairs"))
+    codes = F.array_distinct(F.transform(F.col("p.detectedLanguages"), lambda x: x.languageCode))
+    return pages.select("document_id", number.alias("page_number"), *(n(c).alias(a) for c, a in names), F.greatest(F.coalesce(F.size(codes), F.lit(0)), F.lit(0)).cast("bigint").alias("languages"))

@@ -252,3 +252,31 @@ def test_spaces_of_any_kind(spark, space):
     t = F.col("t")
     rows = frame.select(T.strip_prefixes(t).alias("s"), T.is_form_option(t).alias("o"), T.is_noise(t).alias("n"), T.is_incomplete(t, F.lit("x")).alias("c"), T.nonspace_length(t).alias("l")).collect()
     assert rows[0].s == "The text here" and rows[1].s == "Scope of it" and rows[2].o and rows[3].n and rows[4].c and rows[5].l == 2 and rows[6].s == "words"
+
+
+def test_fields_and_pages_of_ocr(spark, tmp_path):
+    import json
+
+    from palimpsest.sources import ocr
+
+    at = lambda a, b, **k: {"textAnchor": {"textSegments": [{"startIndex": a, "endIndex": b}]}, **k}
+    page = {"formFields": [{"fieldName": at(0, 5, confidence=0.5), "fieldValue": at(5, 9)}, {"fieldName": at(0, 5), "fieldValue": {}}], "keyValuePairs": [{"key": at(9, 12), "value": at(12, 14)}], "blocks": [{}, {}], "tokens": [{}], "detectedLanguages": [{"languageCode": "en"}, {"languageCode": "en"}]}
+    rows = [{"document_id": "d", "page_offset": 15, "text": "Name: Ann Key vv", "pages": [page], "entities": [{"type": "birth_date", "mentionText": "1 May"}, {"type": "x"}]}, {"document_id": "e"}]
+    (tmp_path / "o.json").write_text("\n".join(map(json.dumps, rows)))
+    frame = ocr.read_ocr(spark, str(tmp_path / "o.json"))
+    assert sorted(map(str, map(tuple, ocr.structured_fields(frame).collect()))) == sorted(map(str, [("d", "entity", "birth_date", "1 May", "date", 0.0, None), ("d", "form", "Name:", "Ann", "text", 0.5, 16), ("d", "pair", "Ke", "y", "text", 0.0, 16)]))
+    assert [tuple(r) for r in ocr.page_profile(frame).collect()] == [("d", 16, 2, 0, 0, 1, 0, 2, 1, 1)]
+
+
+def test_distance_tests_and_lists(spark):
+    from palimpsest.operators import catalog, reports
+
+    frame = spark.createDataFrame([(0.82, 9, 9), (0.82, 9, 1), (0.9, 9, 9), (0.82, None, None)], "score double, i int, p int")
+    kept = lambda **o: [r[0] for r in frame.select(matching.near_enough(F.col("score"), F.col("i"), F.col("p"), 0.85, **o)).collect()]
+    assert kept() == [True] * 4 and kept(most_index=3) == [False, False, True, True] and kept(most_index=3, most_page=3) == [False, True, True, True] and kept(most_page=3) == [False, True, True, True]
+    row = spark.sql("select named_struct('a', array(1, null, 2), 'b', cast(null as array<string>), 'c', array('x')) as s")
+    assert row.select(catalog.metadata_lists(F.col("s"), ["a", "b", "c"]).alias("m")).first().m == {"a": ["1", "2"], "c": ["x"]}
+    names = spark.createDataFrame([(1, "zebra"), (2, "Émile"), (3, "emu"), (4, "Zoë"), (5, "apple")], "id int, title string").withColumn("created_at", F.lit(0))
+    assert [r.id for r in listing.listing_order(names, "name", ascending=True).sort("place").collect()] == [5, 2, 3, 1, 4]
+    logs = spark.createDataFrame([(1, "2024-01-01"), (2, None)], "id int, logged_at string").withColumns({"logged_at": F.col("logged_at").cast("timestamp_ntz"), "action_type": F.lit("x"), "resource_type": F.lit("r"), "metadata": F.lit("{}"), "api_endpoint": F.lit("e")})
+    assert {(r.id, r.metadata) for r in reports.cleaned_logs(logs, "2024-06-01").collect()} == {(2, "{}"), (None, '{"deleted_count":1}')}
