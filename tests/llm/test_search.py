@@ -224,3 +224,35 @@ def test_other_ids_and_names(spark):
     records = warc.warc_records(pages, records_a_file=2).collect()
     assert len(records) == 3 and all(b"WARC-Date: " in r.record for r in records) and {r.file for r in records} <= {0, 1}
     assert warc.fixity_audit(warc.warc_records(pages), warc.warc_records(pages)).count() == 0
+
+
+def test_packed_files(spark, tmp_path):
+    """Written files hold the packed rows, and only a run that has ended counts."""
+    import os
+
+    from palimpsest.llm import packed_files, packing
+
+    docs = spark.createDataFrame([(i, f"some words of text {i} " * (i % 13)) for i in range(80)], "doc_id long, text string").repartition(4)
+    packed = packing.pack_documents(docs, length=64, group_bytes=2000)
+    path = str(tmp_path / "out")
+    packed_files.write_packed(packed, path, file_bytes=1000)
+    want = {(r.pack_group, r.row_no): (r.n_tokens, r.input_ids, r.position_ids, r.cu_seqlens) for r in packed.collect()}
+
+    def held():
+        out = {}
+        for f in packed_files.read_packed(path):
+            for i, key in enumerate(zip(f["pack_group"].tolist(), f["row_no"].tolist())):
+                ends = f["cu_seqlens"][f["cu_starts"][i] : f["cu_starts"][i + 1]]
+                out[key] = (int(f["n_tokens"][i]), f["input_ids"][i].tolist(), f["position_ids"][i].tolist(), ends.tolist())
+        return out
+
+    assert held() == want and len(os.listdir(path)) > 3
+    before = sorted(os.listdir(path))
+    failing = packed.withColumn("n_tokens", F.when(F.col("row_no") == 1, F.raise_error(F.lit("lost"))).otherwise(F.col("n_tokens")))
+    with pytest.raises(Exception, match="lost"):
+        packed_files.write_packed(failing, path)
+    assert sorted(os.listdir(path)) == before and held() == want
+    packed_files.write_packed(packed.filter("row_no = 0"), path)
+    assert held() == {k: v for k, v in want.items() if k[1] == 0}
+    packed_files.write_packed(packed.filter("false"), path)
+    assert held() == {} and os.listdir(path) == [packed_files.MANIFEST]
