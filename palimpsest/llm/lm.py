@@ -32,7 +32,7 @@ TOKENS_A_LEAF = 4096
 TOKENS_A_ROW = 128
 MIN_BITS, MAX_BITS = 10, 16
 #: A history word beyond a quarter of the rows goes by its class, its path's node at this level or its lowest one.
-CLASS_LEVEL = 3
+CLASS_LEVEL = 1
 #: In how many levels of the tree each feature is used: previous word, skipped word, word pair. Below them words go by their shares.
 DEPTHS = (3, 2, 1)
 #: Step of each round; a round trains on its share of the texts.
