@@ -35,7 +35,8 @@ def _ocr(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     docs = pages.groupBy("document_id").agg(F.first("text").alias("text"), F.sort_array(F.collect_list(page)).alias("p"))
     none = lambda c: F.lit(None).alias(c)
-    full = F.transform("p", lambda x: F.struct((x.page + 1).alias("pageNumber"), x.paragraphs.alias("paragraphs"), none("lines"), none("formFields"), x.tables.alias("tables"), x.detectedLanguages.alias("detectedLanguages")))
+    pair = lambda b: F.array(F.struct(F.get(b, 0).layout.alias("key"), F.get(b, 1).layout.alias("value")))  # noqa: E731, a page's first two lines
+    full = F.transform("p", lambda x: F.struct((x.page + 1).alias("pageNumber"), x.paragraphs.alias("paragraphs"), none("lines"), none("formFields"), pair(x.paragraphs).alias("keyValuePairs"), x.paragraphs.alias("blocks"), none("tokens"), x.tables.alias("tables"), x.detectedLanguages.alias("detectedLanguages")))
     wanted = spark.createDataFrame([], ocr.SCHEMA).schema
     return docs.select("document_id", F.lit(0).alias("page_offset"), "text", full.cast(wanted["pages"].dataType).alias("pages"), F.lit(None).cast(wanted["entities"].dataType).alias("entities"))
 
@@ -66,6 +67,17 @@ def ocr_profile(spark, sf_dir):
     return ocr.profile(_ocr(spark, sf_dir))
 
 
+@query("ocr_page_profile", f"WITH {OCR_LINES} SELECT document_id, page_number, count(*) AS blocks, count(*) AS paragraphs, 0 AS lines, 0 AS tokens, 1 AS tables, 0 AS form_fields, 1 AS pairs, 1 AS languages FROM lines GROUP BY ALL")
+def ocr_page_profile(spark, sf_dir):
+    return ocr.page_profile(_ocr(spark, sf_dir))
+
+
+@query("ocr_field_pairs", f"""WITH {OCR_LINES} SELECT a.document_id, 'pair' AS kind, trim(a.text, ' ') AS name, trim(b.text, ' ') AS value, 'text' AS type, a.page_number
+FROM lines a JOIN lines b ON a.document_id = b.document_id AND b.idx = a.idx + 1 AND a.idx % 5 = 0 WHERE a.text <> '' AND b.text <> ''""")
+def ocr_field_pairs(spark, sf_dir):
+    return ocr.structured_fields(_ocr(spark, sf_dir)).drop("confidence")
+
+
 @query("page_exclusion", f"""WITH {PARAGRAPHS}, marked AS (SELECT document_id, idx, coalesce(1 + idx // 5 BETWEEN 1 AND 1 + quality, false) AS inside FROM paras LEFT JOIN labels ON doc_id = document_id), counted AS (
   SELECT *, count(*) FILTER (WHERE NOT inside) OVER (PARTITION BY document_id) AS left_over FROM marked) SELECT document_id, count(*) AS n FROM counted WHERE NOT inside OR left_over = 0 GROUP BY 1""")
 def page_exclusion(spark, sf_dir):
