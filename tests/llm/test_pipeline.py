@@ -3,11 +3,13 @@
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from palimpsest.llm import langid, mixing
-from tests.llm.test_operators import lower, plain_components, plain_fingerprint
+from tests.llm.test_operators import SCHEMA, awkward, lower, plain_components, plain_fingerprint
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+COLUMNS = SCHEMA_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 ITEM_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
@@ -50,3 +52,24 @@ def test_stages(spark, sf_dir, tmp_path):
     assert Counter(map(tuple, last.select(*COLUMNS).collect())) == Counter(mixed)
     assert {r.shard for r in last.select("shard").collect()} <= set(range(8))
     assert corpus_pipeline.run(spark, sf_dir).count() == len(mixed)
+
+
+def test_stages_on_awkward_tables(spark, tmp_path):
+    """Nulls in any column, empty, long and repeated texts, repeated rows and clashing columns; then an empty table, through each stage and the run."""
+    rows = awkward()
+    docs = spark.createDataFrame(rows, SCHEMA).withColumns({c: F.lit("clash") for c in ("size", "shard", "fp", "score", "copy", "id")})
+    bench = spark.createDataFrame([(1, rows[5][1]), (2, None), (None, "x"), (3, "")], "item_id long, text string")
+    for name, frame in (("full", docs), ("empty", docs.limit(0))):
+        folder = str(tmp_path / name)
+        frame.write.parquet(f"{folder}/documents.parquet")
+        bench.write.parquet(f"{folder}/benchmark.parquet")
+        kept = spark.read.parquet(f"{folder}/documents.parquet")
+        for i, (stage, function) in enumerate(corpus_pipeline.STAGES):
+            function(spark, kept, folder).write.parquet(f"{folder}/{i}")
+            out = spark.read.parquet(f"{folder}/{i}")
+            if stage != "sharding":
+                assert out.columns == docs.columns, stage
+                assert stage == "mixing" or out.exceptAll(kept).count() == 0
+            kept = out
+        assert set(SCHEMA_COLUMNS) <= set(kept.columns) and kept.filter("shard is null or slot is null").count() == 0
+        assert (kept.count() > 0) == (name == "full") and corpus_pipeline.run(spark, folder).count() == kept.count()
