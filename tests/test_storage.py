@@ -244,6 +244,16 @@ def test_sketches_merge(spark):
     assert whole.n == 20_001 and direct.n == 20_000 and whole.top_users[0] == direct.top_users[0]
 
 
+def test_top_users_among_very_many(spark):
+    """More users than any sketch tracks, each about as often as the others."""
+    rows = spark.range(60_000).select(F.expr("date_add(date'2024-01-01', cast(id % 3 as int)) + interval 1 hour").cast("timestamp").alias("logged_at"), F.expr("concat('u', id % 30000)").alias("user_uuid"), F.lit(1.0).alias("duration_ms"))
+    more = rows.limit(1).withColumn("user_uuid", F.lit("u7"))
+    found = sketches.period_figures(sketches.daily_sketches(rows.unionByName(more)), F.lit("all")).first()
+    assert (found.n, tuple(found.top_users[0]), len(found.top_users), found.top_users[1]["count"]) == (60_001, ("u7", 3), 10, 2)
+    empty = sketches.period_figures(sketches.daily_sketches(more.withColumn("user_uuid", F.lit(None).cast("string"))), F.lit("all")).first()
+    assert empty.n == 1 and empty.top_users == []
+
+
 @pytest.mark.parametrize("space", ["\u00a0", "\u2009", "\u3000", "\ufeff"])
 def test_spaces_of_any_kind(spark, space):
     """OCR text is full of spaces that Java's \\s doesn't know."""
