@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut
-from ..functions.vectors import finite, stacked
+from ..functions.vectors import Tops, finite, stacked
 
 #: Cells, at the most: the centres go to every task (64 places of 8 bytes: 32 MB).
 MOST_CELLS = 65_536
@@ -164,9 +164,14 @@ class InvertedFile:
     def nearest(self, queries: DataFrame, k: int, probes: int = 16, block: int = BLOCK) -> DataFrame:
         """(query_id, vec_id, score, rank): each query's k nearest by dot product among the vectors of its `probes` nearest cells.
 
-        Queries (query_id, vector) are taken in blocks, each broadcast with its cells; a batch of a cell is multiplied with the
-        queries that probe it and gives k rows for each at the most. Ties: smaller id.
+        Queries (query_id, vector) are taken in blocks, each broadcast with its cells; a cell is multiplied in tiles with the
+        queries that probe it and gives k rows for each and task at the most. Ties: smaller id.
         """
+
+        def given(tops: Tops, ids: np.ndarray) -> pd.DataFrame:
+            place, own, scores = tops.found()
+            return pd.DataFrame({"query_id": ids[place], "vec_id": own, "score": scores})
+
         queries = cut(queries.select("query_id", "vector"))
         n_blocks = max(1, -(-queries.count() // block))
         found = None
@@ -181,12 +186,16 @@ class InvertedFile:
 
             def scan(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
                 ids, asked, probing = shared.value
+                tops, held = None, None
                 for batch in batches:
                     for cell, part in batch.groupby("cell"):
-                        q, own = probing[cell], part.vec_id.to_numpy(np.int64)
-                        scores = np.stack(part.vector.to_list()).astype(np.float64) @ asked[q].T
-                        order = np.lexsort((np.broadcast_to(own[:, None], scores.shape), -scores), axis=0)[:k]
-                        yield pd.DataFrame({"query_id": np.tile(ids[q], len(order)), "vec_id": own[order].ravel(), "score": np.take_along_axis(scores, order, axis=0).ravel()})
+                        if cell != held:  # a vector is once in a cell, and a cell's rows follow each other in a file
+                            if tops is not None:
+                                yield given(tops, ids[probing[held]])
+                            tops, held = Tops(asked[probing[cell]], k), cell
+                        tops.add(part.vec_id.to_numpy(np.int64), np.stack(part.vector.to_list()).astype(np.float64))
+                if tops is not None:
+                    yield given(tops, ids[probing[held]])
 
             part = self.vectors(probed).mapInPandas(scan, "query_id bigint, vec_id bigint, score double")
             found = part if found is None else found.unionByName(part)
