@@ -57,3 +57,15 @@ def test_limits(spark):
     frame = spark.createDataFrame([("fast-track", 1), ("fast-track", 50), ("streaming-batch", 30)], "s string, pages long")
     found = [tuple(r) for r in frame.select(*upkeep.limits(F.col("s"), F.col("pages")).values()).collect()]
     assert found == [(12, 20, 2, 30, 10, 3), (500, 20, 5, 30, 10, 3), (360, 50, 15, 300, 60, 10)]
+
+
+def test_a_scope_is_searched_once(spark):
+    """Requests for the same pages share one search, and each has its results and its place in the figures."""
+    from palimpsest.operators import requests
+
+    rows = [(i, i % 2, 0, None if i % 4 < 2 else 1, None if i % 4 < 2 else 2) for i in range(40)]
+    asked = spark.createDataFrame(rows, "request_id long, document_id long, user_id long, low int, high int")
+    scopes = requests.scopes(asked)
+    assert sorted((r.request_id, r.n_requests) for r in scopes.collect()) == [(0, 10), (1, 10), (2, 10), (3, 10)]
+    back = requests.by_scope(asked, scopes.withColumnRenamed("request_id", "scope_id")).collect()
+    assert len(back) == 40 and all(r.scope_id == r.request_id % 4 for r in back)
