@@ -57,6 +57,8 @@ JOINING_PHRASES = (
     r"provided\s+that",
     r"except\s+(that|as|for)",
 )
+#: The ends of all these words and phrases, of seven letters at the most.
+ENDINGS = f"({JOINING_WORDS}|{NUMBER_WORDS}|these|those|than|that)\\z"
 # Fixed value: how a footnote paragraph starts.
 FOOTNOTE = r"^([⁰¹²³⁴⁵⁶⁷⁸⁹]+|[0-9]+)\s+(For purposes|The SEC currently|This)"
 # A field's type by what its name contains; the first that fits counts, else text.
@@ -83,22 +85,38 @@ REFERENCES = (
 SPACE = r"[\t-\r \x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
 
 
+#: SPACE's characters one by one, and a class of three ranges that holds all of them but the plain blank and no letter of Latin, Greek, Cyrillic or Hebrew.
+BLANKS = "".join(map(chr, (*range(9, 14), 0x20, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)))
+ODD = r"[\x00-\x1f\x7f-\x{a0}\x{1680}-\x{ffff}]"
+#: How a line starts if any of PREFIXES or a lone number or letter is there.
+MARKED = r"(?m)^(?:\d|[A-Z][.\n]|\()"
+
+
 def spaced(pattern: str) -> str:
     """A pattern whose \\s stands for SPACE."""
     return pattern.replace(r"\s", SPACE)
 
 
 def trimmed(text: Column) -> Column:
-    return F.regexp_replace(text, spaced(r"^\s+|\s+\z"), "")
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def nonspace_length(text: Column) -> Column:
-    return F.length(F.regexp_replace(text, spaced(r"\s+"), ""))
+    """The length without white space; the class of all spaces, which is slow, is taken where others than plain blanks may be."""
+    plain = F.length(F.replace(text, F.lit(" "), F.lit("")))
+    return F.when(text.rlike(ODD), F.length(F.regexp_replace(text, spaced(r"\s+"), ""))).otherwise(plain)
 
 
 def strip_prefixes(text: Column) -> Column:
-    """Numbering and list letters at line starts removed, pass by pass; a lone number or letter gives ''."""
+    """Numbering and list letters at line starts removed, pass by pass; a lone number or letter gives ''.
+
+    Most texts have no such line start, and one look at them takes the place of the passes.
+    """
     start = trimmed(text)
+    return F.when(start.rlike(MARKED), _stripped(start)).otherwise(start)
+
+
+def _stripped(start: Column) -> Column:
     lone = start.rlike(spaced(r"^([A-Z]\.|\d+\.?)\s*$"))
     cut = reduce(lambda t, p: F.regexp_replace(F.regexp_replace(t, f"(?m)^{p}", ""), rf"\n{p}", "\n"), map(spaced, PREFIXES), start)
     return F.when(lone, "").otherwise(trimmed(F.regexp_replace(cut, spaced(r"\n\d+\s*\z"), "")))
@@ -120,7 +138,8 @@ def is_incomplete(text: Column, following: Column) -> Column:
     last = F.array_join(F.slice(words, F.greatest(F.size(words) - 9, F.lit(1)), 10), " ")
     phrase = last.rlike(f"(^|\\s)({JOINING_WORDS}|{NUMBER_WORDS})\\z") | last.rlike(spaced(f"({'|'.join(JOINING_PHRASES)})\\z"))
     goes_on = F.coalesce(trimmed(following).rlike("^[a-z]"), F.lit(False))
-    return ~t.rlike(r"[.!?;:)]\z") & (F.length(t) > 0) & (phrase | goes_on)
+    asks = F.when(F.lower(F.right(t, F.lit(8))).rlike(ENDINGS), phrase).otherwise(False)  # few texts are looked at as a whole
+    return ~t.rlike(r"[.!?;:)]\z") & (F.length(t) > 0) & (goes_on | asks)
 
 
 def sentences(text: Column) -> Column:

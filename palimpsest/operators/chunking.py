@@ -15,13 +15,13 @@ from ..functions.text import is_form_option, is_incomplete, is_noise, nonspace_l
 KEY = "document_id"
 
 
-def folded(lengths: Column, group_of: Callable[[list[int]], list[int]]) -> Column:
+def folded(lengths: Column, group_of: Callable[[list[int]], list], kind: str = "array<int>") -> Column:
     """group_of over each array of lengths: a fold in linear time, which sees numbers and no texts."""
 
     def fold(arrays: pd.Series) -> pd.Series:
         return pd.Series([group_of([int(n) for n in x]) for x in arrays], dtype=object)
 
-    return F.pandas_udf(fold, "array<int>")(lengths)
+    return F.pandas_udf(fold, kind)(lengths)
 
 
 def _exploded(rows: DataFrame, array: Column | str, *names: str) -> DataFrame:
@@ -33,14 +33,28 @@ def _exploded(rows: DataFrame, array: Column | str, *names: str) -> DataFrame:
     return rows.select("*", F.posexplode_outer(array).alias(*names)).filter(F.col(names[0]).isNotNull())
 
 
-def _grouped(rows: DataFrame, group_of: Callable[[list[int]], list[int]]) -> DataFrame:
-    """rows with the non-space length `chars` and the number `group` that group_of gives in idx order."""
-    sized = rows.withColumn("chars", F.coalesce(nonspace_length(F.col("text")), F.lit(0)))
-    rest = [c for c in rows.columns if c not in (KEY, "idx", "chars")]
-    lists = sized.groupBy(KEY).agg(F.sort_array(F.collect_list(F.struct("idx", "chars", *rest))).alias("items"))
-    numbered = lists.withColumn("group", folded(F.col("items.chars"), group_of))
-    each = _exploded(numbered.select(KEY, F.arrays_zip("items", "group").alias("z")), "z", "at", "n")
-    return each.select(KEY, "n.items.*", "n.group")
+def members(groups: list[int]) -> list[list[int]]:
+    """The places of each group's members, groups in the order in which they begin."""
+    out: dict[int, list[int]] = {}
+    for i, g in enumerate(groups):
+        out.setdefault(g, []).append(i)
+    return list(out.values())
+
+
+def _gathered(rows: DataFrame, number: str, group_of: Callable[[list[int]], list[int]]) -> DataFrame:
+    """(document_id, group, items): a document's paragraphs in idx order, dealt to the groups that group_of gives from the column `number`.
+
+    The fold sees a document's numbers alone; its texts stay in their row and are picked by place, so that they are shuffled once, by document.
+    """
+    rest = [c for c in rows.columns if c not in (KEY, "idx", number)]
+    lists = rows.groupBy(KEY).agg(F.sort_array(F.collect_list(F.struct("idx", number, *rest))).alias("all"))
+    dealt = lists.withColumn("at", folded(F.col(f"all.{number}"), lambda numbers: members(group_of(numbers)), "array<array<int>>"))
+    groups = F.transform("at", lambda places: F.transform(places, lambda i: F.get("all", i)))
+    return _exploded(dealt.select(KEY, groups.alias("groups")), "groups", "group", "items").drop("groups")
+
+
+def _sized(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("chars", F.coalesce(nonspace_length(F.col("text")), F.lit(0)))
 
 
 def _ranged(rows: DataFrame) -> DataFrame:
@@ -81,10 +95,7 @@ def merge_form_options(rows: DataFrame, limit: int = 2000) -> DataFrame:
     """
     kind = F.when(is_form_option(F.col("text")), _OPTION).when(is_noise(F.col("text")), _NOISE).otherwise(_TEXT)
     coded = rows.withColumn("code", F.coalesce(nonspace_length(F.col("text")), F.lit(0)) * 4 + kind)
-    lists = coded.groupBy(KEY).agg(F.sort_array(F.collect_list(F.struct("idx", "code", "text", "page_number"))).alias("items"))
-    owned = lists.withColumn("owner", folded(F.col("items.code"), lambda codes: _option_owners(codes, limit)))
-    each = _exploded(owned.select(KEY, F.arrays_zip("items", "owner").alias("z")), "z", "at", "n").select(KEY, "n.items.*", "n.owner")
-    listed = each.groupBy(KEY, "owner").agg(F.sort_array(F.collect_list(F.struct("idx", "text", "page_number"))).alias("items"))
+    listed = _gathered(coded.select(KEY, "idx", "code", "text", "page_number"), "code", lambda codes: _option_owners(codes, limit))
     first = F.col("items")[0]
     return listed.select(KEY, first.idx.alias("idx"), first.page_number.alias("page_number"), F.array_join(F.transform("items", lambda x: x.text), " ").alias("text"))
 
@@ -142,9 +153,7 @@ def merge_tiny(rows: DataFrame, least: int = 120, limit: int = 2000) -> DataFram
 
     A group has the pages of its long paragraph, or else of its first.
     """
-    grouped = _grouped(_ranged(rows), lambda lengths: tiny_groups(lengths, least, limit))
-    item = F.struct("idx", "chars", "page_number", "start_page", "end_page", "text")
-    lists = grouped.groupBy(KEY, "group").agg(F.sort_array(F.collect_list(item)).alias("items"))
+    lists = _gathered(_sized(_ranged(rows)), "chars", lambda lengths: tiny_groups(lengths, least, limit))
     owner = F.coalesce(F.get(F.filter("items", lambda x: x.chars >= least), F.lit(0)), F.get("items", F.lit(0)))
     text = F.array_join(F.transform("items", lambda x: x.text), " ")
     return lists.select(KEY, F.col("items")[0].idx.alias("idx"), owner.alias("o"), text.alias("text")).select(KEY, "idx", "o.page_number", "o.start_page", "o.end_page", "text")
@@ -196,13 +205,16 @@ def pack(rows: DataFrame, limit: int = 1000) -> DataFrame:
     """
     ranged = F.col("start_page").isNotNull() & F.col("end_page").isNotNull()
     page = lambda c: F.when(ranged, F.col(c)).otherwise(F.col("page_number"))
-    joined = _grouped(_ranged(rows), lambda lengths: pack_groups(lengths, limit)).groupBy(KEY, F.col("group").alias("chunk_index")).agg(
-        F.sort_array(F.collect_list(F.struct("idx", "text"))).alias("items"),
-        F.min(F.least(page("start_page"), page("end_page"))).alias("start_page"),
-        F.max(F.greatest(page("start_page"), page("end_page"))).alias("end_page"),
-        F.sum("chars").alias("character_count"),
+    paged = _sized(_ranged(rows)).select(KEY, "idx", "chars", "text", F.least(page("start_page"), page("end_page")).alias("first"), F.greatest(page("start_page"), page("end_page")).alias("last"))
+    joined = _gathered(paged, "chars", lambda lengths: pack_groups(lengths, limit))
+    return joined.select(
+        KEY,
+        F.col("group").alias("chunk_index"),
+        F.array_join(F.transform("items", lambda x: x.text), " ").alias("chunk_text"),
+        F.array_min(F.transform("items", lambda x: x["first"])).alias("start_page"),
+        F.array_max(F.transform("items", lambda x: x["last"])).alias("end_page"),
+        F.aggregate("items", F.lit(0).cast("bigint"), lambda n, x: n + x.chars).alias("character_count"),
     )
-    return joined.select(KEY, "chunk_index", F.array_join(F.transform("items", lambda x: x.text), " ").alias("chunk_text"), "start_page", "end_page", "character_count")
 
 
 def build_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = 1000, least: int = 80) -> DataFrame:
