@@ -41,8 +41,8 @@ def members(groups: list[int]) -> list[list[int]]:
     return list(out.values())
 
 
-def _gathered(rows: DataFrame, number: str, group_of: Callable[[list[int]], list[int]]) -> DataFrame:
-    """(document_id, group, items): a document's paragraphs in idx order, dealt to the groups that group_of gives from the column `number`.
+def _dealt(rows: DataFrame, number: str, group_of: Callable[[list[int]], list[int]]) -> DataFrame:
+    """(document_id, groups): a document's paragraphs in idx order, dealt to the groups that group_of gives from the column `number`.
 
     The fold sees a document's numbers alone; its texts stay in their row and are picked by place, so that they are shuffled once, by document.
     """
@@ -50,7 +50,12 @@ def _gathered(rows: DataFrame, number: str, group_of: Callable[[list[int]], list
     lists = rows.groupBy(KEY).agg(F.sort_array(F.collect_list(F.struct("idx", number, *rest))).alias("all"))
     dealt = lists.withColumn("at", folded(F.col(f"all.{number}"), lambda numbers: members(group_of(numbers)), "array<array<int>>"))
     groups = F.transform("at", lambda places: F.transform(places, lambda i: F.get("all", i)))
-    return _exploded(dealt.select(KEY, groups.alias("groups")), "groups", "group", "items").drop("groups")
+    return dealt.select(KEY, groups.alias("groups"))
+
+
+def _gathered(rows: DataFrame, number: str, group_of: Callable[[list[int]], list[int]]) -> DataFrame:
+    """(document_id, group, items): _dealt's groups, a row each."""
+    return _exploded(_dealt(rows, number, group_of), "groups", "group", "items").drop("groups")
 
 
 def _sized(rows: DataFrame) -> DataFrame:
@@ -217,10 +222,20 @@ def pack(rows: DataFrame, limit: int = 1000) -> DataFrame:
     )
 
 
+def _prepared(docs: DataFrame, id_col: str, text_col: str, limit: int, least: int) -> DataFrame:
+    rows = clean_paragraphs(merge_form_options(paragraphs_of(docs, id_col, text_col), limit))
+    return split_oversized(merge_tiny(merge_incomplete(rows, limit), least, limit), limit)
+
+
 def build_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = 1000, least: int = 80) -> DataFrame:
     """The whole build: options merged, noise and prefixes dropped, cut and tiny paragraphs merged, long ones split, packed."""
-    rows = clean_paragraphs(merge_form_options(paragraphs_of(docs, id_col, text_col), limit))
-    return pack(split_oversized(merge_tiny(merge_incomplete(rows, limit), least, limit), limit), limit)
+    return pack(_prepared(docs, id_col, text_col, limit, least), limit)
+
+
+def chunk_lists(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = 1000, least: int = 80) -> DataFrame:
+    """(document_id, texts): build_chunks' texts, a row a document."""
+    dealt = _dealt(_sized(_prepared(docs, id_col, text_col, limit, least)).select(KEY, "idx", "chars", "text"), "chars", lambda lengths: pack_groups(lengths, limit))
+    return dealt.select(KEY, F.transform("groups", lambda items: F.array_join(F.transform(items, lambda x: x.text), " ")).alias("texts"))
 
 
 def window_bounds(lengths: list[int], size: int, overlap: int, least: int, limit: int) -> list[list[int]]:

@@ -243,6 +243,31 @@ def test_text_reuse(spark):
     }
 
 
+def test_text_reuse_is_every_shared_run(spark):
+    """Against plain sets of runs, over few words, so that anchors and short texts coincide; only runs whose anchor is shared are classed."""
+    rng, size = random.Random(4), 8
+    texts = {d: [" ".join(rng.choice(["the", "a", "of", "été", f"w{rng.randrange(400)}"]) for _ in range(rng.randrange(0, 30))) for _ in range(rng.randrange(1, 5))] for d in range(120)}
+    for d in range(0, 120, 3):
+        words = " ".join(texts[d + 1]).split()
+        at = rng.randrange(len(words) + 1)
+        texts[d] = [*texts[d], " ".join(words[at : at + rng.randrange(6, 20)])]
+    runs = lambda words: {i: tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else {}
+    owners = {}
+    for d, parts in texts.items():
+        for run in runs(" ".join(parts).split()).values():
+            owners.setdefault(run, set()).add(d)
+    want = {}
+    for d, parts in texts.items():
+        words = [(w, c) for c, part in enumerate(parts) for w in part.split()]
+        hit = {i: owners[run] for i, run in runs([w for w, _ in words]).items() if len(owners[run]) > 1}
+        held = {j for i in hit for j in range(i, min(i + size, len(words)))}
+        if hit:
+            want[d] = (sum(len(words[j][0]) for j in held), len({words[j][1] for j in held}), min(min(o) for o in hit.values()))
+    rows = spark.createDataFrame(list(texts.items()), "document_id long, texts array<string>")
+    found = matching.listed_reuse(rows, size)
+    assert {r.document_id: tuple(r)[1:] for r in found.select("document_id", "reused_characters", "reused_chunks", "first_document").collect()} == want and len(want) > 30
+
+
 @pytest.mark.parametrize("name, key", [("rrf_by_query", "vec_id"), ("fingerprint_similarity_by_query", "document_id"), ("feature_similarity_by_query", "document_id")])
 def test_every_stated_query_has_results(spark, name, key):
     chunks = B.chunks(spark, "/root/testdata/sf0.1")
