@@ -182,6 +182,20 @@ def test_nearest_in_blocks_and_recall(spark, sf_dir):
     assert len(near & exact) >= 0.9 * len(exact)
 
 
+@pytest.mark.parametrize("k,blocks", [(2, 3), (6, 6), (100, 12)])
+def test_many_neighbours_take_smaller_blocks(spark, monkeypatch, k, blocks):
+    """What a task keeps, k rows for each query of a block, is bounded for any k."""
+    rng = np.random.default_rng(5)
+    vectors = spark.createDataFrame([(i, [float(x) for x in rng.normal(0, 1, 4)]) for i in range(60)], "vec_id long, vector array<double>")
+    queries = vectors.filter("vec_id < 12").withColumnRenamed("vec_id", "query_id")
+    rows = lambda found: sorted((r.query_id, r["rank"], r.vec_id) for r in found.collect())
+    whole = rows(search.nearest(queries, vectors, k))
+    monkeypatch.setattr(search, "KEPT", 12 if k > 2 else 8)
+    found = search.nearest(queries, vectors, k)
+    assert found._jdf.queryExecution().analyzed().toString().count("MapInPandas") == blocks
+    assert rows(found) == whole and len(whole) == 12 * min(k, 60)
+
+
 @pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
 def test_recall_of_the_registered_index(spark, sf):
     """ivf_neighbours as registered, against brute force."""
