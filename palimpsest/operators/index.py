@@ -168,9 +168,9 @@ class InvertedFile:
         queries that probe it and gives k rows for each and task at the most. Ties: smaller id.
         """
 
-        def given(tops: Tops, ids: np.ndarray) -> pd.DataFrame:
-            place, own, scores = tops.found()
-            return pd.DataFrame({"query_id": ids[place], "vec_id": own, "score": scores})
+        def given(tops: Tops, ids: np.ndarray) -> Iterator[pd.DataFrame]:
+            for place, own, scores in tops.each():
+                yield pd.DataFrame({"query_id": ids[place], "vec_id": own, "score": scores})
 
         queries = cut(queries.select("query_id", "vector"))
         n_blocks = max(1, -(-queries.count() // block))
@@ -191,11 +191,11 @@ class InvertedFile:
                     for cell, part in batch.groupby("cell"):
                         if cell != held:  # a vector is once in a cell, and a cell's rows follow each other in a file
                             if tops is not None:
-                                yield given(tops, ids[probing[held]])
+                                yield from given(tops, ids[probing[held]])
                             tops, held = Tops(asked[probing[cell]], k), cell
                         tops.add(part.vec_id.to_numpy(np.int64), np.stack(part.vector.to_list()).astype(np.float64))
                 if tops is not None:
-                    yield given(tops, ids[probing[held]])
+                    yield from given(tops, ids[probing[held]])
 
             part = self.vectors(probed).mapInPandas(scan, "query_id bigint, vec_id bigint, score double")
             found = part if found is None else found.unionByName(part)

@@ -523,3 +523,35 @@ def test_tops_are_bounded_and_exact():
         kept = np.flatnonzero((exact >= 0.5) & (owners != asking[q]))
         want = kept[np.lexsort((ids[kept], -np.round(exact[kept], 9)))][:12]
         assert found[place == q].tolist() == ids[want].tolist()
+
+
+@pytest.mark.parametrize("k,n_queries,most", [(1200, 873, 90e6)])
+def test_a_task_of_nearest_is_bounded(spark, monkeypatch, k, n_queries, most):
+    """What one task holds of stage 0 (similarity_search) at its whole block, and what it gives, in Arrow batches of 10,000 rows."""
+    import tracemalloc
+
+    import pandas as pd
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    rng = np.random.default_rng(5)
+    matrix, rows = rng.normal(size=(n_queries, 64)), rng.normal(size=(30_000, 64)).astype(np.float32)
+    ids = rng.permutation(30_000)
+    queries = spark.createDataFrame(list(enumerate(matrix.tolist())), "query_id long, vector array<double>")
+    vectors = spark.createDataFrame([], "vec_id long, vector array<float>")
+    tasks, through = [], DataFrame.mapInPandas
+    monkeypatch.setattr(DataFrame, "mapInPandas", lambda self, task, *more: tasks.append(task) or through(self, task, *more))
+    search.nearest(queries, vectors, k)
+    assert len(tasks) == 1
+    batches = [pd.DataFrame({"vec_id": ids[lo : lo + 10_000], "vector": list(rows[lo : lo + 10_000])}) for lo in range(0, len(rows), 10_000)]
+    tracemalloc.start()
+    n, seen = 0, {}
+    for part in tasks[0](iter(batches)):
+        n += len(part)
+        for q in (0, n_queries // 2, n_queries - 1):
+            seen.setdefault(q, []).extend(part.vec_id[part.query_id == q])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == k * n_queries and peak < most
+    for q, found in seen.items():
+        exact = np.einsum("ij,j->i", rows.astype(np.float64), matrix[q])
+        assert set(found) == set(ids[np.argsort(-exact)[:k]])
