@@ -525,9 +525,9 @@ def test_tops_are_bounded_and_exact():
         assert found[place == q].tolist() == ids[want].tolist()
 
 
-@pytest.mark.parametrize("k,n_queries,most", [(1200, 873, 90e6)])
+@pytest.mark.parametrize("k,n_queries,most", [(1200, 873, 90e6), (50, 2048, 29e6)])
 def test_a_task_of_nearest_is_bounded(spark, monkeypatch, k, n_queries, most):
-    """What one task holds of stage 0 (similarity_search) at its whole block, and what it gives, in Arrow batches of 10,000 rows."""
+    """What one task holds of stage 0 (similarity_search) and of rrf at their whole blocks, and what it gives, in Arrow batches of 10,000 rows."""
     import tracemalloc
 
     import pandas as pd
