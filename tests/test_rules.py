@@ -555,3 +555,22 @@ def test_a_task_of_nearest_is_bounded(spark, monkeypatch, k, n_queries, most):
     for q, found in seen.items():
         exact = np.einsum("ij,j->i", rows.astype(np.float64), matrix[q])
         assert set(found) == set(ids[np.argsort(-exact)[:k]])
+
+
+def test_exact_scores_take_small_parts():
+    """The first tile of rrf's block, in which each query keeps its 50 best: their vectors are not all taken side by side."""
+    import tracemalloc
+
+    from palimpsest.functions.vectors import Tops
+
+    rng = np.random.default_rng(5)
+    queries, rows = rng.normal(size=(2048, 64)), rng.normal(size=(2048, 64))
+    tracemalloc.start()
+    tops = Tops(queries, 50)
+    tops.add(np.arange(2048), rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 14e6
+    place, found, _ = tops.found()
+    for q in range(0, 2048, 511):
+        assert found[place == q].tolist() == np.argsort(-(rows @ queries[q]))[:50].tolist()
