@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +21,7 @@ SCHEMA = (
 )
 
 
+
 def read_ocr(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SCHEMA).json(path)
 
@@ -42,13 +45,28 @@ def page_texts(ocr: DataFrame) -> DataFrame:
     return found.unionByName(bare)
 
 
+def _each(ocr: DataFrame, items: Column, *keep: Column | str) -> DataFrame:
+    """(document_id, keep, e) for each element of an array made within a part's row, so that no row of an element holds the part's text.
+
+    The outer form, filtered: for a plain explode Spark pushes down a filter that makes the array once more.
+    """
+    return ocr.select("document_id", *keep, F.explode_outer(items).alias("e")).filter(F.col("e").isNotNull())
+
+
+def _of_pages(of_page: Callable[[Column, Column], Column]) -> Column:
+    """The elements of the arrays that of_page gives for each page and its place, null ones left out."""
+    return F.flatten(F.filter(F.transform("pages", of_page), lambda x: x.isNotNull()))
+
+
 def ocr_paragraphs(ocr: DataFrame) -> DataFrame:
     """(document_id, idx, page_number, text): paragraphs of all parts of a document, numbered through."""
-    pages = ocr.select("document_id", F.coalesce("page_offset", F.lit(0)).alias("page_offset"), "text", F.posexplode("pages").alias("i", "p"))
-    rows = pages.select("document_id", "page_offset", "text", "i", (F.coalesce(F.col("p.pageNumber"), F.col("i") + 1) + F.col("page_offset")).alias("page_number"), F.posexplode("p.paragraphs").alias("j", "b"))
-    texts = rows.withColumn("text", F.trim(anchor_text(F.col("b.layout.textAnchor"), F.col("text")))).filter("text <> ''")
-    order = Window.partitionBy("document_id").orderBy("page_offset", "i", "j")
-    return texts.select("document_id", (F.row_number().over(order) - 1).alias("idx"), "page_number", "text")
+    offset = F.coalesce("page_offset", F.lit(0))
+    text = lambda b: F.trim(anchor_text(b.layout.textAnchor, F.col("text")))
+    number = lambda p, i: (F.coalesce(p.pageNumber, i + 1) + offset).alias("page_number")
+    blocks = _of_pages(lambda p, i: F.transform(p.paragraphs, lambda b, j: F.struct(i.alias("i"), j.alias("j"), number(p, i), text(b).alias("text"))))
+    found = _each(ocr, F.filter(blocks, lambda x: x.text != ""), "page_offset")
+    order = Window.partitionBy("document_id").orderBy(offset, "e.i", "e.j")
+    return found.select("document_id", (F.row_number().over(order) - 1).alias("idx"), "e.page_number", "e.text")
 
 
 def merge_parts(ocr: DataFrame) -> DataFrame:
