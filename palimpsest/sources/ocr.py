@@ -20,6 +20,7 @@ SCHEMA = (
     "entities array<struct<type:string,mentionText:string,confidence:double>>"
 )
 
+_FIELDS = "array<struct<kind:string,name:string,value:string,type:string,confidence:double,page_number:int>>"
 
 
 def read_ocr(spark: SparkSession, path: str) -> DataFrame:
@@ -116,16 +117,16 @@ def structured_fields(ocr: DataFrame) -> DataFrame:
 
     An entity's type follows from its name and it has no page; the others are text and have their page with the part's offset. Confidence is 0 by default.
     """
-    offset = F.coalesce("page_offset", F.lit(0))
-    entities = ocr.select("document_id", F.explode("entities").alias("e")).filter("e.type <> '' and e.mentionText <> ''")
-    out = entities.select("document_id", F.lit("entity").alias("kind"), F.col("e.type").alias("name"), F.col("e.mentionText").alias("value"), field_type(F.col("e.type")).alias("type"), F.col("e.confidence").alias("confidence"), F.lit(None).cast("int").alias("page_number"))
-    pages = ocr.select("document_id", "text", offset.alias("offset"), F.explode("pages").alias("p"))
+    kept = lambda items: F.filter(items, lambda x: (x["name"] != "") & (x.value != ""))
+    field = lambda kind, name, value, of, confidence, page: F.struct(F.lit(kind).alias("kind"), name.alias("name"), value.alias("value"), of.alias("type"), confidence.alias("confidence"), page.alias("page_number"))
+    number = lambda p: F.coalesce(F.nullif(p.pageNumber, F.lit(0)), F.lit(1)) + F.coalesce("page_offset", F.lit(0))
+    anchored = lambda a: anchor_text(a.textAnchor, F.col("text"))
+    found = [kept(F.transform("entities", lambda e: field("entity", e.type, e.mentionText, field_type(e.type), e.confidence, F.lit(None).cast("int"))))]
     for kind, column, key, value in (("form", "formFields", "fieldName", "fieldValue"), ("pair", "keyValuePairs", "key", "value")):
-        each = pages.select("document_id", "text", (F.coalesce(F.nullif(F.col("p.pageNumber"), F.lit(0)), F.lit(1)) + F.col("offset")).alias("page_number"), F.explode(f"p.{column}").alias("f"))
-        name, text = (anchor_text(F.col(f"f.{c}.textAnchor"), F.col("text")) for c in (key, value))
-        named = each.select("document_id", F.lit(kind).alias("kind"), name.alias("name"), text.alias("value"), F.lit("text").alias("type"), F.col(f"f.{key}.confidence").alias("confidence"), "page_number").filter("name <> '' and value <> ''")
-        out = out.unionByName(named.withColumns({"name": F.trim("name"), "value": F.trim("value")}))
-    return out.fillna(0.0, ["confidence"])
+        of = lambda p, i: F.transform(p[column], lambda f: field(kind, anchored(f[key]), anchored(f[value]), F.lit("text"), f[key].confidence, number(p)))  # noqa: B023, E731
+        found.append(F.transform(kept(_of_pages(of)), lambda x: x.withField("name", F.trim(x["name"])).withField("value", F.trim(x.value))))
+    all_of = F.flatten(F.filter(F.array(*(x.cast(_FIELDS) for x in found)), lambda x: x.isNotNull()))
+    return _each(ocr, all_of).select("document_id", "e.*").fillna(0.0, ["confidence"])
 
 
 def page_profile(ocr: DataFrame) -> DataFrame:

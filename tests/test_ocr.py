@@ -45,3 +45,11 @@ def test_paragraphs_of_long_documents(spark, long_dir):
             want.append((k, count.get(k, 0), 1 + i // 5, x.strip(" ")))
             count[k] = count.get(k, 0) + 1
     assert sorted((r.document_id, r.idx, r.page_number, r.text) for r in found) == sorted(want)
+
+
+def test_field_pairs_of_long_documents(spark, long_dir):
+    found, size = collected("ocr_field_pairs", spark, long_dir)
+    assert size == 0
+    by = {(k, i): x for k, i, x in lines()}
+    want = [(k, "pair", x.strip(" "), by[k, i + 1].strip(" "), "text", 1 + i // 5) for (k, i), x in by.items() if i % 5 == 0 and x and by.get((k, i + 1))]
+    assert sorted((r.document_id, r.kind, r.name, r.value, r.type, r.page_number) for r in found) == sorted(want)
