@@ -89,12 +89,12 @@ def tables(ocr: DataFrame) -> DataFrame:
 
     A table without a body row is left out; header_rows is null where none is left.
     """
-    pages = ocr.select("document_id", F.coalesce("page_offset", F.lit(0)).alias("page_offset"), "text", F.posexplode("pages").alias("i", "p"))
-    each = pages.select("document_id", "text", (F.coalesce(F.col("p.pageNumber"), F.col("i") + 1) + F.col("page_offset")).alias("page_number"), F.posexplode("p.tables").alias("table", "t"))
+    number = lambda p, i: (F.coalesce(p.pageNumber, i + 1) + F.coalesce("page_offset", F.lit(0))).alias("page_number")
     filled = lambda cells: F.filter(F.transform(cells, lambda c: F.trim(anchor_text(c.layout.textAnchor, F.col("text")))), lambda x: F.length(x) > 0)
     rows = lambda part: F.filter(F.transform(part, lambda r: filled(r.cells)), lambda r: F.size(r) > 0)
-    found = each.select("document_id", "page_number", "table", rows(F.col("t.headerRows")).alias("header_rows"), rows(F.col("t.bodyRows")).alias("body_rows"))
-    return found.filter(F.size("body_rows") > 0).withColumn("header_rows", F.when(F.size("header_rows") > 0, F.col("header_rows")))
+    each = _of_pages(lambda p, i: F.transform(p.tables, lambda t, n: F.struct(number(p, i), n.alias("table"), rows(t.headerRows).alias("header_rows"), rows(t.bodyRows).alias("body_rows"))))
+    found = _each(ocr, F.filter(each, lambda t: F.size(t.body_rows) > 0)).select("document_id", "e.*")
+    return found.withColumn("header_rows", F.when(F.size("header_rows") > 0, F.col("header_rows")))
 
 
 def profile(ocr: DataFrame) -> DataFrame:

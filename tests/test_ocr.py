@@ -53,3 +53,13 @@ def test_field_pairs_of_long_documents(spark, long_dir):
     by = {(k, i): x for k, i, x in lines()}
     want = [(k, "pair", x.strip(" "), by[k, i + 1].strip(" "), "text", 1 + i // 5) for (k, i), x in by.items() if i % 5 == 0 and x and by.get((k, i + 1))]
     assert sorted((r.document_id, r.kind, r.name, r.value, r.type, r.page_number) for r in found) == sorted(want)
+
+
+def test_tables_of_long_documents(spark, long_dir):
+    found, size = collected("ocr_tables", spark, long_dir)
+    assert size == 0
+    want = {}
+    for k, i, x in lines():
+        header, n = want.get((k, 1 + i // 5), (None, 0))
+        want[k, 1 + i // 5] = (x.strip(" ") or None, 0) if i % 5 == 0 else (header, n + bool(x.strip(" ")))
+    assert {(r.document_id, r.page_number): (r.header, r.n_rows) for r in found} == {k: v for k, v in want.items() if v[1]}
