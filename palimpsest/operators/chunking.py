@@ -92,15 +92,19 @@ def _option_owners(codes: list[int], limit: int) -> list[int]:
     return owners
 
 
+def _coded(rows: DataFrame) -> DataFrame:
+    """rows with `code`, the length and kind of a paragraph as _option_owners reads them."""
+    kind = F.when(is_form_option(F.col("text")), _OPTION).when(is_noise(F.col("text")), _NOISE).otherwise(_TEXT)
+    return rows.withColumn("code", F.coalesce(nonspace_length(F.col("text")), F.lit(0)) * 4 + kind)
+
+
 def merge_form_options(rows: DataFrame, limit: int = 2000) -> DataFrame:
     """Form options appended to the question: the last paragraph before them that is neither noise nor an option.
 
     Without a question an option goes to the paragraph before it, noise included. An option that would bring the
     non-space length to `limit` stays apart, and a later one that fits is still appended.
     """
-    kind = F.when(is_form_option(F.col("text")), _OPTION).when(is_noise(F.col("text")), _NOISE).otherwise(_TEXT)
-    coded = rows.withColumn("code", F.coalesce(nonspace_length(F.col("text")), F.lit(0)) * 4 + kind)
-    listed = _gathered(coded.select(KEY, "idx", "code", "text", "page_number"), "code", lambda codes: _option_owners(codes, limit))
+    listed = _gathered(_coded(rows).select(KEY, "idx", "code", "text", "page_number"), "code", lambda codes: _option_owners(codes, limit))
     first = F.col("items")[0]
     return listed.select(KEY, first.idx.alias("idx"), first.page_number.alias("page_number"), F.array_join(F.transform("items", lambda x: x.text), " ").alias("text"))
 
@@ -232,10 +236,55 @@ def build_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return pack(_prepared(docs, id_col, text_col, limit, least), limit)
 
 
+def _merged_groups(codes: list[int], least: int, limit: int) -> list[list[int]]:
+    """The places of the paragraphs (2 * length + 1 where the next can be taken) that merge_incomplete and merge_tiny bring together."""
+    pairs, i = [], 0
+    while i < len(codes):
+        pairs.append(range(i, i + 1 + codes[i] % 2))
+        i = pairs[-1].stop
+    lengths = [sum(codes[i] // 2 for i in pair) for pair in pairs]
+    return [[i for k in places for i in pairs[k]] for places in members(tiny_groups(lengths, least, limit))]
+
+
+def _picked(places: Column | str, texts: str) -> Column:
+    """The texts at each group's places, joined."""
+    return F.transform(places, lambda group: F.array_join(F.transform(group, lambda i: F.get(texts, i)), " "))
+
+
+def _held(rows: DataFrame) -> DataFrame:
+    """rows whose columns are computed before what reads them: Spark would put a column's rule, or a fold, into the lambdas that read it, where it runs for each element or can't run."""
+    return rows.select(F.explode_outer(F.array(F.struct(*rows.columns))).alias("held")).select("held.*")
+
+
 def chunk_lists(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = 1000, least: int = 80) -> DataFrame:
-    """(document_id, texts): build_chunks' texts, a row a document."""
-    dealt = _dealt(_sized(_prepared(docs, id_col, text_col, limit, least)).select(KEY, "idx", "chars", "text"), "chars", lambda lengths: pack_groups(lengths, limit))
-    return dealt.select(KEY, F.transform("groups", lambda items: F.array_join(F.transform(items, lambda x: x.text), " ")).alias("texts"))
+    """(document_id, texts): build_chunks' texts, a row a document, none of them where all lines are noise.
+
+    The same rules one after another, but a document's lines are brought together once and stay in its row, so that nothing else is shuffled.
+    """
+
+    @F.pandas_udf("array<array<int>>")
+    def cuts(lengths: pd.Series) -> pd.Series:
+        return pd.Series([[x if x is None else piece_starts([int(n) for n in x], limit) for x in row] for row in lengths], dtype=object)
+
+    size = lambda x: F.coalesce(nonspace_length(x), F.lit(0))
+    lines = _held(_dealt(_coded(paragraphs_of(docs, id_col, text_col)).select(KEY, "idx", "code", "text"), "code", lambda codes: _option_owners(codes, limit)))
+    joined = F.transform("groups", lambda items: F.array_join(F.transform(items, lambda x: x.text), " "))
+    clean = _held(lines.select(KEY, F.filter(F.transform(F.filter(joined, lambda x: ~is_noise(x)), strip_prefixes), lambda x: F.length(x) > 0).alias("t")))
+
+    after = lambda i: F.get("t", i + 1)
+    can = lambda x, i: F.coalesce(is_incomplete(x, after(i)) & (nonspace_length(x) + nonspace_length(after(i)) < limit), F.lit(False))
+    codes = F.transform("t", lambda x, i: size(x) * 2 + F.when(can(x, i), 1).otherwise(0))
+    merged = _held(clean.withColumn("at", folded(codes, lambda numbers: _merged_groups(numbers, least, limit), "array<array<int>>")))
+
+    cut = _held(_held(merged.select(KEY, _picked("at", "t").alias("t"))).withColumn("s", F.transform("t", lambda x: F.when(size(x) > limit, sentences(x)))))
+    cut = _held(cut.withColumn("starts", cuts(F.transform("s", lambda parts: F.transform(parts, size)))))
+    stop = lambda i, j: F.coalesce(F.get(F.get("starts", i), j + 1), F.size(F.get("s", i)))
+    pieces = lambda i: F.transform(F.get("starts", i), lambda at, j: trimmed(F.array_join(F.slice(F.get("s", i), at + 1, stop(i, j) - at), " ")))
+    parts = F.transform("t", lambda x, i: F.when(F.get("s", i).isNull(), F.array(x)).otherwise(F.filter(pieces(i), lambda y: F.length(y) > 0)))
+    split = _held(cut.select(KEY, F.flatten(parts).alias("t")))
+
+    packed = _held(split.withColumn("at", folded(F.transform("t", size), lambda lengths: members(pack_groups(lengths, limit)), "array<array<int>>")))
+    return packed.select(KEY, _picked("at", "t").alias("texts"))
 
 
 def window_bounds(lengths: list[int], size: int, overlap: int, least: int, limit: int) -> list[list[int]]:

@@ -2,7 +2,8 @@
 
 import random
 
-from palimpsest.operators import matching
+from palimpsest.operators import chunking, matching
+from palimpsest.plans import bindings as B
 
 
 def shuffled(spark):
@@ -27,3 +28,16 @@ def test_runs_are_packed_without_loss():
     for c in matching._RUN.names:
         runs[c] = [rng.randrange(2**32) for _ in range(50)]
     assert (matching._unpacked(matching._packed(runs)) == runs).all()
+
+
+def test_chunk_lists_are_the_chunk_build(spark):
+    """Within a document's row the rules give the chunks that the build gives by paragraphs, hand-made texts among them, and lines go through one exchange."""
+    made = ["one of the\ntwo of the\nthree of the\nEnd here it does.", "Is X the investor?\nYes\nNo\nThe next paragraph is here.", "Short one here.\n" * 9, "", None, "12\n7.", " \n".join(["(a) A sentence that goes on. Another one; or a third"] * 40), "é" * 1200 + " tail. And more of it."]
+    docs = B.documents(spark, "/root/testdata/sf0.01").select("doc_id", "text").unionByName(spark.createDataFrame([(-1 - i, t) for i, t in enumerate(made)], "doc_id long, text string"))
+    for limit, least in ((1000, 80), (90, 30)):
+        want = {}
+        for r in sorted(chunking.build_chunks(docs, limit=limit, least=least).collect(), key=lambda r: r.chunk_index):
+            want.setdefault(r.document_id, []).append(r.chunk_text)
+        found = chunking.chunk_lists(docs, limit=limit, least=least)
+        assert {r.document_id: r.texts for r in found.collect() if r.texts} == want and len(want) > 900
+        assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2  # the plan as it ran and as it was made
