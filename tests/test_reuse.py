@@ -41,3 +41,12 @@ def test_chunk_lists_are_the_chunk_build(spark):
         found = chunking.chunk_lists(docs, limit=limit, least=least)
         assert {r.document_id: r.texts for r in found.collect() if r.texts} == want and len(want) > 900
         assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2  # the plan as it ran and as it was made
+
+
+def test_classes_of_one_first_hash():
+    """Two classes that share the first hash stay apart by the second one."""
+    np = matching.np
+    h, g = np.array([5, 5, 5, 9, 5], "u8"), np.array([1, 2, 1, 1, 1], "u4")
+    found = matching._class_ends(h, g, *[np.array([3, 4, 7, 1, 2])] * 2)
+    assert [tuple(map(int, x)) for x in zip(*found)] == [(5, 1, 2, 7), (5, 2, 4, 4), (9, 1, 1, 1)]
+    assert matching._class_places(found[0], found[1], np.array([5, 5, 9, 9, 7], "u8"), np.array([2, 1, 1, 2, 1], "u4")).tolist() == [1, 0, 2, -1, -1]
