@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
+from ..functions.folds import NOISE, OPTION, TEXT, members, merged_groups, option_owners, pack_groups, piece_starts, tiny_groups
 from ..functions.text import is_form_option, is_incomplete, is_noise, nonspace_length, sentences, strip_prefixes, trimmed, with_options_joined, without_footnotes
 
 KEY = "document_id"
@@ -24,6 +25,11 @@ def folded(lengths: Column, group_of: Callable[[list[int]], list], kind: str = "
     return F.pandas_udf(fold, kind)(lengths)
 
 
+def plain_folded(lengths: Column, group_of: Callable[[list], list], kind: str = "array<int>") -> Column:
+    """folded without Arrow: its worker holds neither pandas nor Arrow's memory, which counts where several folds stand in one task."""
+    return F.udf(group_of, kind, useArrow=False)(lengths)
+
+
 def _exploded(rows: DataFrame, array: Column | str, *names: str) -> DataFrame:
     """rows with a row for each (position, element) of an array under the two names; none for an empty array.
 
@@ -33,22 +39,14 @@ def _exploded(rows: DataFrame, array: Column | str, *names: str) -> DataFrame:
     return rows.select("*", F.posexplode_outer(array).alias(*names)).filter(F.col(names[0]).isNotNull())
 
 
-def members(groups: list[int]) -> list[list[int]]:
-    """The places of each group's members, groups in the order in which they begin."""
-    out: dict[int, list[int]] = {}
-    for i, g in enumerate(groups):
-        out.setdefault(g, []).append(i)
-    return list(out.values())
-
-
-def _dealt(rows: DataFrame, number: str, group_of: Callable[[list[int]], list[int]]) -> DataFrame:
+def _dealt(rows: DataFrame, number: str, group_of: Callable[[list[int]], list[int]], fold: Callable[..., Column] = folded) -> DataFrame:
     """(document_id, groups): a document's paragraphs in idx order, dealt to the groups that group_of gives from the column `number`.
 
     The fold sees a document's numbers alone; its texts stay in their row and are picked by place, so that they are shuffled once, by document.
     """
     rest = [c for c in rows.columns if c not in (KEY, "idx", number)]
     lists = rows.groupBy(KEY).agg(F.sort_array(F.collect_list(F.struct("idx", number, *rest))).alias("all"))
-    dealt = lists.withColumn("at", folded(F.col(f"all.{number}"), lambda numbers: members(group_of(numbers)), "array<array<int>>"))
+    dealt = lists.withColumn("at", fold(F.col(f"all.{number}"), lambda numbers: members(group_of(numbers)), "array<array<int>>"))
     groups = F.transform("at", lambda places: F.transform(places, lambda i: F.get("all", i)))
     return dealt.select(KEY, groups.alias("groups"))
 
@@ -73,28 +71,9 @@ def paragraphs_of(docs: DataFrame, id_col: str, text_col: str, per_page: int = 5
     return rows.withColumn("page_number", (F.col("idx") / per_page).cast("int") + 1)
 
 
-_NOISE, _OPTION, _TEXT = range(3)
-
-
-def _option_owners(codes: list[int], limit: int) -> list[int]:
-    """For each paragraph (4 * length + kind) the position of the one that it is appended to, or its own."""
-    totals, owners, question, last = {}, [], None, None
-    for i, code in enumerate(codes):
-        chars, kind = divmod(code, 4)
-        home = last if question is None else question
-        if kind == _OPTION and home is not None and totals[home] > 0 and totals[home] + chars < limit:
-            totals[home] += chars
-            owners.append(home)
-            continue
-        totals[i], last = chars, i
-        owners.append(i)
-        question = i if kind == _TEXT else question
-    return owners
-
-
 def _coded(rows: DataFrame) -> DataFrame:
-    """rows with `code`, the length and kind of a paragraph as _option_owners reads them."""
-    kind = F.when(is_form_option(F.col("text")), _OPTION).when(is_noise(F.col("text")), _NOISE).otherwise(_TEXT)
+    """rows with `code`, the length and kind of a paragraph as option_owners reads them."""
+    kind = F.when(is_form_option(F.col("text")), OPTION).when(is_noise(F.col("text")), NOISE).otherwise(TEXT)
     return rows.withColumn("code", F.coalesce(nonspace_length(F.col("text")), F.lit(0)) * 4 + kind)
 
 
@@ -104,7 +83,7 @@ def merge_form_options(rows: DataFrame, limit: int = 2000) -> DataFrame:
     Without a question an option goes to the paragraph before it, noise included. An option that would bring the
     non-space length to `limit` stays apart, and a later one that fits is still appended.
     """
-    listed = _gathered(_coded(rows).select(KEY, "idx", "code", "text", "page_number"), "code", lambda codes: _option_owners(codes, limit))
+    listed = _gathered(_coded(rows).select(KEY, "idx", "code", "text", "page_number"), "code", lambda codes: option_owners(codes, limit))
     first = F.col("items")[0]
     return listed.select(KEY, first.idx.alias("idx"), first.page_number.alias("page_number"), F.array_join(F.transform("items", lambda x: x.text), " ").alias("text"))
 
@@ -139,24 +118,6 @@ def merge_incomplete(rows: DataFrame, limit: int = 2000) -> DataFrame:
     )
 
 
-def tiny_groups(lengths: list[int], least: int, limit: int) -> list[int]:
-    """Group numbers: a short paragraph joins its predecessor's group, the first ones the paragraph after them.
-
-    A group that short paragraphs began at the start of the document stays open for the first long one.
-    """
-    out, group, held, is_open = [], -1, 0, False
-    for n in lengths:
-        short = n < least
-        if group >= 0 and (short or is_open) and held + n < limit:
-            held += n
-        else:
-            is_open = short and (group < 0 or is_open)
-            group, held = group + 1, n
-        is_open = is_open and short
-        out.append(group)
-    return out
-
-
 def merge_tiny(rows: DataFrame, least: int = 120, limit: int = 2000) -> DataFrame:
     """Paragraphs under `least` characters joined with their neighbours, under `limit` together.
 
@@ -168,17 +129,6 @@ def merge_tiny(rows: DataFrame, least: int = 120, limit: int = 2000) -> DataFram
     return lists.select(KEY, F.col("items")[0].idx.alias("idx"), owner.alias("o"), text.alias("text")).select(KEY, "idx", "o.page_number", "o.start_page", "o.end_page", "text")
 
 
-def piece_starts(lengths: list[int], limit: int) -> list[int]:
-    """Where pieces of consecutive sentences start, each under `limit` unless one sentence is longer."""
-    starts, held = [], 0
-    for i, n in enumerate(lengths):
-        if i == 0 or (held > 0 and held + n >= limit):
-            starts.append(i)
-            held = 0
-        held += n
-    return starts
-
-
 def split_oversized(rows: DataFrame, limit: int = 2000) -> DataFrame:
     """Paragraphs over `limit` characters cut at sentence ends; pieces keep the page number, not the range."""
     rows = _ranged(rows).select(KEY, "idx", "page_number", "start_page", "end_page", "text")
@@ -195,18 +145,6 @@ def split_oversized(rows: DataFrame, limit: int = 2000) -> DataFrame:
     return kept.withColumn("idx", F.row_number().over(order) - 1).drop("piece", "over")
 
 
-def pack_groups(lengths: list[int], limit: int) -> list[int]:
-    """Chunk numbers: the next paragraph joins while the chunk stays within `limit`."""
-    out, group, held = [], -1, 0
-    for n in lengths:
-        if group >= 0 and held + n <= limit:
-            held += n
-        else:
-            group, held = group + 1, n
-        out.append(group)
-    return out
-
-
 def pack(rows: DataFrame, limit: int = 1000) -> DataFrame:
     """Chunks of consecutive paragraphs up to `limit` non-space characters, one paragraph at least, no overlap.
 
@@ -236,16 +174,6 @@ def build_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return pack(_prepared(docs, id_col, text_col, limit, least), limit)
 
 
-def _merged_groups(codes: list[int], least: int, limit: int) -> list[list[int]]:
-    """The places of the paragraphs (2 * length + 1 where the next can be taken) that merge_incomplete and merge_tiny bring together."""
-    pairs, i = [], 0
-    while i < len(codes):
-        pairs.append(range(i, i + 1 + codes[i] % 2))
-        i = pairs[-1].stop
-    lengths = [sum(codes[i] // 2 for i in pair) for pair in pairs]
-    return [[i for k in places for i in pairs[k]] for places in members(tiny_groups(lengths, least, limit))]
-
-
 def _picked(places: Column | str, texts: str) -> Column:
     """The texts at each group's places, joined."""
     return F.transform(places, lambda group: F.array_join(F.transform(group, lambda i: F.get(texts, i)), " "))
@@ -261,29 +189,24 @@ def chunk_lists(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     The same rules one after another, but a document's lines are brought together once and stay in its row, so that nothing else is shuffled.
     """
-
-    @F.pandas_udf("array<array<int>>")
-    def cuts(lengths: pd.Series) -> pd.Series:
-        return pd.Series([[x if x is None else piece_starts([int(n) for n in x], limit) for x in row] for row in lengths], dtype=object)
-
     size = lambda x: F.coalesce(nonspace_length(x), F.lit(0))
-    lines = _held(_dealt(_coded(paragraphs_of(docs, id_col, text_col)).select(KEY, "idx", "code", "text"), "code", lambda codes: _option_owners(codes, limit)))
+    lines = _held(_dealt(_coded(paragraphs_of(docs, id_col, text_col)).select(KEY, "idx", "code", "text"), "code", lambda codes: option_owners(codes, limit), plain_folded))
     joined = F.transform("groups", lambda items: F.array_join(F.transform(items, lambda x: x.text), " "))
     clean = _held(lines.select(KEY, F.filter(F.transform(F.filter(joined, lambda x: ~is_noise(x)), strip_prefixes), lambda x: F.length(x) > 0).alias("t")))
 
     after = lambda i: F.get("t", i + 1)
     can = lambda x, i: F.coalesce(is_incomplete(x, after(i)) & (nonspace_length(x) + nonspace_length(after(i)) < limit), F.lit(False))
     codes = F.transform("t", lambda x, i: size(x) * 2 + F.when(can(x, i), 1).otherwise(0))
-    merged = _held(clean.withColumn("at", folded(codes, lambda numbers: _merged_groups(numbers, least, limit), "array<array<int>>")))
+    merged = _held(clean.withColumn("at", plain_folded(codes, lambda numbers: merged_groups(numbers, least, limit), "array<array<int>>")))
 
     cut = _held(_held(merged.select(KEY, _picked("at", "t").alias("t"))).withColumn("s", F.transform("t", lambda x: F.when(size(x) > limit, sentences(x)))))
-    cut = _held(cut.withColumn("starts", cuts(F.transform("s", lambda parts: F.transform(parts, size)))))
+    cut = _held(cut.withColumn("starts", plain_folded(F.transform("s", lambda parts: F.transform(parts, size)), lambda rows: [x if x is None else piece_starts(x, limit) for x in rows], "array<array<int>>")))
     stop = lambda i, j: F.coalesce(F.get(F.get("starts", i), j + 1), F.size(F.get("s", i)))
     pieces = lambda i: F.transform(F.get("starts", i), lambda at, j: trimmed(F.array_join(F.slice(F.get("s", i), at + 1, stop(i, j) - at), " ")))
     parts = F.transform("t", lambda x, i: F.when(F.get("s", i).isNull(), F.array(x)).otherwise(F.filter(pieces(i), lambda y: F.length(y) > 0)))
     split = _held(cut.select(KEY, F.flatten(parts).alias("t")))
 
-    packed = _held(split.withColumn("at", folded(F.transform("t", size), lambda lengths: members(pack_groups(lengths, limit)), "array<array<int>>")))
+    packed = _held(split.withColumn("at", plain_folded(F.transform("t", size), lambda lengths: members(pack_groups(lengths, limit)), "array<array<int>>")))
     return packed.select(KEY, _picked("at", "t").alias("texts"))
 
 
