@@ -78,3 +78,13 @@ def merged_groups(codes: list[int], least: int, limit: int) -> list[list[int]]:
         i = pairs[-1].stop
     lengths = [sum(codes[i] // 2 for i in pair) for pair in pairs]
     return [[i for k in places for i in pairs[k]] for places in members(tiny_groups(lengths, least, limit))]
+
+
+def packed_pieces(sizes: list[list[int]], limit: int) -> list[list[list[int]]]:
+    """For each chunk its pieces as [text, first sentence, number of sentences]: texts, told by their sentences' lengths, cut by piece_starts and packed by pack_groups."""
+    pieces = []
+    for i, parts in enumerate(sizes):
+        starts = piece_starts(parts, limit)
+        pieces += [[i, a, b - a] for a, b in zip(starts, [*starts[1:], len(parts)], strict=False)]
+    lengths = [sum(sizes[i][a : a + n]) for i, a, n in pieces]
+    return [[pieces[k] for k in places] for places in members(pack_groups(lengths, limit))]

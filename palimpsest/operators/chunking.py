@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from ..functions.folds import NOISE, OPTION, TEXT, members, merged_groups, option_owners, pack_groups, piece_starts, tiny_groups
+from ..functions.folds import NOISE, OPTION, TEXT, members, merged_groups, option_owners, pack_groups, packed_pieces, piece_starts, tiny_groups
 from ..functions.text import is_form_option, is_incomplete, is_noise, nonspace_length, sentences, strip_prefixes, trimmed, with_options_joined, without_footnotes
 
 KEY = "document_id"
@@ -200,14 +200,10 @@ def chunk_lists(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     merged = _held(clean.withColumn("at", plain_folded(codes, lambda numbers: merged_groups(numbers, least, limit), "array<array<int>>")))
 
     cut = _held(_held(merged.select(KEY, _picked("at", "t").alias("t"))).withColumn("s", F.transform("t", lambda x: F.when(size(x) > limit, sentences(x)))))
-    cut = _held(cut.withColumn("starts", plain_folded(F.transform("s", lambda parts: F.transform(parts, size)), lambda rows: [x if x is None else piece_starts(x, limit) for x in rows], "array<array<int>>")))
-    stop = lambda i, j: F.coalesce(F.get(F.get("starts", i), j + 1), F.size(F.get("s", i)))
-    pieces = lambda i: F.transform(F.get("starts", i), lambda at, j: trimmed(F.array_join(F.slice(F.get("s", i), at + 1, stop(i, j) - at), " ")))
-    parts = F.transform("t", lambda x, i: F.when(F.get("s", i).isNull(), F.array(x)).otherwise(F.filter(pieces(i), lambda y: F.length(y) > 0)))
-    split = _held(cut.select(KEY, F.flatten(parts).alias("t")))
-
-    packed = _held(split.withColumn("at", plain_folded(F.transform("t", size), lambda lengths: members(pack_groups(lengths, limit)), "array<array<int>>")))
-    return packed.select(KEY, _picked("at", "t").alias("texts"))
+    sizes = F.transform("t", lambda x, i: F.when(F.get("s", i).isNull(), F.array(size(x))).otherwise(F.transform(F.get("s", i), size)))
+    packed = _held(cut.withColumn("at", plain_folded(sizes, lambda rows: packed_pieces(rows, limit), "array<array<array<int>>>")))
+    piece = lambda p: F.when(F.get("s", p[0]).isNull(), F.get("t", p[0])).otherwise(trimmed(F.array_join(F.slice(F.get("s", p[0]), p[1] + 1, p[2]), " ")))
+    return packed.select(KEY, F.transform("at", lambda group: F.array_join(F.transform(group, piece), " ")).alias("texts"))
 
 
 def window_bounds(lengths: list[int], size: int, overlap: int, least: int, limit: int) -> list[list[int]]:
